@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity, warc
 from .common import crc_part
 
 
@@ -33,10 +33,30 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(digests, same).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality.calibration_labels(_table(spark, sf_dir, "labels"))
+    judged = quality.judged(_table(spark, sf_dir, "documents"), labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(spark, _table(spark, sf_dir, "pages"))
+    read = warc.read_records(spark, archive)
+    return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    cut = substring_dedup.without_repeats(docs)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    removed = F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["end"] - x["start"])
+    return cut.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce(removed, F.lit(0)).alias("removed_chars"), F.coalesce(spans, F.lit("")).alias("spans"), "text")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=2)
 
@@ -61,5 +81,17 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_rep
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM n JOIN g USING (h)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op8_packing": op8_packing, "op10_near_dedup": op10_near_dedup}
-ORACLE_SQL = {"op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5}
+SQL_OP7 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM p),
+     b AS (SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS best,
+                  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                      1 + ((('0x' || substr(h, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), lambda x, y: x || y) AS payload_digest
+           FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM b
+"""
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup}
+ORACLE_SQL = {"op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
