@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import exact_dedup, mixing, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, warc
 from .common import crc_part
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_kind(kind: str):  # noqa: ANN202
+    return lambda x: x["kind"] == kind
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.training_labels(_table(spark, sf_dir, "labels")))
@@ -20,6 +24,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "clauses", "strongest")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.report(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["rank"] < len(secret_scan.BASE_KINDS))
+    counts = [F.size(F.filter("found", _of_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spelled(base).cast("binary"), 256).alias("base_sha256"), secret_scan.spelled(F.col("found")).alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "text", "copies", "replica", "shuffle_key")
 
@@ -93,5 +104,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 're
 FROM b
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup}
-ORACLE_SQL = {"op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup}
+ORACLE_SQL = {"op3_secret_scan": secret_scan.oracle_sql(), "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
