@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, secret_scan, substring_dedup, toxicity, warc
+from . import exact_dedup, mixing, near_dedup, ngram_lm, packing, quality, secret_scan, substring_dedup, toxicity, warc
 from .common import crc_part
 
 
@@ -24,6 +24,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "clauses", "strongest")
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_part(F.col("doc_id"), 7)
+    scored = ngram_lm.scores(_table(spark, sf_dir, "documents"), part != 2)
+    return scored.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.report(_table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["rank"] < len(secret_scan.BASE_KINDS))
@@ -104,5 +110,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 're
 FROM b
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_lm": op2_ngram_lm, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup}
 ORACLE_SQL = {"op3_secret_scan": secret_scan.oracle_sql(), "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
