@@ -3,10 +3,10 @@
 Documents become sets of word shingles. Equal sets form a class, of which one member goes on. Each element of a set
 ranks the slots of the signature by its own random permutation and puts rank + fraction into them; a slot keeps
 the least value. As ranks only grow, filling stops as soon as every slot has a value from an earlier rank. Bands of
-the signature are buckets. Within a bucket nobody is compared with everybody: members meet a leader, links are
-confirmed on the full sets, and linked members become one component; further leaders are taken only where a bucket
-still holds members of different components, until none is left. So no link that shares a bucket is lost, and a
-bucket of thousands of copies costs one comparison each.
+the signature are buckets. Members of a bucket first meet its leader, links are confirmed on the full sets, and linked
+members become one component, so a bucket of thousands of copies costs one comparison each. Only where a bucket
+still holds members of different components, those outside its main component meet the others, in blocks of
+bounded size that emit nothing but links. So no link that shares a bucket is lost.
 
 The chance that a pair of similarity s shares no bucket is (1 - s^rows)^bands, 5e-8 at 0.8 with the defaults.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, maybe_filter, mix64, select_maybe, stored, windows, word_hashes
 
 BANDS, ROWS = 32, 4
-#: Elements whose permutations are held at a time, and leaders that a bucket takes in the first further round.
-CHUNK, LEADERS = 200_000, 64
+#: Elements whose permutations are held at a time; members of a small bucket; side of a block of comparisons.
+CHUNK, SMALL, BLOCK = 200_000, 16, 1500
 
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, slots: int) -> np.ndarray:
@@ -149,6 +149,53 @@ def components(edges: DataFrame) -> DataFrame:
         star = stored(small.union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "near-stars")
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all x with all y, by a product of incidence matrices."""
+    if len(x) * len(y) <= 16:
+        return np.array([[len(np.intersect1d(p, q, assume_unique=True)) for q in y] for p in x])
+    every = np.concatenate([*x, *y])
+    _, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    ends = np.cumsum([len(s) for s in (*x, *y)])
+    rows = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    rows, at = rows[shared[at]], column[at[shared[at]]]
+    out = np.zeros((len(x), len(y)), np.int64)
+    width = int(shared.sum())
+    for begin in range(0, width, 4096):  # a slice of the elements at a time
+        part = (at >= begin) & (at < begin + 4096)
+        m = np.zeros((len(ends), min(4096, width - begin)), np.float32)
+        m[rows[part], at[part] - begin] = 1
+        out += np.rint(m[: len(x)] @ m[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):  # noqa: ANN202
+    """Links between different components in each block: rows of one side (x) against those of the other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks: dict = {}
+        for r in zip(*(table[c].to_pylist() for c in ("block", "is_x", "rep", "component")), range(len(table)), strict=True):
+            blocks.setdefault(r[0], ([], []))[0 if r[1] else 1].append(r[2:])
+        sets = table["elements"].combine_chunks()
+        flat, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        u, v = [], []
+        for x, y in blocks.values():
+            if x and y:
+                take = lambda side: [flat[ends[i] : ends[i + 1]] for _, _, i in side]
+                a, b = take(x), take(y)
+                met = _overlaps(a, b)
+                sizes = np.add.outer([len(s) for s in a], [len(s) for s in b])
+                apart = np.not_equal.outer([c for _, c, _ in x], [c for _, c, _ in y])
+                for i, j in zip(*np.nonzero(apart & (met * 100 >= (sizes - met) * percent)), strict=True):
+                    u.append(max(x[i][0], y[j][0]))
+                    v.append(min(x[i][0], y[j][0]))
+        kind = table.schema.field("rep").type
+        return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
+
+    return run
+
+
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
     light = stored(described(docs, width, bands, rows, id_col, text_col), "near-light")
@@ -156,14 +203,16 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     classes = stored(known.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep")), "near-classes")
     firsts = known.join(classes.select("rep", F.col("n").alias("cn"), F.col("lo").alias("cl"), F.col("hi").alias("ch")), (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("lo") == F.col("cl")) & (F.col("hi") == F.col("ch")))
     spread = firsts.dropDuplicates(["rep", "n", "lo", "hi"]).select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1").drop("size")
-    members = stored(spread.join(shared, "bucket").select("bucket", "rep", "n", "leader"), "near-members")
-    ids = stored(members.select("rep").distinct(), "near-ids")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(spread.join(shared, "bucket").select("bucket", "rep", "n", "size"), "near-members")
+    # A bucket's leader is the member that shares the largest buckets: in a group of copies, the least edited one.
+    ids = stored(members.groupBy("rep").agg(F.sum("size").alias("weight"), F.min("n").alias("rep_n")), "near-ids")
+    heads = members.join(ids, "rep").groupBy("bucket").agg(F.max(F.struct("weight", "rep", "n")).alias("l")).select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"))
     # The bitmap spares reading and shuffling the texts of documents that share no bucket; the join decides.
     some = select_maybe(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), maybe_filter(ids, F.col("rep")), F.col("_id"))
     sets = _sets(some, width, "_id", "_text").join(ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", "elements"])
     sets = stored(sets, "near-sets")
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)  # else the sizes rule a link out
+    fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)  # noqa: E731  else the sizes rule a link out
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
@@ -172,41 +221,51 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         met = F.size(F.array_intersect("ea", "eb"))
         return both.where(met * 100 >= (F.size("ea") + F.size("eb") - met) * percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
-    sizes = members.select(F.col("rep").alias("leader"), F.col("n").alias("nb")).distinct()
-    star = members.select(F.col("rep").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na")).where("a <> b").distinct()
-    star = star.join(sizes.withColumnRenamed("leader", "b"), "b").where(fits)
-    edges = stored(linked(star.select("a", "b")), "near-edges")
+    star = members.join(heads, "bucket").where("rep <> leader").select("bucket", "rep", "n", "leader", "leader_n", "size")
+    star = stored(star, "near-star")
+    edges = stored(linked(star.where(fits(F.col("n"), F.col("leader_n"))).select(F.col("rep").alias("a"), F.col("leader").alias("b"))), "near-edges")
     found = components(edges)
-    todo, leaders = members.where("rep <> leader").select("bucket", "rep", "n"), LEADERS
-    while True:
-        state = todo.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        state = stored(state.join(mixed, "bucket"), "near-open")
-        if not state.limit(1).count():
-            break
-        order = F.row_number().over(_by_bucket())
-        lead = state.withColumn("k", order).where(F.col("k") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        lead = stored(lead, "near-leaders")
-        pairs = state.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(lead, "bucket").where((F.col("ca") != F.col("cb")) & fits)
-        fresh = stored(linked(pairs.select("a", "b")), "near-edges")
-        edges = edges.union(fresh)
-        found = components(edges)
-        todo = state.join(lead.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
-        leaders *= 4
+    # What is left: buckets whose members are in different components.
+    state = members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
+    state = stored(state, "near-state")
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = stored(state.join(mixed, "bucket"), "near-open")
+    # Small buckets: pairs across components, at most SMALL a member.
+    few = open_.where(F.col("size") <= SMALL)
+    other = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = few.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")) & fits(F.col("n"), F.col("nb")))
+    fresh = linked(pairs.select(F.col("rep").alias("a"), "b"))
+    # Large ones: clusters of buckets that share members. All outside the cluster's main component (x) meet all members
+    # (y), in blocks of at most BLOCK by BLOCK that emit only links.
+    many = open_.where(F.col("size") > SMALL)
+    clusters = components(stored(many.join(heads, "bucket").where("rep <> leader").select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct(), "near-large"))
+    placed = many.select("rep", "component").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", clusters["component"].alias("cluster"), many["component"].alias("component"))
+    placed = stored(placed, "near-placed")
+    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("n_y")).select("cluster", F.col("m.component").alias("main"), "n_y", (F.col("n_y") - F.col("m.k")).alias("n_x")).where("n_x > 0")
+    sided = placed.join(main, "cluster").withColumns({"kx": F.ceil(F.col("n_x") / BLOCK).cast("int"), "ky": F.ceil(F.col("n_y") / BLOCK).cast("int")})
+    h = F.xxhash64("rep")
+    as_y = sided.withColumns({"j": F.pmod(h, F.col("ky")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("kx") - 1)), "is_x": F.lit(False)})
+    as_x = sided.where("component <> main").withColumns({"i": F.pmod(h, F.col("kx")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("ky") - 1)), "is_x": F.lit(True)})
+    blocks = as_y.unionByName(as_x).select(F.xxhash64("cluster", "i", "j").alias("block"), "is_x", "rep", "component")
+    blocks = blocks.join(sets.withColumnRenamed("id", "rep"), "rep")
+    kind = docs.schema[id_col].dataType.simpleString()
+    later = stored(fresh.unionByName(blocks.groupBy("block").applyInArrow(_block_links(percent), f"u {kind}, v {kind}")), "near-later")
+    if later.limit(1).count():
+        # Only components are joined now, not documents.
+        named = state.select("rep", "component").distinct()
+        lifted = later.join(named.withColumnsRenamed({"rep": "u", "component": "cu"}), "u").join(named.withColumnsRenamed({"rep": "v", "component": "cv"}), "v")
+        lifted = components(stored(lifted.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct(), "near-lifted")).withColumnsRenamed({"node": "low", "component": "top"})
+        nodes = found.union(lifted.select("low", "low")).distinct()
+        found = nodes.join(lifted, nodes["component"] == F.col("low"), "left").select("node", F.coalesce("top", "component").alias("component"))
     names = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "lo", "hi", F.coalesce("component", "rep").alias("component_id"))
-    placed = known.select("id", "n", "lo", "hi").join(names, ["n", "lo", "hi"]).select("id", "n", "component_id")
+    final = known.select("id", "n", "lo", "hi").join(names, ["n", "lo", "hi"]).select("id", "n", "component_id")
     alone = light.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
     if known.groupBy("id").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").limit(1).count():  # one id, several texts: one node
-        same = placed.groupBy("id").agg(F.min("component_id").alias("m"))
-        links = placed.join(same, "id").select(F.col("component_id").alias("u"), F.col("m").alias("v")).union(placed.select(F.col("id").alias("u"), F.col("component_id").alias("v")))
-        placed = placed.join(components(links), F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
-    return placed.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _by_bucket():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
+        same = final.groupBy("id").agg(F.min("component_id").alias("m"))
+        links = final.join(same, "id").select(F.col("component_id").alias("u"), F.col("m").alias("v")).union(final.select(F.col("id").alias("u"), F.col("component_id").alias("v")))
+        final = final.join(components(links), F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
+    return final.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
