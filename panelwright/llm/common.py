@@ -92,13 +92,13 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
 
 def maybe_filter(keys: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
     """A bitmap over the hashes of keys, at most 2^bits bits however many keys there are."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
+    h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
     return keys.select(h.alias("_h")).groupBy((F.shiftright("_h", 15)).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_h").bitwiseAND(32767)).alias("_bits"))
 
 
 def select_maybe(df: DataFrame, bitmap: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of df whose key may be in the bitmap: all that are, and some others. An exact join must follow."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
+    h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
     at = F.col("_h").bitwiseAND(32767)
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     kept = df.withColumn("_h", h).withColumn("_bucket", F.shiftright("_h", 15)).join(F.broadcast(bitmap), "_bucket")

@@ -20,7 +20,10 @@ PREFIX_CHARS = 96
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(text_of(text), SPACES, "")
+    out = text_of(text)
+    for space in SPACES:
+        out = F.replace(out, F.lit(space), F.lit(""))
+    return out
 
 
 def full_hash(text: Column) -> Column:
