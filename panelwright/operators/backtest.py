@@ -21,6 +21,7 @@ def rebalances(calendar: DataFrame, every: int) -> DataFrame:
 
 def ranked_periods(signals: DataFrame, prices: DataFrame, periods: DataFrame, quantiles: int, min_names: int, max_stale_days: int, max_abs_return: float) -> DataFrame:
     """One row per period and name with its return and quantile, in periods broad enough; and how many were dropped."""
+    # periods: at most a row for each trading date
     base = signals.where(F.col("value").isNotNull()).select("ticker", F.col("date").alias("signal_date"), "value").join(F.broadcast(periods), "signal_date")
     size = F.count("*").over(Window.partitionBy("period"))
     base = base.withColumn("n_cross", size).where(F.col("n_cross") >= min_names)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def bloc_sums(series: DataFrame, signs: DataFrame, by: list[str], series_col: str = "series", value: str = "value") -> DataFrame:
     """bloc = sum of added less subtracted series; null where one is missing. signs: bloc, series, sign."""
     need = signs.groupBy("bloc").agg(F.count("*").alias("_need"))
-    joined = series.join(F.broadcast(signs), series_col).groupBy("bloc", *by).agg(F.sum(F.col("sign") * F.col(value)).alias("_v"), F.count(value).alias("_k"))
-    return joined.join(F.broadcast(need), "bloc").select("bloc", *by, F.when(F.col("_k") == F.col("_need"), F.col("_v")).alias(value))
+    joined = series.join(signs, series_col).groupBy("bloc", *by).agg(F.sum(F.col("sign") * F.col(value)).alias("_v"), F.count(value).alias("_k"))
+    return joined.join(need, "bloc").select("bloc", *by, F.when(F.col("_k") == F.col("_need"), F.col("_v")).alias(value))
 
 
 def status(period: Column, last_supply: Column, last_demand: Column) -> Column:

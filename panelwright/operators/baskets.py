@@ -14,7 +14,7 @@ from .stats import pair_correlations
 def basket_mean(returns: DataFrame, least: int = 2) -> DataFrame:
     """Equal-weight mean return of each basket and date (returns: ticker, basket, date, ret)."""
     names = returns.groupBy("basket").agg(F.count_distinct("ticker").alias("n_names")).where(F.col("n_names") >= least)
-    return returns.join(F.broadcast(names), "basket").groupBy("basket", "date").agg(F.avg("ret").alias("ret"), F.count("ret").alias("n"))
+    return returns.join(names, "basket").groupBy("basket", "date").agg(F.avg("ret").alias("ret"), F.count("ret").alias("n"))
 
 
 def winsorised_basket_mean(returns: DataFrame, sigmas: float = 3.0, least: int = 100) -> DataFrame:
@@ -24,7 +24,7 @@ def winsorised_basket_mean(returns: DataFrame, sigmas: float = 3.0, least: int =
     clipped = returns.withColumn("ret", F.when(sd > 0, clip(F.col("ret"), mu - sigmas * sd, mu + sigmas * sd)).otherwise(F.col("ret")))
     out = clipped.groupBy("basket", "date").agg(F.avg("ret").alias("ret"))
     enough = out.where("ret IS NOT NULL").groupBy("basket").agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= least)
-    return out.join(F.broadcast(enough), "basket")
+    return out.join(enough, "basket")
 
 
 def leave_one_out(returns: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def pair_spreads(returns: DataFrame, pairs: DataFrame, n: int, corr_n: int) -> D
     """Cumulated return spread of each pair (a, b) on common dates, its rolling z and the rolling correlation."""
     a = returns.select(F.col("ticker").alias("a"), "date", F.col("ret").alias("ra"))
     b = returns.select(F.col("ticker").alias("b"), "date", F.col("ret").alias("rb"))
-    legs = F.broadcast(pairs).join(a, "a").join(b, ["b", "date"]).where("ra IS NOT NULL AND rb IS NOT NULL")
+    legs = pairs.join(a, "a").join(b, ["b", "date"]).where("ra IS NOT NULL AND rb IS NOT NULL")
     w = win.series(["a", "b"])
     out = legs.withColumn("spread", F.col("ra") - F.col("rb")).withColumn("cum", F.sum("spread").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumns({"z": win.rolling_z(F.col("cum"), w, n), "corr": win.rolling_corr(F.col("ra"), F.col("rb"), w, corr_n)})
@@ -108,8 +108,8 @@ def graph_momentum(trailing: DataFrame, edges: DataFrame) -> DataFrame:
     trailing: basket, date, ret; edges: src feeds dst."""
     known = trailing.where("ret IS NOT NULL")
     links = edges.where("src <> dst").distinct()
-    up = known.join(F.broadcast(links), known.basket == F.col("src")).select(F.col("dst").alias("basket"), "date", F.lit("up").alias("side"), "ret")
-    down = known.join(F.broadcast(links), known.basket == F.col("dst")).select(F.col("src").alias("basket"), "date", F.lit("down").alias("side"), "ret")
+    up = known.join(links, known.basket == F.col("src")).select(F.col("dst").alias("basket"), "date", F.lit("up").alias("side"), "ret")
+    down = known.join(links, known.basket == F.col("dst")).select(F.col("src").alias("basket"), "date", F.lit("down").alias("side"), "ret")
     sides = up.unionByName(down).groupBy("basket", "date").pivot("side", ["up", "down"]).agg(F.avg("ret"))
     return trailing.select("basket", "date", F.col("ret").alias("own")).join(sides, ["basket", "date"], "left")
 

@@ -39,7 +39,7 @@ def margin_stability(annual: DataFrame, by: list[str], last: int = 8, least: int
 def latest_annual(facts: DataFrame, dates: DataFrame, concepts: list[str], key: str = "cik") -> DataFrame:
     """For each key and as_of the newest value of each concept (facts: key, concept, period_end, filed, value), by one
     aggregate and a pivot."""
-    seen = facts.join(F.broadcast(dates), F.col("filed") <= F.col("as_of"))
+    seen = facts.join(F.broadcast(dates), F.col("filed") <= F.col("as_of"))  # dates: the as_of grid that a caller lists
     picked = seen.groupBy(key, "as_of").pivot("concept", concepts).agg(F.max_by("value", F.struct("period_end", "filed")))
     return picked.join(seen.groupBy(key, "as_of").agg(F.max("filed").alias("filed"), F.max("period_end").alias("period_end")), [key, "as_of"])
 

@@ -38,7 +38,7 @@ def driver_returns(levels: DataFrame, kinds: DataFrame, key: str = "symbol") ->
     """Prices by log return, spreads and rates by difference, then z over the whole sample."""
     w = win.series(key)
     change = F.when(F.col("kind") == "price", win.log_return(F.col("value"), w)).otherwise(F.col("value") - F.lag("value").over(w))
-    return levels.join(F.broadcast(kinds), key).withColumn("change", change).withColumn("z", win.zscore(F.col("change"), key))
+    return levels.join(kinds, key).withColumn("change", change).withColumn("z", win.zscore(F.col("change"), key))
 
 
 def forward_fill(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from panelwright.functions.scalars import finite
+from panelwright.sources.scratch import stored
 
 
 def find(df: DataFrame, text: str) -> DataFrame:
@@ -21,23 +22,49 @@ def where(df: DataFrame, predicate: str) -> DataFrame:
     return df.where(F.coalesce(F.expr(predicate), F.lit(False)))
 
 
-def column_function(name: str, x: Column, order: list[Column], n: int | None = None) -> Column:
-    """Z, RANK, SHARE, CUM, LAG, PCT, MA and SD over the table in the given order."""
-    every, w = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(*order)
-    last = w.rowsBetween(-((n or 1) - 1), 0)
-    whole = F.count(x).over(last) == (n or 1)
-    sd = F.stddev_samp(x).over(every)
-    before = F.lag(x, n or 1).over(w)
-    return {
-        "Z": F.when(sd > 0, (x - F.avg(x).over(every)) / sd),
-        "RANK": F.when(x.isNotNull(), F.rank().over(every.orderBy(x.desc_nulls_last()))),
-        "SHARE": x / F.nullif(F.sum(x).over(every), F.lit(0)),
-        "CUM": F.when(x.isNotNull(), F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))),
-        "LAG": before,
-        "PCT": F.when(before != 0, x / before - 1),
-        "MA": F.when(whole, F.avg(x).over(last)),
-        "SD": F.when(whole, F.stddev_samp(x).over(last)),
-    }[name]
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds _i, the row number over the whole table in the given order, without gathering it: rows are ranged over
+    partitions, numbered there, and shifted by what the partitions before hold. The order is fixed by storing it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # monotonically_increasing_id() is the partition, shifted by 33 bits, plus the row in it.
+    held = stored(ranged.withColumn("_m", F.monotonically_increasing_id()), "workbench-order").withColumns({"_p": F.shiftright("_m", 33), "_k": F.col("_m").bitwiseAND((1 << 33) - 1)})
+    sizes = held.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    return held.join(F.broadcast(offsets), "_p").withColumn("_i", F.col("_k") + F.col("_o")).drop("_m", "_p", "_k", "_o")
+
+
+def running_sum(df: DataFrame, value: Column, name: str, chunk: int = 100_000) -> DataFrame:
+    """Adds the sum of value over all rows up to this one (df has _i): sums of chunks, then within a chunk."""
+    parts = df.withColumns({"_b": F.floor(F.col("_i") / chunk), "_x": value})
+    sums = parts.groupBy("_b").agg(F.sum("_x").alias("_s"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    offsets = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    own = F.coalesce(F.sum("_x").over(Window.partitionBy("_b").orderBy("_i")), F.lit(0))
+    return parts.join(offsets, "_b").withColumn(name, own + F.col("_o")).drop("_b", "_x", "_o")
+
+
+def with_function(df: DataFrame, name: str, fn: str, column: str, n: int = 1) -> DataFrame:
+    """Adds Z, RANK, SHARE, CUM, LAG, PCT, MA or SD of a column over the whole table (df has _i). MA and SD need n values
+    in the last n rows."""
+    x = F.col(column)
+    if fn in ("Z", "SHARE"):
+        whole = F.broadcast(df.agg(F.avg(x).alias("_a"), F.stddev_samp(x).alias("_d"), F.sum(x).alias("_t")))  # one row
+        value = F.when(F.col("_d") > 0, (x - F.col("_a")) / F.col("_d")) if fn == "Z" else x / F.nullif(F.col("_t"), F.lit(0))
+        return df.join(whole).withColumn(name, value).drop("_a", "_d", "_t")
+    if fn == "RANK":
+        counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count("*").alias("_c"))
+        places = running_sum(numbered(counts, [F.col("_v").desc()]), F.col("_c"), "_u").select("_v", (F.col("_u") - F.col("_c") + 1).alias(name))
+        return df.join(places, x == F.col("_v"), "left").drop("_v")
+    if fn == "CUM":
+        return running_sum(df, x, "_u").withColumn(name, F.when(x.isNotNull(), F.col("_u"))).drop("_u")
+    if fn in ("LAG", "PCT"):
+        past = df.select((F.col("_i") + n).alias("_i"), x.alias("_w"))
+        value = F.col("_w") if fn == "LAG" else F.when(F.col("_w") != 0, x / F.col("_w") - 1)
+        return df.join(past, "_i", "left").withColumn(name, value).drop("_w")
+    spread = df.select(x.alias("_w"), F.explode(F.sequence(F.col("_i"), F.col("_i") + n - 1)).alias("_i"))
+    means = spread.groupBy("_i").agg((F.avg("_w") if fn == "MA" else F.stddev_samp("_w")).alias("_r"), F.count("_w").alias("_c"))
+    return df.join(means, "_i", "left").withColumn(name, F.when(F.col("_c") == n, F.col("_r"))).drop("_r", "_c")
 
 
 CALL = re.compile(r"\b(Z|RANK|SHARE|CUM|LAG|PCT|MA|SD)\(\s*(\w+)\s*(?:,\s*(\d+)\s*)?\)")
@@ -46,16 +73,12 @@ CALL = re.compile(r"\b(Z|RANK|SHARE|CUM|LAG|PCT|MA|SD)\(\s*(\w+)\s*(?:,\s*(\d+)\
 def formula(df: DataFrame, name: str, text: str, order: list[Column]) -> DataFrame:
     """A computed column: SQL with column functions such as Z(price) or MA(price, 3); what isn't finite is null. The text goes
     to Spark's own expression parser; nothing is evaluated in Python."""
-    held: dict[str, Column] = {}
-
-    def swap(m: re.Match) -> str:
-        key = f"__f{len(held)}"
-        held[key] = column_function(m[1], F.col(m[2]), order, int(m[3]) if m[3] else None)
-        return key
-
-    sql = CALL.sub(swap, text)
-    out = df.withColumns(held) if held else df
-    return out.withColumn(name, finite(F.expr(sql).cast("double"))).drop(*held)
+    calls = list(dict.fromkeys(m.groups() for m in CALL.finditer(text)))
+    out = numbered(df, order) if calls else df
+    for k, (fn, column, n) in enumerate(calls):
+        out = with_function(out, f"__f{k}", fn, column, int(n or 1))
+    sql = CALL.sub(lambda m: f"__f{calls.index(m.groups())}", text)
+    return out.withColumn(name, finite(F.expr(sql).cast("double"))).drop("_i", *(f"__f{k}" for k in range(len(calls))))
 
 
 def grouped(df: DataFrame, by: str, kind: str = "sum") -> DataFrame:

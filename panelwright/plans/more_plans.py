@@ -11,10 +11,10 @@ from panelwright.operators import baskets, panel, signals, workbench
 from panelwright.sources import panels as src
 from panelwright.sources import readers
 from panelwright.sources.panels import with_sql
+from panelwright.sources.scratch import scratch_path
 
 from . import basket_plans, scores
 from .registry import query, take
-from .source_plans import _path
 
 
 @query("join_inner_equi", "SELECT o_orderkey, c_custkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
@@ -177,7 +177,7 @@ def dispersion(spark, d):  # noqa: ANN001, ANN201
 @query("src_prices_csv", "SELECT 'EVENTS' AS ticker, ts::DATE AS date, round(max(value), 4) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ts::DATE")
 def prices_csv(spark, d):  # noqa: ANN001, ANN201
     """A price file with a bad row and a missing volume, read back."""
-    path = _path(spark, "prices-csv")
+    path = scratch_path(spark, "prices-csv")
     e = src.table(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.round(F.max("value"), 4).alias("close"), F.count("*").alias("n"))
     rows = e.select(F.col("date").cast("string").alias("date"), *(F.col("close").cast("string").alias(c) for c in ("open", "high", "low", "close")), F.col("n").cast("string").alias("volume"))
     rows.unionByName(rows.limit(1).withColumn("date", F.lit("not a date"))).write.csv(path, header=True)
@@ -187,7 +187,7 @@ def prices_csv(spark, d):  # noqa: ANN001, ANN201
 @query("src_json_dir", "SELECT count(DISTINCT p_brand) AS n, sum(p_size)::BIGINT AS size FROM part")
 def json_dir(spark, d):  # noqa: ANN001, ANN201
     """A folder of JSON files, one of each part of the table."""
-    path = _path(spark, "json-dir")
+    path = scratch_path(spark, "json-dir")
     src.table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("size")).write.json(path)
     docs = readers.json_documents(spark, path)
     rows = docs.select(F.explode(F.split("payload", "\n")).alias("line")).where("line <> ''").select(F.from_json("line", "p_brand string, size long").alias("x"))

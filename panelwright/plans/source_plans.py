@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import clean_number
 from panelwright.sources import panels as src
 from panelwright.sources import readers, sinks
+from panelwright.sources.scratch import scratch_path
 
 from .registry import query, take
 
 
-def _path(spark, label: str) -> str:  # noqa: ANN001
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="panelwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query("src_parquet", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1998-01-01'")
 def parquet(spark, d):  # noqa: ANN001, ANN201
     return readers.parquet(spark, f"{d}/lineitem.parquet").where("l_shipdate >= DATE '1998-01-01'").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -29,7 +19,7 @@ def parquet(spark, d):  # noqa: ANN001, ANN201
 
 @query("src_csv", "SELECT p_partkey, p_brand, p_retailprice FROM part")
 def csv(spark, d):  # noqa: ANN001, ANN201
-    path = _path(spark, "csv")
+    path = scratch_path(spark, "csv")
     src.table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice").write.csv(path, header=True)
     return readers.csv(spark, path, "p_partkey long, p_brand string, p_retailprice double")
 
@@ -53,7 +43,7 @@ def holdings(spark, d):  # noqa: ANN001, ANN201
 def series_jsonl(spark, d):  # noqa: ANN001, ANN201
     li, part = src.table(spark, d, "lineitem"), src.table(spark, d, "part").select("p_partkey", "p_type")
     monthly = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("series_id"), F.date_format("l_shipdate", "yyyyMM").alias("period")).agg(F.round(F.sum("l_quantity"), 4).alias("value"))
-    path = _path(spark, "series")
+    path = scratch_path(spark, "series")
     monthly.groupBy("series_id").agg(F.collect_list(F.array("period", F.col("value").cast("string"))).alias("data")).write.json(path)
     return readers.series_lines(spark, path, ["ECONOMY", "SMALL"])
 
@@ -81,7 +71,7 @@ def submissions(spark, d):  # noqa: ANN001, ANN201
 @query("sink_append_new", "SELECT o_custkey, min(o_orderdate)::DATE AS first_date FROM orders GROUP BY o_custkey")
 def append(spark, d):  # noqa: ANN001, ANN201
     """Two overlapping loads: keys already there are left alone."""
-    path = _path(spark, "append")
+    path = scratch_path(spark, "append")
     firsts = src.table(spark, d, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("first_date"))
     sinks.append_new(firsts.where("o_custkey % 2 = 0"), path, ["o_custkey"])
     sinks.append_new(firsts, path, ["o_custkey"])
@@ -90,7 +80,7 @@ def append(spark, d):  # noqa: ANN001, ANN201
 
 @query("sink_vintage", "SELECT p_brand AS period, 'n' AS series, count(*)::DOUBLE AS value FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'size', sum(p_size)::DOUBLE FROM part GROUP BY 1")
 def vintage(spark, d):  # noqa: ANN001, ANN201
-    path = _path(spark, "vintage")
+    path = scratch_path(spark, "vintage")
     wide = src.table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
     for _ in range(2):  # the second time adds nothing
         sinks.append_vintage(wide, path, "p_brand", F.lit("1998-07-01").cast("date"))
@@ -100,7 +90,7 @@ def vintage(spark, d):  # noqa: ANN001, ANN201
 @query("sink_snapshot", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1")
 def snapshot(spark, d):  # noqa: ANN001, ANN201
     """Snapshots by year, written twice; the newest before 1997-06-30 is read."""
-    path = _path(spark, "snapshot")
+    path = scratch_path(spark, "snapshot")
     yearly = src.table(spark, d, "orders").groupBy(F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)).alias("as_of"), "o_orderpriority").agg(F.count("*").alias("n"))
     sinks.write_snapshot(yearly, path)
     sinks.write_snapshot(yearly.where("as_of >= DATE '1996-01-01'"), path)

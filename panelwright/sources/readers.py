@@ -32,7 +32,7 @@ def facts(documents: DataFrame, chains: DataFrame, column: str = "payload") -> D
     taken; periods start at their start or, for instants, their end."""
     parsed = documents.select(F.regexp_extract("key", r"(\d+)", 1).cast("long").alias("cik"), F.from_json(column, FACTS)["facts"].alias("facts")).where("facts IS NOT NULL")
     tags = parsed.select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("tag", "body"))
-    met = tags.join(F.broadcast(chains), "tag")
+    met = tags.join(chains, "tag")
     first = met.groupBy("cik", "concept").agg(F.min("place").alias("place"))
     rows = met.join(first, ["cik", "concept", "place"]).select("cik", "taxonomy", "concept", F.col("tag").alias("concept_used"), F.explode("body.units").alias("unit", "items")).select("*", F.explode("items").alias("f")).drop("items")
     day = lambda c: F.try_to_date(c) if hasattr(F, "try_to_date") else F.to_date(c)
