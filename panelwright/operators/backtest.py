@@ -67,7 +67,8 @@ def summary(periods: DataFrame, per_year: float) -> DataFrame:
         F.percentile("n_long", F.lit(0.5)).alias("median_n_long"), F.percentile("n_short", F.lit(0.5)).alias("median_n_short"), F.min("n_long").alias("min_n_long"), F.min("n_short").alias("min_n_short"),
     )
     nw = newey_west(periods.withColumn("one", F.lit(1)), ["one"], "k", "ls_net", 1, 1).select(F.col("nw_t").alias("nw_t_net"))
-    return main.join(F.broadcast(dd)).join(F.broadcast(nw))  # one row each
+    always = F.lit(True)
+    return main.join(F.broadcast(dd), always, "left").join(F.broadcast(nw), always, "left")  # one row each at most
 
 
 def subsamples(periods: DataFrame, col: str = "ls_gross", per_year: float = 12.0, embargo: int = 1) -> DataFrame:

@@ -211,7 +211,7 @@ def quantiles(spark, d):  # noqa: ANN001, ANN201
 @query(
     "agg_backtest_summary",
     with_sql("px", more=FORWARD + ", lv AS (SELECT k, exp(sum(ln(1 + ls_net)) OVER (ORDER BY k)) AS cum FROM per), dd AS (SELECT min(c) AS max_drawdown FROM (SELECT cum / max(cum) OVER (ORDER BY k) - 1 AS c FROM lv)), x AS (SELECT k, ls_net, ls_net - (SELECT avg(ls_net) FROM per) AS e FROM per), y AS (SELECT e, lag(e) OVER (ORDER BY k) AS e1 FROM x), nw AS (SELECT count(*) AS n, sum(e * e) / count(*) AS g0, sum(e * e1) / count(*) AS g1 FROM y)")
-    + "SELECT count(*) AS n_periods, round(avg(ls_net) * 6, 6) AS ann_ret_net, round(stddev_samp(ls_net) * sqrt(6), 6) AS ann_vol, round(avg(ls_net) / stddev_samp(ls_net) * sqrt(6), 6) AS sharpe_net, round(avg(ls_gross) / stddev_samp(ls_gross) * sqrt(6), 6) AS sharpe_gross, round(avg(turnover), 6) AS avg_turnover, "
+    + "SELECT count(*) AS n_periods, round(avg(ls_net) * 6, 6) AS ann_ret_net, round(stddev_samp(ls_net) * sqrt(6), 6) AS ann_vol, round(coalesce(avg(ls_net) / nullif(stddev_samp(ls_net), 0) * sqrt(6), 0), 6) AS sharpe_net, round(coalesce(avg(ls_gross) / nullif(stddev_samp(ls_gross), 0) * sqrt(6), 0), 6) AS sharpe_gross, round(avg(turnover), 6) AS avg_turnover, "
     "round((SELECT max_drawdown FROM dd), 6) AS max_drawdown, round(avg(ls_net) / sqrt((SELECT CASE WHEN g0 + g1 <= 0 THEN g0 ELSE g0 + g1 END / n FROM nw)), 6) AS nw_t_net, median(n_long) AS median_n_long, min(n_short) AS min_n_short FROM per",
 )
 def summary(spark, d):  # noqa: ANN001, ANN201

@@ -195,7 +195,7 @@ def flagged(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "part").select("p_partkey", scalars.flagged_number(cell).alias("x")).select("p_partkey", "x.value", "x.flag")
 
 
-@query("proj_unit_norm", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN p_size * 1.0 WHEN 2 THEN p_size * 0.001 END AS capacity, CASE p_partkey % 4 WHEN 0 THEN 'kt/yr' WHEN 1 THEN 't/yr' WHEN 2 THEN 't/yr' END AS unit FROM part")
+@query("proj_unit_norm", "SELECT p_partkey, (CASE p_partkey % 4 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN p_size * 1.0 WHEN 2 THEN p_size * 0.001 END)::DOUBLE AS capacity, CASE p_partkey % 4 WHEN 0 THEN 'kt/yr' WHEN 1 THEN 't/yr' WHEN 2 THEN 't/yr' END AS unit FROM part")
 def unit_norm(spark, d):  # noqa: ANN001, ANN201
     k = F.col("p_partkey") % 4
     unit = F.when(k == 0, "Million metric tons").when(k == 1, "metric tons").when(k == 2, "kilograms").otherwise("thousand barrels")
