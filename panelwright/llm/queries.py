@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.training_labels(_table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (crc_part(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "clauses", "strongest")
+    return scored.select("doc_id", F.coalesce(crc_part(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "clauses", "strongest")
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
