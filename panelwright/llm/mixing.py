@@ -39,9 +39,11 @@ def source_rates(docs: DataFrame, weights: dict | None, alpha: float, epochs: fl
         for name, share in weights.items():
             target = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(share))).otherwise(target)
     sized = held.withColumn("target", target)
-    whole = sized.agg(F.sum(F.col("chars").cast("double")).alias("all_chars"), F.sum("target").alias("all_target"))
-    rate = F.when((F.col("chars") > 0) & (F.col("all_target") > 0), F.col("target") / F.col("all_target") * F.col("all_chars") * epochs / F.col("chars")).otherwise(0.0)
-    return stored(sized.join(F.broadcast(whole)).select("_source", "chars", "docs", rate.alias("rate")), "mix-rates")  # whole: one row
+    whole = sized.agg(F.sum(F.col("chars").cast("double")).alias("chars"), F.sum("target").alias("target")).first()  # two numbers
+    if not whole.chars or not whole.target:
+        return sized.select("_source", "chars", "docs", F.lit(0.0).alias("rate"))
+    rate = F.when(F.col("chars") > 0, F.col("target") / whole.target * whole.chars * epochs / F.col("chars")).otherwise(0.0)
+    return stored(sized.select("_source", "chars", "docs", rate.alias("rate")), "mix-rates")
 
 
 def _with_tables(rates: DataFrame) -> DataFrame:
