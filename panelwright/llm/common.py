@@ -93,13 +93,22 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
 def maybe_filter(keys: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
     """A bitmap over the hashes of keys, at most 2^bits bits however many keys there are."""
     h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
-    return keys.select(h.alias("_h")).groupBy((F.shiftright("_h", 15)).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_h").bitwiseAND(32767)).alias("_bits"))
+    return keys.select(h.alias("__pw_h")).groupBy((F.shiftright("__pw_h", 15)).alias("__pw_bucket")).agg(F.bitmap_construct_agg(F.col("__pw_h").bitwiseAND(32767)).alias("__pw_bits"))
+
+
+def flag_maybe(df: DataFrame, bitmap: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """Adds _maybe: whether the key may be in the bitmap. It is true for all that are, and for some others."""
+    h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
+    at = F.col("__pw_h").bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring("__pw_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flagged = df.withColumn("__pw_h", h).withColumn("__pw_bucket", F.shiftright("__pw_h", 15)).join(F.broadcast(bitmap), "__pw_bucket", "left")
+    return flagged.withColumn("__pw_maybe", F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop("__pw_h", "__pw_bucket", "__pw_bits")
 
 
 def select_maybe(df: DataFrame, bitmap: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of df whose key may be in the bitmap: all that are, and some others. An exact join must follow."""
     h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
-    at = F.col("_h").bitwiseAND(32767)
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    kept = df.withColumn("_h", h).withColumn("_bucket", F.shiftright("_h", 15)).join(F.broadcast(bitmap), "_bucket")
-    return kept.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).drop("_h", "_bucket", "_bits")
+    at = F.col("__pw_h").bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring("__pw_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    kept = df.withColumn("__pw_h", h).withColumn("__pw_bucket", F.shiftright("__pw_h", 15)).join(F.broadcast(bitmap), "__pw_bucket")
+    return kept.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).drop("__pw_h", "__pw_bucket", "__pw_bits")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, text_of
+from .common import flag_maybe, maybe_filter, new_path, stored, text_of
 
 CRLF = "\r\n"
 # The digits of base 32 in conv() and in RFC 4648.
@@ -60,8 +60,8 @@ def write_archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
     payload = text_of(F.col(payload_col)).cast("binary")
     url = F.regexp_replace(text_of(F.col(url_col)), r"[\r\n]", "")
     keyed = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.sha2(payload, 256).alias("digest"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("length"))
-    best = keyed.groupBy("digest").agg(F.max("id").alias("first"))
-    record = keyed.join(best, "digest")
+    best = stored(keyed.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("times")), "archive-best")
+    record = keyed.join(best.drop("times"), "digest")
     again = (F.col("length") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     refers = F.when(again, F.col("first").cast("string"))
@@ -69,17 +69,20 @@ def write_archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
     block = _headers(kind, ident, F.col("url"), base32(F.col("sha1")), F.col("length"), refers)
     record.select("id", "digest", block.cast("binary").alias("header")).write.parquet(to.headers)
     content = pages.select(F.col(id_col).alias("id"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    single = content.join(best, (content.digest == best.digest) & content.id.eqNullSafe(F.col("first"))).select(content.digest, "payload")
-    single.dropDuplicates(["digest"]).write.parquet(to.payloads)
+    # Payloads that the bitmap of repeated digests doesn't know are stored where they are read; only others move.
+    flagged = flag_maybe(content, maybe_filter(best.where("times > 1"), F.col("digest")), F.col("digest"))
+    again = flagged.where("__pw_maybe").alias("p").join(best.alias("b"), (F.col("p.digest") == F.col("b.digest")) & F.col("p.id").eqNullSafe(F.col("b.first")))
+    again = again.select("p.digest", "p.payload").dropDuplicates(["digest"])
+    flagged.where("NOT __pw_maybe").select("digest", "payload").unionByName(again).write.parquet(to.payloads)
     return to
 
 
 def read_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
     """digest, payload, and length and SHA-1 as computed from the stored bytes; a payload whose SHA-256 is not
     its address raises."""
-    stored = spark.read.parquet(archive.payloads)
+    held = spark.read.parquet(archive.payloads)
     true = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))))
-    return stored.select(true.alias("digest"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
+    return held.select(true.alias("digest"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
 
 
 def _field(header: Column, pattern: str) -> Column:
