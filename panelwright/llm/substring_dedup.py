@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, maybe_filter, mix64, select_maybe, stored, text_of
+from .common import flag_maybe, map_batches, maybe_filter, mix64, select_maybe, stored, text_of
 
 MIN_WORDS, MIN_SENTENCES = 20, 2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -107,9 +107,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated sentences cut from the text, and spans (null where nothing was cut)."""
     spans = stored(repeated_spans(docs, id_col, text_col), "spans").withColumnRenamed(id_col, "__pw_id")
-    joined = docs.drop("spans").join(spans, F.col(id_col) == F.col("__pw_id"), "left").drop("__pw_id")
+    # Only texts that the bitmap of cut documents may know are shuffled; the join decides.
+    flagged = flag_maybe(docs.drop("spans"), maybe_filter(spans, F.col("__pw_id")), F.col(id_col))
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
     text = text_of(F.col(text_col))
+    whole = flagged.where("NOT __pw_maybe").withColumn("spans", none).withColumn(text_col, text)
+    joined = flagged.where("__pw_maybe").join(spans.hint("merge"), F.col(id_col) == F.col("__pw_id"), "left").drop("__pw_id")
     ends = F.concat(F.array(F.lit(0)), F.col("spans.end"))
     starts = F.concat(F.col("spans.start"), F.array(F.length(text)))
     rest = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a)), "")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(rest))
+    cut = joined.withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(rest))
+    return whole.unionByName(cut).drop("__pw_maybe")
