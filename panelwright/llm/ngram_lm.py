@@ -59,6 +59,20 @@ def _unzip_ids(data: bytes) -> np.ndarray:
     return _unzip(data[1:], np.uint32 if data[0] == 4 else np.uint64).astype(np.int64)
 
 
+def _zip_codes(codes: np.ndarray) -> bytes:
+    """Codes as numbers in the table of those that occur."""
+    table, at = np.unique(codes, return_inverse=True)
+    small = len(table) <= 256
+    head = bytes([1 if small else 2]) + len(table).to_bytes(4, "little") + table.astype(np.uint16).tobytes()
+    return head + _zip(at.astype(np.uint8 if small else np.uint16))
+
+
+def _unzip_codes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[1:5], "little")
+    table = np.frombuffer(data[5 : 5 + 2 * n], np.uint16)
+    return table[_unzip(data[5 + 2 * n :], np.uint8 if data[0] == 1 else np.uint16)]
+
+
 def _cut(at: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
     """The non-empty runs of a sorted array of part numbers."""
     ends = np.searchsorted(at, np.arange(parts + 1))
@@ -164,20 +178,21 @@ class _Batch:
         pairs = pair[key // n]
         return pairs // n, pairs % n, key % n, count, at
 
-    def shards(self, v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-        return (mix64(mix64(self.ids[v]) + self.ids[w].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    def shards(self, v: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of each n-gram, and the order by shard and first word in which they are asked for."""
+        at = (mix64(mix64(self.ids[v]) + self.ids[w].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        return at, np.argsort(at * (int(self.ids.max()) + 1) + self.ids[v], kind="stable")
 
 
 def _ask_ngrams(shards: int):  # noqa: ANN202
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = _Batch(left.to_pylist()[0], right)
         v, w, u, count, _ = batch.ngrams()
-        at = batch.shards(v, w, shards)
-        order = np.argsort(at, kind="stable")
+        at, order = batch.shards(v, w, shards)
         v, w, u, count = v[order], w[order], u[order], count[order]
         out = []
         for k, s in _cut(at[order], shards):
-            out.append((k, batch.row["batch"], *(_zip_ids(batch.ids[x[s]]) for x in (v, w, u)), _zip(count[s].astype(np.uint32))))
+            out.append((k, batch.row["batch"], _zip_ids(np.diff(batch.ids[v[s]], prepend=0)), *(_zip_ids(batch.ids[x[s]]) for x in (w, u)), _zip(count[s].astype(np.uint32))))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "batch", "v", "w", "u", "n"])
 
@@ -188,7 +203,7 @@ def _answer_ngrams(total: float):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         read = lambda c: [_unzip_ids(r[c]) for r in rows]
-        slices = read("v")
+        slices = [np.cumsum(x) for x in read("v")]  # sent as differences
         v, w, u = np.concatenate(slices), np.concatenate(read("w")), np.concatenate(read("u"))
         count = np.concatenate([_unzip(r["n"], np.uint32) for r in rows]).astype(np.int64)
         seen = count > 0
@@ -201,7 +216,7 @@ def _answer_ngrams(total: float):  # noqa: ANN202
         n = len(rows)
         return pa.table({
             "batch": table["batch"], "kind": pa.array([1] * n, pa.int32()), "shard": table["shard"],
-            "a": pa.array([_zip(x) for x in np.split(p2, ends)], pa.binary()), "b": pa.array([_zip(x) for x in np.split(p3, ends)], pa.binary()),
+            "a": pa.array([_zip_codes(x) for x in np.split(p2, ends)], pa.binary()), "b": pa.array([_zip_codes(x) for x in np.split(p3, ends)], pa.binary()),
             "n_new": pa.array([0] * n, pa.int64()),
         })
 
@@ -213,10 +228,10 @@ def _score(n_total: int, n_docs: int, n_words: int, shards: int):  # noqa: ANN20
         batch = _Batch(left.to_pylist()[0], right)
         v, w, _, _, at = batch.ngrams()
         said = sorted((x["shard"], x["a"], x["b"]) for x in right.to_pylist() if x["kind"] == 1)
-        order = np.argsort(batch.shards(v, w, shards), kind="stable")
+        _, order = batch.shards(v, w, shards)
         joint = np.empty((2, len(order)))
-        joint[0, order] = restored(np.concatenate([_unzip(a, np.uint16) for _, a, _ in said])) * n_total
-        joint[1, order] = restored(np.concatenate([_unzip(b, np.uint16) for _, _, b in said])) * n_total
+        joint[0, order] = restored(np.concatenate([_unzip_codes(a) for _, a, _ in said])) * n_total
+        joint[1, order] = restored(np.concatenate([_unzip_codes(b) for _, _, b in said])) * n_total
         c = batch.counts
         c[0] = n_docs
         known = c[w] > 0
