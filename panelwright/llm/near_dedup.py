@@ -239,7 +239,9 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     # (y), in blocks of at most BLOCK by BLOCK that emit only links.
     many = open_.where(F.col("size") > SMALL)
     clusters = components(stored(many.join(heads, "bucket").where("rep <> leader").select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct(), "near-large"))
-    placed = many.select("rep", "component").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", clusters["component"].alias("cluster"), many["component"].alias("component"))
+    # components() doesn't list the smallest member of a cluster: that is the cluster itself.
+    clusters = clusters.select("node", F.col("component").alias("cluster"))
+    placed = many.select("rep", "component").distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("cluster", "rep").alias("cluster"), "component")
     placed = stored(placed, "near-placed")
     parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("n_y")).select("cluster", F.col("m.component").alias("main"), "n_y", (F.col("n_y") - F.col("m.k")).alias("n_x")).where("n_x > 0")

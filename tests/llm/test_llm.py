@@ -95,6 +95,21 @@ def test_near_copies_by_brute_force(spark, width):
     assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
+def test_smallest_id_of_a_large_bucket(spark):
+    """The smallest id is near one edited copy only, not near the hub, and all its buckets are large."""
+    rng = random.Random(0)
+    fresh = iter(range(10**6))
+    hub = [f"h{i}" for i in range(200)]
+    edit = lambda words, at: [f"e{next(fresh)}" if k in at else w for k, w in enumerate(words)]
+    far = edit(hub, range(15))
+    texts = [edit(far, range(15, 30)), far, *(edit(hub, rng.sample(range(30, 200), 10)) for _ in range(40)), hub]
+    sets = [set(t) for t in texts]
+    assert [i for i in range(1, len(sets)) if 100 * len(sets[0] & sets[i]) >= 80 * len(sets[0] | sets[i])] == [1]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_copies(df, 1, bands=4, rows=1).collect()}
+    assert got == {i: (0, i == 0) for i in range(len(texts))}
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     got = near_dedup.near_copies(odd, 2).collect()
     assert len(got) == odd.count()
