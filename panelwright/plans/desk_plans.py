@@ -200,7 +200,7 @@ def leg_match(spark, d):  # noqa: ANN001, ANN201
 
 
 def _books(spark, d):  # noqa: ANN001, ANN202
-    c = options.greeks(chain(spark, d)).where("dte = 90 AND symbol % 5 = 0")
+    c = options.greeks(chain(spark, d))
     return c.withColumns({"book": F.pmod("symbol", F.lit(7)), "qty": F.when(F.col("type") == "c", 1.0).otherwise(-1.0), "entry": F.col("price")}).drop("price", "delta", "gamma", "vega", "theta", "rho", "vanna", "volga")
 
 
@@ -211,7 +211,9 @@ def risk_grid(spark, d):  # noqa: ANN001, ANN201
 
 @query("opt_expiry_profile")
 def expiry_profile(spark, d):  # noqa: ANN001, ANN201
-    return options.expiry_profile(_books(spark, d).withColumn("book", F.col("symbol")), 0.5, 1.5, 40)
+    """A book per symbol and expiry: legs of other days don't expire together."""
+    curve = options.expiry_profile(_books(spark, d).withColumn("book", F.struct("symbol", "dte")), 0.5, 1.5, 40)
+    return curve.select(F.col("book.symbol").alias("book"), F.col("book.dte").alias("dte"), "move", "s", "pnl", "breakeven")
 
 
 @query("agg_quotes", with_sql("daily") + "SELECT ticker, date, close AS last, round(close / lag(close) OVER w - 1, 6) AS chg_1, round(close / lag(close, 5) OVER w - 1, 6) AS chg_5, max(close) OVER v AS high, min(close) OVER v AS low, round((close - min(close) OVER v) / nullif(max(close) OVER v - min(close) OVER v, 0), 6) AS position FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")

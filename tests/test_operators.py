@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import scalars
 from panelwright.functions import windows as win
 from panelwright.operators import backtest, balance, baskets, factors, lab, options, panel, pit, stats, workbench
+from panelwright.plans import desk_plans
 from panelwright.sources import readers, sinks
 from panelwright.streaming.append import append_stream
 
@@ -159,6 +160,21 @@ def test_greeks_and_implied_vol(spark):
     assert options.implied_vol(outside).first().iv is None
 
 
+def test_books_hold_the_whole_chain(spark, sf_dir):
+    legs = options.greeks(desk_plans.chain(spark, sf_dir)).select("symbol", "dte", "type", "strike", "spot", "price", "delta").collect()
+    sign = {"c": 1.0, "p": -1.0}
+    delta = {}
+    for r in legs:
+        delta[r.symbol % 7] = delta.get(r.symbol % 7, 0.0) + sign[r.type] * r.delta
+    cells = [r for r in desk_plans.risk_grid(spark, sf_dir).collect() if r.spot_move == 0 and r.vol_shift == 0]
+    assert {r.book: r.delta for r in cells} == pytest.approx(delta, rel=1e-9) and all(abs(r.pnl) < 1e-6 for r in cells)
+    curve = {(r.book, r.dte, round(r.move, 6)): r.pnl for r in desk_plans.expiry_profile(spark, sf_dir).collect()}
+    assert {k[:2] for k in curve} == {(r.symbol, r.dte) for r in legs}
+    one = [r for r in legs if (r.symbol, r.dte) == (legs[0].symbol, 365)]
+    want = sum(sign[r.type] * (max(sign[r.type] * (1.3 * r.spot - r.strike), 0.0) - r.price) for r in one)
+    assert curve[legs[0].symbol, 365, 1.3] == pytest.approx(want, abs=1e-6)
+
+
 def test_position_fold_by_a_loop(spark):
     rng = np.random.default_rng(3)
     want, ret = rng.uniform(-1, 1, 50), rng.normal(0, 0.1, 50)
