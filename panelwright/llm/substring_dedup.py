@@ -1,14 +1,15 @@
-"""Repeated passages by sliding sentence spans.
+"""Repeated passages by sliding spans of content-defined units.
 
-Every run of consecutive sentences is hashed: from each sentence the shortest run onwards, and up to each sentence the
-shortest run back, with at least two sentences and MIN_WORDS words. So equal passages give equal runs wherever they
-stand, and all their sentences are covered. Runs are joined globally; the first place of a run (least id, then
-position) stays, and sentences that any other place covers are removed.
+Sentences are cut into units after every word whose hash is a multiple of CUT, so that a passage pasted in mid-sentence
+has the same inner units wherever it stands. Every run of consecutive units is hashed: from each unit the shortest run
+onwards, and up to each unit the shortest run back, with at least two units and MIN_WORDS words. So all whole units of
+equal passages are covered; the words before the first and after the last cut of a passage stay. Runs are joined
+globally; the first place of a run (least id, then position) stays, and units that any other place covers are removed.
 
 A run's first place is found by an aggregate, so a passage shared by any number of documents gathers in no task.
 
 Defined results: sentences end with . ! ? or a line break; letter case and white space don't count; a null text is
-empty; texts with fewer sentences or words have no run and stay as they are; rows with a null id are neither
+empty; texts with fewer units or words have no run and stay as they are; rows with a null id are neither
 compared nor changed; rows that repeat an id count as one document; offsets are in code points.
 """
 
@@ -25,38 +26,50 @@ from pyspark.sql import functions as F
 
 from .common import flag_maybe, map_batches, maybe_filter, mix64, select_maybe, stored, text_of
 
-MIN_WORDS, MIN_SENTENCES = 20, 2
+MIN_WORDS, MIN_UNITS = 20, 2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: One word in so many ends a unit.
+CUT = 8
 #: The bitmap of repeated runs: 8 MB at most.
 RUN_BITS = 26
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
 
-def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, end, words and hash of each sentence that has a word."""
+def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, end, words and hash of each unit; the last unit of a sentence holds its rest."""
     start, end, words, hashes = [], [], [], []
     for m in SENTENCE.finditer(text):
-        parts = m[0].lower().encode("utf-8", "surrogatepass").split()
-        if parts:
-            start.append(m.start())
+        at, held = m.start(), []
+        for w in WORD.finditer(text, m.start(), m.end()):
+            word = w[0].lower().encode("utf-8", "surrogatepass")
+            held.append(word)
+            if xxhash.xxh3_64_intdigest(word) % CUT == 0 or w.end() == m.end():
+                start.append(at)
+                end.append(w.end())
+                words.append(len(held))
+                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(held)))
+                at, held = w.end(), []
+        if held:
+            start.append(at)
             end.append(m.end())
-            words.append(len(parts))
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(parts)))
+            words.append(len(held))
+            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(held)))
     return np.array(start, np.int64), np.array(end, np.int64), np.array(words, np.int64), np.array(hashes, np.uint64)
 
 
-def runs(text: str | None, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: str | None, min_words: int = MIN_WORDS, min_units: int = MIN_UNITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hash, start, end of each run, and whether an equal run stands earlier in the text."""
-    start, end, words, hashes = sentences(text or "")
+    start, end, words, hashes = units(text or "")
     n = len(start)
     none = np.zeros(0, np.int64)
-    if n < min_sentences:
+    if n < min_units:
         return none, none, none, none.astype(bool)
     total = np.concatenate([[0], np.cumsum(words)])
     i = np.arange(n)
-    last = np.maximum(i + min_sentences - 1, np.searchsorted(total, total[:-1] + min_words) - 1)
-    first = np.minimum(i - min_sentences + 1, np.searchsorted(total, total[1:] - min_words, "right") - 1)
+    last = np.maximum(i + min_units - 1, np.searchsorted(total, total[:-1] + min_words) - 1)
+    first = np.minimum(i - min_units + 1, np.searchsorted(total, total[1:] - min_words, "right") - 1)
     a = np.concatenate([i[last < n], first[first >= 0]])
     b = np.concatenate([last[last < n], i[first >= 0]])
     pairs = np.unique(a * n + b)
@@ -105,7 +118,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated sentences cut from the text, and spans (null where nothing was cut)."""
+    """docs with the repeated units cut from the text, and spans (null where nothing was cut)."""
     spans = stored(repeated_spans(docs, id_col, text_col), "spans").withColumnRenamed(id_col, "__pw_id")
     # Only texts that the bitmap of cut documents may know are shuffled; the join decides.
     flagged = flag_maybe(docs.drop("spans"), maybe_filter(spans, F.col("__pw_id")), F.col(id_col))

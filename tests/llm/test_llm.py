@@ -340,6 +340,26 @@ def test_repeated_passages_by_brute_force(spark, odd, empty):
     assert out.count() == odd.count() and substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_recall_of_passages_pasted_in_mid_sentence(spark):
+    """51 words from inside a text, pasted inside another sentence: how much of them is found."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    say = lambda: " ".join(rng.choices(vocab, k=rng.randint(6, 24))) + "."
+    docs, planted = [], {}
+    for i in range(300):
+        words = " ".join(say() for _ in range(12)).split()
+        k = rng.randrange(1, len(words) - 52)
+        passage = " ".join(words[k : k + 51])
+        head = " ".join(rng.choices(vocab, k=7)) + " "
+        docs += [(i, " ".join(words)), (1000 + i, head + passage + " " + " ".join(rng.choices(vocab, k=7)) + ".")]
+        planted[1000 + i] = (len(head), len(head) + len(passage))
+    got = {r.doc_id: r.spans for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    share = lambda i, a, b: sum(min(s.end, b) - max(s.start, a) for s in got.get(i, [])) / (b - a)
+    shares = [share(i, a, b) for i, (a, b) in planted.items()]
+    print("found", np.mean([x > 0 for x in shares]), "half", np.mean([x >= 0.5 for x in shares]), "covered", np.mean(shares))
+    assert not any(i < 1000 for i in got) and np.mean([x > 0 for x in shares]) >= 0.97 and np.mean([x >= 0.5 for x in shares]) >= 0.9
+
+
 def brute_quality(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0d]+", text)
