@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -240,10 +241,38 @@ def test_secrets_by_brute_force(spark, odd, empty):
     assert secret_scan.report(odd).columns == ["doc_id", "found"]
 
 
-def test_trigram_queries():
-    q = {r.kind: secret_scan.trigram_query(r) for r in secret_scan.RULES}
-    assert q["hex"] == [] and q["access"] == [frozenset({"aki", "kia"})]
-    assert frozenset({"tok", "oke", "ken"}) in q["assign"]
+def test_trigram_queries_follow_from_the_patterns():
+    q = {r.kind: set(secret_scan.trigram_query(r)) for r in secret_scan.RULES}
+    of = lambda *words: frozenset(w[k : k + 3] for w in words for k in range(len(w) - 2))
+    assert q["hex"] == set() and q["access"] == {of("akia")} and q["google"] == {of("aiza")}
+    assert q["assign"] == {of(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")}
+    assert q["github"] == {of(f"gh{c}_") for c in "pousr"} and q["slack"] == {of(f"xox{c}-") for c in "abprs"}
+    assert q["jwt"] == {of("eyj", ".eyj")} and q["pem"] == {of("-----begin ", "private key-----")}
+    derived = lambda p: set(secret_scan.trigram_query(secret_scan.Rule("x", p, 0, 1)))
+    assert derived("ab+cd") == {of("bcd")} and derived("abc+de") == {of("abc", "cde")} and derived("(ab){2}x") == {of("ababx")}
+    assert derived("foo.*(bar|baz)?qux") == {of("foo", "qux")} and derived("a?bcd") == {of("bcd")} and derived("abc|x") == set()
+    assert derived("[^a]bcd[0-9]") == {of("bcd") | of(f"cd{k}") for k in range(10)} and derived(r"\bpass\b") == {of("pass")}
+    assert derived("(?!abc)def") == {of("def")} and derived("(abcd)*") == set()
+
+
+def test_trigram_queries_lose_no_match():
+    rng = random.Random(3)
+    for rule in secret_scan.RULES:
+        query = secret_scan.trigram_query(rule)
+        for _ in range(300):
+            text = "".join(rng.choice(["AKIA", "ghp_", "xoxb-", "AIza", "eyJ", ".", "a" * 40, "A1b2" * 10, "-----BEGIN ", "RSA PRIVATE KEY-----", "Secret", "api_key", "APIKEY", "passWord", "=", ":", " ", '"', "0f" * 20]) for _ in range(9))
+            if query and re.search(rule.pattern, text):
+                assert any(all(t in text.lower() for t in part) for part in query)
+
+
+def test_a_text_with_very_many_secrets(spark):
+    """The work is linear in the matches: a hundred thousand of them take seconds."""
+    text = "token=abcdefgh1 " * 100_000
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.found for r in secret_scan.report(df).collect()}
+    assert time.time() - began < 60
+    assert [(s.start, s.end, s.kind) for s in got[1]] == [(16 * k, 16 * k + 15, "assign") for k in range(100_000)] and got[2] == []
 
 
 def test_poisson_replication(spark, odd, empty):
