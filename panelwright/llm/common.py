@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,23 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words: space and U+0009 to U+000D, just what bytes.split() splits on.
 SPACES = " \t\n\x0b\x0c\r"
-#: Bits of the bitmap that select_maybe() broadcasts: 2^22 bits are at most 512 KB, whatever the input.
-FILTER_BITS = 22
+#: A bitmap has about so many bits for each key, but 2^MOST_BITS at most, which are 16 MB: what is broadcast is bounded.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 15, 27
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    rows: DataFrame
+    bits: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one is taken if driver and
+    executors are one process; on a cluster that would be lost, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="panelwright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -90,25 +100,29 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     return acc
 
 
-def maybe_filter(keys: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap over the hashes of keys, at most 2^bits bits however many keys there are."""
+def maybe_filter(keys: DataFrame, *cols: Column) -> Bitmap:
+    """A bitmap over the hashes of keys, sized by their number. keys are counted, so they should be stored."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (keys.count() * BITS_A_KEY).bit_length()))
     h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
-    return keys.select(h.alias("__pw_h")).groupBy((F.shiftright("__pw_h", 15)).alias("__pw_bucket")).agg(F.bitmap_construct_agg(F.col("__pw_h").bitwiseAND(32767)).alias("__pw_bits"))
+    bucket, bit = F.shiftright("__pw_h", 15).alias("__pw_bucket"), F.col("__pw_h").bitwiseAND(32767)
+    return Bitmap(keys.select(h.alias("__pw_h")).groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("__pw_bits")), bits)
 
 
-def flag_maybe(df: DataFrame, bitmap: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """Adds _maybe: whether the key may be in the bitmap. It is true for all that are, and for some others."""
-    h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
+def _looked_up(df: DataFrame, bitmap: Bitmap, cols: tuple[Column, ...], how: str) -> tuple[DataFrame, Column]:
+    h = F.xxhash64(*cols).bitwiseAND((1 << bitmap.bits) - 1)
     at = F.col("__pw_h").bitwiseAND(32767)
     byte = F.conv(F.hex(F.substring("__pw_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    flagged = df.withColumn("__pw_h", h).withColumn("__pw_bucket", F.shiftright("__pw_h", 15)).join(F.broadcast(bitmap), "__pw_bucket", "left")
-    return flagged.withColumn("__pw_maybe", F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop("__pw_h", "__pw_bucket", "__pw_bits")
+    joined = df.withColumn("__pw_h", h).withColumn("__pw_bucket", F.shiftright("__pw_h", 15)).join(F.broadcast(bitmap.rows), "__pw_bucket", how)
+    return joined, F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+
 
+def flag_maybe(df: DataFrame, bitmap: Bitmap, *cols: Column) -> DataFrame:
+    """Adds __pw_maybe: whether the key may be in the bitmap. It is true for all that are, and for some others."""
+    joined, met = _looked_up(df, bitmap, cols, "left")
+    return joined.withColumn("__pw_maybe", F.coalesce(met, F.lit(False))).drop("__pw_h", "__pw_bucket", "__pw_bits")
 
-def select_maybe(df: DataFrame, bitmap: DataFrame, *cols: Column, bits: int = FILTER_BITS) -> DataFrame:
+
+def select_maybe(df: DataFrame, bitmap: Bitmap, *cols: Column) -> DataFrame:
     """Rows of df whose key may be in the bitmap: all that are, and some others. An exact join must follow."""
-    h = F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
-    at = F.col("__pw_h").bitwiseAND(32767)
-    byte = F.conv(F.hex(F.substring("__pw_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    kept = df.withColumn("__pw_h", h).withColumn("__pw_bucket", F.shiftright("__pw_h", 15)).join(F.broadcast(bitmap), "__pw_bucket")
-    return kept.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).drop("__pw_h", "__pw_bucket", "__pw_bits")
+    joined, met = _looked_up(df, bitmap, cols, "inner")
+    return joined.where(met).drop("__pw_h", "__pw_bucket", "__pw_bits")
