@@ -1,19 +1,22 @@
 """Packing documents into sequences by best fit with several permitted lengths.
 
 Documents are cut into pieces of at most the largest length; pieces go, largest first, into the open sequence that they
-leave fullest. Where none has room, a sequence of the length that costs least for what can still be expected to
-fill it is opened: all permitted lengths are weighed together. When a block is done, every sequence is cut down to the
-least length that holds its contents. Blocks are partitions of bounded size, dealt out evenly, so no task grows with
-the input, and only ids and lengths move.
+leave fullest. Where none has room, a sequence is opened. What it costs is its length, a quadratic part for attention
+and a fixed part, so neither the longest nor the shortest length is always best: a block is packed by each opening
+rule (the length that is cheapest a token for what can still fill it, and each permitted length as the least to open),
+and the packing with the least total cost is taken. When a block is done, every sequence is cut down to the least length
+that holds its contents. Blocks are partitions of bounded size, dealt out evenly, so no task grows with the input, and
+only ids and lengths move.
 
 Defined results: a null or empty text, or one without words, has just the end token; pieces of a document keep their
-start; rows that repeat an id are packed as often as they are given (row says which); a null id is packed like any
-other; no token is dropped or padded into another's place; an empty table gives no sequence.
+start; rows that repeat an id are packed as often as they are given, and their pieces look alike; a null id is packed like any
+other; a very long text gives as many pieces as it needs; no token is dropped or padded into another's place; an empty
+table gives no sequence; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
-#: A sequence costs its length and a fixed part, in tokens.
-OVERHEAD = 32
+#: What a sequence costs, in tokens: its length n, n * n / ATTENTION, and a fixed part.
+ATTENTION, OVERHEAD = 8192, 128
 #: Pieces that a block holds on average; a block of fewer is packed a little less tightly.
 BLOCK = 50_000
 
@@ -40,9 +43,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, f"id {kind}, tokens long")
 
 
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
-    """For pieces in descending order: the sequence of each, and the length of each sequence."""
-    lengths = tuple(sorted(lengths))
+def cost(length: int, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
+    return length + length * length / attention + overhead
+
+
+def _fit(sizes: list[int], lengths: tuple[int, ...], opened: Callable[[int, int], int]) -> tuple[list[int], list[int]]:
+    """Best fit of pieces in descending order: the sequence of each, and the length of each sequence, cut down to its
+    contents. opened: the length to open for a piece, given its size and the tokens left after it."""
     left, seq, room = sum(sizes), [], []
     by_room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]
     some = 0  # bit r: a sequence with r tokens of room is open
@@ -54,8 +61,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
             if not by_room[r]:
                 some &= ~(1 << r)
         else:
-            # Least cost a token, if what is still to come fills what room it can.
-            r = min((c for c in lengths if c >= size), key=lambda c: ((c + overhead) / min(c, size + left), c))
+            r = opened(size, left)
             at = len(room)
             room.append(0)
         seq.append(at)
@@ -66,7 +72,23 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
     return seq, [next(c for c in lengths if c >= used) for used in room]
 
 
-def packed(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, block: int = BLOCK, id_col: str = "id") -> DataFrame:
+def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION) -> tuple[list[int], list[int]]:
+    """For pieces in descending order: the sequence of each, and the length of each sequence, by the cheapest of the
+    opening rules; the first of them on a tie."""
+    lengths = tuple(sorted(lengths))
+    price = {c: cost(c, overhead, attention) for c in lengths}
+
+    def cheapest(size: int, left: int) -> int:
+        return min((c for c in lengths if c >= size), key=lambda c: (price[c] / min(c, size + left), c))
+
+    def at_least(c: int) -> Callable[[int, int], int]:
+        return lambda size, _: next(x for x in lengths if x >= size and x >= c)
+
+    tried = [_fit(sizes, lengths, rule) for rule in (cheapest, *map(at_least, lengths))]
+    return min(tried, key=lambda t: sum(price[c] for c in t[1]))
+
+
+def packed(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION, block: int = BLOCK, id_col: str = "id") -> DataFrame:
     """One row per piece: block, sequence, length (of the sequence), used, slot, at (offset in it), id, start, tokens."""
     most = max(lengths)
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("tokens") - 1, F.lit(0)), F.lit(most).cast("long")))
@@ -80,7 +102,7 @@ def packed(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int
             return
         rows = rows.sort_by([("tokens", "descending"), ("id", "ascending"), ("start", "ascending")])
         sizes = rows["tokens"].to_pylist()
-        seq, length = pack(sizes, lengths, overhead)
+        seq, length = pack(sizes, lengths, overhead, attention)
         slot, at, fill, count = [], [], [0] * len(length), [0] * len(length)
         for s, size in zip(seq, sizes, strict=True):
             slot.append(count[s])
@@ -97,5 +119,5 @@ def packed(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int
     return dealt.mapInArrow(run, f"block int, sequence int, length int, used int, slot int, at int, id {kind}, start long, tokens long")
 
 
-def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return packed(token_counts(docs, id_col, text_col), lengths, overhead).withColumnRenamed("id", id_col)
+def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return packed(token_counts(docs, id_col, text_col), lengths, overhead, attention).withColumnRenamed("id", id_col)
