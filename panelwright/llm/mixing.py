@@ -8,7 +8,8 @@ another hash. Nothing is grouped by source but its totals, so a source may hold
 Defined results: a null source is a source of its own; null ids draw as one id; rows that repeat an id draw alike;
 empty and null texts weigh nothing but are drawn at their source's rate; sources absent from the weights, or with
 weight 0, or holding no characters, get rate 0 (drawn never) unless default targets are used; an empty table stays
-empty; columns that clash with the ones added are replaced.
+empty; a very long text counts only by its length. replicate() and mixed() replace columns that clash with the ones they
+add; mixed_documents() adds none, so a user's rate, copies, replica or shuffle_key comes through as it was.
 """
 
 from __future__ import annotations
@@ -60,27 +61,30 @@ def _with_tables(rates: DataFrame) -> DataFrame:
     return cut.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda a: a["cdf"])).select("_source", "rate", "parts", "cdf")
 
 
-def replicate(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Every copy of every document, in globally shuffled order: the columns of docs, replica (from 0), copies,
-    rate and shuffle_key."""
+def _drawn(docs: DataFrame, weights: dict | None, alpha: float, epochs: float, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """Every copy of every document: its columns and __pw_rate, __pw_copies, __pw_replica and __pw_key."""
     size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0))
     rates = source_rates(docs, weights, alpha, epochs, source_col, size)
-    tables = _with_tables(rates)
+    tables = _with_tables(rates).withColumnsRenamed({"_source": "__pw_source", "rate": "__pw_rate", "parts": "__pw_parts", "cdf": "__pw_cdf"})
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    added = ["rate", "copies", "replica", "shuffle_key"]
-    base = docs.drop(*added)
-    joined = base.join(tables.withColumnsRenamed({"_source": "__pw_source", "parts": "__pw_parts", "cdf": "__pw_cdf"}), base[source_col].eqNullSafe(F.col("__pw_source")))
+    joined = docs.join(tables, docs[source_col].eqNullSafe(F.col("__pw_source")))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = F.aggregate(
+    copies = F.aggregate(
         F.sequence(F.lit(1), F.col("__pw_parts")),
         F.lit(0),
         lambda acc, i: acc + F.size(F.filter("__pw_cdf", lambda c: c <= uniform(F.lit(str(seed)), ident, i.cast("string")))),
     )
-    counted = joined.withColumn("copies", drawn).where("copies > 0")
-    exploded = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    exploded = exploded.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("replica").cast("string")).cast("binary")))
-    return exploded.drop("__pw_source", "__pw_parts", "__pw_cdf")
+    counted = joined.withColumn("__pw_copies", copies).where("__pw_copies > 0")
+    exploded = counted.withColumn("__pw_replica", F.explode(F.sequence(F.lit(0), F.col("__pw_copies") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("__pw_replica").cast("string")).cast("binary"))
+    return exploded.withColumn("__pw_key", key).drop("__pw_source", "__pw_parts", "__pw_cdf")
+
+
+def replicate(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Every copy of every document: the columns of docs, rate, copies, replica (from 0) and shuffle_key."""
+    added = {"__pw_rate": "rate", "__pw_copies": "copies", "__pw_replica": "replica", "__pw_key": "shuffle_key"}
+    return _drawn(docs.drop(*added.values()), weights, alpha, epochs, seed, id_col, source_col, text_col).withColumnsRenamed(added)
 
 
 def shuffled(df: DataFrame, partitions: int | None = None, key: str = "shuffle_key") -> DataFrame:
@@ -91,3 +95,8 @@ def shuffled(df: DataFrame, partitions: int | None = None, key: str = "shuffle_k
 
 def mixed(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     return shuffled(replicate(docs, **options))
+
+
+def mixed_documents(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The same rows in the same order as mixed(), with just the columns of docs."""
+    return shuffled(_drawn(docs, weights, alpha, epochs, seed, id_col, source_col, text_col), key="__pw_key").select(docs.columns)
