@@ -8,8 +8,8 @@ import tempfile
 import numpy as np
 
 ABSENT = np.uint16(0xFFFF)
-#: Steps of a quantised probability in a factor of ten.
-STEPS = 4000
+#: Steps of a quantised value in a factor of ten, and the power of ten of the largest value.
+STEPS, LARGEST = 2500, 10
 
 
 class EliasFano:
@@ -18,7 +18,8 @@ class EliasFano:
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.width, self.low = n, width, low
         bits = np.unpackbits(high, bitorder="little")
-        self.ones, self.zeros = np.flatnonzero(bits), np.flatnonzero(bits == 0)  # the directory of the unary part
+        # The directory of the unary part, of four bytes a value, lives as long as its shard is asked.
+        self.ones, self.zeros = (np.flatnonzero(bits == x).astype(np.int32) for x in (1, 0))
 
     @staticmethod
     def encoded(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -39,14 +40,14 @@ class EliasFano:
         return out & ((1 << self.width) - 1)
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        return ((self.ones[i] - i) << self.width) | self._low(i)
+        return ((self.ones[i].astype(np.int64) - i) << self.width) | self._low(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Where x stands, by search for its successor among the values with its high bits; -1 if it doesn't."""
         if not self.n:
             return np.full(len(x), -1)
         h = np.minimum(x >> self.width, len(self.zeros) - 1)
-        begin = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - (h - 1), 0)
+        begin = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - (h - 1), 0).astype(np.int64)
         end = self.zeros[h] - h
         low, stop = x & ((1 << self.width) - 1), end
         while (open_ := np.flatnonzero(begin < end)).size:
@@ -60,23 +61,25 @@ class EliasFano:
         return np.where(found, begin, -1)
 
 
-def quantised(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-np.log10(p) * STEPS), ABSENT - 1).astype(np.uint16)
+def quantised(x: np.ndarray) -> np.ndarray:
+    """Codes of values from 1e-16 to 1e10, to within one part in 2000."""
+    return np.clip(np.rint((LARGEST - np.log10(x)) * STEPS), 0, ABSENT - 1).astype(np.uint16)
 
 
-def restored(code: np.ndarray) -> np.ndarray:
-    """The probability of a code, 0 for ABSENT."""
-    return np.where(code == ABSENT, 0.0, 10.0 ** (-code.astype(np.float64) / STEPS))
+def restored(code: np.ndarray, absent: float = 0.0) -> np.ndarray:
+    return np.where(code == ABSENT, absent, 10.0 ** (LARGEST - code.astype(np.float64) / STEPS))
 
 
 class Trie:
     """Levels: context words v; their successors w; the words u before v, as ranks among all that precede v. Every
-    level is an Elias-Fano sequence with monotone pointers into the next, and has quantised joint probabilities.
+    level is an Elias-Fano sequence with monotone pointers into the next. A pair v w holds its smoothed probability
+    p2 = (c(v w) / k2 + p1(w)) back1(v) and the back-off weight k3 / (c(v w) + k3) of v w as a context; a triple u v w holds
+    its smoothed probability without the weight of its context, c(u v w) / k3 + p2(w after v). All are quantised.
     The levels lie in one file, which is memory-mapped and goes when the trie is closed."""
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, u: np.ndarray, count: np.ndarray, total: float) -> None:
+    def __init__(self, v: np.ndarray, w: np.ndarray, u: np.ndarray, count: np.ndarray, p1: np.ndarray, back1: np.ndarray, k2: float, k3: float) -> None:
         order = np.lexsort((u, w, v))
-        v, w, u, count = v[order], w[order], u[order], count[order]
+        v, w, u, count, p1, back1 = (x[order] for x in (v, w, u, count, p1, back1))
         new3 = np.ones(len(v), bool)
         new3[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])
         new2 = np.ones(len(v), bool)
@@ -84,6 +87,8 @@ class Trie:
         new1 = np.ones(len(v), bool)
         new1[1:] = v[1:] != v[:-1]
         c3, c2 = (np.add.reduceat(count, np.flatnonzero(x)) if len(v) else count for x in (new3, new2))
+        p2 = (c2 / k2 + p1[new2]) * back1[new2]
+        value3 = c3 / k3 + p2[(np.cumsum(new2) - 1)[new3]]
         contexts, words = v[new1], np.unique(w)
         rank1 = np.cumsum(new1) - 1
         self.n_words, self.top = max(1, len(words)), int(max(u.max(initial=0), v.max(initial=0), w.max(initial=0))) + 1
@@ -96,7 +101,7 @@ class Trie:
         parts: list = []
         for values, universe in ((contexts, self.top), (words, self.top), (pairs, len(contexts) * self.top), (starts, len(pairs) + 1), (level2, len(contexts) * self.n_words), (level3, len(level2) * self.widest)):
             parts.append(EliasFano.encoded(values, int(universe) + 1))
-        arrays = [a for p in parts for a in p[2:]] + [quantised(c2 / total), quantised(c3 / total)]
+        arrays = [a for p in parts for a in p[2:]] + [quantised(p2), quantised(k3 / (c2 + k3)), quantised(value3)]
         handle, self.path = tempfile.mkstemp(prefix="trie-")
         at, places = 0, []
         with os.fdopen(handle, "wb") as out:
@@ -108,20 +113,20 @@ class Trie:
         views = [mapped[b : b + n * d.itemsize].view(d) for b, d, n in places]
         self.bytes = at
         self.contexts, self.words, self.pairs, self.starts, self.level2, self.level3 = (EliasFano(p[0], p[1], views[2 * k], views[2 * k + 1]) for k, p in enumerate(parts))
-        self.p2, self.p3 = views[-2:]
+        self.p2, self.back2, self.value3 = views[-3:]
 
     def codes(self, v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Quantised joint probabilities of v w and of u v w."""
-        p2, p3 = np.full(len(v), ABSENT), np.full(len(v), ABSENT)
+        """For each u v w the code of the longest match, of u v w or else of v w, and that of the back-off weight of v w."""
+        value, back = np.full(len(v), ABSENT), np.full(len(v), ABSENT)
         context, word = self.contexts.find(v), self.words.find(w)
         i2 = self.level2.find(np.where((context >= 0) & (word >= 0), context * self.n_words + word, -1))
         ok = np.flatnonzero(i2 >= 0)
-        p2[ok] = self.p2[i2[ok]]
+        value[ok], back[ok] = self.p2[i2[ok]], self.back2[i2[ok]]
         pair = self.pairs.find(context[ok] * self.top + u[ok])
         ok, pair = ok[pair >= 0], pair[pair >= 0]
         i3 = self.level3.find(i2[ok] * self.widest + pair - self.starts.at(context[ok]))
-        p3[ok[i3 >= 0]] = self.p3[i3[i3 >= 0]]
-        return p2, p3
+        value[ok[i3 >= 0]] = self.value3[i3[i3 >= 0]]
+        return value, back
 
     def close(self) -> None:
         os.unlink(self.path)

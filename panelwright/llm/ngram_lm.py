@@ -2,18 +2,24 @@
 
 The model is too large for one place, so nothing is broadcast. Texts are cut into batches of about BATCH_TOKENS tokens,
 numbered against the batch's own sorted vocabulary and written once. Then batches ask and shards answer, twice:
-word hashes are ranged over shards, which return a global id and the training count of each; distinct n-grams are
-hashed over shards by their last two words, and each shard builds the trie of its training n-grams and returns the
-quantised joint probabilities of the bigram and the trigram by successor search. Requests are counted within a batch
-before they move, so a word or pair that is everywhere comes once from each batch.
-
-With c the training counts, N their sum and V the distinct words, the score of u v w interpolates
+word hashes are ranged over shards, which hold the first level of the trie and return a global id and the training
+count of each; distinct n-grams are hashed over shards by their last two words, and each shard builds the other levels for
+its training n-grams and returns, by successor search, the quantised value of the longest match and the back-off weight.
+Requests are counted within a batch before they move, so a word or pair that is everywhere comes once from each batch. A
+batch sends one row to each shard that it asks, so there are at most as many rows as shards and as distinct n-grams of the
+batch: their number is bounded by the input's, and they only get shorter as the input grows.
+
+With c the training counts, N their sum and V the distinct words, the score of u v w is a smoothed probability
 p1 = (c(w) - D1) / N for known words and D1 V / N for all unknown ones together,
 p2 = (c(v w) + K2 p1) / (c(v) + K2) and p3 = (c(u v w) + K3 p2) / (c(u v) + K3).
+The trie holds it as back-off: with back1(v) = K2 / (c(v) + K2) and back2(u v) = K3 / (c(u v) + K3),
+p2 = back1(v) (c(v w) / K2 + p1) and p3 = back2(u v) (c(u v w) / K3 + p2). Values and weights are what is stored; scoring
+multiplies them, with the shorter n-gram's value where the longer one was never seen, and sees no counts but c(w).
 
 Defined results: a null text is empty and consists of the end token; rows with a null id are scored but not learned
 from; rows that repeat an id are learned from as often as given; without training tokens, every token has p1 = 1;
-an empty table gives no row. Word hashes have 64 bits; equal ones count as the same word.
+an empty table gives no row; a very long text makes a batch of its own; other columns are ignored. Word hashes have 64 bits;
+equal ones count as the same word.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stored
-from .elias_fano import Trie, restored
+from .elias_fano import ABSENT, Trie, quantised, restored
 
 BATCH_TOKENS, VOCABULARY_SHARD, NGRAM_SHARD = 1_000_000, 250_000, 500_000
 D1, K2, K3 = 0.5, 8.0, 2.0
@@ -178,49 +184,71 @@ class _Batch:
         pairs = pair[key // n]
         return pairs // n, pairs % n, key % n, count, at
 
+    def level1(self, n_total: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of p1 (ABSENT for unknown words) and of back1, by local number."""
+        c = self.counts.copy()
+        c[0] = n_docs
+        known = c > 0
+        p1 = np.where(known, quantised(np.maximum(c - D1, D1) / max(1, n_total)), ABSENT)
+        return p1, quantised(K2 / (c + K2))
+
     def shards(self, v: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The shard of each n-gram, and the order by shard and first word in which they are asked for."""
         at = (mix64(mix64(self.ids[v]) + self.ids[w].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         return at, np.argsort(at * (int(self.ids.max()) + 1) + self.ids[v], kind="stable")
 
 
-def _ask_ngrams(shards: int):  # noqa: ANN202
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _ask_ngrams(shards: int, n_total: int, n_docs: int):  # noqa: ANN202
+    """Requests: v (as differences), w, u and training counts of n-grams in order of v and w; back1 of each distinct v and p1
+    of each distinct v w."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = _Batch(left.to_pylist()[0], right)
         v, w, u, count, _ = batch.ngrams()
+        p1, back1 = batch.level1(n_total, n_docs)
         at, order = batch.shards(v, w, shards)
         v, w, u, count = v[order], w[order], u[order], count[order]
         out = []
         for k, s in _cut(at[order], shards):
-            out.append((k, batch.row["batch"], _zip_ids(np.diff(batch.ids[v[s]], prepend=0)), *(_zip_ids(batch.ids[x[s]]) for x in (w, u)), _zip(count[s].astype(np.uint32))))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "batch", "v", "w", "u", "n"])
+            firsts, pairs = _changes(v[s]), _changes(v[s], w[s])
+            ids = (_zip_ids(np.diff(batch.ids[v[s]], prepend=0)), *(_zip_ids(batch.ids[x[s]]) for x in (w, u)))
+            out.append((k, batch.row["batch"], *ids, _zip(count[s].astype(np.uint32)), _zip_codes(back1[v[s][firsts]]), _zip_codes(p1[w[s][pairs]])))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "batch", "v", "w", "u", "n", "back1", "p1"])
 
     return run
 
 
-def _answer_ngrams(total: float):  # noqa: ANN202
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        read = lambda c: [_unzip_ids(r[c]) for r in rows]
-        slices = [np.cumsum(x) for x in read("v")]  # sent as differences
-        v, w, u = np.concatenate(slices), np.concatenate(read("w")), np.concatenate(read("u"))
-        count = np.concatenate([_unzip(r["n"], np.uint32) for r in rows]).astype(np.int64)
-        seen = count > 0
-        trie = Trie(v[seen], w[seen], u[seen], count[seen], total)
-        try:
-            p2, p3 = trie.codes(v, w, u)
-        finally:
-            trie.close()
-        ends = np.cumsum([len(s) for s in slices])[:-1]
-        n = len(rows)
-        return pa.table({
-            "batch": table["batch"], "kind": pa.array([1] * n, pa.int32()), "shard": table["shard"],
-            "a": pa.array([_zip_codes(x) for x in np.split(p2, ends)], pa.binary()), "b": pa.array([_zip_codes(x) for x in np.split(p3, ends)], pa.binary()),
-            "n_new": pa.array([0] * n, pa.int64()),
-        })
-
-    return run
+def _answer_ngrams(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    read = lambda c: [_unzip_ids(r[c]) for r in rows]
+    slices, ws = [np.cumsum(x) for x in read("v")], read("w")
+    back1 = [_unzip_codes(r["back1"])[np.cumsum(_changes(v)) - 1] for r, v in zip(rows, slices, strict=True)]
+    p1 = [_unzip_codes(r["p1"])[np.cumsum(_changes(v, w)) - 1] for r, v, w in zip(rows, slices, ws, strict=True)]
+    v, w, u = np.concatenate(slices), np.concatenate(ws), np.concatenate(read("u"))
+    count = np.concatenate([_unzip(r["n"], np.uint32) for r in rows]).astype(np.int64)
+    seen = count > 0
+    trie = Trie(v[seen], w[seen], u[seen], count[seen], restored(np.concatenate(p1)[seen]), restored(np.concatenate(back1)[seen]), K2, K3)
+    try:
+        value, back = trie.codes(v, w, u)
+    finally:
+        trie.close()
+    ends = np.cumsum([len(s) for s in slices])[:-1]
+    firsts = [_changes(*x) for x in zip(slices, ws, strict=True)]
+    n = len(rows)
+    return pa.table({
+        "batch": table["batch"], "kind": pa.array([1] * n, pa.int32()), "shard": table["shard"],
+        "a": pa.array([_zip_codes(x) for x in np.split(value, ends)], pa.binary()),
+        "b": pa.array([_zip_codes(x[f]) for x, f in zip(np.split(back, ends), firsts, strict=True)], pa.binary()),
+        "n_new": pa.array([0] * n, pa.int64()),
+    })
 
 
 def _score(n_total: int, n_docs: int, n_words: int, shards: int):  # noqa: ANN202
@@ -228,25 +256,23 @@ def _score(n_total: int, n_docs: int, n_words: int, shards: int):  # noqa: ANN20
         batch = _Batch(left.to_pylist()[0], right)
         v, w, _, _, at = batch.ngrams()
         said = sorted((x["shard"], x["a"], x["b"]) for x in right.to_pylist() if x["kind"] == 1)
-        _, order = batch.shards(v, w, shards)
-        joint = np.empty((2, len(order)))
-        joint[0, order] = restored(np.concatenate([_unzip_codes(a) for _, a, _ in said])) * n_total
-        joint[1, order] = restored(np.concatenate([_unzip_codes(b) for _, _, b in said])) * n_total
-        c = batch.counts
-        c[0] = n_docs
-        known = c[w] > 0
-        p1 = np.where(known, (c[w] - D1) / n_total, D1 * n_words / n_total) if n_total else np.ones(len(w))
-        c2, c3 = joint
-        p2 = (c2 + K2 * p1) / (c[v] + K2)
+        asked, order = batch.shards(v, w, shards)
+        value, back2 = np.empty((2, len(order)))
+        value[order] = restored(np.concatenate([_unzip_codes(a) for _, a, _ in said]))
+        pair = np.cumsum(_changes(asked[order], v[order], w[order])) - 1
+        back2[order] = restored(np.concatenate([_unzip_codes(b) for _, _, b in said]), absent=1.0)[pair]
+        p1, back1 = batch.level1(n_total, n_docs)
+        known = p1[w] != ABSENT
+        unknown = D1 * n_words / n_total if n_total else 1.0
+        value = np.where(value > 0, value, restored(back1[v]) * np.where(known, restored(p1[w]), unknown))  # back off twice
         first = np.concatenate([[0], np.cumsum(batch.sizes)[:-1]]).astype(np.int64)
-        before = np.concatenate([[0.0], c2[at][:-1]])
-        before[first] = n_docs
-        p3 = (c3[at] + K3 * p2[at]) / (before + K3)
-        base = np.log10((c[w] + 1) / (n_total + n_words + 1))
+        context = np.concatenate([[1.0], back2[at][:-1]])
+        context[first] = K3 / (n_docs + K3)
+        base = np.log10((batch.counts[w] + 1) / (n_total + n_words + 1))
         sums = lambda x: np.add.reduceat(x, first)
         ids = left["ids"].combine_chunks().flatten()
         n = len(first)
-        return pa.table({"id": ids, "n_tokens": pa.array(batch.sizes), "n_known": pa.array(sums(known[at].astype(np.int64))), "train_tokens": pa.array([n_total] * n, pa.int64()), "base_score": pa.array(sums(base[at])), "score": pa.array(sums(np.log10(p3)))})
+        return pa.table({"id": ids, "n_tokens": pa.array(batch.sizes), "n_known": pa.array(sums(known[at].astype(np.int64))), "train_tokens": pa.array([n_total] * n, pa.int64()), "base_score": pa.array(sums(base[at])), "score": pa.array(sums(np.log10(context * value[at])))})
 
     return run
 
@@ -261,8 +287,8 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     words = stored(asked.groupBy("shard").applyInArrow(_answer_words(word_shards), ANSWER), "lm-words")
     n_words = words.agg(F.coalesce(F.sum("n_new"), F.lit(0))).first()[0]
     light = batches.select("batch", "ids", "sizes", "train", "tokens")
-    grams = light.drop("ids").groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_ngrams(shards), "shard int, batch long, v binary, w binary, u binary, n binary")
-    said = stored(grams.groupBy("shard").applyInArrow(_answer_ngrams(float(max(1, facts.n_train))), ANSWER), "lm-ngrams")
+    grams = light.drop("ids").groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_ngrams(shards, int(facts.n_train), int(facts.n_train_docs)), "shard int, batch long, " + ", ".join(f"{c} binary" for c in ("v", "w", "u", "n", "back1", "p1")))
+    said = stored(grams.groupBy("shard").applyInArrow(_answer_ngrams, ANSWER), "lm-ngrams")
     answers = words.unionByName(said)
     out = light.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(int(facts.n_train), int(facts.n_train_docs), int(n_words), shards), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
