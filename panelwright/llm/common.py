@@ -126,3 +126,25 @@ def select_maybe(df: DataFrame, bitmap: Bitmap, *cols: Column) -> DataFrame:
     """Rows of df whose key may be in the bitmap: all that are, and some others. An exact join must follow."""
     joined, met = _looked_up(df, bitmap, cols, "inner")
     return joined.where(met).drop("__pw_h", "__pw_bucket", "__pw_bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows but for those that match() takes out. Only rows whose key may be among those of gone (stored, with a column of
+    that name) go through match(), which may shuffle them; all others stay where they are read."""
+    flagged = flag_maybe(rows, maybe_filter(gone, F.col(key)), F.col(key))
+    some = match(flagged.where("__pw_maybe").drop("__pw_maybe"))
+    return flagged.where("NOT __pw_maybe").select(rows.columns).unionByName(some.select(rows.columns))
+
+
+#: Groups that hold more than one in so many of all rows; there are at most so many of them.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows with the columns of their group; rows without a group go. groups has one row for each key and in size its number
+    of rows, and should be stored, as rows should. Heavy groups, of which there are at most HEAVY, are broadcast, so that
+    no key of theirs fills a task; a group that is joined by shuffle holds at most one in HEAVY of the rows."""
+    heavy = F.col(size) * HEAVY > rows.count()
+    hot = F.broadcast(groups.where(heavy))
+    rest = rows.join(hot.select(on), on, "left_anti").join(groups.where(~heavy), on)
+    return rows.join(hot, on).unionByName(rest)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, maybe_filter, select_maybe, stored, text_of
+from .common import SPACES, join_groups, maybe_filter, select_maybe, stored, text_of, without
 
 PREFIX_CHARS = 96
 
@@ -51,8 +51,11 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rounds), full_hash (null where they have already told the text from all others)."""
     keyed = _keyed(docs, id_col, text_col)
     light = stored(keyed.drop("_text"), "exact-keys")
-    same_length = light.groupBy("_bytes").count().where("count > 1").select("_bytes")
-    same_prefix = light.join(same_length, "_bytes").groupBy("_bytes", "_prefix").count().where("count > 1").select("_bytes", "_prefix")
+    same_length = stored(light.groupBy("_bytes").count().where("count > 1").select("_bytes"), "exact-lengths")
+    # Rows of a length that no other row has go no further. The bitmap spares a join by length, which would put a
+    # common length into one task; the count by length and prefix that follows decides.
+    again = select_maybe(light, maybe_filter(same_length, F.col("_bytes")), F.col("_bytes"))
+    same_prefix = again.groupBy("_bytes", "_prefix").count().where("count > 1").select("_bytes", "_prefix")
     same_prefix = stored(same_prefix, "exact-prefixes")
     key = (F.col("_bytes"), F.col("_prefix"))
     # The bitmap only spares reads and shuffles; the inner join that follows decides.
@@ -60,8 +63,8 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = read.select("_id", "_chars", *key, full_hash(F.col("_text")).alias("_hash"))
     survivors = stored(read.join(same_prefix, ["_bytes", "_prefix"]), "exact-full")
     groups = survivors.groupBy("_bytes", "_hash").agg(F.count("*").alias("group_size"), F.max(F.struct("_chars", F.bitwise_not("_id").alias("x"), "_id")).alias("_best"))
-    groups = groups.select("_bytes", "_hash", "group_size", F.col("_best._id").alias("keep_id"))
-    decided = survivors.join(groups, ["_bytes", "_hash"])
+    groups = stored(groups.select("_bytes", "_hash", "group_size", F.col("_best._id").alias("keep_id")), "exact-groups")
+    decided = join_groups(survivors, groups, ["_bytes", "_hash"], "group_size")
     out = ["_id", "_bytes", "_prefix", "keep_id", "group_size", "full_hash"]
     alone = light.join(same_prefix, ["_bytes", "_prefix"], "left_anti").select("_id", "_bytes", "_prefix", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("full_hash"))
     result = decided.withColumnRenamed("_hash", "full_hash").select(out).unionByName(alone.select(out))
@@ -71,11 +74,23 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns, one row of each."""
     found = stored(exact_copies(docs, id_col, text_col).where("group_size > 1"), "exact-found")
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__pw_gone"), F.col("full_hash").alias("__pw_gone_hash")).distinct()
-    rest = docs.withColumn("__pw_hash", full_hash(F.col(text_col)))
-    rest = rest.join(gone, rest[id_col].eqNullSafe(F.col("__pw_gone")) & (F.col("__pw_hash") == F.col("__pw_gone_hash")), "left_anti")
-    twice = found.where("kept").groupBy(F.col(id_col).alias("__pw_twice"), F.col("full_hash").alias("__pw_twice_hash")).count().where("count > 1").drop("count")
-    if twice.limit(1).count():  # rows given more than once
-        cond = rest[id_col].eqNullSafe(F.col("__pw_twice")) & (F.col("__pw_hash") == F.col("__pw_twice_hash"))
-        rest = rest.join(twice, cond, "left_anti").unionByName(rest.join(twice, cond, "left_semi").dropDuplicates([id_col, "__pw_hash"]))
-    return rest.drop("__pw_hash")
+    gone = found.where(~F.col("kept")).select(id_col, F.col("full_hash").alias("__pw_gone")).distinct()
+    named = stored(gone, "exact-gone").withColumnRenamed(id_col, "__pw_id")
+    same = lambda df, hash_: df[id_col].eqNullSafe(F.col("__pw_id")) & (F.col("__pw_hash") == F.col(hash_))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("__pw_hash", full_hash(F.col(text_col)))
+
+    def drop_gone(df: DataFrame) -> DataFrame:
+        return hashed(df).join(named, same(df, "__pw_gone"), "left_anti")
+
+    rest = without(docs, named.withColumnRenamed("__pw_id", id_col), id_col, drop_gone)
+    twice = found.where("kept").groupBy(F.col(id_col).alias("__pw_id"), F.col("full_hash").alias("__pw_twice")).count().where("count > 1").drop("count")
+    twice = stored(twice, "exact-twice")  # rows given more than once
+
+    def drop_repeats(df: DataFrame) -> DataFrame:
+        both = hashed(df)
+        again = both.join(twice, same(df, "__pw_twice"), "left_semi").dropDuplicates([id_col, "__pw_hash"])
+        return both.join(twice, same(df, "__pw_twice"), "left_anti").unionByName(again)
+
+    return without(rest, twice.withColumnRenamed("__pw_id", id_col), id_col, drop_repeats)
