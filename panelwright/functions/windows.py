@@ -42,8 +42,12 @@ def forward_return(x: Column, w: WindowSpec, h: int) -> Column:
 
 
 def running_product(gross: Column, w: WindowSpec) -> Column:
-    """Cumulated product of positive factors, nulls as 1."""
-    return F.exp(F.sum(F.when(gross > 0, F.ln(gross)).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Cumulated product, nulls as 1: the exponential of summed logarithms of sizes, with the sign of the count of negative
+    factors, and 0 from the first 0 on."""
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda hit: F.coalesce(F.sum(hit.cast("int")).over(upto), F.lit(0))
+    size = F.exp(F.sum(F.when(gross != 0, F.ln(F.abs(gross))).otherwise(0.0)).over(upto))
+    return F.when(count(gross == 0) > 0, 0.0).otherwise(F.when(count(gross < 0) % 2 == 1, -size).otherwise(size))
 
 
 def rolling_z(x: Column, w: WindowSpec, n: int) -> Column:

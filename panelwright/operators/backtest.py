@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
 
+from panelwright.sources.scratch import stored
+
 from .pit import asof_back
 from .stats import newey_west
 
@@ -37,7 +39,7 @@ def walk_forward(signals: DataFrame, prices: DataFrame, every: int = 1, quantile
     """period returns and books. Turnover is measured against the books of the last period that traded: which periods
     trade doesn't depend on turnover, so they are numbered first and each book is anti-joined with the one before."""
     periods = rebalances(prices, every)
-    ranked = ranked_periods(signals, prices, periods, quantiles, min_names, max_stale_days, max_abs_return)
+    ranked = stored(ranked_periods(signals, prices, periods, quantiles, min_names, max_stale_days, max_abs_return), "walk-ranked")
     legs = ranked.groupBy("period", "signal_date").agg(
         F.avg(F.when(F.col("q") == quantiles - 1, F.col("ret"))).alias("long_ret"), F.avg(F.when(F.col("q") == 0, F.col("ret"))).alias("short_ret"),
         F.count(F.when(F.col("q") == quantiles - 1, 1)).alias("n_long"), F.count(F.when(F.col("q") == 0, 1)).alias("n_short"), F.count("*").alias("n_ranked"),
@@ -58,7 +60,7 @@ def quantile_means(ranked: DataFrame) -> DataFrame:
 def summary(periods: DataFrame, per_year: float) -> DataFrame:
     """One row of annualised figures."""
     w = Window.orderBy("k")  # one row a period
-    level = periods.withColumn("cum", F.exp(F.sum(F.ln(1 + F.col("ls_net"))).over(w)))
+    level = periods.withColumn("cum", win.running_product(1 + F.col("ls_net"), w))
     dd = level.withColumn("dd", win.drawdown(F.col("cum"), w)).agg(F.min("dd").alias("max_drawdown"))
     sharpe = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c) * per_year**0.5).otherwise(0.0)
     main = periods.agg(
@@ -72,11 +74,23 @@ def summary(periods: DataFrame, per_year: float) -> DataFrame:
 
 
 def subsamples(periods: DataFrame, col: str = "ls_gross", per_year: float = 12.0, embargo: int = 1) -> DataFrame:
-    """Thirds and halves, with embargoed rows cut at inner edges, and the full sample."""
-    numbered = periods.select(F.col(col).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i")).withColumn("n", F.count("*").over(Window.partitionBy()))
+    """The full sample, thirds and halves, with embargoed rows cut at inner edges: start, end, n, mean, sharpe, hit_rate. On
+    every row also worst_sharpe, the least of the windows (but the full one) with three rows, and stable: whether all these
+    have a mean of the full sample's sign. A window that the embargo leaves empty has n = 0, mean 0 and no dates."""
+    numbered = periods.select("date", F.col(col).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))  # a row a period
     cuts = [("full", 1, 1), *((f"third {i}/3", i, 3) for i in (1, 2, 3)), *((f"half {i}/2", i, 2) for i in (1, 2))]
     table = numbered.sparkSession.createDataFrame(cuts, "window string, part int, parts int")
-    low = F.bround((F.col("part") - 1) * F.col("n") / F.col("parts")) + F.when(F.col("part") > 1, embargo).otherwise(0)
-    high = F.bround(F.col("part") * F.col("n") / F.col("parts")) - F.when(F.col("part") < F.col("parts"), embargo).otherwise(0)
-    inside = numbered.join(F.broadcast(table), (F.col("i") >= low) & (F.col("i") < high))
-    return inside.groupBy("window").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.when(F.stddev_samp("x") > 0, F.avg("x") / F.stddev_samp("x") * per_year**0.5).otherwise(0.0).alias("sharpe"), F.avg((F.col("x") > 0).cast("double")).alias("hit_rate"))
+    table = table.join(F.broadcast(numbered.agg(F.count("*").alias("total"))))  # one row
+    low = F.bround((F.col("part") - 1) * F.col("total") / F.col("parts")) + F.when(F.col("part") > 1, embargo).otherwise(0)
+    high = F.bround(F.col("part") * F.col("total") / F.col("parts")) - F.when(F.col("part") < F.col("parts"), embargo).otherwise(0)
+    inside = F.broadcast(table.select("window", low.alias("low"), high.alias("high"))).join(numbered, (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high")), "left")
+    sd = F.stddev_samp("x")
+    out = inside.groupBy("window").agg(
+        F.min("date").alias("start"), F.max("date").alias("end"), F.count("x").alias("n"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"),
+        F.when(sd > 0, F.avg("x") / sd * per_year**0.5).otherwise(0.0).alias("sharpe"), F.coalesce(F.avg((F.col("x") > 0).cast("double")), F.lit(0.0)).alias("hit_rate"),
+    )
+    every = Window.partitionBy()  # six rows
+    usable = (F.col("window") != "full") & (F.col("n") >= 3)
+    sign = F.max(F.when(F.col("window") == "full", F.signum("mean"))).over(every)
+    agree = F.min(F.when(usable, (F.signum("mean") == sign).cast("int"))).over(every)
+    return out.withColumns({"worst_sharpe": F.coalesce(F.min(F.when(usable, F.col("sharpe"))).over(every), F.lit(0.0)), "stable": F.coalesce(agree == 1, F.lit(False)) & (sign != 0)})

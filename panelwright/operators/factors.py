@@ -9,6 +9,10 @@ from panelwright.functions import windows as win
 from panelwright.functions.scalars import count_of, effective_tax_rate, mean_of, weighted_mean
 
 
+#: Days that an annual period may last.
+ANNUAL_DAYS = (350, 380)
+
+
 def value_factors(annual: DataFrame, close: str = "close") -> DataFrame:
     """mcap, ev, ebitda, fcf, fcf_yield, ev_ebitda. Missing debt and cash count as 0 in EV, nothing else does."""
     c = F.col
@@ -29,19 +33,37 @@ def quality_factors(annual: DataFrame) -> DataFrame:
 
 
 def margin_stability(annual: DataFrame, by: list[str], last: int = 8, least: int = 3, cap: float = 1e6) -> DataFrame:
-    """1 / population sd of the last margins; the cap where they don't vary."""
+    """1 / population sd of the margins of the last years; the cap where they don't vary. Years without positive revenue
+    have no margin, but count among the last."""
     w = Window.partitionBy(*by).orderBy(F.col("fy").desc())
-    margins = annual.where(F.col("revenue") > 0).withColumn("margin", F.col("operating_income") / F.col("revenue")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last)
+    known = annual.where(F.col("revenue").isNotNull() & F.col("operating_income").isNotNull())
+    recent = known.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= last) & (F.col("revenue") > 0))
+    margins = recent.withColumn("margin", F.col("operating_income") / F.col("revenue"))
     out = margins.groupBy(*by).agg(F.count("margin").alias("n_margins"), F.stddev_pop("margin").alias("sd"))
     return out.where(F.col("n_margins") >= least).withColumn("margin_stability", F.when(F.col("sd") <= 1e-6, cap).otherwise(1 / F.col("sd")))
 
 
 def latest_annual(facts: DataFrame, dates: DataFrame, concepts: list[str], key: str = "cik") -> DataFrame:
-    """For each key and as_of the newest value of each concept (facts: key, concept, period_end, filed, value), by one
-    aggregate and a pivot."""
-    seen = facts.join(F.broadcast(dates), F.col("filed") <= F.col("as_of"))  # dates: the as_of grid that a caller lists
-    picked = seen.groupBy(key, "as_of").pivot("concept", concepts).agg(F.max_by("value", F.struct("period_end", "filed")))
-    return picked.join(seen.groupBy(key, "as_of").agg(F.max("filed").alias("filed"), F.max("period_end").alias("period_end")), [key, "as_of"])
+    """For each key and as_of the annual bundle: revenue, the anchor, with its period_end and filed, and the value that was
+    newest then of every other concept. facts: key, concept, period_start (null for stocks), period_end, filed, value. Flows
+    count where their period is of annual length (ANNUAL_DAYS); stocks at any time. A flow belongs to the bundle only if it is
+    of the anchor's period, a stock if its period_end isn't after it. A fact holds from when it is filed until a newer
+    one is, so a row meets just the dates in between."""
+    flow = F.col("period_start").isNotNull()
+    length = F.datediff("period_end", "period_start")
+    usable = facts.where(~flow | length.between(*ANNUAL_DAYS)).withColumn("is_flow", flow)
+    # In the order of filing, the best so far is the latest period, as last filed; a row that isn't better never holds.
+    w = Window.partitionBy(key, "concept").orderBy("filed", "period_end")
+    best = F.max(F.struct("period_end", "filed")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    newest = usable.withColumn("_best", best).where((F.col("_best.period_end") == F.col("period_end")) & (F.col("_best.filed") == F.col("filed")))
+    held = newest.withColumn("_until", F.lead("filed").over(w))
+    grid = F.broadcast(dates)  # the as_of grid that a caller lists
+    seen = held.join(grid, (F.col("filed") <= F.col("as_of")) & (F.col("_until").isNull() | (F.col("as_of") < F.col("_until"))))
+    anchor = seen.where(F.col("concept") == concepts[0]).select(key, "as_of", F.col("period_end").alias("_end"), F.col("filed").alias("_filed"))
+    fits = F.when(F.col("is_flow"), F.col("period_end") == F.col("_end")).otherwise(F.col("period_end") <= F.col("_end"))
+    both = seen.join(anchor, [key, "as_of"]).where(fits)
+    out = both.groupBy(key, "as_of", "_filed", "_end").pivot("concept", concepts).agg(F.max("value"))
+    return out.withColumnsRenamed({"_filed": "filed", "_end": "period_end"})
 
 
 def with_q4(quarters: DataFrame, years: DataFrame, key: str = "cik") -> DataFrame:
@@ -53,10 +75,11 @@ def with_q4(quarters: DataFrame, years: DataFrame, key: str = "cik") -> DataFram
 
 
 def sue(quarters: DataFrame, key: str = "cik", last: int = 8, least: int = 5) -> DataFrame:
-    """Standardised surprise: eps less eps of the same quarter a year before, over the population sd of the previous ones."""
+    """Standardised surprise: eps less eps of the same quarter a year before, over the population sd of
+    the last such differences of that quarter, before this one."""
     w = Window.partitionBy(key, "fp").orderBy("period_end")
     yoy = F.when(F.year("period_end") - F.year(F.lag("period_end").over(w)) == 1, F.col("eps") - F.lag("eps").over(w))
-    before = Window.partitionBy(key).orderBy("period_end").rowsBetween(-last, -1)
+    before = w.rowsBetween(-last, -1)
     out = quarters.withColumn("yoy", yoy).withColumn("_sd", F.stddev_pop("yoy").over(before)).withColumn("_n", F.count("yoy").over(before))
     return out.withColumn("sue", F.when((F.col("_n") >= least) & (F.col("_sd") > 0), F.col("yoy") / F.col("_sd"))).drop("_sd", "_n")
 

@@ -2,74 +2,114 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions below SMALL are none; a change of less than STEP isn't traded.
+SMALL, STEP = 0.001, 0.01
+
 
 def target(z: Column, entry: Column, saturation: Column, leverage: Column, sign: int = -1) -> Column:
-    """Nothing inside the dead zone, a linear ramp to full size at saturation, against (or with) the signal."""
+    """Nothing inside the dead zone, a linear ramp to full size at saturation, against (or with) the signal; null without a
+    signal."""
     size = F.least(F.greatest((F.abs(z) - entry) / (saturation - entry), F.lit(0.0)), F.lit(1.0))
-    return F.when(z.isNull(), 0.0).otherwise(F.signum(z) * size * leverage * sign)
+    return F.signum(z) * size * leverage * sign
+
+
+def _walk(targets: list, prices: list, stop: float, max_hold: int) -> tuple[list[float], list[str | None]]:
+    """Position and reason of each row. A row without a target keeps the position; a stop against the entry price or the
+    longest hold closes it; a flip of sign closes it before it opens the other side."""
+    pos, entry, since = 0.0, None, 0
+    positions, reasons = [], []
+    for t, (want, price) in enumerate(zip(targets, prices, strict=True)):
+        reason = None
+        if t and want is not None:
+            gain = pos * (price - entry) / max(1e-4, abs(entry)) if abs(pos) > SMALL else 0.0
+            if abs(pos) > SMALL and gain <= -stop:
+                pos, reason = 0.0, "stop"
+            elif abs(pos) > SMALL and t - since >= max_hold:
+                pos, reason = 0.0, "max_hold"
+            else:
+                flip = abs(pos) > SMALL and abs(want) > SMALL and (want > 0) != (pos > 0)
+                pos = 0.0 if flip else pos
+                if abs(want - pos) > STEP:
+                    opened = abs(pos) < SMALL and abs(want) > SMALL
+                    reason = "flip" if flip else "entry" if opened else "exit" if abs(want) < SMALL else "scale_in" if abs(want) > abs(pos) else "scale_out"
+                    if opened:
+                        entry, since = price, t
+                    pos = want
+                elif flip:
+                    reason = "flip"
+        positions.append(pos)
+        reasons.append(reason)
+    return positions, reasons
 
 
 def fold(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Positions by an ordered state machine. df: target, ret and the parameters step, stop, max_hold. State: position,
-    profit since entry, rows held. A stop or the longest hold closes the position; else it walks to the target by at
-    most a step; a flip of sign starts a new holding."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "target", "ret"))).alias("rows"), *(F.max(c).alias(c) for c in ("step", "stop", "max_hold") if c not in by))
-    state = "struct<pos:double,since:double,held:int,out:array<struct<at:{0},pos:double,reason:string>>>".format(df.schema[order].dataType.simpleString())
-    zero = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("since"), F.lit(0).alias("held"), F.array().alias("out")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        since = acc["since"] + acc["pos"] * F.coalesce(x["ret"], F.lit(0.0))
-        stopped = (acc["pos"] != 0) & (since <= -F.col("stop"))
-        expired = (acc["pos"] != 0) & (acc["held"] >= F.col("max_hold"))
-        want = F.when(stopped | expired, 0.0).otherwise(x["target"])
-        pos = F.when(stopped | expired, 0.0).otherwise(acc["pos"] + F.greatest(F.least(want - acc["pos"], F.col("step")), -F.col("step")))
-        fresh = (pos == 0) | (F.signum(pos) != F.signum(acc["pos"]))
-        reason = F.when(stopped, "stop").when(expired, "max_hold").when((F.signum(pos) != F.signum(acc["pos"])) & (pos != 0), F.when(acc["pos"] == 0, "entry").otherwise("flip")).when((pos == 0) & (acc["pos"] != 0), "exit")
-        return F.struct(pos.alias("pos"), F.when(fresh, 0.0).otherwise(since).alias("since"), F.when(fresh, 0).otherwise(acc["held"] + 1).alias("held"), F.concat(acc["out"], F.array(F.struct(x[order].alias("at"), pos.alias("pos"), reason.alias("reason")))).alias("out")).cast(state)
-
-    out = rows.select(*by, F.explode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("o"))
-    return out.select(*by, F.col("o.at").alias(order), F.col("o.pos").alias("pos"), F.col("o.reason").alias("reason"))
+    """Positions by an ordered state machine over each series with each parameter set, in time linear in its rows. df:
+    target, price and the parameters stop and max_hold. A series is a group of its own, bounded by its dates."""
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*by, order))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        wanted = [None if pd.isna(x) else x for x in rows.target]
+        pos, reason = _walk(wanted, list(rows.price), rows["stop"].iloc[0], rows.max_hold.iloc[0])
+        return rows[[*by, order]].assign(pos=pos, reason=reason)
+
+    wide = df.select(*dict.fromkeys([*by, order, "target", "price", "stop", "max_hold"]))
+    return wide.groupBy(*by).applyInPandas(run, f"{kinds}, pos double, reason string")
 
 
 def pnl(df: DataFrame, by: list[str], order: str, cost_bps: float = 5.0) -> DataFrame:
     """pos of the row before times ret, less cost on what is traded; equity is the running sum."""
     w = Window.partitionBy(*by).orderBy(order)
     before = F.coalesce(F.lag("pos").over(w), F.lit(0.0))
-    out = df.withColumns({"turn": F.abs(F.col("pos") - before), "pnl": before * F.coalesce("ret", F.lit(0.0)) - F.abs(F.col("pos") - before) * cost_bps / 1e4})
+    turn = F.abs(F.col("pos") - before)
+    cost = F.when(turn > SMALL, turn * cost_bps / 1e4).otherwise(0.0)
+    out = df.withColumns({"turn": turn, "pnl": before * F.coalesce("ret", F.lit(0.0)) - cost})
     return out.withColumn("equity", F.sum("pnl").over(w))
 
 
-def trades(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Runs of one side as trades: entry, last row, rows, profit; open if the series ends in it."""
+def trades(df: DataFrame, by: list[str], order: str, cost_bps: float = 5.0) -> DataFrame:
+    """Runs of one position as trades: entry_at, exit_at (null if open), side, rows (held), pnl: position times the returns
+    after entry up to the row of exit, less cost both ways; open ones up to the last row, less cost one way."""
     w = Window.partitionBy(*by).orderBy(order)
-    side = F.signum("pos")
-    marked = df.withColumn("side", side).withColumn("_new", F.when(F.col("side") != F.coalesce(F.lag(side).over(w), F.lit(0.0)), 1).otherwise(0)).withColumn("trade", F.sum("_new").over(w)).withColumn("_last", F.max(order).over(Window.partitionBy(*by)))
-    return marked.where("side <> 0").groupBy(*by, "trade").agg(F.min(order).alias("entry_at"), F.max(order).alias("exit_at"), F.count("*").alias("rows"), F.first("side").alias("side"), F.sum("pnl").alias("pnl"), F.max(F.col(order) == F.col("_last")).alias("open"))
+    marked = df.withColumns({"_i": F.row_number().over(w), "_sum": F.sum(F.coalesce("ret", F.lit(0.0))).over(w), "_before": F.coalesce(F.lag("pos").over(w), F.lit(0.0))})
+    whole = Window.partitionBy(*by)
+    marked = marked.withColumns({"_last": F.max("_i").over(whole), "_end": F.last("_sum").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    changed = marked.where("pos <> _before")
+    found = changed.withColumns({"exit_at": F.lead(order).over(w), "_exit": F.lead("_i").over(w), "_exit_sum": F.lead("_sum").over(w)}).where("pos <> 0")
+    open_ = F.col("exit_at").isNull()
+    gain = F.col("pos") * (F.coalesce("_exit_sum", "_end") - F.col("_sum")) - F.when(open_, 1).otherwise(2) * cost_bps / 1e4
+    held = F.coalesce("_exit", "_last") - F.col("_i")
+    return found.select(*by, F.col(order).alias("entry_at"), "exit_at", F.signum("pos").alias("side"), held.alias("rows"), gain.alias("pnl"))
 
 
 def metrics(df: DataFrame, by: list[str], order: str, per_year: float) -> DataFrame:
-    """Sharpe, total, CAGR, additive maximum drawdown and share of winning rows."""
+    """Sharpe, total, CAGR, additive maximum drawdown, and number, share of winners and mean rows held of the trades."""
     w = Window.partitionBy(*by).orderBy(order)
-    high = F.greatest(F.max("equity").over(w), F.lit(0.0))
     sd = F.stddev_samp("pnl")
-    return df.withColumn("_dd", F.col("equity") - high).groupBy(*by).agg(
+    rows = df.withColumn("_dd", F.col("equity") - F.max("equity").over(w)).groupBy(*by).agg(
         F.when(sd > 0, F.avg("pnl") / sd * per_year**0.5).otherwise(0.0).alias("sharpe"), F.sum("pnl").alias("total"), (F.exp(F.sum("pnl") / (F.count("*") / per_year)) - 1).alias("cagr"),
-        F.min("_dd").alias("max_dd"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.count("*").alias("n"),
+        F.min("_dd").alias("max_dd"), F.count("*").alias("n"),
     )
+    made = trades(df, by, order).groupBy(*by).agg(F.count("*").alias("n_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.avg("rows").alias("avg_hold"))
+    return rows.join(made, by, "left").fillna(0, ["n_trades", "win_rate", "avg_hold"])
 
 
 def bootstrap(df: DataFrame, by: list[str], order: str, runs: int, block: int, seed: str) -> DataFrame:
-    """Totals of runs that chain blocks of consecutive rows; starts are hashed from run and block number."""
+    """Totals of runs that chain blocks of consecutive rows to the length of the series, the last one cut short; starts are
+    hashed from run and block number."""
     numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= block)
+    sizes = numbered.groupBy(*by).agg(F.count("*").alias("n"))
     picks = sizes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
-    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "run", "b").cast("binary")), 1, 8), 16, 10).cast("long") % (F.col("n") - block + 1)
-    w = Window.partitionBy(*by).orderBy("_i").rowsBetween(0, block - 1)
-    sums = numbered.select(*by, "_i", F.sum("pnl").over(w).alias("_s"))  # a block's sum from its start
-    return picks.withColumn("_i", start).join(sums, [*by, "_i"]).groupBy(*by, "run").agg(F.sum("_s").alias("total"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "run", "b").cast("binary")), 1, 8), 16, 10).cast("long")
+    start = number % F.greatest(F.lit(1), F.col("n") - block)
+    w = Window.partitionBy(*by).orderBy("_i")
+    sums = numbered.select(*by, "_i", F.array(*(F.sum("pnl").over(w.rowsBetween(0, k)) for k in range(block))).alias("_s"))  # of 1, 2, ... rows from here
+    length = F.least(F.lit(block), F.col("n") - F.col("b") * block).cast("int")
+    return picks.withColumn("_i", start).join(sums, [*by, "_i"]).groupBy(*by, "run").agg(F.sum(F.element_at("_s", length)).alias("total"))
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:

@@ -11,90 +11,129 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PI2 = math.sqrt(2 * math.pi)
+# Coefficients of a published rational approximation of the normal tail, good to about 1e-14, and where it
+# gives way to a continued fraction.
+TAIL_OVER = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_UNDER = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+TAIL_FAR, TAIL_SHIFT, TAIL_SCALE = 7.07106781186547, 0.65, 2.506628274631
+GREEKS = ("delta", "gamma", "vega", "theta", "rho", "vanna", "volga")
 
 
-def norm_pdf(x: Column) -> Column:
-    return F.exp(-x * x / 2) / PI2
+def _horner(a, coefficients: tuple[float, ...]):  # noqa: ANN001, ANN202
+    return reduce(lambda acc, c: acc * a + c, coefficients[1:], coefficients[0])
 
 
-def norm_cdf(x: Column) -> Column:
-    """Rational and continued-fraction approximation, good to about 1e-14."""
-    # The coefficients of the approximation.
-    num = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
-    den = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
-    a = F.abs(x)
-    horner = lambda cs: reduce(lambda acc, c: acc * a + c, cs[1:], F.lit(cs[0]))
-    tail = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
+def _far(a):  # noqa: ANN001, ANN202
+    return a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + TAIL_SHIFT))))
+
+
+def normal_tail(a: Column) -> Column:
+    """The normal probability above a, for a >= 0."""
     e = F.exp(-a * a / 2)
-    upper = F.when(a > 37, 0.0).when(a < 7.07106781186547, e * horner(num) / horner(den)).otherwise(e / tail / 2.506628274631)
-    return F.when(x > 0, 1 - upper).otherwise(upper)
+    return F.when(a > 37, 0.0).when(a < TAIL_FAR, e * _horner(a, TAIL_OVER) / _horner(a, TAIL_UNDER)).otherwise(e / _far(a) / TAIL_SCALE)
+
+
+def norm_cdf(x: Column) -> Column:
+    tail = normal_tail(F.abs(x))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def greeks(chain: DataFrame) -> DataFrame:
-    """Adds price, delta, gamma, vega, theta (a year), rho, vanna and volga to rows of spot, strike, t, rate, div, vol, type."""
+    """Adds price, delta, gamma, vega, theta (a year), rho, vanna and volga to rows of spot, strike, t, rate, div, vol, type.
+    Without time or vol the price is the discounted intrinsic value. What several greeks share is computed once, in
+    projections of their own, so that none of them becomes too large to be compiled."""
     s, k, t, r, q, v = (F.col(c) for c in ("spot", "strike", "t", "rate", "div", "vol"))
-    live = (t > 0) & (v > 0)
-    root = v * F.sqrt(t)
-    d1 = (F.ln(s / k) + (r - q + v * v / 2) * t) / root
-    out = chain.withColumns({"_d1": F.when(live, d1), "_sign": F.when(F.col("type") == "c", 1.0).otherwise(-1.0)})
-    d1, sign = F.col("_d1"), F.col("_sign")
-    d2 = d1 - root
-    dq, dr, pdf = F.exp(-q * t), F.exp(-r * t), norm_pdf(d1)
-    intrinsic = F.greatest(sign * (s - k), F.lit(0.0))
-    return out.withColumns({
-        "price": F.when(live, sign * (s * dq * norm_cdf(sign * d1) - k * dr * norm_cdf(sign * d2))).otherwise(intrinsic),
-        "delta": F.when(live, sign * dq * norm_cdf(sign * d1)).otherwise(F.when(intrinsic > 0, sign).otherwise(0.0)),
-        "gamma": F.when(live, dq * pdf / (s * root)).otherwise(0.0),
-        "vega": F.when(live, s * dq * pdf * F.sqrt(t)).otherwise(0.0),
-        "theta": F.when(live, -s * dq * pdf * v / (2 * F.sqrt(t)) - sign * r * k * dr * norm_cdf(sign * d2) + sign * q * s * dq * norm_cdf(sign * d1)).otherwise(0.0),
-        "rho": F.when(live, sign * k * t * dr * norm_cdf(sign * d2)).otherwise(0.0),
-        "vanna": F.when(live, -dq * pdf * d2 / v).otherwise(0.0),
-        "volga": F.when(live, s * dq * pdf * F.sqrt(t) * d1 * d2 / v).otherwise(0.0),
-    }).drop("_d1", "_sign")
+    c = F.col
+    alive = F.greatest(t, F.lit(0.0))
+    out = chain.withColumns({"_live": (t > 0) & (v > 0), "_sign": F.when(c("type") == "c", 1.0).otherwise(-1.0), "_dq": F.exp(-q * alive), "_dr": F.exp(-r * alive), "_root": v * F.sqrt(alive)})
+    out = out.withColumn("_d1", F.when(c("_live"), (F.ln(s / k) + (r - q + v * v / 2) * t) / c("_root")))
+    out = out.withColumn("_d2", c("_d1") - c("_root"))
+    out = out.withColumns({"_u1": normal_tail(F.abs("_d1")), "_pdf": F.exp(-c("_d1") * c("_d1") / 2) / PI2})
+    out = out.withColumn("_u2", normal_tail(F.abs("_d2")))
+    side = lambda d, u: F.when(c("_sign") * c(d) > 0, 1 - c(u)).otherwise(c(u))
+    out = out.withColumns({"_fs": s * c("_dq"), "_fk": k * c("_dr"), "_n1": side("_d1", "_u1"), "_n2": side("_d2", "_u2")})
+    sign, fs, fk, n1, n2, live = (c(f"_{x}") for x in ("sign", "fs", "fk", "n1", "n2", "live"))
+    vega = fs * c("_pdf") * F.sqrt(alive)
+    zero = lambda x: F.when(live, x).otherwise(0.0)
+    made = {
+        "price": F.when(live, sign * (fs * n1 - fk * n2)).otherwise(F.greatest(sign * (fs - fk), F.lit(0.0))),
+        "delta": F.when(live, sign * c("_dq") * n1).otherwise(F.when(sign * (s - k) > 0, sign).otherwise(0.0)),
+        "gamma": zero(c("_dq") * c("_pdf") / (s * c("_root"))),
+        "vega": zero(vega),
+        "theta": zero(-fs * c("_pdf") * v / (2 * F.sqrt(alive)) - sign * r * fk * n2 + sign * q * fs * n1),
+        "rho": zero(sign * t * fk * n2),
+        "vanna": zero(-c("_dq") * c("_pdf") * c("_d2") / v),
+        "volga": zero(vega * c("_d1") * c("_d2") / v),
+    }
+    return out.select(*(x for x in chain.columns if x not in made), *(x.alias(n) for n, x in made.items()))
+
+
+def _cdf(x: np.ndarray) -> np.ndarray:
+    a = np.abs(x)
+    e = np.exp(-a * a / 2)
+    tail = np.where(a < TAIL_FAR, e * _horner(a, TAIL_OVER) / _horner(a, TAIL_UNDER), e / _far(a) / TAIL_SCALE)
+    return np.where(x > 0, 1 - tail, tail)
 
 
 def implied_vol(chain: DataFrame, price: str = "mid") -> DataFrame:
     """Adds iv: bisection over whole batches; null outside the no-arbitrage bounds."""
 
-    @F.pandas_udf("double")
     def solve(p: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, q: pd.Series, call: pd.Series) -> pd.Series:
         p, s, k, t, r, q = (x.to_numpy(float) for x in (p, s, k, t, r, q))
         sign = np.where(call.to_numpy(bool), 1.0, -1.0)
         fs, fk = s * np.exp(-q * t), k * np.exp(-r * t)
-        ok = (t > 0) & (p > np.maximum(sign * (fs - fk), 0)) & (p < np.where(sign > 0, fs, fk))
-        low, high = np.full(len(p), 1e-4), np.full(len(p), 5.0)
-        erf = np.vectorize(math.erf, otypes=[float])
-        cdf = lambda x: 0.5 * (1 + erf(x / math.sqrt(2)))
+        low, high = np.full(len(p), 1e-4), np.full(len(p), 6.0)
         with np.errstate(all="ignore"):
+            ok = (t > 0) & (p > np.maximum(sign * (fs - fk), 0) + 1e-10) & (p < np.where(sign > 0, fs, fk))
+            root, ahead = np.sqrt(t), np.log(fs / fk)
             for _ in range(60):
                 v = (low + high) / 2
-                d1 = (np.log(fs / fk) + v * v * t / 2) / (v * np.sqrt(t))
-                over = sign * (fs * cdf(sign * d1) - fk * cdf(sign * (d1 - v * np.sqrt(t)))) > p
+                d1 = ahead / (v * root) + v * root / 2
+                over = sign * (fs * _cdf(sign * d1) - fk * _cdf(sign * (d1 - v * root))) > p
                 low, high = np.where(over, low, v), np.where(over, v, high)
-        return pd.Series(np.where(ok & (high < 4.999), (low + high) / 2, np.nan)).where(lambda x: x.notna(), None)
+        return pd.Series(np.where(ok & (high < 5.999), (low + high) / 2, np.nan)).where(lambda x: x.notna(), None)
+
+    return chain.withColumn("iv", F.pandas_udf(solve, "double")(price, "spot", "strike", "t", "rate", "div", F.col("type") == "c"))
 
-    return chain.withColumn("iv", solve(price, "spot", "strike", "t", "rate", "div", F.col("type") == "c"))
 
+def mid_price(bid: str = "bid", ask: str = "ask", last: str = "last") -> Column:
+    """Mid of a two-sided quote that isn't crossed, else the last price."""
+    b, a, x = F.col(bid), F.col(ask), F.col(last)
+    return F.when((b > 0) & (a > 0) & (a >= b), (b + a) / 2).otherwise(F.when(x > 0, x))
 
-def mid_price(chain: DataFrame) -> Column:
-    """Mid of a two-sided quote, else the last price."""
-    return F.when((F.col("bid") > 0) & (F.col("ask") > 0), (F.col("bid") + F.col("ask")) / 2).otherwise(F.when(F.col("last") > 0, F.col("last")))
+
+def quoted(chain: DataFrame) -> DataFrame:
+    """Adds mid and iv (from the mid) to quotes."""
+    return implied_vol(chain.withColumn("mid", mid_price()))
 
 
 def surface(chain: DataFrame) -> DataFrame:
-    """Per symbol and expiry: forward, ATM vol interpolated between the strikes around it, straddle and skew."""
-    fwd = F.col("spot") * F.exp((F.col("rate") - F.col("div")) * F.col("t"))
-    side = F.when(F.col("strike") >= F.col("fwd"), "c").otherwise("p")
-    otm = chain.withColumn("fwd", fwd).where((F.col("type") == side) & F.col("vol").isNotNull())
-    g = otm.groupBy("symbol", "t").agg(
-        F.max("fwd").alias("fwd"),
-        F.max_by(F.struct("strike", "vol"), F.when(F.col("strike") <= F.col("fwd"), F.col("strike"))).alias("lo"),
-        F.min_by(F.struct("strike", "vol"), F.when(F.col("strike") >= F.col("fwd"), F.col("strike"))).alias("hi"),
-        F.min_by("vol", F.abs(F.col("strike") / F.col("fwd") - 0.9)).alias("vol_90"), F.min_by("vol", F.abs(F.col("strike") / F.col("fwd") - 1.1)).alias("vol_110"),
+    """Per symbol, dte and t, from a quoted chain: forward, ATM vol at the forward, interpolated between the strikes around
+    it, straddle (call and put mid at the strike nearest the forward) and vols at 90 and 110 % moneyness. A strike's vol is
+    that of the side out of the money, else of the other. Strikes without a two-sided quote count only where fewer than
+    two others have a vol."""
+    is_call = F.col("type") == "c"
+    pick = lambda x, side: F.max(F.when(is_call if side == "c" else ~is_call, F.col(x)))
+    two_sided = (F.col("bid") > 0) & (F.col("ask") >= F.col("bid"))
+    strikes = chain.withColumns({"fwd": F.col("spot") * F.exp((F.col("rate") - F.col("div")) * F.col("t")), "_ok": two_sided}).groupBy("symbol", "dte", "t", "strike").agg(
+        F.max("spot").alias("spot"), F.max("fwd").alias("fwd"), pick("iv", "c").alias("civ"), pick("iv", "p").alias("piv"),
+        pick("mid", "c").alias("cm"), pick("mid", "p").alias("pm"), pick("_ok", "c").alias("c_ok"), pick("_ok", "p").alias("p_ok"),
+    )
+    above = F.col("strike") >= F.col("fwd")
+    strikes = strikes.withColumns({"iv": F.when(above, F.coalesce("civ", "piv")).otherwise(F.coalesce("piv", "civ")), "_ok": F.when(above, F.col("c_ok")).otherwise(F.col("p_ok"))})
+    has = F.col("iv").isNotNull()
+    fresh = F.sum((has & F.col("_ok")).cast("int")).over(Window.partitionBy("symbol", "dte", "t"))
+    strikes = strikes.withColumn("_in", has & (F.col("_ok") | (fresh < 2)))
+    at = F.struct("strike", "iv")
+    g = strikes.groupBy("symbol", "dte", "t").agg(
+        F.max("spot").alias("spot"), F.max("fwd").alias("fwd"),
+        F.max_by(at, F.when(F.col("_in") & (F.col("strike") <= F.col("fwd")), F.col("strike"))).alias("lo"),
+        F.min_by(at, F.when(F.col("_in") & (F.col("strike") > F.col("fwd")), F.col("strike"))).alias("hi"),
+        F.min_by(F.col("cm") + F.col("pm"), F.struct(F.abs(F.col("strike") - F.col("fwd")), "strike")).alias("straddle"),
+        *(F.min_by("iv", F.when(has, F.struct(F.abs(F.col("strike") / F.col("fwd") - m), "strike"))).alias(n) for m, n in ((0.9, "vol_90"), (1.1, "vol_110"))),
     )
-    gap = F.col("hi.strike") - F.col("lo.strike")
-    atm = F.when(gap > 0, F.col("lo.vol") + (F.col("fwd") - F.col("lo.strike")) / gap * (F.col("hi.vol") - F.col("lo.vol"))).otherwise(F.coalesce("lo.vol", "hi.vol"))
-    return g.select("symbol", "t", "fwd", atm.alias("atm_vol"), (F.col("vol_90") - F.col("vol_110")).alias("skew"), (atm * F.col("fwd") * F.sqrt(F.col("t") * 2 / math.pi)).alias("straddle"))
+    between = F.col("lo.iv") + (F.col("hi.iv") - F.col("lo.iv")) * (F.col("fwd") - F.col("lo.strike")) / (F.col("hi.strike") - F.col("lo.strike"))
+    return g.select("symbol", "dte", "t", "spot", "fwd", F.coalesce(between, F.col("lo.iv"), F.col("hi.iv")).alias("atm"), "straddle", "vol_90", "vol_110", (F.col("vol_90") - F.col("vol_110")).alias("skew"))
 
 
 def nearest_target(df: DataFrame, by: list[str], days: str, targets: list[int]) -> DataFrame:
@@ -104,19 +143,141 @@ def nearest_target(df: DataFrame, by: list[str], days: str, targets: list[int])
     return close.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "target").orderBy("_gap", days))).where("_n = 1").drop("_n", "_gap")
 
 
-def risk_grid(positions: DataFrame, spots: list[float], vols: list[float]) -> DataFrame:
-    """P&L of each book in every cell of spot moves and vol shifts. positions: book, qty, entry and a chain row."""
+def vol_monitor(surfaces: DataFrame, realised: DataFrame) -> DataFrame:
+    """Per symbol: ATM vol nearest 30 and 90 days (null where both are one expiry), slope, realised vols rv10, rv20 and
+    rv60, premium and ratio of the near vol over rv20, the move to expiry it implies and the straddle over spot."""
+    near = lambda d: F.min_by(F.struct("dte", "atm", "straddle", "spot"), F.struct(F.abs(F.col("dte") - d), "dte"))
+    picked = surfaces.where("atm IS NOT NULL").groupBy("symbol").agg(near(30).alias("a"), near(90).alias("b"))
+    apart = F.col("a.dte") != F.col("b.dte")
+    out = picked.join(realised, "symbol", "left").withColumns({"iv_30": F.col("a.atm"), "iv_90": F.when(apart, F.col("b.atm"))})
+    rv = F.when(F.col("rv20") != 0, F.col("rv20"))
+    return out.select(
+        "symbol", "iv_30", F.col("a.dte").alias("dte_30"), "iv_90", "rv10", "rv20", "rv60", (F.col("iv_90") - F.col("iv_30")).alias("slope"), (F.col("iv_30") - rv).alias("premium"),
+        (F.col("iv_30") / rv).alias("ratio"), (F.col("iv_30") * F.sqrt(F.col("a.dte") / 365)).alias("move"), (F.col("a.straddle") / F.col("a.spot")).alias("straddle"),
+    )
+
+
+def chain_edge(chain: DataFrame, fair_vol: Column, within: float = 0.2) -> DataFrame:
+    """mid less the price at fair_vol, for strikes within so much of spot. chain is quoted."""
+    close = chain.where(F.abs(F.col("strike") / F.col("spot") - 1) <= within).withColumn("vol", fair_vol)
+    return greeks(close).withColumnRenamed("price", "fair").withColumn("edge", F.col("mid") - F.col("fair"))
+
+
+# Templates of legs; type (u: the underlying), strike as a multiple of spot, quantity, later expiry or not.
+TEMPLATES = {
+    "Long call": [("c", 1.0, 1, 0)],
+    "Long put": [("p", 1.0, 1, 0)],
+    "Covered call": [("u", 1.0, 1, 0), ("c", 1.05, -1, 0)],
+    "Protective put": [("u", 1.0, 1, 0), ("p", 0.95, 1, 0)],
+    "Collar": [("u", 1.0, 1, 0), ("p", 0.95, 1, 0), ("c", 1.05, -1, 0)],
+    "Long straddle": [("c", 1.0, 1, 0), ("p", 1.0, 1, 0)],
+    "Short straddle": [("c", 1.0, -1, 0), ("p", 1.0, -1, 0)],
+    "Long strangle": [("p", 0.95, 1, 0), ("c", 1.05, 1, 0)],
+    "Short strangle": [("p", 0.92, -1, 0), ("c", 1.08, -1, 0)],
+    "Bull call spread": [("c", 1.0, 1, 0), ("c", 1.07, -1, 0)],
+    "Bear put spread": [("p", 1.0, 1, 0), ("p", 0.93, -1, 0)],
+    "Call butterfly": [("c", 0.95, 1, 0), ("c", 1.0, -2, 0), ("c", 1.05, 1, 0)],
+    "Iron condor": [("p", 0.9, 1, 0), ("p", 0.95, -1, 0), ("c", 1.05, -1, 0), ("c", 1.1, 1, 0)],
+    "Risk reversal": [("p", 0.95, -1, 0), ("c", 1.05, 1, 0)],
+    "Call ratio 1x2": [("c", 1.0, 1, 0), ("c", 1.07, -2, 0)],
+    "Put backspread 1x2": [("p", 1.0, -1, 0), ("p", 0.93, 2, 0)],
+    "Call calendar": [("c", 1.0, -1, 0), ("c", 1.0, 1, 1)],
+    "Diagonal": [("c", 1.05, -1, 0), ("c", 1.0, 1, 1)],
+}
+#: How many expiries later a leg with the offset is.
+LATER = 2
+
+
+def template_rows() -> list[tuple]:
+    return [(name, n, *leg) for name, legs in TEMPLATES.items() for n, leg in enumerate(legs, 1)]
+
+
+def leg_match(chain: DataFrame, base: int = 0) -> DataFrame:
+    """Every template for every symbol, at the base-th expiry (from 0; later legs LATER on, at most the last): each leg at the
+    nearest listed strike, entered at the ask if bought and the bid if sold, else at mid, else at the model's price. chain:
+    quoted, with price and vol of the model."""
+    legs = F.broadcast(chain.sparkSession.createDataFrame(template_rows(), "template string, leg int, type string, multiple double, qty int, later int"))
+    ranks = F.dense_rank().over(Window.partitionBy("symbol").orderBy("dte")) - 1
+    ranked = chain.withColumn("_e", ranks).withColumn("_n", F.max("_e").over(Window.partitionBy("symbol")))
+    expiry = F.least(F.col("_n"), F.lit(base) + F.col("later") * LATER)
+    met = ranked.join(legs, "type").where(F.col("_e") == expiry).withColumn("_gap", F.struct(F.abs(F.col("strike") - F.col("spot") * F.col("multiple")), "strike"))
+    side = F.when(F.col("qty") > 0, F.col("ask")).otherwise(F.col("bid"))
+    entry = F.coalesce(F.when(side > 0, side), F.col("mid"), F.col("price"))
+    kept = ("dte", "t", "spot", "strike", "rate", "div")
+    made = met.groupBy("symbol", "template", "leg", "type", "qty").agg(F.min_by(F.struct(*kept, F.coalesce("iv", "vol").alias("vol"), entry.alias("entry")), "_gap").alias("m"))
+    options_ = made.select("symbol", "template", "leg", "type", "qty", "m.*")
+    spot = chain.groupBy("symbol").agg(F.max("spot").alias("spot"), F.max("rate").alias("rate"), F.max("div").alias("div"))
+    stock = spot.join(legs.where("type = 'u'")).select(
+        "symbol", "template", "leg", "type", "qty", F.lit(0).alias("dte"), F.lit(0.0).alias("t"), "spot", F.lit(0.0).alias("strike"), "rate", "div", F.lit(0.0).alias("vol"), F.col("spot").alias("entry")
+    )
+    return options_.unionByName(stock)
+
+
+def _valued(legs: DataFrame) -> DataFrame:
+    """greeks() of legs, of which the underlying (type u) is worth spot, with delta 1."""
+    stock = F.col("type") == "u"
+    out = greeks(legs.withColumn("strike", F.when(stock, F.col("spot")).otherwise(F.col("strike"))))
+    flat = {g: F.when(stock, 1.0 if g == "delta" else 0.0).otherwise(F.col(g)) for g in GREEKS}
+    return out.withColumns({"price": F.when(stock, F.col("spot")).otherwise(F.col("price")), **flat})
+
+
+def _moved(legs: DataFrame, days: Column, spot: Column, vol_shift: Column) -> DataFrame:
+    later = F.greatest(F.lit(0.0), F.col("t") - days / 365)
+    return legs.withColumns({"spot": spot, "t": later, "vol": F.greatest(F.col("vol") + vol_shift, F.lit(1e-4))})
+
+
+def leg_greeks(legs: DataFrame, multiplier: float = 100.0) -> DataFrame:
+    """Per leg its value, gain over entry and greeks, times quantity; the rows with a null leg are the books' totals.
+    legs: book, leg, type, strike, t, qty, vol, entry, spot, rate, div."""
+    m = F.col("qty") * multiplier
+    rows = _valued(legs).select("book", "leg", (m * F.col("price")).alias("value"), (m * (F.col("price") - F.col("entry"))).alias("pnl"), *((m * F.col(g)).alias(g) for g in GREEKS))
+    return rows.rollup("book", "leg").agg(*(F.sum(c).alias(c) for c in ("value", "pnl", *GREEKS))).where("book IS NOT NULL")
+
+
+def risk_grid(legs: DataFrame, spots: list[float], vols: list[float], days: float = 0.0, multiplier: float = 100.0) -> DataFrame:
+    """P&L and greeks of each book in every cell of spot moves and vol shifts."""
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("spot_move"), F.lit(b).alias("vol_shift")) for a in spots for b in vols)))
-    moved = positions.withColumn("cell", cells).select("*", "cell.*").withColumns({"spot": F.col("spot") * (1 + F.col("spot_move")), "vol": F.greatest(F.col("vol") + F.col("vol_shift"), F.lit(0.01))})
-    priced = greeks(moved.drop("cell"))
-    return priced.groupBy("book", "spot_move", "vol_shift").agg(F.sum(F.col("qty") * (F.col("price") - F.col("entry"))).alias("pnl"), F.sum(F.col("qty") * F.col("delta")).alias("delta"), F.sum(F.col("qty") * F.col("vega")).alias("vega"))
+    moved = legs.withColumn("cell", cells).select("*", "cell.*").drop("cell")
+    priced = _valued(_moved(moved, F.lit(days), F.col("spot") * (1 + F.col("spot_move")), F.col("vol_shift")))
+    m = F.col("qty") * multiplier
+    return priced.groupBy("book", "spot_move", "vol_shift").agg(F.sum(m * (F.col("price") - F.col("entry"))).alias("pnl"), *(F.sum(m * F.col(g)).alias(g) for g in ("delta", "gamma", "vega", "theta")))
+
+
+def sigma_split(legs: DataFrame, sigmas: list[float], multiplier: float = 100.0) -> DataFrame:
+    """What one-day moves of so many sigmas (at the mean vol of a book's options) do: P&L, the parts of delta and gamma, and
+    what these leave."""
+    option = F.col("type") != "u"
+    daily = legs.groupBy("book").agg(F.coalesce(F.avg(F.when(option, F.col("vol"))), F.lit(0.3)).alias("_sigma"))
+    cells = legs.join(daily, "book").withColumn("sigma", F.explode(F.array(*map(F.lit, [0.0, *sigmas]))))
+    cells = cells.withColumn("move", F.col("sigma") * F.col("spot") * F.col("_sigma") / math.sqrt(252))
+    m = F.col("qty") * multiplier
+    sums = _valued(_moved(cells, F.lit(0.0), F.col("spot") + F.col("move"), F.lit(0.0))).groupBy("book", "sigma").agg(
+        F.sum(m * F.col("price")).alias("value"), F.sum(m * F.col("delta")).alias("delta"), F.sum(m * F.col("gamma")).alias("gamma"), F.max("move").alias("move"),
+    )
+    now = sums.where("sigma = 0").select("book", F.col("value").alias("v0"), F.col("delta").alias("d0"), F.col("gamma").alias("g0"))
+    out = sums.where("sigma <> 0").join(now, "book").withColumns({"pnl": F.col("value") - F.col("v0"), "delta_part": F.col("d0") * F.col("move"), "gamma_part": F.col("g0") * F.col("move") * F.col("move") / 2})
+    return out.select("book", "sigma", "move", "pnl", "delta_part", "gamma_part", (F.col("pnl") - F.col("delta_part") - F.col("gamma_part")).alias("rest"))
 
 
-def expiry_profile(legs: DataFrame, low: float, high: float, steps: int) -> DataFrame:
-    """P&L at expiry over a grid of spots, and where it crosses zero. legs: book, type, strike, qty, entry, spot."""
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.lit(low) + i * (high - low) / steps))
-    pay = F.when(F.col("type") == "c", F.greatest(F.col("s") - F.col("strike"), F.lit(0.0))).when(F.col("type") == "p", F.greatest(F.col("strike") - F.col("s"), F.lit(0.0))).otherwise(F.col("s"))
-    curve = legs.withColumn("move", grid).withColumn("s", F.col("spot") * F.col("move")).groupBy("book", "move", "s").agg(F.sum(F.col("qty") * (pay - F.col("entry"))).alias("pnl"))
-    w = Window.partitionBy("book").orderBy("s")
+def expiry_curve(legs: DataFrame, low: float, high: float, steps: int, multiplier: float = 100.0) -> DataFrame:
+    """P&L of each book over a grid of spots when its first option expires; later legs are worth their model price then.
+    A row for each point: s, pnl (to a millionth, lest noise crosses zero), and the crossing of zero since the point before."""
+    first = legs.where("type <> 'u'").groupBy("book").agg(F.min("t").alias("_h"), F.avg("vol").alias("_vol"))
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(i.alias("point"), (F.lit(low) + i * (high - low) / steps).alias("factor"))))
+    cells = legs.join(first, "book").withColumn("_g", grid).withColumns({"point": F.col("_g.point"), "_s0": F.col("spot")})
+    moved = _moved(cells, F.col("_h") * 365, F.col("spot") * F.col("_g.factor"), F.lit(0.0))
+    m = F.col("qty") * multiplier
+    drift = F.ln("_s0") + (F.col("rate") - F.col("div") - F.col("_vol") * F.col("_vol") / 2) * F.col("_h")
+    spread = F.col("_vol") * F.sqrt(F.greatest(F.col("_h"), F.lit(1e-6)))
+    curve = _valued(moved.drop("_g")).withColumn("_z", (F.ln("spot") - drift) / spread).groupBy("book", "point").agg(F.max("spot").alias("s"), F.max("_z").alias("_z"), F.round(F.sum(m * (F.col("price") - F.col("entry"))), 6).alias("pnl"))
+    w = Window.partitionBy("book").orderBy("point")
     before, s0 = F.lag("pnl").over(w), F.lag("s").over(w)
-    return curve.withColumn("breakeven", F.when(before * F.col("pnl") < 0, s0 + (F.col("s") - s0) * before / (before - F.col("pnl"))))
+    cross = F.when(before == 0, s0).when(before * F.col("pnl") < 0, s0 - before * (F.col("s") - s0) / (F.col("pnl") - before))
+    return curve.withColumns({"breakeven": cross, "_mass": F.when((before + F.col("pnl")) / 2 > 0, norm_cdf(F.col("_z")) - norm_cdf(F.lag("_z").over(w))).otherwise(0.0)}).drop("_z")
+
+
+def expiry_profile(curve: DataFrame) -> DataFrame:
+    """Per book: best and worst P&L on the grid, breakevens in order, and the probability of a profit (lognormal,
+    risk-neutral drift, mean vol of the legs)."""
+    crossings = F.array_sort(F.array_compact(F.collect_list("breakeven")))
+    return curve.groupBy("book").agg(F.max("pnl").alias("max_profit"), F.min("pnl").alias("max_loss"), crossings.alias("breakevens"), F.sum("_mass").alias("p_profit"))

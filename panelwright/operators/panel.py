@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,38 @@ def every_nth(df: DataFrame, n: int, key: list[str], order: str) -> DataFrame:
 def month_ends(df: DataFrame, start: str) -> DataFrame:
     """Last date of each month from a start."""
     return df.where(F.col("date") >= F.lit(start).cast("date")).groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date")).select("date")
+
+
+def _backwards(px: DataFrame, key: str, date: str, close: str) -> DataFrame:
+    """Adds back (1 for the last row of a key) and r (log return)."""
+    w = win.series(key, date)
+    return px.withColumns({"r": win.log_return(F.col(close), w), "back": F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))})
+
+
+def _realised(n: int) -> Column:
+    """Annualised volatility of the last n returns, where there are as many."""
+    return F.when(F.count("r") >= n, F.stddev_samp(F.when(F.col("back") <= n, F.col("r"))) * math.sqrt(252))
+
+
+def realised_vol(px: DataFrame, key: str, date: str, close: str, spans: tuple[int, ...]) -> DataFrame:
+    return _backwards(px, key, date, close).groupBy(key).agg(*(_realised(n).alias(f"rv{n}") for n in spans))
+
+
+def quotes(px: DataFrame, key: str, date: str, close: str, spans: tuple[int, ...], least: int = 30) -> DataFrame:
+    """For keys with enough rows: date, n, last, change over 1, 21 and 252 rows, range of 252 rows, realised vols."""
+    at = lambda k: F.max(F.when(F.col("back") == k, F.col(close)))
+    year = F.when(F.col("back") <= 252, F.col(close))
+    out = _backwards(px, key, date, close).groupBy(key).agg(
+        F.max(date).alias("date"), F.count("*").alias("n"), at(1).alias("last"), *((at(1) / at(k) - 1).alias(c) for c, k in (("chg_1d", 2), ("chg_1m", 22), ("chg_1y", 253))),
+        F.max(year).alias("hi_52w"), F.min(year).alias("lo_52w"), *(_realised(n).alias(f"rv{n}") for n in spans),
+    )
+    return out.where(F.col("n") >= least)
+
+
+def returns_summary(px: DataFrame, key: str, date: str, close: str, steps: dict[str, int]) -> DataFrame:
+    """last, the returns over so many rows, and ytd: since the last row of the year before."""
+    last = F.max(F.year(date)).over(Window.partitionBy(key))
+    rows = px.withColumns({"back": F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date))), "_year": last})
+    at = lambda k: F.max(F.when(F.col("back") == k, F.col(close)))
+    before = F.max_by(close, F.when(F.year(date) < F.col("_year"), F.col(date)))
+    return rows.groupBy(key).agg(at(1).alias("last"), *((at(1) / at(k + 1) - 1).alias(c) for c, k in steps.items()), (at(1) / before - 1).alias("ytd"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -17,9 +19,22 @@ def find(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.lower(F.concat_ws("\u0001", *(F.col(f"`{c}`").cast("string") for c in df.columns))).contains(text.lower()))
 
 
+@contextmanager
+def forgiving(spark: SparkSession) -> Iterator[None]:
+    """Expressions made within give null for a bad cell or a division by 0, whatever the session does else. Spark decides
+    that when it resolves an expression, so a DataFrame built within keeps it."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def where(df: DataFrame, predicate: str) -> DataFrame:
-    """Rows for which a predicate holds; null is false."""
-    return df.where(F.coalesce(F.expr(predicate), F.lit(False)))
+    """Rows for which a predicate holds; null, and what can't be computed for a row, is false."""
+    with forgiving(df.sparkSession):
+        return df.where(F.coalesce(F.expr(predicate), F.lit(False)))
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -52,19 +67,23 @@ def with_function(df: DataFrame, name: str, fn: str, column: str, n: int = 1) ->
         whole = F.broadcast(df.agg(F.avg(x).alias("_a"), F.stddev_samp(x).alias("_d"), F.sum(x).alias("_t")))  # one row
         value = F.when(F.col("_d") > 0, (x - F.col("_a")) / F.col("_d")) if fn == "Z" else x / F.nullif(F.col("_t"), F.lit(0))
         return df.join(whole).withColumn(name, value).drop("_a", "_d", "_t")
-    if fn == "RANK":
-        counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count("*").alias("_c"))
-        places = running_sum(numbered(counts, [F.col("_v").desc()]), F.col("_c"), "_u").select("_v", (F.col("_u") - F.col("_c") + 1).alias(name))
-        return df.join(places, x == F.col("_v"), "left").drop("_v")
-    if fn == "CUM":
-        return running_sum(df, x, "_u").withColumn(name, F.when(x.isNotNull(), F.col("_u"))).drop("_u")
+    if fn == "RANK":  # ties in the order of rows
+        known = df.where(x.isNotNull()).select(x.alias("_v"), F.col("_i").alias("_row"))
+        places = numbered(known, [F.col("_v").desc(), F.col("_row")]).select(F.col("_row").alias("_i"), (F.col("_i") + 1).alias(name))
+        return df.join(places, "_i", "left")
+    if fn == "CUM":  # a null adds nothing
+        return running_sum(df, x, "_u").withColumn(name, F.coalesce("_u", F.lit(0.0))).drop("_u")
     if fn in ("LAG", "PCT"):
         past = df.select((F.col("_i") + n).alias("_i"), x.alias("_w"))
         value = F.col("_w") if fn == "LAG" else F.when(F.col("_w") != 0, x / F.col("_w") - 1)
         return df.join(past, "_i", "left").withColumn(name, value).drop("_w")
-    spread = df.select(x.alias("_w"), F.explode(F.sequence(F.col("_i"), F.col("_i") + n - 1)).alias("_i"))
-    means = spread.groupBy("_i").agg((F.avg("_w") if fn == "MA" else F.stddev_samp("_w")).alias("_r"), F.count("_w").alias("_c"))
-    return df.join(means, "_i", "left").withColumn(name, F.when(F.col("_c") == n, F.col("_r"))).drop("_r", "_c")
+    # Chunks of rows, each with the n - 1 rows before it, which other chunks hold too.
+    chunk = max(100_000, n)
+    own = F.floor(F.col("_i") / chunk)
+    shared = df.withColumn("_b", F.explode(F.sequence(own, F.floor((F.col("_i") + n - 1) / chunk))))
+    last = Window.partitionBy("_b").orderBy("_i").rowsBetween(1 - n, 0)
+    value = F.when(F.count(x).over(last) == n, (F.avg(x) if fn == "MA" else F.stddev_samp(x)).over(last))
+    return shared.withColumn(name, value).where(F.col("_b") == own).drop("_b")
 
 
 CALL = re.compile(r"\b(Z|RANK|SHARE|CUM|LAG|PCT|MA|SD)\(\s*(\w+)\s*(?:,\s*(\d+)\s*)?\)")
@@ -72,13 +91,15 @@ CALL = re.compile(r"\b(Z|RANK|SHARE|CUM|LAG|PCT|MA|SD)\(\s*(\w+)\s*(?:,\s*(\d+)\
 
 def formula(df: DataFrame, name: str, text: str, order: list[Column]) -> DataFrame:
     """A computed column: SQL with column functions such as Z(price) or MA(price, 3); what isn't finite is null. The text goes
-    to Spark's own expression parser; nothing is evaluated in Python."""
+    to Spark's own expression parser; nothing is evaluated in Python. A division by 0 or a bad cell gives null."""
     calls = list(dict.fromkeys(m.groups() for m in CALL.finditer(text)))
-    out = numbered(df, order) if calls else df
+    out = stored(numbered(df, order), "workbench-rows") if calls else df
     for k, (fn, column, n) in enumerate(calls):
         out = with_function(out, f"__f{k}", fn, column, int(n or 1))
     sql = CALL.sub(lambda m: f"__f{calls.index(m.groups())}", text)
-    return out.withColumn(name, finite(F.expr(sql).cast("double"))).drop("_i", *(f"__f{k}" for k in range(len(calls))))
+    with forgiving(df.sparkSession):
+        made = out.withColumn(name, finite(F.expr(sql).cast("double")))
+    return made.drop("_i", *(f"__f{k}" for k in range(len(calls))))
 
 
 def grouped(df: DataFrame, by: str, kind: str = "sum") -> DataFrame:

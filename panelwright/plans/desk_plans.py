@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
-from panelwright.operators import lab, options, workbench
+from panelwright.operators import lab, options, panel, workbench
 from panelwright.sources import panels as src
+from panelwright.sources import sinks
 from panelwright.sources.panels import with_sql
+from panelwright.sources.scratch import scratch_path, stored
 
 from .registry import query, take
 
@@ -17,19 +20,21 @@ def find(spark, d):  # noqa: ANN001, ANN201
     return workbench.find(src.table(spark, d, "part"), "Brand#1").select("p_partkey", "p_name")
 
 
-@query("flt_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderpriority LIKE '1%'")
+@query("flt_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND try_cast(substr(o_orderpriority, o_orderkey % 2 + 1, 1) AS INT) <= 2")
 def where(spark, d):  # noqa: ANN001, ANN201
-    return workbench.where(src.table(spark, d, "orders"), "o_totalprice > 200000 AND o_orderpriority LIKE '1%'").select("o_orderkey", "o_totalprice")
+    """For odd keys the cell that is cast is no number; such rows are left out."""
+    return workbench.where(src.table(spark, d, "orders"), "o_totalprice > 200000 AND CAST(substr(o_orderpriority, o_orderkey % 2 + 1, 1) AS INT) <= 2").select("o_orderkey", "o_totalprice")
 
 
 @query("proj_formula", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / nullif(l_tax, 0), 6) AS net FROM lineitem")
 def formula(spark, d):  # noqa: ANN001, ANN201
-    return take(workbench.formula(src.table(spark, d, "lineitem"), "net", "l_extendedprice * (1 - l_discount) / nullif(l_tax, 0)", []), "l_orderkey l_linenumber", "net", 6)
+    """Null where the tax is 0."""
+    return take(workbench.formula(src.table(spark, d, "lineitem"), "net", "l_extendedprice * (1 - l_discount) / l_tax", []), "l_orderkey l_linenumber", "net", 6)
 
 
 @query(
     "win_workbench",
-    "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS z, rank() OVER (ORDER BY p_retailprice DESC)::DOUBLE AS r, round(sum(p_retailprice) OVER (ORDER BY p_partkey), 4) AS cum, round(CASE WHEN count(p_retailprice) OVER w = 3 THEN avg(p_retailprice) OVER w END, 6) AS ma, round(p_retailprice / lag(p_retailprice) OVER (ORDER BY p_partkey) - 1, 6) AS pct, "
+    "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS z, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::DOUBLE AS r, round(sum(p_retailprice) OVER (ORDER BY p_partkey), 4) AS cum, round(CASE WHEN count(p_retailprice) OVER w = 3 THEN avg(p_retailprice) OVER w END, 6) AS ma, round(p_retailprice / lag(p_retailprice) OVER (ORDER BY p_partkey) - 1, 6) AS pct, "
     "round(p_retailprice / sum(p_retailprice) OVER (), 8) AS share FROM part WINDOW w AS (ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
 )
 def functions(spark, d):  # noqa: ANN001, ANN201
@@ -90,13 +95,41 @@ def nearest_target(spark, d):  # noqa: ANN001, ANN201
 def _lab(spark, d):  # noqa: ANN001, ANN202
     w = win.series("ticker")
     px = src.monthly_prices(spark, d)
-    z = px.withColumns({"ret": win.log_return(F.col("close"), w), "z": win.rolling_z(F.col("close"), w, 12)})
+    z = px.withColumns({"price": F.col("close"), "ret": win.simple_return(F.col("close"), w), "z": F.round(win.rolling_z(F.col("close"), w, 12), 9)})
     grid = F.explode(F.array(*(F.struct(F.lit(a).alias("entry"), F.lit(b).alias("stop")) for a in (0.5, 1.0) for b in (0.2, 0.5))))
-    p = z.withColumn("p", grid).select("ticker", "date", "ret", "z", "p.*").withColumns({"step": F.lit(0.5), "max_hold": F.lit(9)})
+    p = z.withColumn("p", grid).select("ticker", "date", "price", "ret", "z", "p.*").withColumn("max_hold", F.lit(9))
     return p.withColumn("target", lab.target(F.col("z"), F.col("entry"), F.lit(2.0), F.lit(1.0)))
 
 
-@query("lab_target", with_sql("px", more="zz AS (SELECT ticker, date, CASE WHEN count(*) OVER w = 12 THEN coalesce((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 0) END AS z FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), g AS (SELECT unnest([0.5, 1.0]) AS entry), s AS (SELECT unnest([0.2, 0.5]) AS stop)") + "SELECT ticker, date, entry::DOUBLE AS entry, stop::DOUBLE AS stop, round(CASE WHEN z IS NULL THEN 0 ELSE -sign(z) * least(greatest((abs(z) - entry) / (2 - entry), 0), 1) END, 6) + 0.0 AS target FROM zz, g, s")
+LAB = """zz AS (SELECT ticker, date, close AS price, close / lag(close) OVER v - 1 AS ret, round(CASE WHEN count(*) OVER w = 12 THEN coalesce((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 0) END, 9) AS z
+    FROM px WINDOW v AS (PARTITION BY ticker ORDER BY date), w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+lb AS (SELECT *, -sign(z) * least(greatest((abs(z) - entry) / (2.0 - entry), 0), 1) AS target, row_number() OVER (PARTITION BY ticker, entry, stop ORDER BY date) AS i
+    FROM zz, (SELECT unnest([0.5, 1.0])::DOUBLE AS entry), (SELECT unnest([0.2, 0.5])::DOUBLE AS stop))"""
+# The state machine as a recursion over the rows of every series: what is open before (p, e, s), then the new state.
+FOLD = """, st AS (
+    SELECT ticker, entry, stop, i, date, 0.0::DOUBLE AS pos, NULL::DOUBLE AS e, 0::BIGINT AS s, NULL::VARCHAR AS reason FROM lb WHERE i = 1
+    UNION ALL
+    SELECT ticker, entry, stop, i, date, pos, CASE WHEN abs(pos) < 0.001 THEN NULL WHEN opened THEN price ELSE e END, CASE WHEN opened THEN i ELSE s END, reason
+    FROM (SELECT *, CASE WHEN target IS NULL THEN p WHEN stopped OR expired THEN 0 WHEN abs(target - p1) > 0.01 THEN target ELSE p1 END AS pos,
+                 target IS NOT NULL AND NOT stopped AND NOT expired AND abs(p1) < 0.001 AND abs(target) > 0.001 AND abs(target - p1) > 0.01 AS opened,
+                 CASE WHEN target IS NULL THEN NULL WHEN stopped THEN 'stop' WHEN expired THEN 'max_hold' WHEN flip THEN 'flip' WHEN abs(target - p1) <= 0.01 THEN NULL WHEN abs(p1) < 0.001 AND abs(target) > 0.001 THEN 'entry'
+                      WHEN abs(target) < 0.001 THEN 'exit' WHEN abs(target) > abs(p1) THEN 'scale_in' ELSE 'scale_out' END AS reason
+          FROM (SELECT *, CASE WHEN flip THEN 0 ELSE p END AS p1
+                FROM (SELECT l.ticker, l.entry, l.stop, l.i, l.date, l.target, l.price, t.pos AS p, t.e, t.s,
+                             abs(t.pos) > 0.001 AND t.pos * (l.price - t.e) / greatest(1e-4, abs(t.e)) <= -l.stop AS stopped, abs(t.pos) > 0.001 AND l.i - t.s >= 9 AS expired,
+                             abs(t.pos) > 0.001 AND abs(l.target) > 0.001 AND sign(l.target) <> sign(t.pos) AS flip
+                      FROM st t JOIN lb l ON l.ticker = t.ticker AND l.entry = t.entry AND l.stop = t.stop AND l.i = t.i + 1)))),
+pn AS (SELECT st.*, coalesce(ret, 0) AS ret, coalesce(lag(pos) OVER w, 0) AS before FROM st JOIN lb USING (ticker, entry, stop, i) WINDOW w AS (PARTITION BY st.ticker, st.entry, st.stop ORDER BY st.i)),
+pl AS (SELECT *, before * ret - CASE WHEN abs(pos - before) > 0.001 THEN abs(pos - before) * 5 / 1e4 ELSE 0 END AS pnl, sum(ret) OVER (PARTITION BY ticker, entry, stop ORDER BY i) AS total_ret FROM pn),
+eq AS (SELECT *, sum(pnl) OVER (PARTITION BY ticker, entry, stop ORDER BY i) AS equity FROM pl),
+ch AS (SELECT *, lead(date) OVER w AS exit_at, lead(i) OVER w AS exit_i, lead(total_ret) OVER w AS exit_ret FROM pl WHERE pos <> before WINDOW w AS (PARTITION BY ticker, entry, stop ORDER BY i)),
+en AS (SELECT ticker, entry, stop, max(i) AS n, arg_max(total_ret, i) AS end_ret FROM pl GROUP BY ALL),
+td AS (SELECT ticker, entry, stop, date AS entry_at, exit_at, sign(pos)::DOUBLE AS side, coalesce(exit_i, n) - i AS rows, pos * (coalesce(exit_ret, end_ret) - total_ret) - CASE WHEN exit_at IS NULL THEN 1 ELSE 2 END * 5 / 1e4 AS pnl
+    FROM ch JOIN en USING (ticker, entry, stop) WHERE pos <> 0)"""
+FOLDED = with_sql("px", more=LAB + FOLD).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("lab_target", with_sql("px", more=LAB) + "SELECT ticker, date, entry, stop, round(target, 6) + 0.0 AS target FROM lb")
 def targets(spark, d):  # noqa: ANN001, ANN201
     return take(_lab(spark, d), "ticker date entry stop", "target").withColumn("target", F.col("target") + 0.0)
 
@@ -109,33 +142,46 @@ def _folded(spark, d):  # noqa: ANN001, ANN202
     return lab.pnl(lab.fold(p, BY, "date").join(p.select(*BY, "date", "ret"), [*BY, "date"]), BY, "date")
 
 
-@query("lab_position_fold")
+@query("lab_position_fold", FOLDED + "SELECT ticker, entry, stop, date, round(pos, 6) + 0.0 AS pos, reason FROM st")
 def fold(spark, d):  # noqa: ANN001, ANN201
-    """Every series with every parameter set; checked against a plain loop in the tests."""
-    return lab.fold(_lab(spark, d), BY, "date")
+    """Every series with every parameter set."""
+    return lab.fold(_lab(spark, d), BY, "date").withColumn("pos", F.round("pos", 6) + 0.0)
 
 
-@query("lab_pnl")
+@query("lab_pnl", FOLDED + "SELECT ticker, entry, stop, date, round(abs(pos - before), 6) AS turn, round(pnl, 6) + 0.0 AS pnl, round(equity, 6) + 0.0 AS equity FROM eq")
 def pnl(spark, d):  # noqa: ANN001, ANN201
-    return _folded(spark, d)
+    out = take(_folded(spark, d), "ticker entry stop date", "turn pnl equity")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("pnl", "equity")})
 
 
-@query("lab_trades")
+@query("lab_trades", FOLDED + "SELECT ticker, entry, stop, entry_at, exit_at, side, rows, round(pnl, 6) + 0.0 AS pnl FROM td")
 def trades(spark, d):  # noqa: ANN001, ANN201
-    return lab.trades(_folded(spark, d), BY, "date")
+    return take(lab.trades(_folded(spark, d), BY, "date"), "ticker entry stop entry_at exit_at side rows", "pnl").withColumn("pnl", F.col("pnl") + 0.0)
 
 
-@query("lab_metrics")
+@query(
+    "lab_metrics",
+    FOLDED + """, dd AS (SELECT ticker, entry, stop, min(equity - high) AS max_dd FROM (SELECT *, max(equity) OVER (PARTITION BY ticker, entry, stop ORDER BY i) AS high FROM eq) GROUP BY ALL),
+    tw AS (SELECT ticker, entry, stop, count(*) AS n_trades, avg((pnl > 0)::INT) AS win_rate, avg(rows) AS avg_hold FROM td GROUP BY ALL)
+    SELECT ticker, entry, stop, count(*) AS n, round(coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(12), 0), 5) + 0.0 AS sharpe, round(sum(pnl), 6) + 0.0 AS total, round(exp(sum(pnl) / (count(*) / 12)) - 1, 6) + 0.0 AS cagr, round(max(max_dd), 6) + 0.0 AS max_dd,
+           coalesce(max(n_trades), 0) AS n_trades, round(coalesce(max(win_rate), 0), 6) AS win_rate, round(coalesce(max(avg_hold), 0), 6) AS avg_hold
+    FROM eq JOIN dd USING (ticker, entry, stop) LEFT JOIN tw USING (ticker, entry, stop) GROUP BY ALL""",
+)
 def metrics(spark, d):  # noqa: ANN001, ANN201
-    return lab.metrics(_folded(spark, d), BY, "date", 12.0)
+    m = lab.metrics(_folded(spark, d), BY, "date", 12.0).withColumn("sharpe", F.round("sharpe", 5))
+    out = take(m, "ticker entry stop n n_trades", "sharpe total cagr max_dd win_rate avg_hold")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("sharpe", "total", "cagr", "max_dd")})
 
 
-BOOT = "r AS (SELECT ticker, coalesce(ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)), 0) AS pnl, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM px), n AS (SELECT ticker, count(*) AS n FROM r GROUP BY ticker HAVING count(*) >= 4), k AS (SELECT ticker, n, run, unnest(range(0, ceil(n / 4)::INT)) AS b FROM n, (SELECT unnest(range(0, 50)) AS run)), st AS (SELECT ticker, run, b, ('0x' || substr(md5('7:' || run || ':' || b), 1, 8))::BIGINT % (n - 3) AS i FROM k), sm AS (SELECT ticker, i, sum(pnl) OVER (PARTITION BY ticker ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM r), tot AS (SELECT ticker, run, sum(s) AS total FROM st JOIN sm USING (ticker, i) GROUP BY ALL)"
+BOOT = """r AS (SELECT ticker, coalesce(ln(close / lag(close) OVER w), 0) AS pnl, row_number() OVER w - 1 AS i FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date)), n AS (SELECT ticker, count(*) AS n FROM r GROUP BY ticker),
+k AS (SELECT ticker, n, run, unnest(range(0, ceil(n / 4)::INT)) AS b FROM n, (SELECT unnest(range(0, 1000)) AS run)), sm AS (SELECT ticker, i, sum(pnl) OVER (PARTITION BY ticker ORDER BY i) AS c, pnl FROM r),
+st AS (SELECT ticker, run, b, least(4, n - b * 4) AS len, ('0x' || substr(md5('7:' || run || ':' || b), 1, 8))::BIGINT % greatest(1, n - 4) AS i FROM k),
+tot AS (SELECT st.ticker, run, sum(z.c - a.c + a.pnl) AS total FROM st JOIN sm a ON st.ticker = a.ticker AND st.i = a.i JOIN sm z ON st.ticker = z.ticker AND st.i + len - 1 = z.i GROUP BY ALL)"""
 
 
 def _boot(spark, d):  # noqa: ANN001, ANN202
     r = src.monthly_prices(spark, d).withColumn("pnl", F.coalesce(win.log_return(F.col("close"), win.series("ticker")), F.lit(0.0)))
-    return lab.bootstrap(r, ["ticker"], "date", 50, 4, "7")
+    return lab.bootstrap(r, ["ticker"], "date", 1000, 4, "7")
 
 
 @query("lab_bootstrap", with_sql("px", more=BOOT) + "SELECT ticker, round(quantile_cont(total, 0.05), 6) AS p5, round(median(total), 6) AS p50, round(quantile_cont(total, 0.95), 6) AS p95 FROM tot GROUP BY ticker")
@@ -150,79 +196,232 @@ def histogram(spark, d):  # noqa: ANN001, ANN201
 
 
 def chain(spark, d):  # noqa: ANN001, ANN201
-    """An option chain from the parts: strikes around the retail price, three expiries, both types."""
-    p = src.table(spark, d, "part")
+    """An option chain from the parts: strikes around the retail price, three expiries, both types. The parts are dealt out
+    before they are multiplied."""
+    p = src.table(spark, d, "part").repartition("p_partkey")
     k = F.col("p_partkey")
     cells = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(days).alias("dte"), F.lit(c).alias("type")) for m in (0.8, 0.9, 1.0, 1.1, 1.2) for days in (30, 90, 365) for c in ("c", "p"))))
     rows = p.select(k.alias("symbol"), F.col("p_retailprice").alias("spot"), (0.15 + F.pmod(k, F.lit(20)) / 50).alias("base"), cells.alias("x")).select("symbol", "spot", "base", "x.*")
     return rows.select("symbol", "spot", (F.col("spot") * F.col("m")).alias("strike"), "dte", (F.col("dte") / 365).alias("t"), "type", F.lit(0.03).alias("rate"), F.lit(0.01).alias("div"), (F.col("base") + F.abs(F.col("m") - 1) * 0.2).alias("vol"))
 
 
-@query("opt_price_greeks")
+def quotes_of(spark, d):  # noqa: ANN001, ANN201
+    """The chain with bid, ask and last around the model's price; some strikes have only a last price."""
+    c = options.greeks(chain(spark, d)).drop(*options.GREEKS)
+    half, stale = F.col("price") * (0.01 + F.pmod("symbol", F.lit(3)) * 0.005), F.pmod(F.col("symbol") + F.col("dte"), F.lit(11)) == 0
+    return c.withColumns({"bid": F.when(stale, 0.0).otherwise(F.col("price") - half), "ask": F.when(stale, 0.0).otherwise(F.col("price") + half), "last": F.col("price")})
+
+
+def part_vols(spark, d):  # noqa: ANN001, ANN201
+    """symbol, rv10, rv20, rv60: annualised volatility of the last so many daily returns of a part's shipped price."""
+    li = src.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+    return panel.realised_vol(li, "symbol", "date", "close", (10, 20, 60))
+
+
+CHAIN = """ch0 AS (SELECT p_partkey AS symbol, p_retailprice AS spot, 0.15::DOUBLE + (p_partkey % 20) / 50.0::DOUBLE AS base, m::DOUBLE AS m, dte, type FROM part, (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2]) AS m), (SELECT unnest([30, 90, 365]) AS dte), (SELECT unnest(['c', 'p']) AS type)),
+ch AS (SELECT symbol, spot, spot * m AS strike, dte, dte / 365.0::DOUBLE AS t, type, 0.03::DOUBLE AS rate, 0.01::DOUBLE AS div, base + abs(m - 1) * 0.2::DOUBLE AS vol FROM ch0)"""
+
+
+def _horner_sql(a: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {a} + {c}::DOUBLE)"
+    return out
+
+
+def tail_sql(a: str) -> str:
+    far = f"({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE)))))"
+    return f"CASE WHEN {a} > 37 THEN 0 WHEN {a} < 7.07106781186547 THEN exp(-{a} * {a} / 2) * {_horner_sql(a, options.TAIL_OVER)} / {_horner_sql(a, options.TAIL_UNDER)} ELSE exp(-{a} * {a} / 2) / {far} / 2.506628274631::DOUBLE END"
+
+
+def greeks_sql(name: str, source: str) -> str:
+    """Common table expressions that end with name: the rows of source with price and greeks."""
+    side = lambda d, u: f"CASE WHEN sg * {d} > 0 THEN 1 - {u} ELSE {u} END"
+    return f"""{name}_0 AS (SELECT *, t > 0 AND vol > 0 AS live, CASE type WHEN 'c' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg, exp(-div * greatest(t, 0)) AS dq, exp(-rate * greatest(t, 0)) AS dr, vol * sqrt(greatest(t, 0)) AS root FROM {source}),
+{name}_1 AS (SELECT *, CASE WHEN live THEN (ln(spot / strike) + (rate - div + vol * vol / 2) * t) / root END AS d1, CASE WHEN live THEN (ln(spot / strike) + (rate - div + vol * vol / 2) * t) / root - root END AS d2 FROM {name}_0),
+{name}_2 AS (SELECT *, abs(d1) AS a1, abs(d2) AS a2, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS pdf FROM {name}_1),
+{name}_3 AS (SELECT *, {tail_sql("a1")} AS u1, {tail_sql("a2")} AS u2 FROM {name}_2),
+{name}_4 AS (SELECT *, spot * dq AS fs, strike * dr AS fk, {side("d1", "u1")} AS n1, {side("d2", "u2")} AS n2 FROM {name}_3),
+{name} AS (SELECT * EXCLUDE (live, sg, dq, dr, root, d1, d2, a1, a2, pdf, u1, u2, fs, fk, n1, n2), CASE WHEN live THEN sg * (fs * n1 - fk * n2) ELSE greatest(sg * (fs - fk), 0) END AS price, CASE WHEN live THEN sg * dq * n1 WHEN sg * (spot - strike) > 0 THEN sg ELSE 0 END AS delta,
+    CASE WHEN live THEN dq * pdf / (spot * root) ELSE 0 END AS gamma, CASE WHEN live THEN fs * pdf * sqrt(t) ELSE 0 END AS vega, CASE WHEN live THEN -fs * pdf * vol / (2 * sqrt(t)) - sg * rate * fk * n2 + sg * div * fs * n1 ELSE 0 END AS theta,
+    CASE WHEN live THEN sg * t * fk * n2 ELSE 0 END AS rho, CASE WHEN live THEN -dq * pdf * d2 / vol ELSE 0 END AS vanna, CASE WHEN live THEN fs * pdf * sqrt(t) * d1 * d2 / vol ELSE 0 END AS volga FROM {name}_4)"""
+
+
+# Quotes lie around the model's price, so the vol solved from a mid within the bounds is the model's vol.
+QUOTED = f"""{CHAIN}, {greeks_sql("gk", "ch")},
+qt AS (SELECT symbol, spot, strike, dte, t, type, rate, div, vol, price, CASE WHEN (symbol + dte) % 11 = 0 THEN 0 ELSE price - price * (0.01 + symbol % 3 * 0.005) END AS bid, CASE WHEN (symbol + dte) % 11 = 0 THEN 0 ELSE price + price * (0.01 + symbol % 3 * 0.005) END AS ask FROM gk),
+iv AS (SELECT *, price AS mid, CASE WHEN price > greatest(CASE type WHEN 'c' THEN 1 ELSE -1 END * (spot * exp(-div * t) - strike * exp(-rate * t)), 0) + 1e-10 AND price < CASE type WHEN 'c' THEN spot * exp(-div * t) ELSE strike * exp(-rate * t) END THEN vol END AS iv FROM qt)"""
+SURFACE = f"""{QUOTED}, sk AS (SELECT symbol, dte, t, strike, max(spot) AS spot, max(spot * exp((rate - div) * t)) AS fwd, max(iv) FILTER (type = 'c') AS civ, max(iv) FILTER (type = 'p') AS piv, sum(mid) AS cp, bool_and(bid > 0) AS ok FROM iv GROUP BY ALL),
+s2 AS (SELECT *, CASE WHEN strike >= fwd THEN coalesce(civ, piv) ELSE coalesce(piv, civ) END AS v FROM sk), s3 AS (SELECT *, v IS NOT NULL AND (ok OR count(*) FILTER (v IS NOT NULL AND ok) OVER (PARTITION BY symbol, dte) < 2) AS used FROM s2),
+s4 AS (SELECT symbol, dte, t, max(spot) AS spot, max(fwd) AS fwd, max(strike) FILTER (used AND strike <= fwd) AS k0, arg_max(v, strike) FILTER (used AND strike <= fwd) AS v0, min(strike) FILTER (used AND strike > fwd) AS k1, arg_min(v, strike) FILTER (used AND strike > fwd) AS v1,
+    arg_min(cp, (abs(strike - fwd), strike)) AS straddle, arg_min(v, (abs(strike / fwd - 0.9), strike)) FILTER (v IS NOT NULL) AS vol_90, arg_min(v, (abs(strike / fwd - 1.1), strike)) FILTER (v IS NOT NULL) AS vol_110 FROM s3 GROUP BY ALL),
+sf AS (SELECT *, coalesce(v0 + (v1 - v0) * (fwd - k0) / (k1 - k0), v0, v1) AS atm FROM s4)"""
+PART_VOLS = """pc AS (SELECT l_partkey AS symbol, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY ALL),
+pr AS (SELECT symbol, ln(close / lag(close) OVER w) AS r, count(*) OVER v - row_number() OVER w AS back FROM pc WINDOW w AS (PARTITION BY symbol ORDER BY date), v AS (PARTITION BY symbol)),
+rv AS (SELECT symbol, """ + ", ".join(f"CASE WHEN count(r) >= {n} THEN stddev_samp(r) FILTER (back < {n}) * sqrt(252) END AS rv{n}" for n in (10, 20, 60)) + " FROM pr GROUP BY symbol)"
+
+
+@query("opt_price_greeks", f"WITH {CHAIN}, {greeks_sql('gk', 'ch')} SELECT symbol, dte, type, round(strike, 4) AS strike, " + ", ".join(f"round({c}, 3) + 0.0 AS {c}" for c in ("price", "vega", "theta", "rho", "volga")) + ", round(delta, 6) + 0.0 AS delta, round(gamma, 8) AS gamma, round(vanna, 6) + 0.0 AS vanna FROM gk")
 def price_greeks(spark, d):  # noqa: ANN001, ANN201
-    return options.greeks(chain(spark, d))
+    g = options.greeks(chain(spark, d))
+    places = {"price": 3, "vega": 3, "theta": 3, "rho": 3, "volga": 3, "delta": 6, "gamma": 8, "vanna": 6}
+    return g.select("symbol", "dte", "type", F.round("strike", 4).alias("strike"), *((F.round(c, n) + 0.0).alias(c) for c, n in places.items()))
 
 
-@query("opt_iv_chain")
+@query("opt_iv_chain", f"WITH {QUOTED} SELECT symbol, dte, type, round(strike, 4) AS strike, round(mid, 3) AS mid, round(iv, 4) AS iv FROM iv")
 def iv_chain(spark, d):  # noqa: ANN001, ANN201
-    priced = options.greeks(chain(spark, d)).withColumn("mid", F.col("price"))
-    return options.implied_vol(priced).select("symbol", "dte", "type", "strike", "vol", "iv")
+    return options.quoted(quotes_of(spark, d)).select("symbol", "dte", "type", F.round("strike", 4).alias("strike"), F.round("mid", 3).alias("mid"), F.round("iv", 4).alias("iv"))
+
 
+def surfaces(spark, d):  # noqa: ANN001, ANN201
+    return options.surface(options.quoted(quotes_of(spark, d)))
 
-@query("opt_surface")
+
+@query("opt_surface", f"WITH {SURFACE} SELECT symbol, dte, round(fwd, 4) AS fwd, round(atm, 5) AS atm, round(straddle, 3) AS straddle, round(vol_90, 4) AS vol_90, round(vol_110, 4) AS vol_110, round(vol_90 - vol_110, 4) + 0.0 AS skew FROM sf")
 def surface(spark, d):  # noqa: ANN001, ANN201
-    return options.surface(chain(spark, d))
+    places = {"fwd": 4, "atm": 5, "straddle": 3, "vol_90": 4, "vol_110": 4}
+    return surfaces(spark, d).select("symbol", "dte", *(F.round(c, n).alias(c) for c, n in places.items()), (F.round("skew", 4) + 0.0).alias("skew"))
 
 
-@query("opt_vol_monitor")
+@query(
+    "opt_vol_monitor",
+    f"""WITH {SURFACE}, {PART_VOLS}, vm AS (SELECT symbol, arg_min((dte, atm, straddle, spot), (abs(dte - 30), dte)) AS a, arg_min((dte, atm), (abs(dte - 90), dte)) AS b FROM sf GROUP BY symbol)
+    SELECT symbol, a[1] AS dte_30, round(a[2], 5) AS iv_30, round(CASE WHEN a[1] <> b[1] THEN b[2] END, 5) AS iv_90, round(rv10, 5) AS rv10, round(rv20, 5) AS rv20, round(rv60, 5) AS rv60, round(CASE WHEN a[1] <> b[1] THEN b[2] - a[2] END, 5) + 0.0 AS slope,
+    round(a[2] - nullif(rv20, 0), 5) + 0.0 AS premium, round(a[2] / nullif(rv20, 0), 4) AS ratio, round(a[2] * sqrt(a[1] / 365), 5) AS move, round(a[3] / a[4], 5) AS straddle FROM vm LEFT JOIN rv USING (symbol)""",
+)
 def vol_monitor(spark, d):  # noqa: ANN001, ANN201
-    """ATM vol near 30 and 90 days, and the slope."""
-    s = options.surface(chain(spark, d)).withColumn("days", F.round(F.col("t") * 365))
-    near = options.nearest_target(s, ["symbol"], "days", [30, 90]).groupBy("symbol").pivot("target", [30, 90]).agg(F.max("atm_vol"))
-    return near.select("symbol", F.col("30").alias("iv_30"), F.col("90").alias("iv_90"), (F.col("90") - F.col("30")).alias("slope"))
+    """ATM vol near 30 and 90 days against what was realised."""
+    m = options.vol_monitor(surfaces(spark, d), part_vols(spark, d))
+    out = take(m.withColumn("ratio", F.round("ratio", 4)), "symbol dte_30", "iv_30 iv_90 rv10 rv20 rv60 slope premium ratio move straddle", 5)
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("slope", "premium")})
+
 
+FAIR = "coalesce(nullif(rv20, 0), 0.3)"
 
-@query("opt_chain_edge")
+
+@query("opt_chain_edge", f"WITH {QUOTED}, {PART_VOLS}, fv AS (SELECT symbol, spot, strike, dte, t, type, rate, div, mid, {FAIR} AS vol FROM iv LEFT JOIN rv USING (symbol) WHERE abs(strike / spot - 1) <= 0.15), {greeks_sql('fg', 'fv')} SELECT symbol, dte, type, round(strike, 4) AS strike, round(mid, 3) AS mid, round(price, 3) AS fair, round(mid - price, 3) + 0.0 AS edge FROM fg")
 def chain_edge(spark, d):  # noqa: ANN001, ANN201
-    """Fair value at the symbol's base vol against the chain's own price, for strikes within 15 %."""
-    c = options.greeks(chain(spark, d)).where(F.abs(F.col("strike") / F.col("spot") - 1) <= 0.15).withColumnRenamed("price", "mid")
-    fair = options.greeks(c.drop("delta", "gamma", "vega", "theta", "rho", "vanna", "volga").withColumn("vol", F.lit(0.3)))
-    return fair.select("symbol", "dte", "type", "strike", "mid", F.col("price").alias("fair"), (F.col("mid") - F.col("price")).alias("edge"))
+    """Mid against the price at the vol realised over 20 returns (0.3 where there aren't as many)."""
+    q = options.quoted(quotes_of(spark, d)).drop("price").join(part_vols(spark, d), "symbol", "left")
+    e = options.chain_edge(q, F.coalesce(F.nullif(F.col("rv20"), F.lit(0.0)), F.lit(0.3)), 0.15)
+    return e.select("symbol", "dte", "type", F.round("strike", 4).alias("strike"), F.round("mid", 3).alias("mid"), F.round("fair", 3).alias("fair"), (F.round("edge", 3) + 0.0).alias("edge"))
+
 
+TEMPLATE_SQL = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, '{ty}', {m}::DOUBLE, {q}, {later})" for n, k, ty, m, q, later in options.template_rows()) + ") v(template, leg, type, multiple, qty, later))"
+LEGS = f"""{QUOTED}, {TEMPLATE_SQL}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY dte) - 1 AS e FROM iv),
+lg AS (SELECT symbol, template, leg, type, qty, dte, t, spot, strike, rate, div, coalesce(iv, vol) AS vol, CASE WHEN qty > 0 AND ask > 0 THEN ask WHEN qty < 0 AND bid > 0 THEN bid ELSE mid END AS entry FROM rk JOIN tp USING (type) WHERE e = least(2, later * 2)
+    QUALIFY row_number() OVER (PARTITION BY symbol, template, leg ORDER BY abs(strike - spot * multiple), strike) = 1
+    UNION ALL SELECT p_partkey, template, leg, type, qty, 0, 0, p_retailprice, 0, 0.03, 0.01, 0, p_retailprice FROM part, tp WHERE type = 'u')"""
 
-@query("opt_leg_match")
+
+def legs(spark, d):  # noqa: ANN001, ANN201
+    return options.leg_match(options.quoted(quotes_of(spark, d)))
+
+
+@query("opt_leg_match", f"WITH {LEGS} SELECT symbol, template, leg, type, qty, dte, round(strike, 4) AS strike, round(entry, 3) AS entry FROM lg")
 def leg_match(spark, d):  # noqa: ANN001, ANN201
-    """Templates of legs matched to the nearest listed strike of a 90-day expiry."""
-    legs = spark.createDataFrame([("spread", 1, "c", 1.0, 1.0), ("spread", 2, "c", 1.07, -1.0), ("strangle", 1, "c", 1.12, 1.0), ("strangle", 2, "p", 0.88, 1.0)], "template string, leg int, type string, multiple double, qty double")
-    c = options.greeks(chain(spark, d)).where("dte = 90")
-    met = c.join(F.broadcast(legs), "type").withColumn("gap", F.abs(F.col("strike") - F.col("spot") * F.col("multiple")))
-    return met.groupBy("symbol", "template", "leg", "type", "qty").agg(F.min_by("strike", F.struct("gap", "strike")).alias("strike"), F.min_by("price", F.struct("gap", "strike")).alias("entry"))
+    """Every template on every symbol."""
+    return legs(spark, d).select("symbol", "template", "leg", "type", "qty", "dte", F.round("strike", 4).alias("strike"), F.round("entry", 3).alias("entry"))
+
+
+def books(spark, d):  # noqa: ANN001, ANN201
+    """A book per symbol and template."""
+    return stored(legs(spark, d), "books").withColumn("book", F.concat_ws(":", "symbol", "template"))
+
+
+def valued_sql(name: str, source: str) -> str:
+    """Legs with price and greeks; the underlying is worth its spot."""
+    flat = ", ".join(f"CASE WHEN type = 'u' THEN {1 if g == 'delta' else 0} ELSE {g} END AS {g}" for g in options.GREEKS)
+    return f"""{name}_s AS (SELECT * REPLACE (CASE WHEN type = 'u' THEN spot ELSE strike END AS strike) FROM {source}), {greeks_sql(f"{name}_g", f"{name}_s")},
+{name} AS (SELECT * REPLACE (CASE WHEN type = 'u' THEN spot ELSE price END AS price, {flat}) FROM {name}_g)"""
 
 
-def _books(spark, d):  # noqa: ANN001, ANN202
-    c = options.greeks(chain(spark, d))
-    return c.withColumns({"book": F.pmod("symbol", F.lit(7)), "qty": F.when(F.col("type") == "c", 1.0).otherwise(-1.0), "entry": F.col("price")}).drop("price", "delta", "gamma", "vega", "theta", "rho", "vanna", "volga")
+def _money(df, keys, places):  # noqa: ANN001, ANN202
+    return df.select(*keys, *((F.round(c, n) + 0.0).alias(c) for c, n in places.items()))
 
 
-@query("opt_risk_grid")
+def _money_sql(places: dict[str, int], how: str = "{}") -> str:
+    return ", ".join(f"round({how.format(c)}, {n}) + 0.0 AS {c}" for c, n in places.items())
+
+
+LEG_PLACES = {"value": 2, "pnl": 2, "delta": 3, "gamma": 4, "vega": 2, "theta": 2, "rho": 2, "vanna": 2, "volga": 1}
+
+
+@query(
+    "opt_leg_greeks",
+    f"""WITH {LEGS}, {valued_sql("lv", "lg")}, lm AS (SELECT symbol || ':' || template AS book, leg, qty * 100 * price AS value, qty * 100 * (price - entry) AS pnl, {", ".join(f"qty * 100 * {g} AS {g}" for g in options.GREEKS)} FROM lv)
+    SELECT book, leg, {_money_sql(LEG_PLACES, "sum({})")} FROM lm GROUP BY GROUPING SETS ((book, leg), (book))""",
+)
+def leg_greeks(spark, d):  # noqa: ANN001, ANN201
+    """By leg, and each book's total (leg null)."""
+    return _money(options.leg_greeks(books(spark, d)), ["book", "leg"], LEG_PLACES)
+
+
+GRID_PLACES = {"pnl": 2, "delta": 3, "gamma": 4, "vega": 2, "theta": 2}
+
+
+@query(
+    "opt_risk_grid",
+    f"""WITH {LEGS}, rg AS (SELECT * REPLACE (spot * (1 + spot_move) AS spot, greatest(vol + vol_shift, 1e-4) AS vol) FROM lg, (SELECT unnest([-0.1, 0.0, 0.1])::DOUBLE AS spot_move), (SELECT unnest([-0.05, 0.0, 0.05])::DOUBLE AS vol_shift)), {valued_sql("rv", "rg")}
+    SELECT symbol || ':' || template AS book, spot_move, vol_shift, round(sum(qty * 100 * (price - entry)), 2) + 0.0 AS pnl, {_money_sql({k: v for k, v in GRID_PLACES.items() if k != "pnl"}, "sum(qty * 100 * {})")} FROM rv GROUP BY ALL""",
+)
 def risk_grid(spark, d):  # noqa: ANN001, ANN201
-    return options.risk_grid(_books(spark, d), [-0.1, 0.0, 0.1], [-0.05, 0.0, 0.05])
+    return _money(options.risk_grid(books(spark, d), [-0.1, 0.0, 0.1], [-0.05, 0.0, 0.05]), ["book", "spot_move", "vol_shift"], GRID_PLACES)
+
+
+SPLIT_PLACES = {"move": 4, "pnl": 2, "delta_part": 2, "gamma_part": 2, "rest": 2}
+
 
+@query(
+    "opt_sigma_split",
+    f"""WITH {LEGS}, bo AS (SELECT symbol || ':' || template AS book, * FROM lg), sd AS (SELECT book, coalesce(avg(vol) FILTER (type <> 'u'), 0.3) AS sg1 FROM bo GROUP BY book),
+    sc AS (SELECT * REPLACE (spot + move AS spot, greatest(vol, 1e-4) AS vol) FROM (SELECT bo.*, sigma, sigma * spot * sg1 / sqrt(252) AS move FROM bo JOIN sd USING (book), (SELECT unnest([0, -2, -1, 1, 2])::DOUBLE AS sigma))), {valued_sql("sv", "sc")},
+    su AS (SELECT book, sigma, max(move) AS move, sum(qty * 100 * price) AS value, sum(qty * 100 * delta) AS delta, sum(qty * 100 * gamma) AS gamma FROM sv GROUP BY ALL),
+    sp AS (SELECT s.book, s.sigma, s.move, s.value - z.value AS pnl, z.delta * s.move AS delta_part, z.gamma * s.move * s.move / 2 AS gamma_part FROM su s JOIN su z ON s.book = z.book AND z.sigma = 0 WHERE s.sigma <> 0)
+    SELECT book, sigma, {_money_sql(SPLIT_PLACES).replace("round(rest,", "round(pnl - delta_part - gamma_part,")} FROM sp""",
+)
+def sigma_split(spark, d):  # noqa: ANN001, ANN201
+    return _money(options.sigma_split(books(spark, d), [-2.0, -1.0, 1.0, 2.0]), ["book", "sigma"], SPLIT_PLACES)
+
+
+PROFILE_PLACES = {"max_profit": 2, "max_loss": 2, "p_profit": 5, "first_breakeven": 3, "last_breakeven": 3}
 
-@query("opt_expiry_profile")
+
+@query(
+    "opt_expiry_profile",
+    f"""WITH {LEGS}, bo AS (SELECT symbol || ':' || template AS book, * FROM lg), hz AS (SELECT book, min(t) AS h, avg(vol) AS v FROM bo WHERE type <> 'u' GROUP BY book),
+    ec AS (SELECT * REPLACE (spot * (0.5 + point * 1.0 / 40) AS spot, greatest(t - h, 0) AS t, greatest(vol, 1e-4) AS vol) FROM (SELECT bo.*, h, v, spot AS s0, point FROM bo JOIN hz USING (book), (SELECT unnest(range(0, 41)) AS point))), {valued_sql("ev", "ec")},
+    e1 AS (SELECT book, point, max(spot) AS s, max((ln(spot) - ln(s0) - (rate - div - v * v / 2) * h) / (v * sqrt(greatest(h, 1e-6)))) AS z, round(sum(qty * 100 * (price - entry)), 6) + 0.0 AS pnl FROM ev GROUP BY ALL),
+    e2 AS (SELECT *, abs(z) AS az, {tail_sql("abs(z)")} AS u FROM e1), e3 AS (SELECT *, CASE WHEN z > 0 THEN 1 - u ELSE u END AS n FROM e2),
+    e4 AS (SELECT *, lag(pnl) OVER w AS p0, lag(s) OVER w AS x0, lag(n) OVER w AS n0 FROM e3 WINDOW w AS (PARTITION BY book ORDER BY point)),
+    e5 AS (SELECT *, CASE WHEN p0 = 0 THEN x0 WHEN p0 * pnl < 0 THEN x0 - p0 * (s - x0) / (pnl - p0) END AS be FROM e4)
+    SELECT book, count(be) AS n_breakevens, round(max(pnl), 2) + 0.0 AS max_profit, round(min(pnl), 2) + 0.0 AS max_loss, round(sum(CASE WHEN (p0 + pnl) / 2 > 0 THEN n - n0 ELSE 0 END), 5) + 0.0 AS p_profit, round(min(be), 3) + 0.0 AS first_breakeven, round(max(be), 3) + 0.0 AS last_breakeven FROM e5 GROUP BY book""",
+)
 def expiry_profile(spark, d):  # noqa: ANN001, ANN201
-    """A book per symbol and expiry: legs of other days don't expire together."""
-    curve = options.expiry_profile(_books(spark, d).withColumn("book", F.struct("symbol", "dte")), 0.5, 1.5, 40)
-    return curve.select(F.col("book.symbol").alias("book"), F.col("book.dte").alias("dte"), "move", "s", "pnl", "breakeven")
+    """Best, worst, breakevens and chance of a profit when the first option of a book expires."""
+    p = options.expiry_profile(options.expiry_curve(books(spark, d), 0.5, 1.5, 40))
+    n = F.size("breakevens")
+    ends = {"n_breakevens": n.cast("long"), "first_breakeven": F.get("breakevens", F.lit(0)), "last_breakeven": F.when(n > 0, F.get("breakevens", n - 1))}
+    return _money(p.withColumns(ends), ["book", "n_breakevens"], PROFILE_PLACES)
+
 
+RV = (10, 20, 60, 120)
+QUOTES = """q0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS r FROM sc)"""
 
-@query("agg_quotes", with_sql("daily") + "SELECT ticker, date, close AS last, round(close / lag(close) OVER w - 1, 6) AS chg_1, round(close / lag(close, 5) OVER w - 1, 6) AS chg_5, max(close) OVER v AS high, min(close) OVER v AS low, round((close - min(close) OVER v) / nullif(max(close) OVER v - min(close) OVER v, 0), 6) AS position FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+
+@query(
+    "agg_quotes",
+    "WITH sc AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY ALL), " + QUOTES + " SELECT symbol, max(date) AS date, count(*) AS n, round(max(close) FILTER (back = 1), 4) AS last, "
+    + ", ".join(f"round(max(close) FILTER (back = 1) / max(close) FILTER (back = {k}) - 1, 6) AS {c}" for c, k in (("chg_1d", 2), ("chg_1m", 22), ("chg_1y", 253)))
+    + ", round(max(close) FILTER (back <= 252), 4) AS hi_52w, round(min(close) FILTER (back <= 252), 4) AS lo_52w, "
+    + ", ".join(f"round(CASE WHEN count(r) >= {k} THEN stddev_samp(r) FILTER (back <= {k}) * sqrt(252) END, 6) AS rv{k}" for k in RV)
+    + " FROM q0 GROUP BY symbol HAVING count(*) >= 30",
+)
 def quotes(spark, d):  # noqa: ANN001, ANN201
-    w = win.series("ticker")
-    v = win.trailing(w, 20)
-    c = F.col("close")
-    out = src.daily_events(spark, d).withColumns({"last": c, "chg_1": win.simple_return(c, w), "chg_5": win.simple_return(c, w, 5), "high": F.max(c).over(v), "low": F.min(c).over(v)})
-    return take(out.withColumn("position", (c - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), "ticker date last high low", "chg_1 chg_5 position")
+    """Last price, changes over a day, a month and a year of rows, range of 252 rows, realised vols."""
+    px = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+    q = panel.quotes(px, "symbol", "date", "close", RV)
+    return take(q.withColumns({c: F.round(c, 4) for c in ("last", "hi_52w", "lo_52w")}), "symbol date n last hi_52w lo_52w", "chg_1d chg_1m chg_1y " + " ".join(f"rv{k}" for k in RV))
 
 
 @query("agg_trailing_dividend_yield", with_sql("daily", "act", more="dv AS (SELECT ticker, max(date) AS last FROM act WHERE kind = 'dividend' GROUP BY ticker), s AS (SELECT a.ticker, sum(value) AS paid FROM act a JOIN dv USING (ticker) WHERE kind = 'dividend' AND date > last - 365 GROUP BY a.ticker), l AS (SELECT ticker, arg_max(close, date) AS spot FROM daily GROUP BY ticker)") + "SELECT ticker, round(paid / nullif(spot, 0), 6) AS dividend_yield FROM s JOIN l USING (ticker)")
@@ -234,13 +433,16 @@ def dividend_yield(spark, d):  # noqa: ANN001, ANN201
     return take(sums.join(spot, "ticker").withColumn("dividend_yield", F.col("paid") / F.nullif(F.col("spot"), F.lit(0.0))), "ticker", "dividend_yield")
 
 
-@query("agg_returns_summary", with_sql("px", more="r AS (SELECT ticker, close, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM px)") + "SELECT ticker, round(max(close) FILTER (back = 1), 6) AS last, round(ln(max(close) FILTER (back = 1) / max(close) FILTER (back = 12)), 6) AS ret_11 FROM r GROUP BY ticker")
+@query(
+    "agg_returns_summary",
+    with_sql("px", "bk", more="r AS (SELECT ticker, close, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM px), y AS (SELECT ticker, arg_max(close, date) AS close FROM px JOIN (SELECT ticker, year(max(date)) AS last FROM px GROUP BY ticker) USING (ticker) WHERE year(date) < last GROUP BY ticker), s AS (SELECT r.ticker, max(r.close) FILTER (back = 1) AS last, max(r.close) FILTER (back = 1) / max(r.close) FILTER (back = 4) - 1 AS ret_3, max(r.close) FILTER (back = 1) / max(r.close) FILTER (back = 13) - 1 AS ret_12, max(r.close) FILTER (back = 1) / max(y.close) - 1 AS ytd FROM r LEFT JOIN y USING (ticker) GROUP BY r.ticker)")
+    + "SELECT ticker, basket, round(last, 6) AS last, round(ret_3, 6) AS ret_3, round(ret_12, 6) AS ret_12, round(ytd, 6) AS ytd, round(avg(ret_12) OVER (PARTITION BY basket), 6) AS basket_12 FROM s JOIN bk USING (ticker)",
+)
 def returns_summary(spark, d):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window
-
-    r = src.monthly_prices(spark, d).withColumn("back", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date"))))
-    at = lambda k: F.max(F.when(F.col("back") == k, F.col("close")))
-    return take(r.groupBy("ticker").agg(at(1).alias("last"), F.ln(at(1) / at(12)).alias("ret_11")), "ticker", "last ret_11")
+    """Last price, returns over 3 and 12 months and since the year began, and the mean 12-month return of the basket."""
+    out = panel.returns_summary(src.monthly_prices(spark, d), "ticker", "date", "close", {"ret_3": 3, "ret_12": 12}).join(src.baskets(spark, d), "ticker")
+    out = out.withColumn("basket_12", F.avg("ret_12").over(Window.partitionBy("basket")))
+    return take(out, "ticker basket", "last ret_3 ret_12 ytd basket_12")
 
 
 @query("src_json_props", "SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
@@ -250,7 +452,9 @@ def json_props(spark, d):  # noqa: ANN001, ANN201
 
 @query("sink_json_doc", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def json_doc(spark, d):  # noqa: ANN001, ANN201
-    """A nested document per conversation, written as JSON and read back."""
+    """A nested document per conversation, written as JSON files and read back from them."""
     doc = src.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    back = F.from_json(F.to_json(F.struct("turns")), "turns array<struct<turn:long,role:string>>")["turns"]
-    return doc.select("conv_id", F.size(back).cast("long").alias("n"), F.array_join(back["role"], ",").alias("roles"))
+    path = scratch_path(spark, "json-doc")
+    sinks.write_json(doc, path)
+    back = spark.read.schema(doc.schema).json(path)
+    return back.select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join("turns.role", ",").alias("roles"))

@@ -46,7 +46,7 @@ def accruals(spark, d):  # noqa: ANN001, ANN201
     return take(factors.quality_factors(src.annual_facts(spark, d)), "cik fy", "accruals")
 
 
-MARGIN = "m0 AS (SELECT cik, operating_income / revenue AS m FROM annual WHERE revenue > 0 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY fy DESC) <= 8), ms AS (SELECT cik, count(*) AS n_margins, CASE WHEN stddev_pop(m) <= 1e-6 THEN 1e6 ELSE 1 / stddev_pop(m) END AS margin_stability FROM m0 GROUP BY cik HAVING count(*) >= 3)"
+MARGIN = "m0 AS (SELECT cik, operating_income / revenue AS m FROM (SELECT * FROM annual WHERE revenue IS NOT NULL AND operating_income IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cik ORDER BY fy DESC) <= 8) WHERE revenue > 0), ms AS (SELECT cik, count(*) AS n_margins, CASE WHEN stddev_pop(m) <= 1e-6 THEN 1e6 ELSE 1 / stddev_pop(m) END AS margin_stability FROM m0 GROUP BY cik HAVING count(*) >= 3)"
 
 
 @query("agg_margin_stability", with_sql("annual", more=MARGIN) + sql_take("ms", "cik n_margins", "margin_stability", 4))
@@ -54,16 +54,38 @@ def margins(spark, d):  # noqa: ANN001, ANN201
     return take(factors.margin_stability(src.annual_facts(spark, d), ["cik"]), "cik n_margins", "margin_stability", 4)
 
 
+GRID = ("1996-01-31", "1997-06-30", "1998-12-31")
+# Yearly flows, and a half-year flow that must not count; cash and debt are stocks, restated in June by the year after.
+BUNDLE = """fl AS (SELECT cik, 'revenue' AS concept, make_date(fy, 1, 1) AS period_start, period_end, filed, revenue AS value FROM annual
+    UNION ALL SELECT cik, 'net_income', make_date(fy, 1, 1), period_end, (filed + (cik % 3)::INT)::DATE, net_income FROM annual
+    UNION ALL SELECT cik, 'net_income', make_date(fy, 7, 1), period_end, (filed + 1)::DATE, net_income / 2 FROM annual
+    UNION ALL SELECT cik, 'cash', NULL, period_end, filed, cash FROM annual UNION ALL SELECT cik, 'cash', NULL, make_date(fy + 1, 3, 31), make_date(fy + 1, 6, 15), cash * 2 FROM annual
+    UNION ALL SELECT cik, 'long_term_debt', NULL, period_end, make_date(fy + 1, 6, 15), long_term_debt FROM annual),
+ff AS (SELECT * FROM fl WHERE value IS NOT NULL AND (period_start IS NULL OR period_end - period_start BETWEEN 350 AND 380)),
+sn AS (SELECT g.as_of, ff.* FROM ff JOIN (SELECT unnest([DATE '1996-01-31', DATE '1997-06-30', DATE '1998-12-31']) AS as_of) g ON filed <= as_of QUALIFY row_number() OVER (PARTITION BY cik, concept, as_of ORDER BY period_end DESC, filed DESC) = 1),
+an AS (SELECT cik, as_of, period_end AS e, filed AS f FROM sn WHERE concept = 'revenue')"""
+
+
 @query(
     "agg_latest_annual",
-    with_sql("annual", more="g AS (SELECT unnest([DATE '1996-01-31', DATE '1997-06-30', DATE '1998-12-31']) AS as_of), s AS (SELECT * FROM g JOIN annual ON filed <= as_of)")
-    + "SELECT cik, as_of, max(filed) AS filed, max(period_end) AS period_end, round(arg_max(revenue, period_end), 4) AS revenue, round(arg_max(cash, period_end) FILTER (cash IS NOT NULL), 4) AS cash, round(arg_max(net_income, period_end), 4) AS net_income FROM s GROUP BY cik, as_of",
+    with_sql("annual", more=BUNDLE) + "SELECT cik, as_of, f AS filed, e AS period_end, " + ", ".join(f"round(max(value) FILTER (concept = '{c}' AND CASE WHEN period_start IS NULL THEN period_end <= e ELSE period_end = e END), 4) AS {c}" for c in ("revenue", "net_income", "cash", "long_term_debt")) + " FROM sn JOIN an USING (cik, as_of) GROUP BY ALL",
 )
 def latest_annual(spark, d):  # noqa: ANN001, ANN201
     a = src.annual_facts(spark, d)
-    long = a.unpivot(["cik", "period_end", "filed"], ["revenue", "cash", "net_income"], "concept", "value").where("value IS NOT NULL")
-    dates = spark.createDataFrame([("1996-01-31",), ("1997-06-30",), ("1998-12-31",)], "as_of string").select(F.col("as_of").cast("date"))
-    return take(factors.latest_annual(long, dates, ["revenue", "cash", "net_income"]), "cik as_of filed period_end", "revenue cash net_income", 4)
+    year, none = F.make_date("fy", F.lit(1), F.lit(1)), F.lit(None).cast("date")
+    june = F.make_date(F.col("fy") + 1, F.lit(6), F.lit(15))
+    rows = (
+        ("revenue", year, F.col("period_end"), F.col("filed"), F.col("revenue")),
+        ("net_income", year, F.col("period_end"), F.date_add("filed", F.pmod("cik", F.lit(3)).cast("int")), F.col("net_income")),
+        ("net_income", F.make_date("fy", F.lit(7), F.lit(1)), F.col("period_end"), F.date_add("filed", 1), F.col("net_income") / 2),
+        ("cash", none, F.col("period_end"), F.col("filed"), F.col("cash")),
+        ("cash", none, F.make_date(F.col("fy") + 1, F.lit(3), F.lit(31)), june, F.col("cash") * 2),
+        ("long_term_debt", none, F.col("period_end"), june, F.col("long_term_debt")),
+    )
+    names = ("concept", "period_start", "period_end", "filed", "value")
+    long = a.select("cik", F.explode(F.array(*(F.struct(*(x.alias(n) for n, x in zip(names, (F.lit(r[0]), *r[1:]), strict=True))) for r in rows))).alias("r")).select("cik", "r.*").where("value IS NOT NULL")
+    dates = spark.createDataFrame([(x,) for x in GRID], "as_of string").select(F.col("as_of").cast("date"))
+    return take(factors.latest_annual(long, dates, ["revenue", "net_income", "cash", "long_term_debt"]), "cik as_of filed period_end", "revenue net_income cash long_term_debt", 4)
 
 
 @query(
@@ -78,7 +100,7 @@ def q4(spark, d):  # noqa: ANN001, ANN201
 
 
 SUE = """s0 AS (SELECT *, CASE WHEN year(period_end) - year(lag(period_end) OVER w) = 1 THEN eps - lag(eps) OVER w END AS yoy FROM eps WINDOW w AS (PARTITION BY cik, fp ORDER BY period_end)),
-sue AS (SELECT cik, fp, period_end, filed, yoy, CASE WHEN count(yoy) OVER w >= 5 THEN yoy / nullif(stddev_pop(yoy) OVER w, 0) END AS sue FROM s0 WINDOW w AS (PARTITION BY cik ORDER BY period_end ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))"""
+sue AS (SELECT cik, fp, period_end, filed, yoy, CASE WHEN count(yoy) OVER w >= 5 THEN yoy / nullif(stddev_pop(yoy) OVER w, 0) END AS sue FROM s0 WINDOW w AS (PARTITION BY cik, fp ORDER BY period_end ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))"""
 
 
 @query("win_sue", with_sql("eps", more=SUE) + sql_take("sue", "cik fp period_end filed", "yoy sue", 7))
@@ -86,9 +108,9 @@ def sue(spark, d):  # noqa: ANN001, ANN201
     return take(factors.sue(src.quarterly_eps(spark, d)), "cik fp period_end filed", "yoy sue", 7)
 
 
-@query("flt_recent_window", with_sql("eps", more=SUE) + "SELECT cik, max(filed) AS filed, round(arg_max(sue, filed), 4) AS sue FROM sue WHERE sue IS NOT NULL AND filed > DATE '1998-06-30' - 92 AND filed <= DATE '1998-06-30' GROUP BY cik")
+@query("flt_recent_window", with_sql("eps", more=SUE) + "SELECT cik, max(filed) AS filed, round(arg_max(sue, filed), 4) AS sue FROM sue WHERE sue IS NOT NULL AND filed > DATE '2001-06-30' - 92 AND filed <= DATE '2001-06-30' GROUP BY cik")
 def recent(spark, d):  # noqa: ANN001, ANN201
-    day = F.lit("1998-06-30").cast("date")
+    day = F.lit("2001-06-30").cast("date")
     seen = factors.sue(src.quarterly_eps(spark, d)).where(F.col("sue").isNotNull() & (F.col("filed") > F.date_sub(day, 92)) & (F.col("filed") <= day))
     return take(seen.groupBy("cik").agg(F.max("filed").alias("filed"), F.max_by("sue", "filed").alias("sue")), "cik filed", "sue", 4)
 
@@ -220,8 +242,12 @@ def summary(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "agg_subsample",
-    with_sql("px", more=FORWARD + ", nb AS (SELECT ls_gross AS x, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM per), ct AS (SELECT * FROM (VALUES ('full', 1, 1), ('third 1/3', 1, 3), ('third 2/3', 2, 3), ('third 3/3', 3, 3), ('half 1/2', 1, 2), ('half 2/2', 2, 2)) v(w, p, ps))")
-    + "SELECT w AS \"window\", count(*) AS n, round(avg(x), 6) AS mean, round(coalesce(avg(x) / nullif(stddev_samp(x), 0) * sqrt(6), 0), 6) AS sharpe, round(avg((x > 0)::INT), 6) AS hit_rate FROM nb JOIN ct ON i >= round_even((p - 1) * n / ps, 0) + CASE WHEN p > 1 THEN 1 ELSE 0 END AND i < round_even(p * n / ps, 0) - CASE WHEN p < ps THEN 1 ELSE 0 END GROUP BY w",
+    with_sql("px", more=FORWARD + """, nb AS (SELECT date, ls_gross AS x, row_number() OVER (ORDER BY date) - 1 AS i FROM per), nn AS (SELECT count(*) AS total FROM per),
+    ct AS (SELECT w, round_even((p - 1) * total / ps, 0) + CASE WHEN p > 1 THEN 1 ELSE 0 END AS low, round_even(p * total / ps, 0) - CASE WHEN p < ps THEN 1 ELSE 0 END AS high FROM nn, (VALUES ('full', 1, 1), ('third 1/3', 1, 3), ('third 2/3', 2, 3), ('third 3/3', 3, 3), ('half 1/2', 1, 2), ('half 2/2', 2, 2)) v(w, p, ps)),
+    ws AS (SELECT w, min(date) AS "start", max(date) AS "end", count(x) AS n, coalesce(avg(x), 0) AS mean, coalesce(avg(x) / nullif(stddev_samp(x), 0) * sqrt(6), 0) AS sharpe, coalesce(avg((x > 0)::INT), 0) AS hit_rate FROM ct LEFT JOIN nb ON i >= low AND i < high GROUP BY w),
+    fu AS (SELECT sign(mean) AS s FROM ws WHERE w = 'full'), us AS (SELECT min(sharpe) AS worst, bool_and(sign(mean) = s) AND max(s) <> 0 AS stable FROM ws, fu WHERE w <> 'full' AND n >= 3)""")
+    + 'SELECT w AS "window", "start", "end", n, round(mean, 6) + 0.0 AS mean, round(sharpe, 6) + 0.0 AS sharpe, round(hit_rate, 6) AS hit_rate, round(coalesce(worst, 0), 6) + 0.0 AS worst_sharpe, coalesce(stable, false) AS stable FROM ws, us',
 )
 def subsample(spark, d):  # noqa: ANN001, ANN201
-    return take(backtest.subsamples(_walk(spark, d)[0], per_year=6.0), "window n", "mean sharpe hit_rate")
+    out = take(backtest.subsamples(_walk(spark, d)[0], per_year=6.0), "window start end n stable", "mean sharpe hit_rate worst_sharpe")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("mean", "sharpe", "worst_sharpe")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Through Hadoop's file system, so any store that Spark reads."""
@@ -12,17 +14,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_new(df: DataFrame, path: str, key: list[str]) -> int:
-    """Append the rows whose key the table lacks; of equal new keys one stays. Returns how many were added."""
+def append_new(df: DataFrame, path: str, key: list[str], first_by: list[str] | None = None, partition: str | None = None) -> int:
+    """Append the rows whose key the table lacks; of equal new keys the first by first_by (by default by all columns)
+    stays, the same on every run. A table partitioned by a column of the key is read only in the partitions that the new
+    rows fall into. Returns how many were added."""
     spark = df.sparkSession
-    fresh = df.dropDuplicates(key)
+    order = first_by or [c for c in df.columns if c not in key]
+    rest = [c for c in df.columns if c not in key]
+    picked = df.groupBy(*key).agg(F.min(F.struct(*order, *(c for c in rest if c not in order))).alias("_r")) if rest else df.distinct()
+    fresh = (picked.select(*key, "_r.*") if rest else picked).select(df.columns)
     if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(*key).distinct(), key, "left_anti")
-    fresh = fresh.select(df.columns).persist()
+        held = spark.read.parquet(path).select(*key)
+        if partition:  # joined first, so that the scan is pruned by the partitions that occur
+            held = held.join(F.broadcast(df.select(partition).distinct()), partition, "left_semi")
+        fresh = fresh.join(held, key, "left_anti")
+    fresh = stored(fresh, "append-new")
     added = fresh.count()
     if added:
-        fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
+        writer = fresh.write.mode("append")
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
     return added
 
 
