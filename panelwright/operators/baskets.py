@@ -86,20 +86,44 @@ def pair_spreads(returns: DataFrame, pairs: DataFrame, n: int, corr_n: int) -> D
 
 
 def pair_stats(spreads: DataFrame, per_year: float) -> DataFrame:
-    return spreads.groupBy("a", "b").agg(
-        F.max_by("z", "date").alias("z_now"), F.max_by("corr", "date").alias("corr_now"), F.min("corr").alias("corr_min"), F.max("corr").alias("corr_max"),
+    """Per pair, from monthly spreads: sums over one and three months, latest z and correlation, its range, vol and Sharpe."""
+    back = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("date").desc()))
+    recent = lambda n: F.sum(F.when(F.col("_back") <= n, F.col("spread")))
+    return spreads.withColumn("_back", back).groupBy("a", "b").agg(
+        recent(1).alias("ret_1m"), recent(3).alias("ret_3m"), F.max_by("z", "date").alias("z_now"), F.max_by("corr", "date").alias("corr_now"), F.min("corr").alias("corr_min"), F.max("corr").alias("corr_max"),
         (F.stddev_samp("spread") * per_year**0.5).alias("ann_vol"), F.when(F.stddev_samp("spread") > 0, F.avg("spread") / F.stddev_samp("spread") * per_year**0.5).alias("sharpe"), F.count("*").alias("n"),
     )
 
 
-def attribution(returns: DataFrame, drivers: DataFrame, betas: DataFrame, spans: list[tuple[str, Column]]) -> DataFrame:
-    """Per entity and window: actual return, contribution of each driver, factor, idiosyncratic part and its share.
-    returns: entity, date, ret; drivers: symbol, date, change; betas: entity, symbol, beta; spans: label, predicate on date."""
-    label = F.explode(F.filter(F.array(*(F.when(p, F.lit(n)) for n, p in spans)), lambda x: x.isNotNull()))
-    actual = returns.withColumn("window", label).groupBy("entity", "window").agg(F.sum("ret").alias("actual"))
-    moved = drivers.withColumn("window", label).groupBy("symbol", "window").agg(F.sum("change").alias("moved"))
-    parts = betas.join(moved, "symbol").groupBy("entity", "window").agg(F.sum(F.col("beta") * F.col("moved")).alias("factor"), F.max_by("symbol", F.abs(F.col("beta") * F.col("moved"))).alias("top_driver"))
-    out = actual.join(parts, ["entity", "window"]).withColumn("idio", F.col("actual") - F.col("factor"))
+#: Windows of an attribution: the last so many rows of a series; ytd: those of its last year.
+SPANS = {"1m": 4, "3m": 13, "ytd": None, "1y": 52}
+
+
+def windowed(returns: DataFrame, spans: dict[str, int | None], by: str = "entity", date: str = "date") -> DataFrame:
+    """Each row once for each window that it belongs to (column window). A series shorter than a window is all in it."""
+    back = F.row_number().over(Window.partitionBy(by).orderBy(F.col(date).desc()))
+    last = F.max(date).over(Window.partitionBy(by))
+    inside = [F.when(F.year(date) == F.year("_last") if n is None else F.col("_back") <= n, F.lit(name)) for name, n in spans.items()]
+    marked = returns.where("ret IS NOT NULL").withColumns({"_back": back, "_last": last})
+    return marked.withColumn("window", F.explode(F.array_compact(F.array(*inside)))).drop("_back", "_last")
+
+
+def contributions(returns: DataFrame, drivers: DataFrame, betas: DataFrame, spans: dict[str, int | None] = SPANS) -> DataFrame:
+    """entity, window, symbol, contribution: beta times the driver's changes summed over the window's dates.
+    returns: entity, date, ret; drivers: symbol, date, change; betas: entity, symbol, beta (missing ones count as 0)."""
+    dates = windowed(returns, spans).select("entity", "window", "date")
+    moved = dates.join(drivers, "date").groupBy("entity", "window", "symbol").agg(F.sum("change").alias("moved"))
+    known = betas.select("entity", "symbol", F.coalesce(F.when(~F.isnan("beta"), F.col("beta")), F.lit(0.0)).alias("beta"))
+    return known.join(moved, ["entity", "symbol"]).select("entity", "window", "symbol", (F.col("beta") * F.coalesce("moved", F.lit(0.0))).alias("contribution"))
+
+
+def attribution(returns: DataFrame, parts: DataFrame, spans: dict[str, int | None] = SPANS) -> DataFrame:
+    """Per entity and window: actual return, factor (all contributions together), top driver, idiosyncratic part and its
+    share. parts: contributions()."""
+    actual = windowed(returns, spans).groupBy("entity", "window").agg(F.sum("ret").alias("actual"), F.count("*").alias("n"))
+    factor = parts.groupBy("entity", "window").agg(F.sum("contribution").alias("factor"), F.max_by("symbol", F.struct(F.abs("contribution"), "symbol")).alias("top_driver"))
+    out = actual.join(factor, ["entity", "window"], "left").withColumn("factor", F.coalesce("factor", F.lit(0.0)))
+    out = out.withColumn("idio", F.col("actual") - F.col("factor"))
     return out.withColumn("idio_share", F.when(F.abs("actual") > 1e-6, F.col("idio") / F.col("actual")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
+from panelwright.functions.scalars import finite
 
 
 def daily_ic(signal: DataFrame, forward: DataFrame, min_names: int = 20, key: str = "ticker", date: str = "date") -> DataFrame:
@@ -43,14 +44,22 @@ def ic_summary(ics: DataFrame, most_lag: int, by: str = "horizon", date: str = "
 
 
 def ols_hac(wide: DataFrame, by: list[str], order: str, y: str, xs: list[str], lags: int = 4, least: int = 80) -> DataFrame:
-    """OLS with a constant per entity, HAC t-values, r2, adjusted r2 and variance shares. Spark sums the moments and the
-    lagged score products; only a k x k solve for each entity runs in Python."""
+    """OLS with a constant per entity, HAC t-values, r2, adjusted r2, variance shares and n_drivers. Of each entity, drivers
+    that half of its rows lack are left out first; then rows that lack any other; then drivers that don't vary over what is
+    left. A driver left out has beta and t 0. Values that aren't finite are missing. Spark sums the moments and the lagged
+    score products; only a k x k solve for each entity runs in Python."""
     names = ["const", *xs]
     k = len(names)
-    rows = wide.select(*by, order, F.col(y).alias("_y"), F.array(F.lit(1.0), *(F.col(x).cast("double") for x in xs)).alias("_x")).where(F.col("_y").isNotNull() & ~F.exists("_x", lambda v: v.isNull()))
+    clean = wide.select(*by, order, finite(F.col(y).cast("double")).alias("_y"), *(finite(F.col(x).cast("double")).alias(f"_x{i}") for i, x in enumerate(xs)))
+    dense = clean.groupBy(*by).agg(*((F.avg(F.col(f"_x{i}").isNotNull().cast("double")) >= 0.5).alias(f"_in{i}") for i in range(k - 1)))
+    present = clean.join(dense, by).select(*by, order, "_y", *(F.when(F.col(f"_in{i}"), F.col(f"_x{i}")).otherwise(0.0).alias(f"_x{i}") for i in range(k - 1))).dropna()
+    varied = present.groupBy(*by).agg(*((F.stddev_samp(f"_x{i}") > 1e-9).alias(f"_in{i}") for i in range(k - 1)))
+    used = [F.when(F.col(f"_in{i}"), F.col(f"_x{i}")).otherwise(0.0) for i in range(k - 1)]
+    drivers = sum((F.col(f"_in{i}").cast("int") for i in range(k - 1)), F.lit(0))
+    rows = present.join(varied, by).select(*by, order, "_y", F.array(F.lit(1.0), *used).alias("_x"), drivers.alias("n_drivers")).where("n_drivers > 0")
     outer = [F.sum(F.col("_x")[i] * F.col("_x")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
     inner = [F.sum(F.col("_x")[i] * F.col("_y")).alias(f"v{i}") for i in range(k)]
-    sums = rows.groupBy(*by).agg(F.count("*").alias("n_obs"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *outer, *inner).where(F.col("n_obs") >= least)
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n_obs"), F.max("n_drivers").alias("n_drivers"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), *outer, *inner).where(F.col("n_obs") >= least)
 
     def gram(p: pd.DataFrame) -> np.ndarray:
         g = np.empty((len(p), k, k))
@@ -62,52 +71,36 @@ def ols_hac(wide: DataFrame, by: list[str], order: str, y: str, xs: list[str], l
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                beta = np.einsum("nij,nj->ni", np.linalg.pinv(gram(p)), p[[f"v{i}" for i in range(k)]].to_numpy())
-                yield p[[*by]].assign(beta=list(beta))
+                inverse = np.linalg.pinv(gram(p))
+                beta = np.einsum("nij,nj->ni", inverse, p[[f"v{i}" for i in range(k)]].to_numpy())
+                yield p[[*by, "n_obs", "n_drivers"]].assign(beta=list(beta), inverse=[list(m) for m in inverse])
 
     key = ", ".join(f"{c} {wide.schema[c].dataType.simpleString()}" for c in by)
-    betas = sums.mapInPandas(solve, f"{key}, beta array<double>")
-    fitted = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = rows.join(betas, by).withColumn("_e", F.col("_y") - fitted).withColumn("_s", F.transform("_x", lambda v: v * F.col("_e")))
+    solved = sums.mapInPandas(solve, f"{key}, n_obs long, n_drivers int, beta array<double>, inverse array<array<double>>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    # A coefficient is a weighted sum of y, with weights from the inverse; its variance is that of these weights' scores.
+    scored = rows.drop("n_drivers").join(solved, by).withColumn("_e", F.col("_y") - dot(F.col("_x"), F.col("beta")))
+    scored = scored.withColumn("_s", F.transform("inverse", lambda row: dot(row, F.col("_x")) * F.col("_e")))
     w = Window.partitionBy(*by).orderBy(order)
     scored = scored.withColumns({f"_s{m}": F.lag("_s", m).over(w) for m in range(1, lags + 1)})
 
-    def meat(i: int, j: int) -> Column:
-        total = F.col("_s")[i] * F.col("_s")[j]
-        for m in range(1, lags + 1):
-            weight = 1 - m / (lags + 1)
-            total = total + weight * F.coalesce(F.col("_s")[i] * F.col(f"_s{m}")[j] + F.col(f"_s{m}")[i] * F.col("_s")[j], F.lit(0.0))
-        return F.sum(total).alias(f"h{i}_{j}")
-
-    hac = scored.groupBy(*by).agg(F.sum(F.col("_e") * F.col("_e")).alias("sse"), F.var_pop("_y").alias("var_y"), *(F.var_samp(F.col("_x")[i]).alias(f"vx{i}") for i in range(1, k)), *(meat(i, j) for i in range(k) for j in range(i, k)))
-    final = sums.join(betas, by).join(hac, by)
-
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
-            inv, h = np.linalg.pinv(gram(p)), np.empty((len(p), k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    h[:, i, j] = h[:, j, i] = p[f"h{i}_{j}"]
-            se = np.sqrt(np.maximum(np.einsum("nij,njk,nki->ni", inv, h, inv), 0))
-            beta, n = np.stack(p["beta"].to_numpy()), p["n_obs"].to_numpy()
-            sst = (p["var_y"] * n).to_numpy()
-            r2 = np.where(sst > 0, 1 - p["sse"].to_numpy() / np.where(sst > 0, sst, 1), 0.0)
-            out = p[[*by, "n_obs"]].assign(r2=r2, r2_adj=1 - (1 - r2) * (n - 1) / np.maximum(n - k, 1))
-            shares = np.zeros((len(p), k))
-            for i, name in enumerate(names):
-                out[f"beta_{name}"] = beta[:, i]
-                out[f"t_{name}"] = np.where(se[:, i] > 0, beta[:, i] / np.where(se[:, i] > 0, se[:, i], 1), 0.0)
-                if i:
-                    var_y = p["var_y"].to_numpy()
-                    shares[:, i] = np.where(var_y > 0, beta[:, i] ** 2 * p[f"vx{i}"].to_numpy() / np.where(var_y > 0, var_y, 1), 0.0)
-                    out[f"varshare_{name}"] = shares[:, i]
-            out["dominant"] = [names[i] for i in shares[:, 1:].argmax(1) + 1]
-            yield out
-
-    columns = ", ".join(f"beta_{n} double, t_{n} double" + (f", varshare_{n} double" if i else "") for i, n in enumerate(names))
-    return final.mapInPandas(finish, f"{key}, n_obs long, r2 double, r2_adj double, {columns}, dominant string")
+    def variance(j: int) -> Column:
+        own = F.sum(F.col("_s")[j] * F.col("_s")[j])
+        return own + sum((2 * (1 - m / (lags + 1)) * F.coalesce(F.sum(F.col("_s")[j] * F.col(f"_s{m}")[j]), F.lit(0.0)) for m in range(1, lags + 1)), F.lit(0.0))
+
+    out = scored.groupBy(*by).agg(
+        F.max("n_obs").alias("n_obs"), F.max("n_drivers").alias("n_drivers"), F.first("beta").alias("beta"), F.sum(F.col("_e") * F.col("_e")).alias("sse"), F.var_pop("_y").alias("var_y"),
+        F.array(*(variance(j) for j in range(k))).alias("var"), F.array(F.lit(0.0), *(F.var_samp(F.col("_x")[i]) for i in range(1, k))).alias("vx"),
+    )
+    sst = F.col("var_y") * F.col("n_obs")
+    r2 = F.when(sst > 0, 1 - F.col("sse") / sst).otherwise(0.0)
+    share = lambda i: F.when(F.col("var_y") > 0, F.col("beta")[i] * F.col("beta")[i] * F.col("vx")[i] / F.col("var_y")).otherwise(0.0)
+    columns = {"r2": r2, "r2_adj": 1 - (1 - r2) * (F.col("n_obs") - 1) / F.greatest(F.col("n_obs") - 1 - F.col("n_drivers"), F.lit(1))}
+    for i, name in enumerate(names):
+        columns |= {f"beta_{name}": F.col("beta")[i], f"t_{name}": F.when(F.col("var")[i] > 0, F.col("beta")[i] / F.sqrt(F.col("var")[i])).otherwise(0.0)}
+        columns |= {f"varshare_{name}": share(i)} if i else {}
+    best = F.array_max(F.array(*(F.struct(share(i).alias("share"), F.lit(-i).alias("place"), F.lit(names[i]).alias("name")) for i in range(1, k))))
+    return out.withColumns(columns | {"dominant": best["name"]}).drop("beta", "sse", "var_y", "var", "vx")
 
 
 def pair_correlations(df: DataFrame, key: str, date: str, value: str, least: int, group: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from panelwright.functions.scalars import friday, tier
 from panelwright.operators import baskets, stats
 from panelwright.sources import panels as src
 from panelwright.sources.panels import with_sql
+from panelwright.sources.scratch import stored
 
 from .registry import query, sql_take, take
 from .series import DRV, RET, drivers
@@ -143,9 +144,9 @@ def pair_align(spark, d):  # noqa: ANN001, ANN201
     return take(_spreads(spark, d), "a b date", "spread cum z corr")
 
 
-@query("agg_pair_stats", with_sql(*PX, more=f"{RB}, {BETA}, {SPREAD}") + "SELECT a, b, count(*) AS n, round(arg_max(z, date), 5) AS z_now, round(arg_max(corr, date), 5) AS corr_now, round(min(corr), 5) AS corr_min, round(max(corr), 5) AS corr_max, round(stddev_samp(spread) * sqrt(12), 5) AS ann_vol, round(avg(spread) / stddev_samp(spread) * sqrt(12), 5) AS sharpe FROM pz GROUP BY a, b")
+@query("agg_pair_stats", with_sql(*PX, more=f"{RB}, {BETA}, {SPREAD}") + "SELECT a, b, count(*) AS n, round(arg_max(spread, date), 5) AS ret_1m, round(sum(spread) FILTER (bk3 <= 3), 5) AS ret_3m, round(arg_max(z, date), 5) AS z_now, round(arg_max(corr, date), 5) AS corr_now, round(min(corr), 5) AS corr_min, round(max(corr), 5) AS corr_max, round(stddev_samp(spread) * sqrt(12), 5) AS ann_vol, round(avg(spread) / stddev_samp(spread) * sqrt(12), 5) AS sharpe FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) AS bk3 FROM pz) GROUP BY a, b")
 def pair_stats(spark, d):  # noqa: ANN001, ANN201
-    return take(baskets.pair_stats(_spreads(spark, d), 12.0), "a b n", "z_now corr_now corr_min corr_max ann_vol sharpe", 5)
+    return take(baskets.pair_stats(_spreads(spark, d), 12.0), "a b n", "ret_1m ret_3m z_now corr_now corr_min corr_max ann_vol sharpe", 5)
 
 
 @query(
@@ -175,44 +176,110 @@ def neighbours(spark, d):  # noqa: ANN001, ANN201
     return take(trailing.join(links, F.col("neighbour") == F.col("src")).withColumn("basket", F.col("dst")), "basket neighbour date", "ret")
 
 
-XS = ["ECONOMY", "LARGE", "SMALL"]
+XS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+#: A driver that most weeks lack, and one that never changes: both must be left out of every regression.
+ODD = ["RARE", "FLAT"]
 
 
-def _wide(spark, d):  # noqa: ANN001, ANN202
+def weekly_baskets(spark, d):  # noqa: ANN001, ANN201
+    """entity (nation), date (Friday), ret: log change of the price of what its suppliers shipped."""
     li = src.table(spark, d, "lineitem").join(src.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    own = li.groupBy(F.pmod("s_nationkey", F.lit(5)).alias("entity"), friday(F.to_date("l_shipdate")).alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("level"))
-    own = own.withColumn("y", win.log_return(F.col("level"), win.series("entity")))
-    changes = drivers(spark, d).groupBy("date").pivot("symbol", XS).agg(F.max("change"))
-    return own.join(changes, "date").select("entity", "date", "y", *XS)
+    own = li.groupBy(F.col("s_nationkey").alias("entity"), friday(F.to_date("l_shipdate")).alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("level"))
+    return own.withColumn("ret", win.log_return(F.col("level"), win.series("entity"))).select("entity", "date", "ret")
 
 
-@query(
-    "agg_ols_multi",
-    with_sql("drv", more=DRV + ", ow0 AS (SELECT s_nationkey % 5 AS entity, (l_shipdate::DATE + ((5 - dayofweek(l_shipdate) + 7) % 7)::INT)::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS level FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), ow AS (SELECT entity, date, ln(level / lag(level) OVER (PARTITION BY entity ORDER BY date)) AS y FROM ow0)")
-    + "SELECT entity, count(*) AS n_obs FROM ow JOIN (SELECT date FROM dr WHERE symbol IN ('ECONOMY', 'LARGE', 'SMALL') AND change IS NOT NULL GROUP BY date HAVING count(*) = 3) USING (date) WHERE y IS NOT NULL GROUP BY entity",
-)
-def ols_multi_counts(spark, d):  # noqa: ANN001, ANN201
-    return stats.ols_hac(_wide(spark, d), ["entity"], "date", "y", XS, 4, 80).select("entity", "n_obs")
+def _wide(spark, d):  # noqa: ANN001, ANN202
+    changes = drivers(spark, d).groupBy("date").pivot("symbol", XS).agg(F.max("change"))
+    both = weekly_baskets(spark, d).join(changes, "date").select("entity", "date", F.col("ret").alias("y"), *XS)
+    return both.withColumns({"RARE": F.when(F.month("date") == 1, F.col("ECONOMY")), "FLAT": F.lit(1.0)})
+
+
+def _fits(spark, d):  # noqa: ANN001, ANN202
+    return stored(stats.ols_hac(_wide(spark, d), ["entity"], "date", "y", [*XS, *ODD], 4, 80), "ols-fits")
+
+
+def ols_sql(source: str, by: str, order: str, y: str, xs: list[str], lags: int, least: int) -> str:
+    """Common table expressions up to ols (by, n_obs, r2 and, for each x, beta_, t_ and vs_): drivers are made orthogonal one
+    after the other; coefficients, and the weights that give them, follow backwards."""
+    k, over = len(xs), f"OVER (PARTITION BY {by})"
+    parts = [f"o_in AS (SELECT {by}, {order}, {y} AS y, {', '.join(f'{x} AS x{i}' for i, x in enumerate(xs))}, count(*) {over} AS n FROM {source} WHERE {y} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)} QUALIFY n >= {least})"]
+    parts.append(f"o_m AS (SELECT *, y - avg(y) {over} AS yd, {', '.join(f'x{i} - avg(x{i}) {over} AS d{i}' for i in range(k))} FROM o_in)")
+    before = "o_m"
+    for j in range(k):
+        slopes = "".join(f", sum(d{j} * q{i}) {over} / sum(q{i} * q{i}) {over} AS r{j}_{i}" for i in range(j))
+        parts.append(f"o_r{j} AS (SELECT *{slopes} FROM {before})")
+        parts.append(f"o_q{j} AS (SELECT *, d{j}{''.join(f' - r{j}_{i} * q{i}' for i in range(j))} AS q{j} FROM o_r{j})")
+        before = f"o_q{j}"
+    parts.append(f"o_s AS (SELECT *, {', '.join(f'sum(q{j} * q{j}) {over} AS s{j}, sum(yd * q{j}) {over} AS c{j}' for j in range(k))} FROM {before})")
+    before = "o_s"
+    for j in reversed(range(k)):
+        later = range(j + 1, k)
+        parts.append(f"o_b{j} AS (SELECT *, c{j} / s{j}{''.join(f' - r{i}_{j} * b{i}' for i in later)} AS b{j}, q{j} / s{j}{''.join(f' - r{i}_{j} * a{i}' for i in later)} AS a{j} FROM {before})")
+        before = f"o_b{j}"
+    parts.append(f"o_e AS (SELECT *, yd{''.join(f' - b{j} * d{j}' for j in range(k))} AS e FROM {before})")
+    lagged = ", ".join(f"lag(a{j} * e, {m}) OVER (PARTITION BY {by} ORDER BY {order}) AS g{j}_{m}" for j in range(k) for m in range(1, lags + 1))
+    parts.append(f"o_l AS (SELECT *, {lagged} FROM o_e)")
+    var = lambda j: f"sum(a{j} * e * a{j} * e)" + "".join(f" + 2 * {1 - m / (lags + 1)} * coalesce(sum(a{j} * e * g{j}_{m}), 0)" for m in range(1, lags + 1))
+    cols = ", ".join(f"any_value(b{j}) AS beta_{x}, any_value(b{j}) / sqrt({var(j)}) AS t_{x}, any_value(b{j}) ** 2 * var_samp(x{j}) / var_pop(y) AS vs_{x}" for j, x in enumerate(xs))
+    parts.append(f"ols AS (SELECT {by}, count(*) AS n_obs, 1 - sum(e * e) / sum(yd * yd) AS r2, {cols} FROM o_l GROUP BY {by})")
+    return ", ".join(parts)
+
+
+WEEKLY = f"""{DRV}, ow0 AS (SELECT s_nationkey AS entity, (l_shipdate::DATE + ((5 - dayofweek(l_shipdate) + 7) % 7)::INT)::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS level FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+ow AS (SELECT entity, date, ln(level / lag(level) OVER (PARTITION BY entity ORDER BY date)) AS ret FROM ow0), dw AS (SELECT date, {", ".join(f"max(change) FILTER (symbol = '{x}') AS {x}" for x in XS)} FROM dr GROUP BY date),
+wd AS (SELECT entity, date, ret, {", ".join(XS)} FROM ow JOIN dw USING (date)), {ols_sql("wd", "entity", "date", "ret", XS, 4, 80)}"""
+BEST = f"list_max([{', '.join(f'(vs_{x}, {len(XS) - i})' for i, x in enumerate(XS))}])[2]"
+DOMINANT = f"list_extract([{', '.join(repr(x) for x in XS)}], {len(XS) + 1} - {BEST})"
+
+
+@query("agg_ols_multi", with_sql("drv", more=WEEKLY) + f"SELECT entity, n_obs, {len(XS)} AS n_drivers, round(r2, 6) AS r2, round(1 - (1 - r2) * (n_obs - 1) / (n_obs - 1 - {len(XS)}), 6) AS r2_adj, {', '.join(f'round(beta_{x}, 6) AS beta_{x}' for x in XS)} FROM ols")
+def ols_multi(spark, d):  # noqa: ANN001, ANN201
+    """Every nation on all drivers."""
+    return take(_fits(spark, d), "entity n_obs n_drivers", "r2 r2_adj " + " ".join(f"beta_{x}" for x in XS))
 
 
-@query("agg_ols_multi_hac")
-def ols_multi(spark, d):  # noqa: ANN001, ANN201
-    """Betas and HAC t-values; checked against numpy in the tests."""
-    return stats.ols_hac(_wide(spark, d), ["entity"], "date", "y", XS, 4, 80)
+@query("agg_ols_multi_hac", with_sql("drv", more=WEEKLY) + f"SELECT entity, n_obs, {', '.join(f'round(t_{x}, 5) AS t_{x}, round(vs_{x}, 6) AS varshare_{x}' for x in XS)}, {DOMINANT} AS dominant FROM ols")
+def ols_multi_hac(spark, d):  # noqa: ANN001, ANN201
+    """HAC t-values and shares of variance; drivers that were left out are 0 and not shown."""
+    f = _fits(spark, d)
+    return f.select("entity", "n_obs", *(F.round(f"t_{x}", 5).alias(f"t_{x}") for x in XS), *(F.round(f"varshare_{x}", 6).alias(f"varshare_{x}") for x in XS), "dominant")
 
 
-@query("agg_dominant_share")
+@query("agg_dominant_share", with_sql("drv", more=WEEKLY) + f"SELECT n_regionkey AS region, dominant, n, round(n / sum(n) OVER (PARTITION BY n_regionkey), 6) AS share FROM (SELECT n_regionkey, dominant, count(*) AS n FROM (SELECT entity, {DOMINANT} AS dominant FROM ols) JOIN nation ON entity = n_nationkey GROUP BY ALL)")
 def dominant_share(spark, d):  # noqa: ANN001, ANN201
-    fits = stats.ols_hac(_wide(spark, d), ["entity"], "date", "y", XS, 4, 80)
-    return fits.groupBy("dominant").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """Of each region the share of its baskets that a driver dominates."""
+    nations = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("region"))
+    counts = _fits(spark, d).join(nations, "entity").groupBy("region", "dominant").agg(F.count("*").alias("n"))
+    return take(counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("region"))), "region dominant n", "share")
 
 
-@query("agg_attribution")
-def attribution(spark, d):  # noqa: ANN001, ANN201
-    wide = _wide(spark, d)
-    fits = stats.ols_hac(wide, ["entity"], "date", "y", XS, 4, 80)
+def attributed(spark, d):  # noqa: ANN001, ANN201
+    """returns of the nations that have a regression, and the contributions of every driver in every window."""
+    fits = _fits(spark, d)
     betas = fits.select("entity", F.explode(F.array(*(F.struct(F.lit(x).alias("symbol"), F.col(f"beta_{x}").alias("beta")) for x in XS))).alias("b")).select("entity", "b.*")
-    moves = drivers(spark, d).where(F.col("symbol").isin(XS)).select("symbol", "date", "change")
-    day = F.col("date")
-    spans = [("1998", F.year(day) == 1998), ("1998q2", (day >= F.lit("1998-04-01").cast("date")) & (day < F.lit("1998-07-01").cast("date")))]
-    return baskets.dispersion(baskets.attribution(wide.select("entity", "date", F.col("y").alias("ret")), moves, betas, spans))
+    r = weekly_baskets(spark, d).join(fits.select("entity"), "entity", "left_semi")
+    return r, baskets.contributions(r, drivers(spark, d).select("symbol", "date", "change"), betas)
+
+
+PARTS = f"""bl AS (SELECT * FROM (UNPIVOT (SELECT entity, {", ".join(f"beta_{x} AS {x}" for x in XS)} FROM ols) ON {", ".join(XS)} INTO NAME symbol VALUE beta)),
+wb AS (SELECT ow.*, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS back, max(date) OVER (PARTITION BY entity) AS last FROM ow WHERE ret IS NOT NULL AND entity IN (SELECT entity FROM ols)),
+ww AS (SELECT *, unnest(list_filter([CASE WHEN back <= 4 THEN '1m' END, CASE WHEN back <= 13 THEN '3m' END, CASE WHEN year(date) = year(last) THEN 'ytd' END, CASE WHEN back <= 52 THEN '1y' END], lambda v: v IS NOT NULL)) AS span FROM wb),
+pt AS (SELECT w.entity, w.span, dr.symbol, any_value(beta) * coalesce(sum(change), 0) AS contribution FROM ww w JOIN dr USING (date) JOIN bl ON bl.entity = w.entity AND bl.symbol = dr.symbol GROUP BY ALL),
+av AS (SELECT entity, span, sum(ret) AS actual, count(*) AS n FROM ww GROUP BY ALL), fc AS (SELECT entity, span, sum(contribution) AS factor, arg_max(symbol, (abs(contribution), symbol)) AS top_driver FROM pt GROUP BY ALL),
+att AS (SELECT entity, span, n, actual, coalesce(factor, 0) AS factor, top_driver, actual - coalesce(factor, 0) AS idio FROM av LEFT JOIN fc USING (entity, span))"""
+
+
+@query("agg_contributions", with_sql("drv", more=f"{WEEKLY}, {PARTS}") + 'SELECT entity, span AS "window", symbol, round(contribution, 6) + 0.0 AS contribution FROM pt')
+def contributions(spark, d):  # noqa: ANN001, ANN201
+    return take(attributed(spark, d)[1], "entity window symbol", "contribution").withColumn("contribution", F.col("contribution") + 0.0)
+
+
+@query("agg_attribution", with_sql("drv", more=f"{WEEKLY}, {PARTS}") + 'SELECT entity, span AS "window", n, top_driver, round(actual, 6) + 0.0 AS actual, round(factor, 6) + 0.0 AS factor, round(idio, 6) + 0.0 AS idio, round(CASE WHEN abs(actual) > 1e-6 THEN idio / actual END, 4) + 0.0 AS idio_share FROM att')
+def attribution(spark, d):  # noqa: ANN001, ANN201
+    a = baskets.attribution(*attributed(spark, d)).withColumn("idio_share", F.round("idio_share", 4))
+    out = take(a, "entity window n top_driver", "actual factor idio idio_share")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("actual", "factor", "idio", "idio_share")})
+
+
+def dispersed(spark, d):  # noqa: ANN001, ANN201
+    return baskets.dispersion(baskets.attribution(*attributed(spark, d)))

@@ -11,9 +11,9 @@ from panelwright.operators import baskets, panel, signals, workbench
 from panelwright.sources import panels as src
 from panelwright.sources import readers
 from panelwright.sources.panels import with_sql
-from panelwright.sources.scratch import scratch_path
+from panelwright.sources.scratch import scratch_path, stored
 
-from . import basket_plans, scores
+from . import basket_plans, scores, series
 from .registry import query, take
 
 
@@ -29,12 +29,12 @@ def left_wide(spark, d):  # noqa: ANN001, ANN201
     return s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("s_suppkey", "n_name", "r_name")
 
 
-@query("join_full", "WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_shipdate < DATE '1992-06-01' GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '2001-11-01' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, a.n AS n0, b.n AS n1 FROM a FULL JOIN b ON a.k = b.k")
+@query("join_full", "WITH a AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate < DATE '1998-07-01' GROUP BY ALL), b AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1998-07-01' GROUP BY ALL) SELECT l_suppkey, l_partkey, a.n AS n0, b.n AS n1 FROM a FULL JOIN b USING (l_suppkey, l_partkey)")
 def full(spark, d):  # noqa: ANN001, ANN201
-    li = src.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "k")
-    a = li.where("l_shipdate < DATE '1992-06-01'").groupBy("k").agg(F.count("*").alias("n0"))
-    b = li.where("l_shipdate >= DATE '2001-11-01'").groupBy("k").agg(F.count("*").alias("n1"))
-    return a.join(b, "k", "full_outer")
+    """What each supplier shipped of each part in the two halves of the time."""
+    li, key = src.table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"]
+    half = lambda cond, name: li.where(cond).groupBy(*key).agg(F.count("*").alias(name))
+    return half("l_shipdate < DATE '1998-07-01'", "n0").join(half("l_shipdate >= DATE '1998-07-01'", "n1"), key, "full_outer")
 
 
 @query("join_self_pairs", with_sql("px", "bk", more=basket_plans.RB) + "SELECT a.ticker AS a, b.ticker AS b, a.date, round(a.ret - b.ret, 6) AS gap FROM rb a JOIN rb b ON a.date = b.date AND a.basket = b.basket AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL")
@@ -107,9 +107,9 @@ def world_table(spark, d):  # noqa: ANN001, ANN201
     return one.select("country", F.round("production", 4).alias("value"), F.round(F.sum("production").over(every), 4).alias("world"), F.round(F.col("production") / F.sum("production").over(every), 8).alias("share"))
 
 
-@query("sort_nulls_last", with_sql("px", more="r AS (SELECT ticker, date, close / lag(close, 6) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM px)") + "SELECT ticker, date, round(ret, 6) AS ret FROM r WHERE date < DATE '1993-01-01' ORDER BY ret DESC NULLS LAST")
+@query("sort_nulls_last", with_sql("px", more="r AS (SELECT ticker, date, close / lag(close, 6) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM px)") + "SELECT ticker, date, round(ret, 6) AS ret FROM r ORDER BY ret DESC NULLS LAST")
 def nulls_last(spark, d):  # noqa: ANN001, ANN201
-    r = src.monthly_prices(spark, d).withColumn("ret", win.simple_return(F.col("close"), win.series("ticker"), 6)).where("date < DATE '1993-01-01'")
+    r = src.monthly_prices(spark, d).withColumn("ret", win.simple_return(F.col("close"), win.series("ticker"), 6))
     return take(workbench.sorted_by(r, "ret", False), "ticker date", "ret")
 
 
@@ -140,38 +140,108 @@ def family_coverage(spark, d):  # noqa: ANN001, ANN201
     return scores._scored(spark, d).groupBy("as_of").agg(F.count("*").alias("n"), F.count("score_momentum").alias("momentum"), F.count("score_value").alias("value"), F.count("score_quality").alias("quality"), F.count("composite").alias("ranked"))
 
 
-NODE = f"{basket_plans.RB}, l AS (SELECT basket, date, avg(ret) AS r, stddev_samp(ret) AS dispersion FROM rb WHERE ret IS NOT NULL GROUP BY ALL), t0 AS (SELECT basket, date, dispersion, sum(r) OVER (PARTITION BY basket ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r3 FROM l), t AS (SELECT basket, date, dispersion, r3 - avg(r3) OVER (PARTITION BY date) AS gap, (rank() OVER (PARTITION BY date ORDER BY r3) - 1) / count(*) OVER (PARTITION BY date) AS pctl FROM t0)"
+def _recent(spark, d):  # noqa: ANN001, ANN202
+    """ticker, basket, r3: return over the last three months of each name's prices."""
+    return panel.returns_summary(src.monthly_prices(spark, d), "ticker", "date", "close", {"r3": 3}).select("ticker", "r3").join(src.baskets(spark, d), "ticker")
+
+
+R3 = "lp AS (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM px), r3 AS (SELECT ticker, basket, super_basket, max(close) FILTER (back = 1) / max(close) FILTER (back = 4) - 1 AS r3 FROM lp JOIN bk USING (ticker) GROUP BY ALL)"
+RESID = f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}, rs AS (SELECT ticker, ret - alpha - beta * loo AS res, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bt JOIN fit USING (ticker)), rz AS (SELECT ticker, sum(res) FILTER (back <= 12) / (stddev_samp(res) * sqrt(12)) AS z FROM rs GROUP BY ticker)"
+
+
+def _signal_sql(kind: str, measure: str, limit: float, scale: str, side: str) -> str:
+    return f"SELECT node, '{kind}' AS type, coalesce(abs({measure}) > {limit}, false) AS firing, round(coalesce(least(abs({measure}) / {scale}, 1), 0), 5) AS score, CASE WHEN coalesce(abs({measure}) > {limit}, false) THEN sign({side})::INT ELSE 0 END AS direction FROM w"
+
+
+NODE = f"""{RESID}, {R3}, {basket_plans.WEEKLY}, {basket_plans.PARTS},
+bm1 AS (SELECT basket AS g, date, avg(ret) AS y FROM rb GROUP BY ALL), mk1 AS (SELECT date, avg(ret) AS x FROM rb GROUP BY ALL), bx1 AS (SELECT g, date, y, x FROM bm1 JOIN mk1 USING (date) WHERE y IS NOT NULL AND x IS NOT NULL),
+rb1 AS (SELECT g, date, CASE WHEN count(*) OVER w = 24 THEN covar_samp(y, x) OVER w / nullif(var_samp(x) OVER w, 0) END AS beta FROM bx1 WINDOW w AS (PARTITION BY g ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+rg1 AS (SELECT g, coalesce((arg_max(beta, date) - avg(beta)) / nullif(stddev_samp(beta), 0), 0) AS z FROM rb1 WHERE beta IS NOT NULL GROUP BY g HAVING count(*) >= 30),
+pp AS (SELECT a.g AS a, b.g AS b, a.date, a.y - b.y AS spread FROM bx1 a JOIN bx1 b ON a.date = b.date AND b.g = a.g + 1), pc1 AS (SELECT *, sum(spread) OVER (PARTITION BY a, b ORDER BY date) AS cum FROM pp),
+pz1 AS (SELECT a, b, date, CASE WHEN count(*) OVER w = 12 THEN coalesce((cum - avg(cum) OVER w) / nullif(stddev_samp(cum) OVER w, 0), 0) END AS z FROM pc1 WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+pl1 AS (SELECT a, b, arg_max(z, date) AS z FROM pz1 WHERE z IS NOT NULL GROUP BY a, b), ps AS (SELECT a AS node, -z AS z, b AS other FROM pl1 UNION ALL SELECT b, z, a FROM pl1),
+pw AS (SELECT node, arg_max(z, (abs(z), -other)) AS pair_z FROM ps GROUP BY node),
+st1 AS (SELECT basket AS node, count(*) FILTER (abs(z) > 1.5) AS n_stretched, count(*) FILTER (z > 1.5) - count(*) FILTER (z < -1.5) AS balance, greatest(2, 0.2 * count(*)) AS scale FROM bk LEFT JOIN rz USING (ticker) GROUP BY basket),
+mo AS (SELECT basket AS node, avg(r3) AS momentum FROM r3 GROUP BY basket), gp AS (SELECT entity AS node, idio AS gap FROM att WHERE span = '1m'), ds AS (SELECT entity AS node, abs(idio) / nullif(abs(factor) + abs(idio), 0) AS dispersion FROM att WHERE span = '3m'),
+w AS (SELECT st1.*, pair_z, gap, rg1.z AS regime_z, dispersion, momentum FROM st1 LEFT JOIN pw USING (node) LEFT JOIN gp USING (node) LEFT JOIN rg1 ON rg1.g = node LEFT JOIN ds USING (node) LEFT JOIN mo USING (node))"""
 
 
 @query(
     "pipe_basket_signals",
-    with_sql("px", "bk", more=NODE)
-    + "SELECT basket, date, type, coalesce(abs(x) >= lim, false) AS firing, round(abs(x) / lim, 5) AS score, CASE WHEN coalesce(abs(x) >= lim, false) THEN sign(x)::INT ELSE 0 END AS direction FROM (SELECT basket, date, 'gap' AS type, gap AS x, 0.05 AS lim FROM t UNION ALL SELECT basket, date, 'dispersion', dispersion, 0.2 FROM t UNION ALL SELECT basket, date, 'momentum', pctl - 0.5, 0.3 FROM t)",
+    with_sql("px", "bk", "drv", more=NODE)
+    + " UNION ALL ".join(_signal_sql(*x) for x in (("pair", "pair_z", 1.5, "3.0", "pair_z"), ("residual", "n_stretched", 1.5, "scale", "balance"), ("gap", "gap", 0.02, "0.15", "-gap"), ("regime", "regime_z", 2.0, "4.0", "0"), ("dispersion", "dispersion", 0.5, "1.0", "0"), ("momentum", "momentum", 0.1, "0.3", "momentum"))).replace("SELECT node,", "SELECT node AS basket,"),
 )
 def basket_signals(spark, d):  # noqa: ANN001, ANN201
-    r = basket_plans.returns(spark, d).where("ret IS NOT NULL")
-    level = r.groupBy("basket", "date").agg(F.avg("ret").alias("r"), F.stddev_samp("ret").alias("dispersion"))
-    t = level.withColumn("r3", F.sum("r").over(win.trailing(win.series("basket"), 3)))
-    day = Window.partitionBy("date")
-    wide = t.withColumns({"gap": F.col("r3") - F.avg("r3").over(day), "momentum_pctl": (F.rank().over(day.orderBy("r3")) - 1) / F.count("*").over(day)})
-    wide = wide.withColumn("node", F.struct("basket", "date"))
-    out = signals.stack(wide, "node", signals.BASKET_LIMITS)
-    return out.select("node.basket", "node.date", "type", "firing", F.round("score", 5).alias("score"), "direction")
-
-
-@query("pipe_stock_signals")
-def stock_signals(spark, d):  # noqa: ANN001, ANN201
-    """Residual and peer signals of every name at its last date."""
+    """All six signals of every nation at its last date."""
     r = basket_plans.returns(spark, d)
-    _, z = baskets.single_factor(r, 40, 12, 3)
-    gap = baskets.leave_one_out(r).groupBy("ticker").agg(F.max_by(F.col("ret") - F.col("loo"), "date").alias("peer_gap"))
-    wide = z.select("ticker", F.col("z_12").alias("residual_z")).join(gap, "ticker", "left")
-    return signals.stack(wide, "ticker", signals.STOCK_LIMITS)
+    means = r.groupBy(F.col("basket").alias("ticker"), "date").agg(F.avg("ret").alias("ret")).where("ret IS NOT NULL")
+    pairs = means.select(F.col("ticker").alias("a")).distinct().withColumn("b", F.col("a") + 1)  # neighbours; b may not exist
+    spreads = baskets.pair_spreads(means, pairs, 12, 24).where("z IS NOT NULL").groupBy("a", "b").agg(F.max_by("z", "date").alias("z"))
+    # The side to buy is the one that lags: a where the spread is low.
+    sides = spreads.select(F.col("a").alias("basket"), (-F.col("z")).alias("z"), F.col("b").alias("other")).union(spreads.select("b", "z", "a"))
+    pair = sides.groupBy("basket").agg(F.max_by("z", F.struct(F.abs("z"), -F.col("other"))).alias("pair_z"))
+    z = baskets.single_factor(r, 40, 12, 3)[1].select("ticker", F.col("z_12").alias("z"))
+    count = lambda hit: F.count(F.when(hit, 1))
+    stretched = src.baskets(spark, d).join(z, "ticker", "left").groupBy("basket").agg(
+        count(F.abs("z") > 1.5).alias("n_stretched"), (count(F.col("z") > 1.5) - count(F.col("z") < -1.5)).alias("stretch_balance"), F.greatest(F.lit(2.0), F.count("*") * 0.2).alias("stretch_scale")
+    )
+    both = means.withColumnRenamed("ret", "y").join(r.groupBy("date").agg(F.avg("ret").alias("x")), "date").withColumnRenamed("ticker", "basket")
+    betas = both.withColumn("beta", win.rolling_beta(F.col("y"), F.col("x"), win.series("basket"), 24))
+    regime = baskets.regimes(betas, ["basket"], 30).select("basket", F.col("z").alias("regime_z"))
+    parts = stored(basket_plans.dispersed(spark, d).withColumnRenamed("entity", "basket"), "signal-parts")
+    gap = parts.where("window = '1m'").select("basket", F.col("idio").alias("gap"))
+    dispersion = parts.where("window = '3m'").select("basket", "dispersion")
+    momentum = _recent(spark, d).groupBy("basket").agg(F.avg("r3").alias("momentum"))
+    wide = stretched
+    for more in (pair, gap, regime, dispersion, momentum):
+        wide = wide.join(more, "basket", "left")
+    return signals.stack(wide, ["basket"], signals.BASKET_SIGNALS).withColumn("score", F.round("score", 5))
+
+
+# A name's idiosyncratic part: what its basket and the driver model of the basket's nation don't explain over 13 weeks.
+STOCK = f"""{RESID}, {R3}, sw0 AS (SELECT l_suppkey AS ticker, (l_shipdate::DATE + ((5 - dayofweek(l_shipdate) + 7) % 7)::INT)::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS level FROM lineitem GROUP BY ALL),
+sw AS (SELECT ticker, date, ln(level / lag(level) OVER (PARTITION BY ticker ORDER BY date)) AS ret FROM sw0), {basket_plans.WEEKLY},
+bl AS (SELECT * FROM (UNPIVOT (SELECT entity, {", ".join(f"beta_{x} AS {x}" for x in basket_plans.XS)} FROM ols) ON {", ".join(basket_plans.XS)} INTO NAME symbol VALUE beta)),
+sb AS (SELECT ticker, basket, date, ret FROM sw JOIN bk USING (ticker) WHERE ret IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 13),
+sa AS (SELECT ticker, sum(ret) AS actual FROM sb GROUP BY ticker), sf AS (SELECT ticker, sum(b.beta * change) AS factor FROM sb JOIN dr USING (date) JOIN bl b ON b.entity = basket AND b.symbol = dr.symbol GROUP BY ticker),
+md AS (SELECT a.ticker, a.r3, list_sort(list(b.r3)) AS peers FROM r3 a JOIN r3 b ON a.basket = b.basket AND a.ticker <> b.ticker WHERE a.r3 IS NOT NULL AND b.r3 IS NOT NULL GROUP BY ALL),
+w AS (SELECT bk.ticker AS node, z, CASE WHEN factor IS NOT NULL THEN abs(actual - factor) / nullif(abs(factor) + abs(actual - factor), 0) END AS dispersion, CASE WHEN len(peers) >= 3 THEN md.r3 - peers[len(peers) // 2 + 1] END AS gap FROM bk LEFT JOIN rz USING (ticker) LEFT JOIN sa USING (ticker) LEFT JOIN sf USING (ticker) LEFT JOIN md USING (ticker))"""
 
 
-@query("pipe_dispersion")
+@query(
+    "pipe_stock_signals",
+    with_sql("px", "bk", "drv", more=STOCK) + " UNION ALL ".join(_signal_sql(*x) for x in (("residual", "z", 1.5, "3.0", "-z"), ("attribution", "dispersion", 0.6, "1.0", "0"), ("peer", "gap", 0.1, "0.3", "gap"))).replace("SELECT node,", "SELECT node AS ticker,"),
+)
+def stock_signals(spark, d):  # noqa: ANN001, ANN201
+    """All three signals of every name at its last date."""
+    z = baskets.single_factor(basket_plans.returns(spark, d), 40, 12, 3)[1].select("ticker", F.col("z_12").alias("residual_z"))
+    li = src.table(spark, d, "lineitem")
+    own = li.groupBy(F.col("l_suppkey").alias("ticker"), scalars.friday(F.to_date("l_shipdate")).alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("level"))
+    own = own.withColumn("ret", win.log_return(F.col("level"), win.series("ticker"))).join(src.baskets(spark, d), "ticker")
+    fits = basket_plans._fits(spark, d)
+    betas = fits.select(F.col("entity").alias("basket"), F.explode(F.array(*(F.struct(F.lit(x).alias("symbol"), F.col(f"beta_{x}").alias("beta")) for x in basket_plans.XS))).alias("b")).select("basket", "b.*")
+    named = src.baskets(spark, d).join(betas, "basket").select(F.col("ticker").alias("entity"), "symbol", "beta")
+    returns = own.select(F.col("ticker").alias("entity"), "date", "ret")
+    span = {"3m": 13}
+    parts = baskets.contributions(returns, series.drivers(spark, d).select("symbol", "date", "change"), named, span)
+    share = baskets.dispersion(baskets.attribution(returns, parts, span)).where("top_driver IS NOT NULL").select(F.col("entity").alias("ticker"), "dispersion")
+    # The median of a name's peers from its place among all of its basket: one sort of each basket, no pairs.
+    r3 = _recent(spark, d).where("r3 IS NOT NULL")
+    basket = Window.partitionBy("basket")
+    placed = r3.withColumns({"i": F.row_number().over(basket.orderBy("r3", "ticker")) - 1, "n": F.count("*").over(basket)})
+    middle = F.floor((F.col("n") - 1) / 2)
+    spots = placed.groupBy("basket").agg(F.max(F.when(F.col("i") == middle, F.col("r3"))).alias("low"), F.max(F.when(F.col("i") == middle + 1, F.col("r3"))).alias("high"))
+    median = F.when(F.col("i") > middle, F.col("low")).otherwise(F.col("high"))
+    gap = placed.join(spots, "basket").where("n >= 4").select("ticker", (F.col("r3") - median).alias("peer_gap"))
+    wide = src.baskets(spark, d).select("ticker")
+    for more in (z, share, gap):
+        wide = wide.join(more, "ticker", "left")
+    return signals.stack(wide, ["ticker"], signals.STOCK_SIGNALS).withColumn("score", F.round("score", 5))
+
+
+@query("pipe_dispersion", with_sql("drv", more=f"{basket_plans.WEEKLY}, {basket_plans.PARTS}") + 'SELECT entity, span AS "window", round(abs(idio) / nullif(abs(factor) + abs(idio), 0), 6) AS dispersion FROM att ORDER BY dispersion DESC')
 def dispersion(spark, d):  # noqa: ANN001, ANN201
-    return basket_plans.attribution(spark, d).select("entity", "window", "dispersion").orderBy(F.desc("dispersion"))
+    return take(basket_plans.dispersed(spark, d), "entity window", "dispersion").orderBy(F.desc("dispersion"))
 
 
 @query("src_prices_csv", "SELECT 'EVENTS' AS ticker, ts::DATE AS date, round(max(value), 4) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ts::DATE")
