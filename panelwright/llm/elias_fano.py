@@ -9,7 +9,9 @@ import numpy as np
 
 ABSENT = np.uint16(0xFFFF)
 #: Steps of a quantised value in a factor of ten, and the power of ten of the largest value.
-STEPS, LARGEST = 2500, 10
+STEPS, LARGEST = 1250, 10
+#: Added to the code of a pair's value, to tell it from a triple's.
+PAIR = 0x8000
 
 
 class EliasFano:
@@ -62,19 +64,20 @@ class EliasFano:
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    """Codes of values from 1e-16 to 1e10, to within one part in 2000."""
-    return np.clip(np.rint((LARGEST - np.log10(x)) * STEPS), 0, ABSENT - 1).astype(np.uint16)
+    """Codes of values from 1e-16 to 1e10, below PAIR, to within one part in 1000."""
+    return np.clip(np.rint((LARGEST - np.log10(x)) * STEPS), 0, PAIR - 2).astype(np.uint16)
 
 
 def restored(code: np.ndarray, absent: float = 0.0) -> np.ndarray:
-    return np.where(code == ABSENT, absent, 10.0 ** (LARGEST - code.astype(np.float64) / STEPS))
+    """Values of codes; those of pairs too."""
+    return np.where(code == ABSENT, absent, 10.0 ** (LARGEST - (code & (PAIR - 1)).astype(np.float64) / STEPS))
 
 
 class Trie:
     """Levels: context words v; their successors w; the words u before v, as ranks among all that precede v. Every
-    level is an Elias-Fano sequence with monotone pointers into the next. A pair v w holds its smoothed probability
-    p2 = (c(v w) / k2 + p1(w)) back1(v) and the back-off weight k3 / (c(v w) + k3) of v w as a context; a triple u v w holds
-    its smoothed probability without the weight of its context, c(u v w) / k3 + p2(w after v). All are quantised.
+    level is an Elias-Fano sequence with monotone pointers into the next. Values are smoothed probabilities over the
+    back-off weight of their context: a pair v w holds value2 = c(v w) / k2 + p1(w), and the back-off weight
+    k3 / (c(v w) + k3) of v w as a context; a triple u v w holds c(u v w) / k3 + back1(v) value2. All are quantised.
     The levels lie in one file, which is memory-mapped and goes when the trie is closed."""
 
     def __init__(self, v: np.ndarray, w: np.ndarray, u: np.ndarray, count: np.ndarray, p1: np.ndarray, back1: np.ndarray, k2: float, k3: float) -> None:
@@ -87,8 +90,8 @@ class Trie:
         new1 = np.ones(len(v), bool)
         new1[1:] = v[1:] != v[:-1]
         c3, c2 = (np.add.reduceat(count, np.flatnonzero(x)) if len(v) else count for x in (new3, new2))
-        p2 = (c2 / k2 + p1[new2]) * back1[new2]
-        value3 = c3 / k3 + p2[(np.cumsum(new2) - 1)[new3]]
+        value2 = c2 / k2 + p1[new2]
+        value3 = c3 / k3 + (back1[new2] * value2)[(np.cumsum(new2) - 1)[new3]]
         contexts, words = v[new1], np.unique(w)
         rank1 = np.cumsum(new1) - 1
         self.n_words, self.top = max(1, len(words)), int(max(u.max(initial=0), v.max(initial=0), w.max(initial=0))) + 1
@@ -101,7 +104,7 @@ class Trie:
         parts: list = []
         for values, universe in ((contexts, self.top), (words, self.top), (pairs, len(contexts) * self.top), (starts, len(pairs) + 1), (level2, len(contexts) * self.n_words), (level3, len(level2) * self.widest)):
             parts.append(EliasFano.encoded(values, int(universe) + 1))
-        arrays = [a for p in parts for a in p[2:]] + [quantised(p2), quantised(k3 / (c2 + k3)), quantised(value3)]
+        arrays = [a for p in parts for a in p[2:]] + [quantised(value2), quantised(k3 / (c2 + k3)), quantised(value3)]
         handle, self.path = tempfile.mkstemp(prefix="trie-")
         at, places = 0, []
         with os.fdopen(handle, "wb") as out:
@@ -113,15 +116,15 @@ class Trie:
         views = [mapped[b : b + n * d.itemsize].view(d) for b, d, n in places]
         self.bytes = at
         self.contexts, self.words, self.pairs, self.starts, self.level2, self.level3 = (EliasFano(p[0], p[1], views[2 * k], views[2 * k + 1]) for k, p in enumerate(parts))
-        self.p2, self.back2, self.value3 = views[-3:]
+        self.value2, self.back2, self.value3 = views[-3:]
 
     def codes(self, v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each u v w the code of the longest match, of u v w or else of v w, and that of the back-off weight of v w."""
+        """For each u v w the code of the longest match, of u v w or else (PAIR more) of v w, and that of the back-off weight of v w."""
         value, back = np.full(len(v), ABSENT), np.full(len(v), ABSENT)
         context, word = self.contexts.find(v), self.words.find(w)
         i2 = self.level2.find(np.where((context >= 0) & (word >= 0), context * self.n_words + word, -1))
         ok = np.flatnonzero(i2 >= 0)
-        value[ok], back[ok] = self.p2[i2[ok]], self.back2[i2[ok]]
+        value[ok], back[ok] = self.value2[i2[ok]] + np.uint16(PAIR), self.back2[i2[ok]]
         pair = self.pairs.find(context[ok] * self.top + u[ok])
         ok, pair = ok[pair >= 0], pair[pair >= 0]
         i3 = self.level3.find(i2[ok] * self.widest + pair - self.starts.at(context[ok]))

@@ -13,8 +13,9 @@ With c the training counts, N their sum and V the distinct words, the score of u
 p1 = (c(w) - D1) / N for known words and D1 V / N for all unknown ones together,
 p2 = (c(v w) + K2 p1) / (c(v) + K2) and p3 = (c(u v w) + K3 p2) / (c(u v) + K3).
 The trie holds it as back-off: with back1(v) = K2 / (c(v) + K2) and back2(u v) = K3 / (c(u v) + K3),
-p2 = back1(v) (c(v w) / K2 + p1) and p3 = back2(u v) (c(u v w) / K3 + p2). Values and weights are what is stored; scoring
-multiplies them, with the shorter n-gram's value where the longer one was never seen, and sees no counts but c(w).
+p2 = back1(v) (c(v w) / K2 + p1) and p3 = back2(u v) (c(u v w) / K3 + p2). These values and weights are what is stored;
+scoring multiplies them, with the shorter n-gram's value where the longer one was never seen, and sees no counts but c(w).
+What a shard needs of the first level to build a smoothed value, p1 and back1, comes with the requests in one byte each.
 
 Defined results: a null text is empty and consists of the end token; rows with a null id are scored but not learned
 from; rows that repeat an id are learned from as often as given; without training tokens, every token has p1 = 1;
@@ -35,10 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stored
-from .elias_fano import ABSENT, Trie, quantised, restored
+from .elias_fano import ABSENT, PAIR, Trie, restored
 
-BATCH_TOKENS, VOCABULARY_SHARD, NGRAM_SHARD = 1_000_000, 250_000, 500_000
+BATCH_TOKENS, VOCABULARY_SHARD, NGRAM_SHARD = 2_000_000, 500_000, 1_000_000
 D1, K2, K3 = 0.5, 8.0, 2.0
+COARSE_STEPS = 28
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line break
 BOS = 1
 
@@ -184,13 +186,13 @@ class _Batch:
         pairs = pair[key // n]
         return pairs // n, pairs % n, key % n, count, at
 
-    def level1(self, n_total: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of p1 (ABSENT for unknown words) and of back1, by local number."""
+    def level1(self, n_total: int, n_docs: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """p1 and back1 by local number."""
         c = self.counts.copy()
         c[0] = n_docs
-        known = c > 0
-        p1 = np.where(known, quantised(np.maximum(c - D1, D1) / max(1, n_total)), ABSENT)
-        return p1, quantised(K2 / (c + K2))
+        if not n_total:
+            return np.ones(len(c)), np.ones(len(c))
+        return np.where(c > 0, c - D1, D1 * n_words) / n_total, K2 / (c + K2)
 
     def shards(self, v: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The shard of each n-gram, and the order by shard and first word in which they are asked for."""
@@ -198,6 +200,15 @@ class _Batch:
         return at, np.argsort(at * (int(self.ids.max()) + 1) + self.ids[v], kind="stable")
 
 
+def _coarse(x: np.ndarray) -> bytes:
+    """Numbers from 1e-9 to 1 in one byte, to within one part in 24."""
+    return _zip(np.clip(np.rint(-np.log10(x) * COARSE_STEPS), 0, 255).astype(np.uint8))
+
+
+def _from_coarse(data: bytes) -> np.ndarray:
+    return 10.0 ** (-_unzip(data, np.uint8).astype(np.float64) / COARSE_STEPS)
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before."""
     out = np.ones(len(columns[0]), bool)
@@ -205,21 +216,21 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ask_ngrams(shards: int, n_total: int, n_docs: int):  # noqa: ANN202
+def _ask_ngrams(shards: int, n_total: int, n_docs: int, n_words: int):  # noqa: ANN202
     """Requests: v (as differences), w, u and training counts of n-grams in order of v and w; back1 of each distinct v and p1
     of each distinct v w."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = _Batch(left.to_pylist()[0], right)
         v, w, u, count, _ = batch.ngrams()
-        p1, back1 = batch.level1(n_total, n_docs)
+        p1, back1 = batch.level1(n_total, n_docs, n_words)
         at, order = batch.shards(v, w, shards)
         v, w, u, count = v[order], w[order], u[order], count[order]
         out = []
         for k, s in _cut(at[order], shards):
             firsts, pairs = _changes(v[s]), _changes(v[s], w[s])
             ids = (_zip_ids(np.diff(batch.ids[v[s]], prepend=0)), *(_zip_ids(batch.ids[x[s]]) for x in (w, u)))
-            out.append((k, batch.row["batch"], *ids, _zip(count[s].astype(np.uint32)), _zip_codes(back1[v[s][firsts]]), _zip_codes(p1[w[s][pairs]])))
+            out.append((k, batch.row["batch"], *ids, _zip(count[s].astype(np.uint32)), _coarse(back1[v[s][firsts]]), _coarse(p1[w[s][pairs]])))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "batch", "v", "w", "u", "n", "back1", "p1"])
 
@@ -230,12 +241,12 @@ def _answer_ngrams(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     read = lambda c: [_unzip_ids(r[c]) for r in rows]
     slices, ws = [np.cumsum(x) for x in read("v")], read("w")
-    back1 = [_unzip_codes(r["back1"])[np.cumsum(_changes(v)) - 1] for r, v in zip(rows, slices, strict=True)]
-    p1 = [_unzip_codes(r["p1"])[np.cumsum(_changes(v, w)) - 1] for r, v, w in zip(rows, slices, ws, strict=True)]
+    back1 = [_from_coarse(r["back1"])[np.cumsum(_changes(v)) - 1] for r, v in zip(rows, slices, strict=True)]
+    p1 = [_from_coarse(r["p1"])[np.cumsum(_changes(v, w)) - 1] for r, v, w in zip(rows, slices, ws, strict=True)]
     v, w, u = np.concatenate(slices), np.concatenate(ws), np.concatenate(read("u"))
     count = np.concatenate([_unzip(r["n"], np.uint32) for r in rows]).astype(np.int64)
     seen = count > 0
-    trie = Trie(v[seen], w[seen], u[seen], count[seen], restored(np.concatenate(p1)[seen]), restored(np.concatenate(back1)[seen]), K2, K3)
+    trie = Trie(v[seen], w[seen], u[seen], count[seen], np.concatenate(p1)[seen], np.concatenate(back1)[seen], K2, K3)
     try:
         value, back = trie.codes(v, w, u)
     finally:
@@ -257,14 +268,13 @@ def _score(n_total: int, n_docs: int, n_words: int, shards: int):  # noqa: ANN20
         v, w, _, _, at = batch.ngrams()
         said = sorted((x["shard"], x["a"], x["b"]) for x in right.to_pylist() if x["kind"] == 1)
         asked, order = batch.shards(v, w, shards)
-        value, back2 = np.empty((2, len(order)))
-        value[order] = restored(np.concatenate([_unzip_codes(a) for _, a, _ in said]))
+        back2, code = np.empty(len(order)), np.empty(len(order), np.uint16)
+        code[order] = np.concatenate([_unzip_codes(a) for _, a, _ in said])
         pair = np.cumsum(_changes(asked[order], v[order], w[order])) - 1
         back2[order] = restored(np.concatenate([_unzip_codes(b) for _, _, b in said]), absent=1.0)[pair]
-        p1, back1 = batch.level1(n_total, n_docs)
-        known = p1[w] != ABSENT
-        unknown = D1 * n_words / n_total if n_total else 1.0
-        value = np.where(value > 0, value, restored(back1[v]) * np.where(known, restored(p1[w]), unknown))  # back off twice
+        p1, back1 = batch.level1(n_total, n_docs, n_words)
+        known = batch.counts[w] > 0
+        value = np.where(code == ABSENT, p1[w], restored(code)) * np.where(code < PAIR, 1.0, back1[v])
         first = np.concatenate([[0], np.cumsum(batch.sizes)[:-1]]).astype(np.int64)
         context = np.concatenate([[1.0], back2[at][:-1]])
         context[first] = K3 / (n_docs + K3)
@@ -287,7 +297,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     words = stored(asked.groupBy("shard").applyInArrow(_answer_words(word_shards), ANSWER), "lm-words")
     n_words = words.agg(F.coalesce(F.sum("n_new"), F.lit(0))).first()[0]
     light = batches.select("batch", "ids", "sizes", "train", "tokens")
-    grams = light.drop("ids").groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_ngrams(shards, int(facts.n_train), int(facts.n_train_docs)), "shard int, batch long, " + ", ".join(f"{c} binary" for c in ("v", "w", "u", "n", "back1", "p1")))
+    grams = light.drop("ids").groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_ngrams(shards, int(facts.n_train), int(facts.n_train_docs), int(n_words)), "shard int, batch long, " + ", ".join(f"{c} binary" for c in ("v", "w", "u", "n", "back1", "p1")))
     said = stored(grams.groupBy("shard").applyInArrow(_answer_ngrams, ANSWER), "lm-ngrams")
     answers = words.unionByName(said)
     out = light.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(int(facts.n_train), int(facts.n_train_docs), int(n_words), shards), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
