@@ -46,6 +46,13 @@ def concentration(df: DataFrame, by: list[str], value: str = "production") -> Da
     return ranked.groupBy(*by).agg(F.sum(value).alias("total"), F.sum(F.pow(100 * F.col("share"), 2)).alias("hhi"), F.sum(F.when(F.col("_r") <= 3, F.col("share"))).alias("top3"), F.count("*").alias("n"))
 
 
+def with_outlook(totals: DataFrame, reserves: DataFrame, by: list[str]) -> DataFrame:
+    """Adds yoy (total against the year before) and reserve_years (reserves over the total)."""
+    before = totals.select(*by, (F.col("year") + 1).alias("year"), F.col("total").alias("_before"))
+    out = totals.join(before, [*by, "year"], "left").join(reserves, by, "left")
+    return out.withColumns({"yoy": F.col("total") / F.nullif(F.col("_before"), F.lit(0.0)) - 1, "reserve_years": F.col("reserves") / F.nullif(F.col("total"), F.lit(0.0))}).drop("_before")
+
+
 def with_shares(df: DataFrame, by: list[str], value: str = "production") -> DataFrame:
     """share of the group's total and rank in it."""
     w = Window.partitionBy(*by)
@@ -113,3 +120,69 @@ def shared_capacity(df: DataFrame, key: list[str], least: int = 3, value: str =
     """A value that the same key gives so often is a group total: nulled."""
     n = F.count("*").over(Window.partitionBy(*key))
     return df.withColumn(value, F.when(n < least, F.col(value)))
+
+
+def monthly_balance(wide: DataFrame, supply_hist: Column, demand_hist: Column, period: str = "month") -> DataFrame:
+    """Per month end, where supply and demand are known: implied build (supply less demand), build (change of stocks a day
+    since the month before, null without it), unexplained (implied less build), prices as given, and status: hist up to the
+    last historical demand, est up to the last historical supply, else fcst. wide: month, supply, demand, stocks and
+    prices."""
+    known = wide.where(F.col("supply").isNotNull() & F.col("demand").isNotNull())
+    before = wide.select(F.last_day(F.add_months(period, 1)).alias(period), F.col("stocks").alias("_before"))
+    out = known.join(before, period, "left")
+    build = (F.col("stocks") - F.col("_before")) / F.dayofmonth(F.last_day(period))
+    out = out.withColumns({"implied": F.col("supply") - F.col("demand"), "build": build})
+    kind = F.when(F.col(period) <= demand_hist, "hist").when(F.col(period) <= supply_hist, "est").otherwise("fcst")
+    return out.withColumns({"unexplained": F.col("implied") - F.col("build"), "status": kind}).drop("_before")
+
+
+def weekly_bridge(raw: DataFrame, date: str = "date") -> DataFrame:
+    """Per week with all flows and stocks exactly seven days before: flows in thousands, modelled build (production +
+    imports - exports - refinery inputs), build of all, of commercial and of strategic stocks a day, and adjustment: what the
+    model lacks. raw: production, imports, exports, refinery_inputs, stocks_total, stocks_comm, stocks_spr."""
+    flows, stocks = ("production", "imports", "exports", "refinery_inputs"), ("stocks_total", "stocks_comm", "stocks_spr")
+    before = raw.select(F.date_add(date, 7).alias(date), *(F.col(c).alias(f"_{c}") for c in stocks))
+    both = raw.dropna(subset=["stocks_total", *flows]).join(before, date).where(F.col("_stocks_total").isNotNull())
+    out = both.withColumns({c: F.col(c) / 1000 for c in flows} | {f"build_{c[7:]}": (F.col(c) - F.col(f"_{c}")) / 7000 for c in stocks})
+    modelled = F.col("production") + F.col("imports") - F.col("exports") - F.col("refinery_inputs")
+    out = out.withColumns({"modelled_build": modelled, "build": F.col("build_total"), "stocks_comm": F.col("stocks_comm") / 1000})
+    return out.withColumn("adjustment", F.col("build") - F.col("modelled_build")).select(date, *flows, "modelled_build", "build", "adjustment", "build_comm", "build_spr", "stocks_comm")
+
+
+def world_table(production: DataFrame, refining: DataFrame, reserves: DataFrame, by: list[str], holder: str = "country") -> DataFrame:
+    """Per group and holder of any: production, refining and reserves, each with its share of the world, and the years that
+    reserves last at today's production. Inputs: by, holder and a column of their name."""
+    out = production.join(refining, [*by, holder], "full_outer").join(reserves, [*by, holder], "full_outer")
+    world = Window.partitionBy(*by)
+    names = ("production", "refining", "reserves")
+    out = out.withColumns({f"{n}_share": F.col(n) / F.nullif(F.sum(n).over(world), F.lit(0.0)) for n in names})
+    return out.withColumn("reserve_years", F.col("reserves") / F.nullif(F.col("production"), F.lit(0.0)))
+
+
+def country_metric(shares: DataFrame, by: list[str], holder: str = "country", top: int = 10) -> DataFrame:
+    """Of the stages (column stage) of each holder the largest share, and the top holders by it. shares: by, holder, stage,
+    share."""
+    best = shares.groupBy(*by, holder).agg(F.max("share").alias("share"), F.max_by("stage", F.struct("share", "stage")).alias("stage"))
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("share").desc(), holder)))
+    return placed.where(F.col("place") <= top)
+
+
+def violations(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule that a row breaks: key, rule. A rule that can't be decided (null) is broken."""
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
+    return df.select(*key, F.explode(broken).alias("rule"))
+
+
+def group_violations(df: DataFrame, by: list[str], share: str, rank: str, part: str, whole: str, tolerance: float = 1e-6) -> DataFrame:
+    """A row for each group and rule that it breaks: shares add up to 1, ranks are 1, 2, ... in descending order of share, parts
+    add up to the whole."""
+    after = F.lag(share).over(Window.partitionBy(*by).orderBy(rank))
+    marked = df.withColumn("_falls", F.coalesce(F.col(share) <= after + tolerance, F.lit(True)))
+    sums = marked.groupBy(*by).agg(F.sum(share).alias("_share"), F.min("_falls").alias("_sorted"), (F.max(rank) == F.count("*")).alias("_dense"), F.count_distinct(rank).alias("_ranks"), F.count("*").alias("_n"), F.sum(part).alias("_parts"), F.max(whole).alias("_whole"))
+    near = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1.0))
+    rules = {
+        "share_sum": near(F.col("_share"), F.lit(1.0)),
+        "sorted_ranks": F.col("_sorted") & F.col("_dense") & (F.col("_ranks") == F.col("_n")),
+        "parts_sum": near(F.col("_parts"), F.col("_whole")),
+    }
+    return violations(sums, by, rules)

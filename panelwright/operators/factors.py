@@ -114,3 +114,15 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "ticker", top:
     gain = (F.col("p1") - F.col("p0")) * 100
     kinds = F.filter(F.array(F.when(now & ~was, F.lit("entrant")), F.when(was & ~now, F.lit("exit")), F.when(F.abs(gain) >= jump * 100, F.lit("jump"))), lambda x: x.isNotNull())
     return joined.select(key, "p0", "p1", gain.alias("gain"), F.explode(kinds).alias("kind"))
+
+
+def universe(listed: DataFrame, mapping: DataFrame, history: DataFrame, dates: DataFrame, least_days: int, stale_days: int, key: str = "ticker") -> DataFrame:
+    """At each as_of the names that are listed, mapped, and have so many dates of history, the last of them recent: as_of,
+    key, the mapping's columns, n_days, last_date. history: key, date (distinct). Counts come from a running number of
+    each name's dates, of which each date of the grid takes the latest, so history isn't multiplied by the grid."""
+    w = Window.partitionBy(key).orderBy("date")
+    running = history.withColumns({"n_days": F.row_number().over(w), "_next": F.lead("date").over(w)})
+    grid = F.broadcast(dates)  # the as_of grid that a caller lists
+    seen = running.join(grid, (F.col("date") <= F.col("as_of")) & (F.col("_next").isNull() | (F.col("as_of") < F.col("_next"))))
+    enough = seen.where((F.col("n_days") >= least_days) & (F.col("date") > F.date_sub("as_of", stale_days))).withColumnRenamed("date", "last_date").drop("_next")
+    return enough.join(listed, key, "left_semi").join(mapping, key)

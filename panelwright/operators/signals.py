@@ -43,7 +43,7 @@ def stack(wide: DataFrame, node: list[str], signals: dict[str, Signal]) -> DataF
         firing = F.coalesce(F.abs(x) > s.limit, F.lit(False))
         scale = F.col(s.scale) if isinstance(s.scale, str) else F.lit(s.scale)
         side = F.signum(F.col(s.lean).cast("double")) if isinstance(s.lean, str) else F.signum(x) * s.lean
-        score = F.coalesce(F.least(F.abs(x) / scale, F.lit(1.0)), F.lit(0.0))
+        score = F.when(x.isNull(), 0.0).otherwise(F.least(F.abs(x) / scale, F.lit(1.0)))  # least() would pass over a null
         return F.struct(F.lit(kind).alias("type"), firing.alias("firing"), score.alias("score"), F.when(firing, side.cast("int")).otherwise(0).alias("direction"))
 
     return wide.select(*node, F.explode(F.array(*(row(t, s) for t, s in signals.items()))).alias("s")).select(*node, "s.*")

@@ -103,11 +103,54 @@ def ols_hac(wide: DataFrame, by: list[str], order: str, y: str, xs: list[str], l
     return out.withColumns(columns | {"dominant": best["name"]}).drop("beta", "sse", "var_y", "var", "vx")
 
 
-def pair_correlations(df: DataFrame, key: str, date: str, value: str, least: int, group: str | None = None) -> DataFrame:
-    """a < b, corr, n for all pairs of series of a group (or of all). Series meet on their dates; moments are summed
-    before the shuffle by pair."""
-    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), date, F.col(value).alias("x"), *([group] if group else []))
-    y = x.select(F.col("a").alias("b"), date, F.col("x").alias("y"), *([group] if group else []))
-    on = [date, *([group] if group else [])]
-    out = x.join(y, on).where("a < b").groupBy("a", "b", *([group] if group else [])).agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+#: Series of a side of a block of correlations.
+BLOCK = 256
+
+
+def _block_correlations(least: int):  # noqa: ANN202
+    """Correlations of all series of one side of a block with all of the other, by matrix products of their moments."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = rows["_lo"].iloc[0], rows["_hi"].iloc[0]
+        names, at = np.unique(rows["a"].to_numpy(), return_inverse=True)
+        _, day = np.unique(rows["_t"].to_numpy(), return_inverse=True)
+        x, has = np.zeros((2, day.max() + 1, len(names)))
+        x[day, at], has[day, at] = rows["x"].to_numpy(), 1.0
+        side = np.zeros(len(names), np.int64)
+        side[at] = rows["_i"].to_numpy()
+        # Around each series' own mean, so that sums of squares don't cancel.
+        x -= has * (x.sum(0) / np.maximum(has.sum(0), 1))
+        i, j = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        of = lambda p, q: p[:, i].T @ q[:, j]
+        n, sx, sy = of(has, has), of(x, has), of(has, x)
+        with np.errstate(all="ignore"):
+            corr = (of(x, x) - sx * sy / n) / np.sqrt((of(x * x, has) - sx * sx / n) * (of(has, x * x) - sy * sy / n))
+        ok = (n >= least) & np.isfinite(corr)
+        if lo == hi:
+            ok &= np.arange(len(i))[:, None] < np.arange(len(j))
+        p, q = np.nonzero(ok)
+        a, b = names[i[p]], names[j[q]]
+        return pd.DataFrame({"a": np.minimum(a, b) if a.dtype != object else [min(v) for v in zip(a, b, strict=True)], "b": np.maximum(a, b) if a.dtype != object else [max(v) for v in zip(a, b, strict=True)], "corr": corr[p, q], "n": n[p, q].astype(np.int64)})
+
+    return run
+
+
+def all_correlations(df: DataFrame, key: str, date: str, value: str, least: int, block: int | None = None) -> DataFrame:
+    """a < b, corr, n for all pairs of series with so many common dates. Series are hashed to blocks, and each two blocks are
+    a task that holds their values only; a value travels once for each block, not for each partner."""
+    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), F.col(date).cast("timestamp").alias("_t"), F.col(value).cast("double").alias("x"))
+    blocks = -(-x.select("a").distinct().count() // (block or BLOCK)) or 1
+    mine = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")
+    met = x.withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    paired = met.select("a", "_t", "x", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"))
+    kind = df.schema[key].dataType.simpleString()
+    return paired.groupBy("_lo", "_hi").applyInPandas(_block_correlations(least), f"a {kind}, b {kind}, corr double, n long")
+
+
+def pair_correlations(df: DataFrame, key: str, date: str, value: str, least: int, group: str) -> DataFrame:
+    """a < b, corr, n for all pairs of series of a group, which should be small: series meet on their dates; moments are
+    summed before the shuffle by pair. all_correlations() is for pairs of all series."""
+    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), date, F.col(value).alias("x"), group)
+    y = x.select(F.col("a").alias("b"), date, F.col("x").alias("y"), group)
+    out = x.join(y, [date, group]).where("a < b").groupBy("a", "b", group).agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
     return out.where((F.col("n") >= least) & F.col("corr").isNotNull())

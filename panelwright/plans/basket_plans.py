@@ -54,20 +54,33 @@ def corr_intra(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.intra_correlation(returns(spark, d), 40), "basket n_pairs min_pair max_pair", "mean_corr min_corr max_corr")
 
 
-SUPER = "sm AS (SELECT super_basket AS g, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL GROUP BY ALL)"
+MEANS = "sm AS (SELECT basket AS g, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL GROUP BY ALL), sc AS (SELECT a.g AS a, b.g AS b, count(*) AS n, corr(a.ret, b.ret) AS corr FROM sm a JOIN sm b ON a.date = b.date AND a.g < b.g GROUP BY ALL)"
 
 
-@query("agg_corr_cross", with_sql(*PX, more=f"{RB}, {SUPER}") + "SELECT a.g AS a, b.g AS b, count(*) AS n, round(corr(a.ret, b.ret), 6) AS corr FROM sm a JOIN sm b ON a.date = b.date AND a.g < b.g GROUP BY ALL")
+def basket_correlations(spark, d):  # noqa: ANN001, ANN201
+    means = returns(spark, d).where("ret IS NOT NULL").groupBy("basket", "date").agg(F.avg("ret").alias("ret"))
+    return stats.all_correlations(means, "basket", "date", "ret", 2)
+
+
+@query("agg_corr_cross", with_sql(*PX, more=f"{RB}, {MEANS}") + "SELECT a, b, n, round(corr, 6) AS corr FROM sc WHERE n >= 2 AND NOT isnan(corr)")
 def corr_cross(spark, d):  # noqa: ANN001, ANN201
-    means = returns(spark, d).where("ret IS NOT NULL").groupBy("super_basket", "date").agg(F.avg("ret").alias("ret"))
-    return take(stats.pair_correlations(means, "super_basket", "date", "ret", 1), "a b n", "corr")
+    """Every basket with every other."""
+    return take(basket_correlations(spark, d), "a b n", "corr")
+
+
+@query("agg_strongest_partner", with_sql(*PX, more=f"{RB}, {MEANS}, bo AS (SELECT a AS basket, b AS partner, corr FROM sc WHERE n >= 2 AND NOT isnan(corr) UNION ALL SELECT b, a, corr FROM sc WHERE n >= 2 AND NOT isnan(corr))") + "SELECT basket, arg_max(partner, (round(corr, 9), -partner)) AS partner, round(max(corr), 6) AS corr FROM bo GROUP BY basket")
+def strongest_partner(spark, d):  # noqa: ANN001, ANN201
+    """Of every basket the other that it moves with most."""
+    c = stored(basket_correlations(spark, d), "basket-corr")
+    both = c.select(F.col("a").alias("basket"), F.col("b").alias("partner"), "corr").union(c.select("b", "a", "corr"))
+    return take(both.groupBy("basket").agg(F.max_by("partner", F.struct(F.round("corr", 9), -F.col("partner"))).alias("partner"), F.max("corr").alias("corr")), "basket partner", "corr")
 
 
-@query("agg_corr_screen", with_sql(*PX, more=f"{RB}, p AS (SELECT a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c, count(*) AS n FROM rb a JOIN rb b ON a.date = b.date AND a.super_basket = b.super_basket AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL)") + "SELECT a, b, n, round(c, 6) AS corr FROM p WHERE n >= 30 AND abs(c) >= 0.2 ORDER BY abs(c) DESC, a, b LIMIT 500")
+@query("agg_corr_screen", with_sql(*PX, more=f"{RB}, p AS (SELECT a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c, count(*) AS n FROM rb a JOIN rb b ON a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL)") + "SELECT a, b, n, round(c, 6) AS corr FROM p WHERE n >= 30 AND NOT isnan(c) ORDER BY round(abs(c), 9) DESC, a, b LIMIT 500")
 def corr_screen(spark, d):  # noqa: ANN001, ANN201
-    """The 500 strongest correlations among the names of a region."""
-    pairs = stats.pair_correlations(returns(spark, d), "ticker", "date", "ret", 30, "super_basket").where(F.abs("corr") >= 0.2)
-    return take(pairs.orderBy(F.abs("corr").desc(), "a", "b").limit(500), "a b n", "corr")
+    """The 500 strongest correlations among all names."""
+    pairs = stats.all_correlations(returns(spark, d), "ticker", "date", "ret", 30)
+    return take(pairs.orderBy(F.round(F.abs("corr"), 9).desc(), "a", "b").limit(500), "a b n", "corr")
 
 
 HOME = f"""{LOO}, own AS (SELECT ticker, basket, basket AS other, corr(ret, loo) AS c, count(*) AS n FROM loo WHERE ret IS NOT NULL AND loo IS NOT NULL GROUP BY ALL), bmn AS (SELECT basket AS other, date, avg(ret) AS mean FROM rb GROUP BY ALL),

@@ -75,14 +75,16 @@ def top_abs(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "customer").orderBy(F.abs(F.col("c_acctbal") - 4500).desc(), "c_custkey").limit(40).select("c_custkey", "c_acctbal")
 
 
-PEER = "pr AS (SELECT ticker, basket, close FROM px JOIN bk USING (ticker) WHERE date = DATE '1998-06-30')"
+PEER = "p3 AS (SELECT ticker, basket, date, close / lag(close, 3) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM px JOIN bk USING (ticker)), pr AS (SELECT * FROM p3 WHERE r IS NOT NULL)"
 
 
-@query("top_peer_nearest", with_sql("px", "bk", more=PEER) + "SELECT a.ticker, b.ticker AS peer, row_number() OVER (PARTITION BY a.ticker ORDER BY abs(a.close - b.close), b.ticker)::INT AS place FROM pr a JOIN pr b ON a.basket = b.basket AND a.ticker <> b.ticker QUALIFY place <= 3")
+@query("top_peer_nearest", with_sql("px", "bk", more=PEER) + "SELECT a.ticker, a.date, b.ticker AS peer, row_number() OVER (PARTITION BY a.ticker, a.date ORDER BY round(abs(a.r - b.r), 9), b.ticker)::INT AS place FROM pr a JOIN pr b ON a.basket = b.basket AND a.date = b.date AND a.ticker <> b.ticker QUALIFY place <= 3")
 def peers(spark, d):  # noqa: ANN001, ANN201
-    a = src.monthly_prices(spark, d).where("date = DATE '1998-06-30'").join(src.baskets(spark, d), "ticker").select("ticker", "basket", "close")
-    b = a.select(F.col("ticker").alias("peer"), "basket", F.col("close").alias("other"))
-    return workbench.top_per_group(a.join(b, "basket").where("ticker <> peer"), ["ticker"], [F.abs(F.col("close") - F.col("other")), F.col("peer")], 3).select("ticker", "peer", "place")
+    """At every date the three names of the basket whose return over three months was nearest."""
+    a = src.monthly_prices(spark, d).withColumn("r", win.simple_return(F.col("close"), win.series("ticker"), 3)).where("r IS NOT NULL").join(src.baskets(spark, d), "ticker").select("ticker", "date", "basket", "r")
+    b = a.select(F.col("ticker").alias("peer"), "date", "basket", F.col("r").alias("other"))
+    both = a.join(b, ["basket", "date"]).where("ticker <> peer")
+    return workbench.top_per_group(both, ["ticker", "date"], [F.round(F.abs(F.col("r") - F.col("other")), 9), F.col("peer")], 3).select("ticker", "date", "peer", "place")
 
 
 @query("pick_nearest_target", "SELECT user_id, target, event_id FROM (SELECT user_id, event_id, (DATE '2024-03-01' - ts::DATE) AS days, unnest([10, 30]) AS target FROM events WHERE event_type = 'signup') WHERE abs(days - target) <= greatest(5, target * 0.45) QUALIFY row_number() OVER (PARTITION BY user_id, target ORDER BY abs(days - target), event_id) = 1")

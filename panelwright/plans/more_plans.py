@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
 from panelwright.functions import windows as win
-from panelwright.operators import baskets, panel, signals, workbench
+from panelwright.operators import balance, baskets, panel, signals, workbench
 from panelwright.sources import panels as src
 from panelwright.sources import readers
 from panelwright.sources.panels import with_sql
@@ -50,21 +50,9 @@ def prior(spark, d):  # noqa: ANN001, ANN201
     return take(panel.prior_years(m, ["ticker"], "year", "month", "close").where("n_years IS NOT NULL"), "ticker year month n_years", "norm")
 
 
-@query("join_consolidate", with_sql("px", "bk", more=f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}, lst AS (SELECT ticker, arg_max(close, date) AS last FROM px GROUP BY ticker)") + "SELECT bk.ticker, bk.basket, n_name, n_obs, round(last, 6) AS last, round(beta, 6) AS beta FROM bk LEFT JOIN nation ON n_nationkey = basket LEFT JOIN fit ON bk.ticker = fit.ticker LEFT JOIN lst ON bk.ticker = lst.ticker")
-def consolidate(spark, d):  # noqa: ANN001, ANN201
-    """One wide row per name: basket, name of the basket, fit and last price."""
-    last = src.monthly_prices(spark, d).groupBy("ticker").agg(F.max_by("close", "date").alias("last"))
-    fit = baskets.single_factor(basket_plans.returns(spark, d), 40)[0]
-    n = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("basket"), "n_name")
-    return take(src.baskets(spark, d).join(n, "basket", "left").join(fit, "ticker", "left").join(last, "ticker", "left"), "ticker basket n_name n_obs", "last beta")
-
-
 @query("agg_group_corr", with_sql("px", "bk", more=f"{basket_plans.RB}, bd AS (SELECT basket, super_basket, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL GROUP BY ALL), gp AS (SELECT a.super_basket AS ga, b.super_basket AS gb, a.basket AS a, b.basket AS b, corr(a.ret, b.ret) AS c FROM bd a JOIN bd b ON a.date = b.date AND a.basket < b.basket GROUP BY ALL)") + "SELECT least(ga, gb) AS ga, greatest(ga, gb) AS gb, count(*) AS n, round(avg(c), 6) AS mean_corr FROM gp GROUP BY 1, 2")
 def group_corr(spark, d):  # noqa: ANN001, ANN201
-    from panelwright.operators.stats import pair_correlations
-
-    r = basket_plans.returns(spark, d).where("ret IS NOT NULL")
-    pairs = pair_correlations(r.groupBy("basket", "date").agg(F.avg("ret").alias("ret")), "basket", "date", "ret", 1)
+    pairs = basket_plans.basket_correlations(spark, d)
     g = src.baskets(spark, d).select("basket", "super_basket").distinct()
     named = pairs.join(g.withColumnsRenamed({"basket": "a", "super_basket": "x"}), "a").join(g.withColumnsRenamed({"basket": "b", "super_basket": "y"}), "b")
     return take(named.groupBy(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb")).agg(F.count("*").alias("n"), F.avg("corr").alias("mean_corr")), "ga gb n", "mean_corr")
@@ -93,18 +81,59 @@ def tail_stats(spark, d):  # noqa: ANN001, ANN201
     return take(tail.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")), "symbol n", "mean sd")
 
 
-@query("ts_us_weekly", with_sql("drv") + "SELECT a.symbol, a.date, round((a.value - b.value) / 7, 6) AS build FROM drv a JOIN drv b ON a.symbol = b.symbol AND b.date = a.date - 7")
+US = {"ECONOMY": "production", "LARGE": "imports", "MEDIUM": "exports", "PROMO": "refinery_inputs", "STANDARD": "stocks_total", "SMALL": "stocks_comm"}
+RAW = "rw AS (SELECT date, " + ", ".join(f"max(value) FILTER (symbol = '{k}') AS {v}" for k, v in US.items()) + " FROM drv GROUP BY date), rq AS (SELECT *, stocks_total - stocks_comm AS stocks_spr FROM rw)"
+
+
+@query(
+    "ts_us_weekly",
+    with_sql("drv", more=RAW + """, br AS (SELECT a.date, a.production / 1000 AS production, a.imports / 1000 AS imports, a.exports / 1000 AS exports, a.refinery_inputs / 1000 AS refinery_inputs, (a.stocks_total - b.stocks_total) / 7000 AS build, (a.stocks_comm - b.stocks_comm) / 7000 AS build_comm, (a.stocks_spr - b.stocks_spr) / 7000 AS build_spr, a.stocks_comm / 1000 AS stocks_comm
+    FROM rq a JOIN rq b ON b.date = a.date - 7 WHERE a.production IS NOT NULL AND a.imports IS NOT NULL AND a.exports IS NOT NULL AND a.refinery_inputs IS NOT NULL AND a.stocks_total IS NOT NULL AND b.stocks_total IS NOT NULL), b2 AS (SELECT *, production + imports - exports - refinery_inputs AS modelled_build FROM br)""")
+    + "SELECT date, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("production", "imports", "exports", "refinery_inputs", "modelled_build", "build", "build_comm", "build_spr", "stocks_comm")) + ", round(build - modelled_build, 6) + 0.0 AS adjustment FROM b2",
+)
 def us_weekly(spark, d):  # noqa: ANN001, ANN201
-    """Change against exactly seven days before; weeks without one are left out."""
-    out = panel.previous_period(src.weekly_drivers(spark, d), ["symbol"], "date", F.date_sub("date", 7), ["value"]).where("prev_value IS NOT NULL")
-    return take(out.withColumn("build", (F.col("value") - F.col("prev_value")) / 7), "symbol date", "build")
+    """Flows, stock changes against exactly seven days before, and what they leave unexplained."""
+    raw = src.weekly_drivers(spark, d).groupBy("date").pivot("symbol", list(US)).agg(F.max("value")).withColumnsRenamed(US)
+    out = balance.weekly_bridge(raw.withColumn("stocks_spr", F.col("stocks_total") - F.col("stocks_comm")))
+    return out.select("date", *((F.round(c, 6) + 0.0).alias(c) for c in out.columns if c != "date"))
+
+
+STAGES = """rf AS (SELECT p_type AS commodity, c_nationkey AS country, year(l_shipdate)::INT AS year, sum(l_quantity) AS refining FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+rv AS (SELECT p_type AS commodity, n_nationkey AS country, y AS year, sum(p_size * (1 + n_nationkey) * 10.0::DOUBLE) AS reserves FROM part, nation, (SELECT DISTINCT year FROM prod) t(y) WHERE (n_nationkey + y) % 3 > 0 GROUP BY ALL),
+wt AS (SELECT commodity, country, year, production, refining, reserves FROM prod FULL JOIN rf USING (commodity, country, year) FULL JOIN rv USING (commodity, country, year)),
+ws AS (SELECT *, production / nullif(sum(production) OVER w, 0) AS production_share, refining / nullif(sum(refining) OVER w, 0) AS refining_share, reserves / nullif(sum(reserves) OVER w, 0) AS reserves_share FROM wt WINDOW w AS (PARTITION BY commodity, year))"""
 
 
-@query("agg_world_table", with_sql("prod") + "SELECT country, round(production, 4) AS value, round(sum(production) OVER (), 4) AS world, round(production / sum(production) OVER (), 8) AS share FROM prod WHERE commodity = 'SMALL' AND year = 1997")
+def stages(spark, d):  # noqa: ANN001, ANN201
+    """Every commodity, country and year: what is produced, what its customers take (refining), and reserves."""
+    key = ["commodity", "country", "year"]
+    li, part, o, c = (src.table(spark, d, t) for t in ("lineitem", "part", "orders", "customer"))
+    sold = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    refining = sold.groupBy(F.col("p_type").alias("commodity"), F.col("c_nationkey").alias("country"), F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("refining"))
+    production = src.production(spark, d)
+    sizes = part.groupBy(F.col("p_type").alias("commodity")).agg(F.sum("p_size").alias("size"))
+    nations, years = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("country")), production.select("year").distinct()
+    held = sizes.join(F.broadcast(nations)).join(F.broadcast(years)).where((F.col("country") + F.col("year")) % 3 > 0)  # 25 nations, a row a year
+    reserves = held.select(*key, (F.col("size") * (1 + F.col("country")) * 10.0).alias("reserves"))
+    return balance.world_table(production, refining, reserves, ["commodity", "year"])
+
+
+@query("agg_world_table", with_sql("prod", more=STAGES) + "SELECT commodity, country, year, round(production, 4) AS production, round(refining, 4) AS refining, round(reserves, 4) AS reserves, round(production_share, 8) AS production_share, round(refining_share, 8) AS refining_share, round(reserves_share, 8) AS reserves_share, round(reserves / nullif(production, 0), 4) AS reserve_years FROM ws")
 def world_table(spark, d):  # noqa: ANN001, ANN201
-    one = src.production(spark, d).where("commodity = 'SMALL' AND year = 1997")
-    every = Window.partitionBy("commodity", "year")
-    return one.select("country", F.round("production", 4).alias("value"), F.round(F.sum("production").over(every), 4).alias("world"), F.round(F.col("production") / F.sum("production").over(every), 8).alias("share"))
+    t = stages(spark, d)
+    return t.select("commodity", "country", "year", *(F.round(c, 4).alias(c) for c in ("production", "refining", "reserves", "reserve_years")), *(F.round(f"{c}_share", 8).alias(f"{c}_share") for c in ("production", "refining", "reserves")))
+
+
+@query(
+    "agg_country_metric",
+    with_sql("prod", more=STAGES + ", ul AS (SELECT * FROM (UNPIVOT (SELECT commodity, country, year, production_share AS production, refining_share AS refining, reserves_share AS reserves FROM ws) ON production, refining, reserves INTO NAME stage VALUE share)), bs AS (SELECT commodity, year, country, max(share) AS share, arg_max(stage, (share, stage)) AS stage FROM ul GROUP BY ALL)")
+    + "SELECT commodity, year, country, stage, round(share, 6) AS share, row_number() OVER (PARTITION BY commodity, year ORDER BY share DESC, country)::INT AS place FROM bs QUALIFY place <= 10",
+)
+def country_metric(spark, d):  # noqa: ANN001, ANN201
+    """The ten countries of each commodity and year by the stage they hold most of."""
+    named = {f"{c}_share": c for c in ("production", "refining", "reserves")}
+    long = stages(spark, d).drop(*named.values()).withColumnsRenamed(named).unpivot(["commodity", "year", "country"], list(named.values()), "stage", "share").where("share IS NOT NULL")
+    return take(balance.country_metric(long, ["commodity", "year"]), "commodity year country stage place", "share")
 
 
 @query("sort_nulls_last", with_sql("px", more="r AS (SELECT ticker, date, close / lag(close, 6) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM px)") + "SELECT ticker, date, round(ret, 6) AS ret FROM r ORDER BY ret DESC NULLS LAST")
@@ -150,7 +179,7 @@ RESID = f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}, rs AS (SELE
 
 
 def _signal_sql(kind: str, measure: str, limit: float, scale: str, side: str) -> str:
-    return f"SELECT node, '{kind}' AS type, coalesce(abs({measure}) > {limit}, false) AS firing, round(coalesce(least(abs({measure}) / {scale}, 1), 0), 5) AS score, CASE WHEN coalesce(abs({measure}) > {limit}, false) THEN sign({side})::INT ELSE 0 END AS direction FROM w"
+    return f"SELECT node, '{kind}' AS type, coalesce(abs({measure}) > {limit}, false) AS firing, round(CASE WHEN {measure} IS NULL THEN 0 ELSE least(abs({measure}) / {scale}, 1) END, 5) AS score, CASE WHEN coalesce(abs({measure}) > {limit}, false) THEN sign({side})::INT ELSE 0 END AS direction FROM w"
 
 
 NODE = f"""{RESID}, {R3}, {basket_plans.WEEKLY}, {basket_plans.PARTS},
@@ -239,6 +268,28 @@ def stock_signals(spark, d):  # noqa: ANN001, ANN201
     return signals.stack(wide, ["ticker"], signals.STOCK_SIGNALS).withColumn("score", F.round("score", 5))
 
 
+@query(
+    "join_consolidate",
+    with_sql("px", "bk", "drv", more=f"{RESID}, {basket_plans.WEEKLY}, {basket_plans.PARTS}, lst AS (SELECT ticker, arg_max(close, date) AS last FROM px GROUP BY ticker)")
+    + "SELECT bk.ticker, bk.basket, n_name, fit.n_obs, round(last, 6) AS last, round(fit.beta, 6) AS beta, round(fit.r2, 6) AS r2, round(rz.z, 5) AS residual_z, round(a3.actual, 6) AS basket_actual, round(a3.factor, 6) AS basket_factor, round(a1.idio, 6) AS implied_gap, " + ", ".join(f"round(ols.beta_{x}, 6) AS load_{x}" for x in basket_plans.XS)
+    + " FROM bk LEFT JOIN nation ON n_nationkey = basket LEFT JOIN fit ON bk.ticker = fit.ticker LEFT JOIN rz ON bk.ticker = rz.ticker LEFT JOIN lst ON bk.ticker = lst.ticker LEFT JOIN att a3 ON a3.entity = basket AND a3.span = '3m' LEFT JOIN att a1 ON a1.entity = basket AND a1.span = '1m' LEFT JOIN ols ON ols.entity = basket",
+)
+def consolidate(spark, d):  # noqa: ANN001, ANN201
+    """One wide row per name: basket, its own fit and residual, last price, and its basket's attribution over three months, gap
+    between what drivers imply and what was over one, and loadings."""
+    last = src.monthly_prices(spark, d).groupBy("ticker").agg(F.max_by("close", "date").alias("last"))
+    fit, z = baskets.single_factor(basket_plans.returns(spark, d), 40, 12, 3)
+    n = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("basket"), "n_name")
+    parts = stored(basket_plans.dispersed(spark, d).withColumnRenamed("entity", "basket"), "consolidated-parts")
+    quarter = parts.where("window = '3m'").select("basket", F.col("actual").alias("basket_actual"), F.col("factor").alias("basket_factor"))
+    month = parts.where("window = '1m'").select("basket", F.col("idio").alias("implied_gap"))
+    loads = basket_plans._fits(spark, d).select(F.col("entity").alias("basket"), *(F.col(f"beta_{x}").alias(f"load_{x}") for x in basket_plans.XS))
+    wide = src.baskets(spark, d).join(fit, "ticker", "left").join(z.select("ticker", F.round("z_12", 5).alias("residual_z")), "ticker", "left").join(last, "ticker", "left")
+    for more in (n, quarter, month, loads):
+        wide = wide.join(F.broadcast(more), "basket", "left")  # a row a basket
+    return take(wide, "ticker basket n_name n_obs residual_z", "last beta r2 basket_actual basket_factor implied_gap " + " ".join(f"load_{x}" for x in basket_plans.XS))
+
+
 @query("pipe_dispersion", with_sql("drv", more=f"{basket_plans.WEEKLY}, {basket_plans.PARTS}") + 'SELECT entity, span AS "window", round(abs(idio) / nullif(abs(factor) + abs(idio), 0), 6) AS dispersion FROM att ORDER BY dispersion DESC')
 def dispersion(spark, d):  # noqa: ANN001, ANN201
     return take(basket_plans.dispersed(spark, d), "entity window", "dispersion").orderBy(F.desc("dispersion"))

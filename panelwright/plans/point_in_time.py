@@ -107,9 +107,11 @@ def months(spark, d):  # noqa: ANN001, ANN201
     return panel.month_ends(src.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")), "1994-01-01")
 
 
-@query("join_anti_missing", "SELECT c_custkey, c_nationkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("join_anti_missing", "SELECT c_custkey, c_nationkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01') ON c_custkey = o_custkey")
 def missing(spark, d):  # noqa: ANN001, ANN201
-    return src.table(spark, d, "customer").join(src.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
+    """Customers without an order in the last year."""
+    recent = src.table(spark, d, "orders").where("o_orderdate >= DATE '2001-01-01'")
+    return src.table(spark, d, "customer").join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
 
 
 @query("join_semi_ids", "SELECT o_orderkey, o_custkey FROM orders SEMI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")

@@ -187,9 +187,18 @@ def family_corr(spark, d):  # noqa: ANN001, ANN201
     return take(ranked.groupBy("as_of", "pair").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("corr")).where("n >= 10"), "as_of pair n", "corr", 5)
 
 
-@query("pipe_universe", with_sql("px") + "SELECT ticker, count(*) AS n_days, max(date) AS last_date FROM px WHERE date <= DATE '1998-06-30' GROUP BY ticker HAVING count(*) >= 60")
+@query(
+    "pipe_universe",
+    "WITH dy AS (SELECT l_suppkey AS ticker, l_shipdate::DATE AS date FROM lineitem GROUP BY ALL), gd AS (SELECT unnest([DATE '1997-06-30', DATE '1999-06-30', DATE '2001-06-30']) AS as_of), hs AS (SELECT as_of, ticker, count(*) AS n_days, max(date) AS last_date FROM dy JOIN gd ON date <= as_of GROUP BY ALL) "
+    "SELECT as_of, ticker, s_nationkey AS cik, n_days, last_date FROM hs JOIN supplier ON ticker = s_suppkey WHERE n_days >= 60 AND last_date > as_of - 92 AND s_acctbal > 0",
+)
 def universe(spark, d):  # noqa: ANN001, ANN201
-    return src.monthly_prices(spark, d).where("date <= DATE '1998-06-30'").groupBy("ticker").agg(F.count("*").alias("n_days"), F.max("date").alias("last_date")).where("n_days >= 60")
+    """Suppliers on the list (a positive balance), with a nation to map to and enough recent history, at three dates."""
+    li = src.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date")).distinct()
+    s = src.table(spark, d, "supplier")
+    listed, mapping = s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("ticker")), s.select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("cik"))
+    dates = spark.createDataFrame([("1997-06-30",), ("1999-06-30",), ("2001-06-30",)], "as_of string").select(F.col("as_of").cast("date"))
+    return factors.universe(listed, mapping, li, dates, 60, 92)
 
 
 W = "OVER (PARTITION BY ticker ORDER BY date)"

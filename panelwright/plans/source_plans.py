@@ -39,13 +39,13 @@ def holdings(spark, d):  # noqa: ANN001, ANN201
     return readers.holdings(raw).select("ticker", "market_value")
 
 
-@query("src_series_jsonl", "SELECT p_type AS series_id, strftime(last_day(l_shipdate::DATE), '%Y%m') AS period, round(sum(l_quantity), 4) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IN ('ECONOMY', 'SMALL') GROUP BY ALL")
+@query("src_series_jsonl", "SELECT p_type AS series_id, strftime(last_day(l_shipdate::DATE), '%Y%m') AS period, round(sum(l_quantity), 4) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def series_jsonl(spark, d):  # noqa: ANN001, ANN201
     li, part = src.table(spark, d, "lineitem"), src.table(spark, d, "part").select("p_partkey", "p_type")
     monthly = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("series_id"), F.date_format("l_shipdate", "yyyyMM").alias("period")).agg(F.round(F.sum("l_quantity"), 4).alias("value"))
     path = scratch_path(spark, "series")
     monthly.groupBy("series_id").agg(F.collect_list(F.array("period", F.col("value").cast("string"))).alias("data")).write.json(path)
-    return readers.series_lines(spark, path, ["ECONOMY", "SMALL"])
+    return readers.series_lines(spark, path, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
 
 
 @query("src_facts_json", "SELECT l_suppkey AS cik, 'revenue' AS concept, 'Revenues' AS concept_used, l_orderkey || '-' || l_linenumber AS accession, l_shipdate::DATE AS filed, l_returnflag = 'R' AS is_amendment, l_extendedprice AS value FROM lineitem")
@@ -97,10 +97,16 @@ def snapshot(spark, d):  # noqa: ANN001, ANN201
     return sinks.latest_prior(spark, path, "1997-06-30").select("o_orderpriority", "n")
 
 
-@query("guard_coverage", "WITH n AS (SELECT count(DISTINCT ts::DATE) AS n FROM events WHERE event_type = 'view'), k AS (SELECT user_id AS ticker, count(DISTINCT ts::DATE) AS k FROM events WHERE event_type = 'view' GROUP BY 1) SELECT ticker, k FROM k, n WHERE k >= n * 0.5")
+@query("guard_coverage", "WITH n AS (SELECT count(DISTINCT ts::DATE) AS n, max(ts::DATE) AS last FROM events WHERE event_type = 'view'), k AS (SELECT user_id AS ticker, count(DISTINCT ts::DATE) AS k, max(ts::DATE) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) SELECT ticker, k FROM k, n WHERE k >= n * 0.3 AND seen >= last - 3")
 def guard(spark, d):  # noqa: ANN001, ANN201
+    """Symbols with enough dates and a recent one, published because they cover enough of all."""
     e = src.table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"), "value")
-    return sinks.dense_symbols(e, "ticker", "date", "value").groupBy("ticker").agg(F.count_distinct("date").alias("k"))
+    kept = sinks.fresh_symbols(sinks.dense_symbols(e, "ticker", "date", "value", 0.3), "ticker", "date", 3, e.agg(F.max("date").alias("last")))
+    path = scratch_path(spark, "guarded")
+    wanted = e.select("ticker").distinct().count()
+    if not sinks.publish(kept.groupBy("ticker").agg(F.count_distinct("date").alias("k")), path, "ticker", "k", wanted, 0.2):
+        raise ValueError("too few symbols to publish")
+    return spark.read.parquet(path)
 
 
 @query("fn_clean_number", "SELECT s_suppkey, s_acctbal AS x FROM supplier")

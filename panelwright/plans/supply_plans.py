@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
@@ -62,28 +63,36 @@ def band(spark, d):  # noqa: ANN001, ANN201
     return take(balance.projection_band(later, ["bloc"], "month", F.col("value") * 0.001, F.lit(0.1), days, F.lit(100.0)), "bloc month", "level band")
 
 
-@query("ts_balance_month", with_sql("drv", more=f"{BLOC}, s AS (SELECT month, round(max(value) FILTER (bloc = 'consumer'), 3) AS supply, round(max(value) FILTER (bloc = 'net'), 3) AS demand FROM bl GROUP BY month)") + "SELECT a.month, a.supply, a.demand, round(a.supply - a.demand, 3) AS implied, round((a.supply - b.supply) / day(last_day(a.month)), 3) AS build FROM s a LEFT JOIN s b ON b.month = last_day((date_trunc('month', a.month) - INTERVAL 1 MONTH)::DATE)")
-def balance_month(spark, d):  # noqa: ANN001, ANN201
-    from panelwright.operators.panel import previous_period
+SERIES = {"ECONOMY": "supply", "LARGE": "demand", "MEDIUM": "stocks"}
+BALANCE = """mm AS (SELECT last_day(l_shipdate::DATE) AS month, sum(l_quantity) FILTER (p_type = 'ECONOMY') AS supply, sum(l_quantity) FILTER (p_type = 'LARGE') AS demand, sum(l_quantity) FILTER (p_type = 'MEDIUM') AS stocks, avg(l_extendedprice) FILTER (p_type = 'PROMO') AS brent, avg(l_extendedprice) FILTER (p_type = 'SMALL') AS wti FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+
 
-    s = _bloc_months(spark, d).groupBy("month").pivot("bloc", ["consumer", "net"]).agg(F.max("value")).select("month", F.round("consumer", 3).alias("supply"), F.round("net", 3).alias("demand"))
-    out = previous_period(s, [], "month", F.last_day(F.add_months("month", -1)), ["supply"])
-    return out.select("month", "supply", "demand", F.round(F.col("supply") - F.col("demand"), 3).alias("implied"), F.round((F.col("supply") - F.col("prev_supply")) / scalars.days_in_month(F.col("month")), 3).alias("build"))
+@query(
+    "ts_balance_month",
+    f"WITH {BALANCE}, mj AS (SELECT a.*, a.supply - a.demand AS implied, (a.stocks - b.stocks) / day(a.month) AS build FROM mm a LEFT JOIN mm b ON last_day((date_trunc('month', b.month) + INTERVAL 1 MONTH)::DATE) = a.month WHERE a.supply IS NOT NULL AND a.demand IS NOT NULL) "
+    "SELECT month, round(supply, 3) AS supply, round(demand, 3) AS demand, round(implied, 3) AS implied, round(stocks, 1) AS stocks, round(build, 3) + 0.0 AS build, round(implied - build, 3) + 0.0 AS unexplained, round(brent, 2) AS brent, round(wti, 2) AS wti, CASE WHEN month <= DATE '1998-12-31' THEN 'hist' WHEN month <= DATE '2000-06-30' THEN 'est' ELSE 'fcst' END AS status FROM mj",
+)
+def balance_month(spark, d):  # noqa: ANN001, ANN201
+    """Supply, demand, stocks and what they don't explain, prices and status of every month."""
+    li = src.table(spark, d, "lineitem").join(src.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    of = lambda how, kind, c: how(F.when(F.col("p_type") == kind, F.col(c)))
+    wide = li.groupBy(F.last_day(F.to_date("l_shipdate")).alias("month")).agg(*(of(F.sum, k, "l_quantity").alias(n) for k, n in SERIES.items()), *(of(F.avg, k, "l_extendedprice").alias(n) for k, n in (("PROMO", "brent"), ("SMALL", "wti"))))
+    day = lambda x: F.lit(x).cast("date")
+    out = balance.monthly_balance(wide, day("2000-06-30"), day("1998-12-31"))
+    places = {"supply": 3, "demand": 3, "implied": 3, "stocks": 1, "build": 3, "unexplained": 3, "brent": 2, "wti": 2}
+    return out.select("month", "status", *((F.round(c, n) + 0.0).alias(c) for c, n in places.items()))
 
 
 @query(
     "agg_concentration",
-    with_sql("prod", more="sh AS (SELECT *, production / sum(production) OVER w AS share, row_number() OVER (PARTITION BY commodity, year ORDER BY production DESC, country) AS r FROM prod WHERE production > 0 WINDOW w AS (PARTITION BY commodity, year))")
-    + "SELECT commodity, year, count(*) AS n, round(sum(production), 4) AS total, round(sum(pow(100 * share, 2)), 6) AS hhi, round(sum(share) FILTER (r <= 3), 6) AS top3 FROM sh GROUP BY ALL",
+    with_sql("prod", more="sh AS (SELECT *, production / sum(production) OVER w AS share, row_number() OVER (PARTITION BY commodity, year ORDER BY production DESC, country) AS r FROM prod WHERE production > 0 WINDOW w AS (PARTITION BY commodity, year)), cc AS (SELECT commodity, year, count(*) AS n, sum(production) AS total, sum(pow(100 * share, 2)) AS hhi, sum(share) FILTER (r <= 3) AS top3 FROM sh GROUP BY ALL), rs AS (SELECT p_type AS commodity, sum(p_size) * 1000.0 AS reserves FROM part GROUP BY ALL)")
+    + "SELECT a.commodity, a.year, a.n, round(a.total, 4) AS total, round(a.hhi, 6) AS hhi, round(a.top3, 6) AS top3, round(a.total / b.total - 1, 6) + 0.0 AS yoy, round(reserves / a.total, 4) AS reserve_years FROM cc a LEFT JOIN cc b ON a.commodity = b.commodity AND b.year = a.year - 1 LEFT JOIN rs ON a.commodity = rs.commodity",
 )
 def concentration(spark, d):  # noqa: ANN001, ANN201
-    out = balance.concentration(src.production(spark, d), ["commodity", "year"])
-    return out.select("commodity", "year", "n", F.round("total", 4).alias("total"), F.round("hhi", 6).alias("hhi"), F.round("top3", 6).alias("top3"))
-
-
-@query("agg_country_metric", with_sql("prod") + "SELECT commodity, country, year, round(production / sum(production) OVER (PARTITION BY commodity, year), 6) AS share, rank() OVER (PARTITION BY commodity, year ORDER BY production DESC)::INT AS rank FROM prod")
-def country_metric(spark, d):  # noqa: ANN001, ANN201
-    return take(balance.with_shares(src.production(spark, d), ["commodity", "year"]), "commodity country year rank", "share")
+    """Holders' concentration, change of the total on the year before and the years that reserves last."""
+    reserves = src.table(spark, d, "part").groupBy(F.col("p_type").alias("commodity")).agg((F.sum("p_size") * 1000.0).alias("reserves"))
+    out = balance.with_outlook(balance.concentration(src.production(spark, d), ["commodity", "year"]), reserves, ["commodity"])
+    return out.select("commodity", "year", "n", F.round("total", 4).alias("total"), F.round("hhi", 6).alias("hhi"), F.round("top3", 6).alias("top3"), (F.round("yoy", 6) + 0.0).alias("yoy"), F.round("reserve_years", 4).alias("reserve_years"))
 
 
 @query("agg_topn_other", with_sql("prod", more="r AS (SELECT *, row_number() OVER (PARTITION BY commodity, year ORDER BY production DESC, country) AS k FROM prod)") + "SELECT commodity, year, CASE WHEN k <= 5 THEN country::VARCHAR ELSE 'OTH' END AS holder, round(sum(production), 4) AS production FROM r GROUP BY ALL")
@@ -124,7 +133,7 @@ def route_share(spark, d):  # noqa: ANN001, ANN201
     return take(balance.with_shares(src.trade(spark, d), ["commodity"], "value"), "commodity src dst", "share", 8)
 
 
-@query("agg_country_sheet", with_sql("prod", "trade") + "SELECT country, commodity, round(sum(produced), 2) AS produced, round(sum(sent), 2) AS sent, round(sum(got), 2) AS got, round(sum(sent) - sum(got), 2) AS net FROM (SELECT country, commodity, production AS produced, 0 AS sent, 0 AS got FROM prod UNION ALL SELECT src, commodity, 0, value, 0 FROM trade UNION ALL SELECT dst, commodity, 0, 0, value FROM trade) GROUP BY ALL")
+@query("agg_country_sheet", with_sql("prod", "trade") + "SELECT country, commodity, round(sum(produced), 2) AS produced, round(sum(sent), 2) AS sent, round(sum(got), 2) AS got, round(sum(produced) + sum(got) - sum(sent), 2) + 0.0 AS consumption, round(sum(sent) - sum(got), 2) AS net FROM (SELECT country, commodity, production AS produced, 0 AS sent, 0 AS got FROM prod UNION ALL SELECT src, commodity, 0, value, 0 FROM trade UNION ALL SELECT dst, commodity, 0, 0, value FROM trade) GROUP BY ALL")
 def country_sheet(spark, d):  # noqa: ANN001, ANN201
     p, t = src.production(spark, d), src.trade(spark, d)
     zero = F.lit(0.0)
@@ -132,7 +141,8 @@ def country_sheet(spark, d):  # noqa: ANN001, ANN201
     every = every.unionByName(t.select(F.col("src").alias("country"), "commodity", zero.alias("produced"), F.col("value").alias("sent"), zero.alias("got")))
     every = every.unionByName(t.select(F.col("dst").alias("country"), "commodity", zero.alias("produced"), zero.alias("sent"), F.col("value").alias("got")))
     sums = every.groupBy("country", "commodity").agg(F.sum("produced").alias("produced"), F.sum("sent").alias("sent"), F.sum("got").alias("got"))
-    return take(sums.withColumn("net", F.col("sent") - F.col("got")), "country commodity", "produced sent got net", 2)
+    made = {"net": F.col("sent") - F.col("got"), "consumption": F.col("produced") + F.col("got") - F.col("sent")}
+    return take(sums.withColumns(made), "country commodity", "produced sent got net consumption", 2)
 
 
 SITES = "st AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 3600) / 100.0 AS lon, (s_suppkey * 53 % 1800) / 100.0 AS lat, 'k' || (s_nationkey % 2) AS kind, 'c' || (s_nationkey % 3) AS commodity, s_acctbal AS capacity FROM supplier)"
@@ -207,18 +217,38 @@ def text_clean(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "part").select("p_partkey", scalars.clean_text(F.concat("p_name", F.lit("\t – "), "p_brand")).alias("name"))
 
 
-@query("validate_rules", "SELECT 'orders without customer' AS rule, count(*) AS n FROM orders ANTI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'lines without order', count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'discount out of range', count(*) FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 1 UNION ALL SELECT 'order before 1992', count(*) FROM orders WHERE o_orderdate < DATE '1992-01-01'")
+SITES = """si AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 400 - 200)::DOUBLE AS lon, (s_suppkey * 13 % 200 - 100)::DOUBLE AS lat, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS capacity, CASE WHEN s_suppkey % 5 > 0 THEN 't/yr' END AS unit FROM supplier),
+hs AS (SELECT commodity, year, country, production, production / sum(production) OVER w * CASE WHEN year = 1997 THEN 1.1 ELSE 1 END AS share, row_number() OVER (PARTITION BY commodity, year ORDER BY CASE WHEN commodity = 'SMALL' THEN 1 ELSE -1 END * production, country) AS rank, sum(production) OVER w + CASE WHEN year = 1999 THEN 1 ELSE 0 END AS whole FROM prod WINDOW w AS (PARTITION BY commodity, year)),
+hg AS (SELECT commodity, year, abs(sum(share) - 1) <= 1e-6 AS share_sum, bool_and(falls) AS sorted_ranks, abs(sum(production) - max(whole)) <= 1e-6 * greatest(abs(max(whole)), 1) AS parts_sum FROM (SELECT *, coalesce(share <= lag(share) OVER (PARTITION BY commodity, year ORDER BY rank) + 1e-6, true) AS falls FROM hs) GROUP BY ALL)"""
+
+
+@query(
+    "validate_rules",
+    with_sql("prod", more=SITES)
+    + """SELECT 'orders without customer' AS rule, count(*) AS n FROM orders ANTI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'lines without order', count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'discount out of range', count(*) FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 0.08
+    UNION ALL SELECT 'order before 1996', count(*) FROM orders WHERE o_orderdate < DATE '1996-01-01' UNION ALL SELECT 'lon', count(*) FROM si WHERE lon NOT BETWEEN -180 AND 180 UNION ALL SELECT 'lat', count(*) FROM si WHERE lat NOT BETWEEN -90 AND 90 UNION ALL SELECT 'capacity_iff_unit', count(*) FROM si WHERE (capacity IS NULL) <> (unit IS NULL)
+    UNION ALL SELECT 'share_sum', count(*) FILTER (NOT share_sum) FROM hg UNION ALL SELECT 'sorted_ranks', count(*) FILTER (NOT sorted_ranks) FROM hg UNION ALL SELECT 'parts_sum', count(*) FILTER (NOT parts_sum) FROM hg""",
+)
 def rules(spark, d):  # noqa: ANN001, ANN201
-    """Each integrity rule and how many rows break it."""
-    o, c, li = (src.table(spark, d, t) for t in ("orders", "customer", "lineitem"))
+    """Each integrity rule and how many rows or groups break it: keys, ranges, coordinates, units, shares, ranks, totals."""
+    o, c, li, s = (src.table(spark, d, t) for t in ("orders", "customer", "lineitem", "supplier"))
+    k = F.col("s_suppkey")
+    sites = s.select(k.alias("id"), (k * 7 % 400 - 200).alias("lon"), (k * 13 % 200 - 100).alias("lat"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("capacity"), F.when(k % 5 > 0, F.lit("t/yr")).alias("unit"))
+    by_site = {"lon": F.col("lon").between(-180, 180), "lat": F.col("lat").between(-90, 90), "capacity_iff_unit": F.col("capacity").isNull() == F.col("unit").isNull()}
+    w = Window.partitionBy("commodity", "year")
+    order = F.when(F.col("commodity") == "SMALL", 1).otherwise(-1) * F.col("production")
+    held = src.production(spark, d).withColumns({
+        "share": F.col("production") / F.sum("production").over(w) * F.when(F.col("year") == 1997, 1.1).otherwise(1.0), "rank": F.row_number().over(w.orderBy(order, "country")),
+        "whole": F.sum("production").over(w) + F.when(F.col("year") == 1999, 1.0).otherwise(0.0),
+    })
+    counted = lambda found, names: found.groupBy("rule").agg(F.count("*").alias("n")).join(spark.createDataFrame([(x,) for x in names], "rule string"), "rule", "right").fillna(0, ["n"])
+    out = counted(balance.violations(sites, ["id"], by_site), by_site).unionByName(counted(balance.group_violations(held, ["commodity", "year"], "share", "rank", "production", "whole"), ("share_sum", "sorted_ranks", "parts_sum")))
     broken = {
         "orders without customer": o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti"),
         "lines without order": li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"),
-        "discount out of range": li.where(~F.col("l_discount").between(0, 1)),
-        "order before 1992": o.where("o_orderdate < DATE '1992-01-01'"),
+        "discount out of range": li.where(~F.col("l_discount").between(0, 0.08)),
+        "order before 1996": o.where("o_orderdate < DATE '1996-01-01'"),
     }
-    out = None
-    for name, rows in broken.items():
-        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
-        out = part if out is None else out.unionByName(part)
+    for name, found in broken.items():
+        out = out.unionByName(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n"))
     return out

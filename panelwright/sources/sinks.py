@@ -79,3 +79,10 @@ def dense_symbols(df: DataFrame, symbol: str, date: str, value: str, least: floa
     counts = df.where(F.col(value).isNotNull()).groupBy(symbol).agg(F.count_distinct(date).alias("_k"))
     kept = counts.join(F.broadcast(days)).where(F.col("_k") >= F.col("_n") * least).select(symbol)  # days: one row
     return df.join(kept, symbol, "left_semi")
+
+
+def fresh_symbols(df: DataFrame, symbol: str, date: str, stale_days: int, last: DataFrame | None = None) -> DataFrame:
+    """Symbols whose last date is at most so many days before the last of all, or before that of last (one row, last)."""
+    end = df.agg(F.max(date).alias("last")) if last is None else last
+    seen = df.groupBy(symbol).agg(F.max(date).alias("_seen")).join(F.broadcast(end)).where(F.col("_seen") >= F.date_sub("last", stale_days))  # end: one row
+    return df.join(seen.select(symbol), symbol, "left_semi")

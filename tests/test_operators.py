@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
 from panelwright.functions import windows as win
-from panelwright.operators import backtest, balance, baskets, factors, lab, options, panel, pit, stats, workbench
+from panelwright.operators import backtest, balance, baskets, factors, lab, options, panel, pit, signals, stats, workbench
 from panelwright.plans import desk_plans
 from panelwright.sources import readers, sinks
 from panelwright.streaming.append import append_stream
@@ -52,11 +52,62 @@ def test_factors_of_the_annual_bundle(spark):
     assert r.accruals == pytest.approx((1e8 - 1.8e8) / 2e9)
 
 
-def test_sue_needs_five_surprises(spark):
-    rows = [(1, D(y, q * 3, 28), f"Q{q}", 1.0 + 0.1 * (y - 2016) + 0.01 * ((y * q) % 3)) for y in range(2016, 2024) for q in (1, 2, 3, 4)]
-    e = spark.createDataFrame(rows, "cik int, period_end date, fp string, eps double")
-    out = factors.sue(e).orderBy("period_end").collect()
-    assert all(r.sue is None for r in out[:9]) and out[-1].sue is not None
+def test_sue_by_a_loop(spark):
+    """A quarter's surprise against the last eight of the same quarter, by a plain loop; a missing year breaks the chain."""
+    rng = np.random.default_rng(6)
+    rows = [(k, D(y, q * 3, 28), f"Q{q}", float(rng.normal())) for k in (1, 2) for y in range(2008, 2024) for q in (1, 2, 3) if (k, y, q) != (2, 2015, 2)]
+    want = {}
+    for k in (1, 2):
+        for q in (1, 2, 3):
+            series = [(end, eps) for key, end, fp, eps in rows if key == k and fp == f"Q{q}"]
+            diffs = [None] + [b[1] - a[1] if b[0].year - a[0].year == 1 else None for a, b in zip(series, series[1:], strict=False)]
+            for i, (end, _) in enumerate(series):
+                past = [x for x in diffs[max(0, i - 8) : i] if x is not None]
+                want[k, end] = diffs[i] / float(np.std(past)) if diffs[i] is not None and len(past) >= 5 else None
+    out = {(r.cik, r.period_end): r.sue for r in factors.sue(spark.createDataFrame(rows, "cik int, period_end date, fp string, eps double")).collect()}
+    assert out.keys() == want.keys() and all((out[x] is None) == (want[x] is None) and (want[x] is None or out[x] == pytest.approx(want[x])) for x in want)
+    assert min(end.year for (k, end), v in want.items() if v is not None) == 2014  # the seventh year
+
+
+def test_margins_take_eight_years_then_drop(spark):
+    rows = [(1, 2000 + i, -1.0 if i in (9, 8) else 100.0, float(10 + i)) for i in range(10)]
+    got = factors.margin_stability(spark.createDataFrame(rows, "cik int, fy int, revenue double, operating_income double"), ["cik"]).first()
+    assert got.n_margins == 6 and got.margin_stability == pytest.approx(1 / np.std([(10 + i) / 100 for i in range(2, 8)]))
+
+
+def test_running_product_with_zero_and_negative_factors(spark):
+    for factors_, want in (([1.5, 0.0, 2.0], [1.5, 0, 0]), ([2.0, -0.5, -3.0, None], [2, -1, 3, 3]), ([None, 4.0], [1, 4])):
+        df = spark.createDataFrame([("a", i, x) for i, x in enumerate(factors_)], "k string, i int, x double")
+        assert [r[0] for r in df.select("i", win.running_product(F.col("x"), win.series("k", "i")).alias("p")).orderBy("i").select("p").collect()] == pytest.approx(want)
+
+
+def test_annual_bundle_by_a_loop(spark):
+    """Every date's bundle by a plain search over all facts: half-year flows, restatements, stocks after the year's end."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for y in range(2010, 2016):
+        end = D(y, 12, 31)
+        for concept, flow in (("revenue", True), ("net_income", True), ("cash", False)):
+            for _ in range(rng.integers(1, 4)):
+                filed = end + datetime.timedelta(days=int(rng.integers(20, 700)))
+                rows.append((1, concept, D(y, 1, 1) if flow else None, end, filed, float(rng.normal())))
+                if flow:
+                    rows.append((1, concept, D(y, 7, 1), end, filed, 1e6))
+        rows.append((1, "cash", None, D(y + 1, 6, 30), D(y + 1, 7, 15), float(rng.normal())))
+    grid = [D(2010, 1, 1) + datetime.timedelta(days=45 * i) for i in range(60)]
+    want = {}
+    for day in grid:
+        newest = {}
+        for _, concept, start, end, filed, value in rows:
+            if filed <= day and (start is None or 350 <= (end - start).days <= 380):
+                newest[concept] = max(newest.get(concept, (D(1, 1, 1), D(1, 1, 1), 0.0, None)), (end, filed, value, start), key=lambda x: x[:2])
+        if "revenue" in newest:
+            anchor = newest["revenue"][0]
+            want[day] = {c: v for c, (end, _, v, start) in newest.items() if (end == anchor if start else end <= anchor)}
+    facts = spark.createDataFrame(rows, "cik int, concept string, period_start date, period_end date, filed date, value double")
+    dates = spark.createDataFrame([(x,) for x in grid], "as_of date")
+    got = {r.as_of: {c: r[c] for c in ("revenue", "net_income", "cash") if r[c] is not None} for r in factors.latest_annual(facts, dates, ["revenue", "net_income", "cash"]).collect()}
+    assert got == want and len({len(v) for v in want.values()}) > 1
 
 
 def test_newey_west_by_numpy(spark):
@@ -84,6 +135,11 @@ def test_hac_regression_by_numpy(spark):
     assert [r.beta_const, r.beta_x1, r.beta_x2] == pytest.approx(b)
     assert [r.t_const, r.t_x1, r.t_x2] == pytest.approx(t)
     assert r.dominant == "x2"
+    odd = df.withColumns({"rare": F.when(F.col("i") < 40, F.col("x1")), "flat": F.lit(3.0), "gap": F.when(F.col("i") >= 5, F.col("x2"))})
+    left_out = stats.ols_hac(odd, ["g"], "i", "y", ["x1", "x2", "rare", "flat"], 4, 80).first()
+    assert (left_out.beta_x1, left_out.t_x2, left_out.r2_adj) == pytest.approx((r.beta_x1, r.t_x2, r.r2_adj)) and left_out.n_drivers == 2 and left_out.n_obs == 120
+    assert left_out.beta_rare == left_out.t_flat == 0 and stats.ols_hac(odd, ["g"], "i", "y", ["x1", "gap"], 4, 80).first().n_obs == 115
+    assert stats.ols_hac(odd, ["g"], "i", "y", ["rare", "flat"], 4, 80).count() == 0
 
 
 def world(spark, leak: float):
@@ -160,45 +216,87 @@ def test_greeks_and_implied_vol(spark):
     assert options.implied_vol(outside).first().iv is None
 
 
-def test_books_hold_the_whole_chain(spark, sf_dir):
-    legs = options.greeks(desk_plans.chain(spark, sf_dir)).select("symbol", "dte", "type", "strike", "spot", "price", "delta").collect()
-    sign = {"c": 1.0, "p": -1.0}
-    delta = {}
-    for r in legs:
-        delta[r.symbol % 7] = delta.get(r.symbol % 7, 0.0) + sign[r.type] * r.delta
-    cells = [r for r in desk_plans.risk_grid(spark, sf_dir).collect() if r.spot_move == 0 and r.vol_shift == 0]
-    assert {r.book: r.delta for r in cells} == pytest.approx(delta, rel=1e-9) and all(abs(r.pnl) < 1e-6 for r in cells)
-    curve = {(r.book, r.dte, round(r.move, 6)): r.pnl for r in desk_plans.expiry_profile(spark, sf_dir).collect()}
-    assert {k[:2] for k in curve} == {(r.symbol, r.dte) for r in legs}
-    one = [r for r in legs if (r.symbol, r.dte) == (legs[0].symbol, 365)]
-    want = sum(sign[r.type] * (max(sign[r.type] * (1.3 * r.spot - r.strike), 0.0) - r.price) for r in one)
-    assert curve[legs[0].symbol, 365, 1.3] == pytest.approx(want, abs=1e-6)
-
-
-def test_position_fold_by_a_loop(spark):
-    rng = np.random.default_rng(3)
-    want, ret = rng.uniform(-1, 1, 50), rng.normal(0, 0.1, 50)
-    df = spark.createDataFrame([("a", i, float(want[i]), float(ret[i]), 0.4, 0.15, 6) for i in range(50)], "k string, i int, target double, ret double, step double, stop double, max_hold int")
-    pos = since = held = 0.0
-    expected = []
-    for w, r in zip(want, ret, strict=True):
-        since += pos * r
-        out = pos != 0 and (since <= -0.15 or held >= 6)
-        new = 0.0 if out else pos + max(min(w - pos, 0.4), -0.4)
-        fresh = new == 0 or np.sign(new) != np.sign(pos)
-        since, held = (0.0, 0) if fresh else (since, held + 1)
-        pos = new
-        expected.append(pos)
-    assert [r.pos for r in lab.fold(df, ["k"], "i").orderBy("i").collect()] == pytest.approx(expected)
+def test_options_without_time_or_vol(spark):
+    base = dict(spot=42.0, strike=40.0, t=0.5, rate=0.10, div=0.02, vol=0.0, type="c")
+    rows = [base, base | {"type": "p", "strike": 50.0}, base | {"t": 0.0, "vol": 0.2}, base | {"t": -1.0, "vol": 0.2, "type": "p"}]
+    got = [(r.price, r.delta, r.gamma, r.theta) for r in options.greeks(spark.createDataFrame(rows)).collect()]
+    forward, paid = 42 * np.exp(-0.01), np.exp(-0.05)
+    assert got == [(pytest.approx(forward - 40 * paid), 1.0, 0.0, 0.0), (pytest.approx(50 * paid - forward), -1.0, 0.0, 0.0), (2.0, 1.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0)]
+
+
+def test_all_templates_and_books(spark, sf_dir):
+    legs = desk_plans.legs(spark, sf_dir).where("symbol < 5").withColumn("book", F.concat_ws(":", "symbol", "template")).persist()
+    rows = legs.collect()
+    assert {r.template for r in rows} == set(options.TEMPLATES) and len(rows) == 5 * sum(map(len, options.TEMPLATES.values()))
+    later = [r.dte for r in rows if r.template == "Call calendar"]
+    assert set(later) == {30, 365}
+    totals = {r.book: r for r in options.leg_greeks(legs).where("leg IS NULL").collect()}
+    parts = options.leg_greeks(legs).where("leg IS NOT NULL").collect()
+    assert totals["3:Collar"].delta == pytest.approx(sum(r.delta for r in parts if r.book == "3:Collar"))
+    assert next(r.delta for r in parts if r.book == "3:Covered call" and r.leg == 1) == 100.0  # the underlying
+    still = {r.book: r.pnl for r in options.risk_grid(legs, [0.0], [0.0]).collect()}
+    assert still == pytest.approx({k: r.pnl for k, r in totals.items()})
+    small = options.sigma_split(legs, [0.01]).collect()
+    assert all(abs(r.rest) < 1e-3 * max(1.0, abs(r.delta_part)) for r in small)
+    curve = options.expiry_curve(legs, 0.02, 3.0, 400)
+    profile = {r.book: r for r in options.expiry_profile(curve).collect()}
+    call = next(r for r in rows if r.book == "2:Long call")
+    assert profile["2:Long call"].max_loss == pytest.approx(-100 * call.entry, rel=1e-6)
+    assert profile["2:Long call"].breakevens == pytest.approx([call.strike + call.entry], rel=1e-3)
+    assert len(profile["2:Long straddle"].breakevens) == 2 and 0 < profile["2:Long straddle"].p_profit < 1
+
+
+def test_position_fold_by_hand(spark):
+    day = [(0, 0.9, 100.0), (1, 0.5, 100.0), (2, None, 90.0), (3, 0.505, 95.0), (4, 0.8, 96.0), (5, 0.8, 79.0), (6, -0.4, 80.0), (7, 0.3, 81.0), (8, 0.3, 82.0), (9, 0.3, 83.0), (10, 0.3, 84.0), (11, 0.0, 84.0)]
+    rows = [("a", i, z, p, 0.1, 3) for i, z, p in day]
+    df = spark.createDataFrame(rows, "k string, i int, target double, price double, stop double, max_hold int")
+    got = [(r.pos, r.reason) for r in lab.fold(df, ["k"], "i").orderBy("i").collect()]
+    assert got == [(0.0, None), (0.5, "entry"), (0.5, None), (0.5, None), (0.0, "max_hold"), (0.8, "entry"), (-0.4, "flip"), (0.3, "flip"), (0.3, None), (0.3, None), (0.0, "max_hold"), (0.0, None)]
+    fall = spark.createDataFrame([("a", i, 1.0, p, 0.1, 99) for i, p in enumerate([100.0, 100.0, 95.0, 89.0])], df.schema)
+    assert [r.reason for r in lab.fold(fall, ["k"], "i").orderBy("i").collect()] == [None, "entry", None, "stop"]
+    ret = spark.createDataFrame([("a", i, p, r) for i, (p, r) in enumerate([(0.0, 0.1), (1.0, 0.1), (1.0, 0.2), (0.5, 0.1), (0.5, -0.4)])], "k string, i int, pos double, ret double")
+    done = [(r.entry_at, r.exit_at, r.side, r.rows, round(r.pnl, 9)) for r in lab.trades(ret, ["k"], "i").orderBy("entry_at").collect()]
+    assert done == [(1, 3, 1.0, 2, round(0.3 - 0.001, 9)), (3, None, 1.0, 1, round(-0.2 - 0.0005, 9))]
+    m = lab.metrics(lab.pnl(ret, ["k"], "i"), ["k"], "i", 52.0).first()
+    assert (m.n_trades, m.win_rate, m.avg_hold) == (2, 0.5, 1.5)
+
+
+def test_bootstrap_totals_have_the_length_of_the_series(spark):
+    ones = spark.createDataFrame([("a", i, 1.0) for i in range(10)] + [("b", i, 1.0) for i in range(3)], "k string, i int, pnl double")
+    got = {(r.k, r.total) for r in lab.bootstrap(ones, ["k"], "i", 20, 4, "s").collect()}
+    assert got == {("a", 10.0), ("b", 3.0)}
 
 
 def test_workbench_order_and_functions(spark):
-    df = spark.createDataFrame([(1, "Oil", 2.0), (2, "gas", None), (3, "Coal", 6.0)], "id int, name string, x double")
+    df = spark.createDataFrame([(1, "Oil", 2.0), (2, "gas", None), (3, "Coal", 6.0), (4, "5", 2.0), (5, "tin", 0.0)], "id int, name string, x double")
     assert workbench.find(df, "OIL").count() == 1
-    assert [r.id for r in workbench.where(df, "x > 1").collect()] == [1, 3]
-    out = workbench.formula(df, "y", "CUM(x) / x", [F.col("id")]).orderBy("id").collect()
-    assert [r.y for r in out] == [1.0, None, pytest.approx(8 / 6)]
-    assert [r.id for r in workbench.sorted_by(df, "x", False).collect()] == [3, 1, 2]
+    assert [r.id for r in workbench.where(df, "x > 1").orderBy("id").collect()] == [1, 3, 4]
+    assert [r.id for r in workbench.where(df, "CAST(name AS INT) > 1 OR 4 / x > 1.5").orderBy("id").collect()] == [1, 4]  # bad cells and a zero
+    column = lambda text: [r.y for r in workbench.formula(df, "y", text, [F.col("id")]).orderBy("id").collect()]
+    assert column("CUM(x)") == [2.0, 2.0, 8.0, 10.0, 10.0] and column("RANK(x)") == [2.0, None, 1.0, 3.0, 4.0]
+    assert column("6 / x") == [3.0, None, 1.0, 3.0, None] and column("CAST(name AS DOUBLE) + x") == [None, None, None, 7.0, None]
+    assert column("MA(x, 2)") == [None, None, None, 4.0, 1.0] and column("SD(x, 2)")[3] == pytest.approx(8**0.5)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_signals_want_their_measures(spark):
+    wide = spark.createDataFrame([("n", 2.0, 0.7, -0.2), ("m", None, 0.1, 0.05)], "node string, residual_z double, dispersion double, peer_gap double")
+    got = {(r.node, r.type): (r.firing, round(r.score, 3), r.direction) for r in signals.stack(wide, ["node"], signals.STOCK_SIGNALS).collect()}
+    assert got["n", "residual"] == (True, 0.667, -1) and got["n", "attribution"] == (True, 0.7, 0) and got["n", "peer"] == (True, 0.667, -1)
+    assert got["m", "residual"] == (False, 0.0, 0) and got["m", "peer"] == (False, 0.167, 0)
+    with pytest.raises(ValueError, match="dispersion"):
+        signals.stack(wide.drop("dispersion"), ["node"], signals.STOCK_SIGNALS)
+
+
+def test_attribution_windows(spark):
+    days = [D(2023, 11, 3) + datetime.timedelta(days=7 * i) for i in range(20)]
+    r = spark.createDataFrame([("e", x, 0.01 * i) for i, x in enumerate(days)], "entity string, date date, ret double")
+    moves = spark.createDataFrame([(s, x, 0.01 if s == "oil" else None) for x in days for s in ("oil", "gas")], "symbol string, date date, change double")
+    betas = spark.createDataFrame([("e", "oil", 2.0), ("e", "gas", float("nan"))], "entity string, symbol string, beta double")
+    parts = baskets.contributions(r, moves, betas)
+    assert {(x.window, x.symbol): round(x.contribution, 9) for x in parts.collect()} == {(w, s): round(0.02 * n, 9) if s == "oil" else 0.0 for w, n in (("1m", 4), ("3m", 13), ("ytd", 11), ("1y", 20)) for s in ("oil", "gas")}
+    total = {x.window: x for x in baskets.attribution(r, parts).collect()}
+    assert total["1m"].actual == pytest.approx(0.01 * (16 + 17 + 18 + 19)) and total["1m"].idio == pytest.approx(0.7 - 0.08) and total["1m"].top_driver == "oil"
 
 
 def test_balance_blocs_and_sites(spark):

@@ -22,6 +22,10 @@ def duck(sf_dir):
     return con
 
 
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.8g}") + 0.0
@@ -41,10 +45,8 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
     want = sorted(repr([plain(r[i]) for i in at]) for r in cur.fetchall())
     got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
     assert got == want
+    assert got or name in MAY_BE_EMPTY
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs_with_stable_columns(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert len(set(df.columns)) == len(df.columns)
-    assert df.count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
