@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
-from panelwright.operators import balance
+from panelwright.operators import balance, panel
 from panelwright.sources import panels as src
 from panelwright.sources.panels import with_sql
 
@@ -252,3 +252,11 @@ def rules(spark, d):  # noqa: ANN001, ANN201
     for name, found in broken.items():
         out = out.unionByName(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n"))
     return out
+
+
+@query("proj_yoy_bloc", with_sql("drv", more=BLOC) + "SELECT a.bloc, a.month, round(a.value - b.value, 4) + 0.0 AS change, round(a.value / nullif(b.value, 0) - 1, 6) + 0.0 AS yoy FROM bl a JOIN bl b ON a.bloc = b.bloc AND b.month = last_day((date_trunc('month', a.month) - INTERVAL 12 MONTH)::DATE) WHERE a.value IS NOT NULL AND b.value IS NOT NULL")
+def yoy_bloc(spark, d):  # noqa: ANN001, ANN201
+    """Every bloc against the same month a year before."""
+    out = panel.previous_period(_bloc_months(spark, d), ["bloc"], "month", F.last_day(F.add_months("month", -12)), ["value"]).where("value IS NOT NULL AND prev_value IS NOT NULL")
+    made = {"change": F.col("value") - F.col("prev_value"), "yoy": F.col("value") / F.nullif(F.col("prev_value"), F.lit(0.0)) - 1}
+    return out.withColumns(made).select("bloc", "month", (F.round("change", 4) + 0.0).alias("change"), (F.round("yoy", 6) + 0.0).alias("yoy"))
