@@ -282,9 +282,9 @@ av AS (SELECT entity, span, sum(ret) AS actual, count(*) AS n FROM ww GROUP BY A
 att AS (SELECT entity, span, n, actual, coalesce(factor, 0) AS factor, top_driver, actual - coalesce(factor, 0) AS idio FROM av LEFT JOIN fc USING (entity, span))"""
 
 
-@query("agg_contributions", with_sql("drv", more=f"{WEEKLY}, {PARTS}") + 'SELECT entity, span AS "window", symbol, round(contribution, 6) + 0.0 AS contribution FROM pt')
+@query("agg_contributions", with_sql("drv", more=f"{WEEKLY}, {PARTS}") + 'SELECT entity, span AS "window", symbol, round(contribution, 4) + 0.0 AS contribution FROM pt')
 def contributions(spark, d):  # noqa: ANN001, ANN201
-    return take(attributed(spark, d)[1], "entity window symbol", "contribution").withColumn("contribution", F.col("contribution") + 0.0)
+    return take(attributed(spark, d)[1], "entity window symbol", "contribution", 4).withColumn("contribution", F.col("contribution") + 0.0)
 
 
 @query("agg_attribution", with_sql("drv", more=f"{WEEKLY}, {PARTS}") + 'SELECT entity, span AS "window", n, top_driver, round(actual, 6) + 0.0 AS actual, round(factor, 6) + 0.0 AS factor, round(idio, 6) + 0.0 AS idio, round(CASE WHEN abs(actual) > 1e-6 THEN idio / actual END, 4) + 0.0 AS idio_share FROM att')

@@ -64,7 +64,7 @@ def band(spark, d):  # noqa: ANN001, ANN201
 
 
 SERIES = {"ECONOMY": "supply", "LARGE": "demand", "MEDIUM": "stocks"}
-BALANCE = """mm AS (SELECT last_day(l_shipdate::DATE) AS month, sum(l_quantity) FILTER (p_type = 'ECONOMY') AS supply, sum(l_quantity) FILTER (p_type = 'LARGE') AS demand, sum(l_quantity) FILTER (p_type = 'MEDIUM') AS stocks, avg(l_extendedprice) FILTER (p_type = 'PROMO') AS brent, avg(l_extendedprice) FILTER (p_type = 'SMALL') AS wti FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+BALANCE = """mm AS (SELECT last_day(l_shipdate::DATE) AS month, sum(l_quantity) FILTER (p_type = 'ECONOMY') AS supply, sum(l_quantity) FILTER (p_type = 'LARGE') AS demand, sum(l_quantity) FILTER (p_type = 'MEDIUM') AS stocks, max(l_extendedprice) FILTER (p_type = 'PROMO') AS brent, max(l_extendedprice) FILTER (p_type = 'SMALL') AS wti FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
 
 @query(
@@ -76,7 +76,7 @@ def balance_month(spark, d):  # noqa: ANN001, ANN201
     """Supply, demand, stocks and what they don't explain, prices and status of every month."""
     li = src.table(spark, d, "lineitem").join(src.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     of = lambda how, kind, c: how(F.when(F.col("p_type") == kind, F.col(c)))
-    wide = li.groupBy(F.last_day(F.to_date("l_shipdate")).alias("month")).agg(*(of(F.sum, k, "l_quantity").alias(n) for k, n in SERIES.items()), *(of(F.avg, k, "l_extendedprice").alias(n) for k, n in (("PROMO", "brent"), ("SMALL", "wti"))))
+    wide = li.groupBy(F.last_day(F.to_date("l_shipdate")).alias("month")).agg(*(of(F.sum, k, "l_quantity").alias(n) for k, n in SERIES.items()), *(of(F.max, k, "l_extendedprice").alias(n) for k, n in (("PROMO", "brent"), ("SMALL", "wti"))))
     day = lambda x: F.lit(x).cast("date")
     out = balance.monthly_balance(wide, day("2000-06-30"), day("1998-12-31"))
     places = {"supply": 3, "demand": 3, "implied": 3, "stocks": 1, "build": 3, "unexplained": 3, "brent": 2, "wti": 2}

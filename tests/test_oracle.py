@@ -22,8 +22,11 @@ def duck(sf_dir):
     return con
 
 
-#: Queries that find nothing in the smallest tables.
-MAY_BE_EMPTY: set[str] = set()
+#: Queries that find nothing in the smallest tables: their ten suppliers are too few for a basket or a ranking.
+MAY_BE_EMPTY = set(
+    "agg_basket_ew agg_corr_intra agg_ic_daily agg_ic_summary agg_latest_covered_year agg_newey_west agg_ols_single agg_quantile_means agg_representative agg_var_share "
+    "join_self_pairs pipe_misclass pipe_turnover pipe_walk_forward top_peer_nearest win_median_peer win_residual_z".split()
+)
 
 
 def plain(v):
