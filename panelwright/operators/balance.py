@@ -178,7 +178,15 @@ def group_violations(df: DataFrame, by: list[str], share: str, rank: str, part:
     add up to the whole."""
     after = F.lag(share).over(Window.partitionBy(*by).orderBy(rank))
     marked = df.withColumn("_falls", F.coalesce(F.col(share) <= after + tolerance, F.lit(True)))
-    sums = marked.groupBy(*by).agg(F.sum(share).alias("_share"), F.min("_falls").alias("_sorted"), (F.max(rank) == F.count("*")).alias("_dense"), F.count_distinct(rank).alias("_ranks"), F.count("*").alias("_n"), F.sum(part).alias("_parts"), F.max(whole).alias("_whole"))
+    sums = marked.groupBy(*by).agg(
+        F.sum(share).alias("_share"),
+        F.min("_falls").alias("_sorted"),
+        (F.max(rank) == F.count("*")).alias("_dense"),
+        F.count_distinct(rank).alias("_ranks"),
+        F.count("*").alias("_n"),
+        F.sum(part).alias("_parts"),
+        F.max(whole).alias("_whole"),
+    )
     near = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1.0))
     rules = {
         "share_sum": near(F.col("_share"), F.lit(1.0)),

@@ -130,7 +130,8 @@ def _block_correlations(least: int):  # noqa: ANN202
             ok &= np.arange(len(i))[:, None] < np.arange(len(j))
         p, q = np.nonzero(ok)
         a, b = names[i[p]], names[j[q]]
-        return pd.DataFrame({"a": np.minimum(a, b) if a.dtype != object else [min(v) for v in zip(a, b, strict=True)], "b": np.maximum(a, b) if a.dtype != object else [max(v) for v in zip(a, b, strict=True)], "corr": corr[p, q], "n": n[p, q].astype(np.int64)})
+        first = np.array(a < b, bool)
+        return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a), "corr": corr[p, q], "n": n[p, q].astype(np.int64)})
 
     return run
 
