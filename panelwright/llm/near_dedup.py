@@ -5,14 +5,17 @@ ranks the slots of the signature by its own random permutation and puts rank + f
 the least value. As ranks only grow, filling stops as soon as every slot has a value from an earlier rank. Bands of
 the signature are buckets. Members of a bucket first meet its leader, links are confirmed on the full sets, and linked
 members become one component, so a bucket of thousands of copies costs one comparison each. Only where a bucket
-still holds members of different components, those outside its main component meet the others, in blocks of
-bounded size that emit nothing but links. So no link that shares a bucket is lost.
+still holds members of different components, they meet each other: in buckets of at most SMALL members as pairs of different
+components; in larger ones those outside the main component meet all others in blocks, which hold a bounded number of
+rows and elements a side and emit at most one link for each two components that they join. Both ways find the same
+components, and no link that shares a bucket is lost.
 
 The chance that a pair of similarity s shares no bucket is (1 - s^rows)^bands, 5e-8 at 0.8 with the defaults.
 
 Defined results: words are separated by U+0020 and U+0009 to U+000D, A-Z lower-cased; fewer words than the width
 form one shingle; a text without words has the empty set, is linked with nothing and keeps its own id; rows with a
-null id keep a null component and are linked with nothing; rows that repeat an id share its component.
+null id keep a null component and are linked with nothing; rows that repeat an id share its component, with one text or
+several; a very long text is one set like any other; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, maybe_filter, mix64, select_maybe, stored, windows, word_hashes
+from .common import join_groups, map_batches, maybe_filter, mix64, select_maybe, stored, windows, without, word_hashes
 
 BANDS, ROWS = 32, 4
-#: Elements whose permutations are held at a time; members of a small bucket; side of a block of comparisons.
-CHUNK, SMALL, BLOCK = 200_000, 16, 1500
+#: Elements whose permutations are held at a time; members of a small bucket.
+CHUNK, SMALL = 80_000, 16
+#: A side of a block of comparisons holds about so many members, and so many elements or one larger set.
+BLOCK, BLOCK_ELEMENTS = 100, 400_000
 
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, slots: int) -> np.ndarray:
@@ -110,24 +115,35 @@ def _sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, f"id {kind}, elements array<long>")
 
 
+class _Roots:
+    """Union-find; the root of a set is its smallest member."""
+
+    def __init__(self) -> None:
+        self.parent: dict = {}
+
+    def of(self, x):  # noqa: ANN001, ANN201
+        parent = self.parent
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def join(self, a, b) -> bool:  # noqa: ANN001
+        """Whether a and b were apart."""
+        a, b = self.of(a), self.of(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """Union-find over the edges of each partition: at most one edge from each node, to its root."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict = {}
-
-        def root(x):  # noqa: ANN001, ANN202
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[p]
-            return x
-
+        roots = _Roots()
         for pdf in batches:
             for a, b in zip(pdf.u, pdf.v, strict=True):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        out = [(x, r) for x in list(parent) if (r := root(x)) != x]
-        yield pd.DataFrame(out, columns=["u", "v"])
+                roots.join(a, b)
+        yield pd.DataFrame([(x, r) for x in list(roots.parent) if (r := roots.of(x)) != x], columns=["u", "v"])
 
     return edges.mapInPandas(run, edges.schema)
 
@@ -141,12 +157,14 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == before or not sign[0]:
             return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = sign
+        # Large stars, then small stars. A hub may have any number of neighbours, so its rows aren't gathered by key.
         both = star.union(star.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = stored(small.union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "near-stars")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k"), "near-low")
+        large = join_groups(both, low, ["u"], "k", prune=False).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "near-large-stars")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), "near-low")
+        small = join_groups(large, low, ["u"], "k", prune=False).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "near-stars")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -171,7 +189,8 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(percent: int):  # noqa: ANN202
-    """Links between different components in each block: rows of one side (x) against those of the other."""
+    """Links between different components in each block, rows of one side (x) against those of the other: as many as join
+    what all links of the block join."""
 
     def run(table: pa.Table) -> pa.Table:
         blocks: dict = {}
@@ -186,10 +205,11 @@ def _block_links(percent: int):  # noqa: ANN202
                 a, b = take(x), take(y)
                 met = _overlaps(a, b)
                 sizes = np.add.outer([len(s) for s in a], [len(s) for s in b])
-                apart = np.not_equal.outer([c for _, c, _ in x], [c for _, c, _ in y])
-                for i, j in zip(*np.nonzero(apart & (met * 100 >= (sizes - met) * percent)), strict=True):
-                    u.append(max(x[i][0], y[j][0]))
-                    v.append(min(x[i][0], y[j][0]))
+                root = _Roots()
+                for i, j in zip(*np.nonzero(met * 100 >= (sizes - met) * percent), strict=True):
+                    if root.join(x[i][1], y[j][1]):
+                        u.append(max(x[i][0], y[j][0]))
+                        v.append(min(x[i][0], y[j][0]))
         kind = table.schema.field("rep").type
         return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
 
@@ -200,14 +220,15 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     """One row per input row: id, n_shingles, component_id, kept."""
     light = stored(described(docs, width, bands, rows, id_col, text_col), "near-light")
     known = light.where("id IS NOT NULL AND n > 0")
-    classes = stored(known.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep")), "near-classes")
+    classes = stored(known.groupBy("n", "lo", "hi").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "near-classes")
     firsts = known.join(classes.select("rep", F.col("n").alias("cn"), F.col("lo").alias("cl"), F.col("hi").alias("ch")), (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("lo") == F.col("cl")) & (F.col("hi") == F.col("ch")))
-    spread = firsts.dropDuplicates(["rep", "n", "lo", "hi"]).select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(spread.join(shared, "bucket").select("bucket", "rep", "n", "size"), "near-members")
+    spread = stored(firsts.dropDuplicates(["rep", "n", "lo", "hi"]).select("rep", "n", F.explode("bands").alias("bucket")), "near-spread")
+    shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
+    members = stored(join_groups(spread, shared, ["bucket"], "size").select("bucket", "rep", "n", "size"), "near-members")
     # A bucket's leader is the member that shares the largest buckets: in a group of copies, the least edited one.
     ids = stored(members.groupBy("rep").agg(F.sum("size").alias("weight"), F.min("n").alias("rep_n")), "near-ids")
-    heads = members.join(ids, "rep").groupBy("bucket").agg(F.max(F.struct("weight", "rep", "n")).alias("l")).select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"))
+    heads = members.join(ids, "rep").groupBy("bucket").agg(F.max(F.struct("weight", "rep", "n")).alias("l"), F.count("*").alias("k"))
+    heads = stored(heads.select("bucket", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"), "k"), "near-heads")
     # The bitmap spares reading and shuffling the texts of documents that share no bucket; the join decides.
     some = select_maybe(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), maybe_filter(ids, F.col("rep")), F.col("_id"))
     sets = _sets(some, width, "_id", "_text").join(ids, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", "elements"])
@@ -215,37 +236,42 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)  # noqa: E731  else the sizes rule a link out
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs a, b. The set of a travels with the pair, that of b doesn't: a should be in few pairs."""
         left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
         right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-        both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(left, "a").join(right, "b")
+        both = pairs.where("a <> b").select("a", "b").distinct().join(left, "a").join(right, "b")
         met = F.size(F.array_intersect("ea", "eb"))
-        return both.where(met * 100 >= (F.size("ea") + F.size("eb") - met) * percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        return both.where(met * 100 >= (F.size("ea") + F.size("eb") - met) * percent).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
-    star = members.join(heads, "bucket").where("rep <> leader").select("bucket", "rep", "n", "leader", "leader_n", "size")
+    star = join_groups(members, heads, ["bucket"], "k").where("rep <> leader").select("bucket", "rep", "n", "leader", "leader_n", "size")
     star = stored(star, "near-star")
     edges = stored(linked(star.where(fits(F.col("n"), F.col("leader_n"))).select(F.col("rep").alias("a"), F.col("leader").alias("b"))), "near-edges")
     found = components(edges)
     # What is left: buckets whose members are in different components.
     state = members.join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
     state = stored(state, "near-state")
-    mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = stored(state.join(mixed, "bucket"), "near-open")
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
+    mixed = stored(mixed.where("lo <> hi").select("bucket", "k"), "near-mixed")
+    open_ = stored(join_groups(state, mixed, ["bucket"], "k").drop("k"), "near-open")
     # Small buckets: pairs across components, at most SMALL a member.
     few = open_.where(F.col("size") <= SMALL)
     other = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = few.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")) & fits(F.col("n"), F.col("nb")))
     fresh = linked(pairs.select(F.col("rep").alias("a"), "b"))
     # Large ones: clusters of buckets that share members. All outside the cluster's main component (x) meet all members
-    # (y), in blocks of at most BLOCK by BLOCK that emit only links.
+    # (y), in blocks.
     many = open_.where(F.col("size") > SMALL)
-    clusters = components(stored(many.join(heads, "bucket").where("rep <> leader").select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct(), "near-large"))
+    clusters = components(stored(star.join(mixed, "bucket", "left_semi").where(F.col("size") > SMALL).select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct(), "near-large"))
     # components() doesn't list the smallest member of a cluster: that is the cluster itself.
     clusters = clusters.select("node", F.col("component").alias("cluster"))
-    placed = many.select("rep", "component").distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("cluster", "rep").alias("cluster"), "component")
+    placed = many.select("rep", "n", "component").distinct().join(clusters, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("rep", "n", F.coalesce("cluster", "rep").alias("cluster"), "component")
     placed = stored(placed, "near-placed")
-    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("n_y")).select("cluster", F.col("m.component").alias("main"), "n_y", (F.col("n_y") - F.col("m.k")).alias("n_x")).where("n_x > 0")
-    sided = placed.join(main, "cluster").withColumns({"kx": F.ceil(F.col("n_x") / BLOCK).cast("int"), "ky": F.ceil(F.col("n_y") / BLOCK).cast("int")})
+    parts = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("k", "component", "e")).alias("m"), F.sum("k").alias("n_y"), F.sum("e").alias("e_y"))
+    main = main.select("cluster", F.col("m.component").alias("main"), "n_y", "e_y", (F.col("n_y") - F.col("m.k")).alias("n_x"), (F.col("e_y") - F.col("m.e")).alias("e_x")).where("n_x > 0")
+    split = lambda n, e: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(e) / BLOCK_ELEMENTS)).cast("int")
+    sided = placed.join(main, "cluster").withColumns({"kx": split("n_x", "e_x"), "ky": split("n_y", "e_y")})
     h = F.xxhash64("rep")
     as_y = sided.withColumns({"j": F.pmod(h, F.col("ky")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("kx") - 1)), "is_x": F.lit(False)})
     as_x = sided.where("component <> main").withColumns({"i": F.pmod(h, F.col("kx")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("ky") - 1)), "is_x": F.lit(True)})
@@ -260,8 +286,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         lifted = components(stored(lifted.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct(), "near-lifted")).withColumnsRenamed({"node": "low", "component": "top"})
         nodes = found.union(lifted.select("low", "low")).distinct()
         found = nodes.join(lifted, nodes["component"] == F.col("low"), "left").select("node", F.coalesce("top", "component").alias("component"))
-    names = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "lo", "hi", F.coalesce("component", "rep").alias("component_id"))
-    final = known.select("id", "n", "lo", "hi").join(names, ["n", "lo", "hi"]).select("id", "n", "component_id")
+    names = stored(classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "lo", "hi", "rows", F.coalesce("component", "rep").alias("component_id")), "near-names")
+    final = join_groups(known.select("id", "n", "lo", "hi"), names, ["n", "lo", "hi"], "rows").select("id", "n", "component_id")
     alone = light.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
     if known.groupBy("id").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").limit(1).count():  # one id, several texts: one node
         same = final.groupBy("id").agg(F.min("component_id").alias("m"))
@@ -272,5 +298,5 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, with all its columns."""
-    gone = stored(near_copies(docs, width, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col(id_col).alias("__pw_gone")).distinct(), "near-gone")
-    return docs.join(gone, docs[id_col] == F.col("__pw_gone"), "left_anti")
+    gone = stored(near_copies(docs, width, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(id_col).distinct(), "near-gone")
+    return without(docs, gone, id_col, lambda df: df.join(gone.withColumnRenamed(id_col, "__pw_gone"), df[id_col] == F.col("__pw_gone"), "left_anti"))
