@@ -22,7 +22,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_maybe, maybe_filter, new_path, stored, text_of
+from .common import flag_maybe, join_groups, maybe_filter, new_path, stored, text_of
 
 CRLF = "\r\n"
 # The digits of base 32 in conv() and in RFC 4648.
@@ -66,8 +66,9 @@ def write_archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
     now = F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     date = F.coalesce(F.date_format(F.to_utc_timestamp(F.col(date_col), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), now) if date_col else now
     keyed = pages.select(F.col(id_col).alias("id"), url.alias("url"), date.alias("date"), F.sha2(payload, 256).alias("digest"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("length"))
+    keyed = stored(keyed, "archive-keyed")
     best = stored(keyed.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("times")), "archive-best")
-    record = keyed.join(best.drop("times"), "digest")
+    record = join_groups(keyed, best, ["digest"], "times")
     again = (F.col("length") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     refers = F.when(again, F.col("first").cast("string"))
