@@ -51,6 +51,8 @@ SEED_WEIGHT = 3.0
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:,\n|]+")
 STEM_LENGTHS = range(3, 9)
+#: Texts whose pieces are counted together before they leave a task, and the bits of such a count.
+COUNTED_TEXTS, SHIFT = 500, 20
 #: How many words a link, an insult, an intent, a threat or a negation reaches.
 REACH = 3
 
@@ -162,7 +164,7 @@ class Lexicon:
                 learned = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEM_LENGTHS if k < len(word))])
                 if learned > weight:
                     kind, weight = (THREAT if kind == THREAT or word in self.threats else INSULT), learned
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             got = self.seen[word] = (kind, weight)
         return got
@@ -215,17 +217,19 @@ def _after_intent(text: str) -> set[str]:
     return out
 
 
-def _pieces_of(texts: list[str | None], toxic: list[int]) -> dict[str, list[int]]:
-    """Of each word, and each stem (with a trailing *): toxic texts, clean texts, toxic texts where it follows an intent."""
-    out: dict[str, list[int]] = {}
+def _pieces_of(texts: list[str | None], toxic: list[int]) -> dict[str, int]:
+    """Of each word, and each stem (with a trailing *): clean texts, SHIFT bits higher toxic texts, and as much higher toxic
+    texts where it follows an intent; one number a piece, as there are many."""
+    out: dict[str, int] = {}
     for text, label in zip(texts, toxic, strict=True):
         text = (text or "").lower()
         words = set(WORD.findall(text))
+        one = 1 << SHIFT if label else 1
         for piece in words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if k < len(w)}:
-            out.setdefault(piece, [0, 0, 0])[0 if label else 1] += 1
+            out[piece] = out.get(piece, 0) + one
         if label:
             for w in _after_intent(text):
-                out[w][2] += 1
+                out[w] += 1 << 2 * SHIFT
     return out
 
 
@@ -233,9 +237,12 @@ def _learned_words(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     """All pieces whose log-odds exceed 2, counted over the sample in Spark; only these come to the driver."""
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = _pieces_of(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        n = np.array(list(found.values()), np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(n[:, k]) for k in range(3))], ["piece", "toxic", "clean", "intended"])
+        for begin in range(0, batch.num_rows, COUNTED_TEXTS):
+            part = batch.slice(begin, COUNTED_TEXTS)
+            found = _pieces_of(part.column(0).to_pylist(), part.column(1).to_pylist())
+            n, low = np.fromiter(found.values(), np.int64, len(found)), (1 << SHIFT) - 1
+            columns = (n >> SHIFT & low, n & low, n >> 2 * SHIFT)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *map(pa.array, columns)], ["piece", "toxic", "clean", "intended"])
 
     least = 3 if n_toxic < 1000 else 5
     counted = map_batches(sample.select("_text", "_toxic"), count, "piece string, toxic long, clean long, intended long")
