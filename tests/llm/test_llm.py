@@ -111,6 +111,36 @@ def test_smallest_id_of_a_large_bucket(spark):
     assert got == {i: (0, i == 0) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("small", [1, 16, 10**6])
+def test_many_blocks_and_both_sides_of_the_border(spark, monkeypatch, small):
+    """Clusters whose parts are linked to each other only away from the leader, compared in many small blocks, as pairs,
+    or both ways: the same components by brute force."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_ELEMENTS", 900)
+    rng = random.Random(8)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for arm in range(4):
+            far = [f"a{arm}{w}" if k // 14 == arm else w for k, w in enumerate(base)]
+            for _ in range(14):
+                t = list(far)
+                for k in rng.sample(range(60, 120), rng.choice([0, 2, 6, 11])):
+                    t[k] = f"e{rng.randrange(10**6)}"
+                texts.append(" ".join(t))
+    rng.shuffle(texts)
+    sets = [frozenset(t.split()) for t in texts]
+    roots = near_dedup._Roots()
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                roots.join(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(df, 1, bands=16, rows=1).collect()}
+    assert got == {i: roots.of(i) for i in range(len(texts))}
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     got = near_dedup.near_copies(odd, 2).collect()
     assert len(got) == odd.count()
@@ -155,6 +185,44 @@ def test_toxicity_grammar_and_odd_rows(odd, empty):
     assert toxicity.score(empty, m).count() == 0
 
 
+def test_threats_insults_and_targets_are_patterns_of_several_words():
+    m = toxicity.Lexicon()
+    named = lambda t: {k for path in m.paths(t) for k, x in zip(toxicity.LABELS, path, strict=True) if x}
+    assert named("a stupid idiot") == {"insult", "linked", "chained"} and named("some idiot") == {"insult"}
+    assert named("they will surely kill you") == {"threat", "intended", "at_someone", "aimed"}
+    assert named("kill the noisy process now") == {"threat"} and named("kill it for them") == {"threat", "at_someone", "aimed_after"}
+    assert named("you are not an idiot") == {"insult", "linked", "aimed", "denied"}
+    assert named("not one two three idiot") == {"insult"}  # out of a negation's reach
+    assert named("she wrote idiot") == {"insult", "aimed", "reported"} and named("she wrote, idiot") == {"insult"}
+
+
+def test_the_grammar_is_worth_its_while(spark):
+    """Clauses of the same insults and threats, some meant, some denied or reported: with all arcs against words alone."""
+    rng = random.Random(21)
+    plain = ["".join(rng.choices("bcdfglmnprst", k=2)) + rng.choice("aeiou") + "".join(rng.choices("bcdfglmnprstaeiou", k=4)) for _ in range(400)]
+    say = lambda: " ".join(rng.choices(plain, k=rng.randint(5, 30)))
+    bad, verbs = ["grobbler", "snivelist", "wretchling", "idiot", "moron"], ["kill", "smurg", "throttle", "stab"]
+    meant = [lambda: f"you are a {rng.choice(bad)}", lambda: f"they will {rng.choice(verbs)} you", lambda: f"you {rng.choice(bad)} {rng.choice(bad)}"]
+    unmeant = [lambda: f"you are not a {rng.choice(bad)}", lambda: f"she said the {rng.choice(bad)}", lambda: f"they never {rng.choice(verbs)} you", lambda: f"he wrote that they will {rng.choice(verbs)} you"]
+    rows = []
+    for i in range(6000):
+        kind = "toxic" if i % 6 == 0 else "unmeant" if i % 60 == 5 else "clean"
+        clause = rng.choice(meant)() if kind == "toxic" else rng.choice(unmeant)() if kind == "unmeant" else say()
+        rows.append((i, f"{say()}. {clause}. {say()}.", int(kind == "toxic"), kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, kind string")
+    labels = toxicity.training_labels(docs.select("doc_id", "toxic"))
+    held = {i: kind for i, _, _, kind in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    rates = {}
+    for name, arcs in (("all", toxicity.LABELS), ("words", ("insult", "threat"))):
+        model = toxicity.fit(docs, labels, arcs=arcs)
+        found = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+        rates[name] = {k: sum(found[i] for i, y in held.items() if y == k) / sum(y == k for y in held.values()) for k in ("toxic", "unmeant", "clean")}
+        print(name, "caught:", rates[name], dict(zip(toxicity.LABELS, np.round(model.weights, 2), strict=True)), model.coefficients)
+    assert {"smurg", "throttle"} <= model.threats and "grobbler" not in model.threats
+    assert rates["all"]["toxic"] > 0.95 and rates["all"]["unmeant"] < 0.1 and rates["words"]["unmeant"] > 0.5
+    assert rates["all"]["clean"] == rates["words"]["clean"] == 0
+
+
 def test_toxicity_held_out(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -182,13 +250,16 @@ def test_elias_fano_and_trie():
         assert ((at >= 0) == np.isin(x, v)).all() and (v[at[at >= 0]] == x[at >= 0]).all()
     v, w, u = (rng.integers(2, 40, 3000) for _ in range(3))
     c = np.ones(3000, np.int64)
-    t = elias_fano.Trie(v, w, u, c, 3000.0)
+    p1, back1 = w % 7 / 70 + 0.01, 1 / (2.0 + v)
+    t = elias_fano.Trie(v, w, u, c, p1, back1, 8.0, 2.0)
     c2, c3 = Counter(zip(v.tolist(), w.tolist(), strict=True)), Counter(zip(v.tolist(), w.tolist(), u.tolist(), strict=True))
     q = [rng.integers(1, 45, 2000) for _ in range(3)]
-    p2, p3 = (elias_fano.restored(p) * 3000 for p in t.codes(*q))
+    value, back = (elias_fano.restored(p) for p in t.codes(*q))
     t.close()
-    assert p2 == pytest.approx([c2[x] for x in zip(*(a.tolist() for a in q[:2]), strict=True)], rel=1e-3)
-    assert p3 == pytest.approx([c3[x] for x in zip(*(a.tolist() for a in q), strict=True)], rel=1e-3)
+    value2 = {(a, b): c2[a, b] / 8 + b % 7 / 70 + 0.01 for a, b in c2}
+    want = [c3[x] / 2 + value2[x[:2]] / (2 + x[0]) if x in c3 else value2.get(x[:2], 0) for x in zip(*(a.tolist() for a in q), strict=True)]
+    assert value == pytest.approx(want, rel=2e-3)
+    assert back == pytest.approx([2 / (c2[x] + 2) if x in c2 else 0 for x in zip(*(a.tolist() for a in q[:2]), strict=True)], rel=2e-3)
 
 
 def test_language_model_by_brute_force(odd, empty, monkeypatch):
@@ -287,9 +358,38 @@ def test_poisson_replication(spark, odd, empty):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.replicate(docs, weights={"a": 0.5, "b": 0.5}).collect()))
     heavy = mixing.replicate(docs.where("source = 'a'"), epochs=40.0).groupBy("doc_id").count().agg(F.avg("count")).first()[0]
     assert abs(heavy - 40) < 1
-    mixed = mixing.mixed(odd)
-    assert set(odd.columns) <= set(mixed.columns) and mixed.count() >= 0
-    assert mixing.mixed(empty).count() == 0
+    assert mixing.mixed(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixing_of_odd_rows(odd):
+    """Copies by a plain loop; a user's columns come through mixed_documents() and are replaced by mixed()."""
+    rows = odd.collect()
+    chars = Counter()
+    for r in rows:
+        chars[r.source] += len(r.text or "")
+    target = {s: n**0.5 if n else 0.0 for s, n in chars.items()}
+    rate = {s: target[s] / sum(target.values()) * sum(chars.values()) / n if n else 0.0 for s, n in chars.items()}
+
+    def copies(r):
+        parts = max(1, math.ceil(rate[r.source] / 16))
+        mean, total = rate[r.source] / parts, 0
+        for i in range(1, parts + 1):
+            x = int(hashlib.md5(f"17:{'null' if r.doc_id is None else r.doc_id}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+            p, c, k = math.exp(-mean), math.exp(-mean), 0
+            while c <= x:
+                k += 1
+                p *= mean / k
+                c += p
+            total += k
+        return total
+
+    want = Counter()
+    for r in rows:
+        want[(r.doc_id, r.text)] += copies(r)
+    mixed, plain = mixing.mixed(odd).collect(), mixing.mixed_documents(odd)
+    assert Counter((r.doc_id, r.text) for r in mixed) == +want
+    assert plain.columns == odd.columns and Counter(map(str, plain.collect())) == Counter(str(r) for r in rows for _ in range(copies(r)))
+    assert {r.rate for r in plain.collect()} <= {1.0, None} and all(0 <= r.replica < r.copies for r in mixed)
 
 
 def test_packing_round_trip(spark, odd, empty):
@@ -319,7 +419,74 @@ def test_packing_round_trip(spark, odd, empty):
 def test_best_fit_takes_the_fullest():
     seq, length = packing.pack([90, 60, 40, 10], (50, 100), 0)
     assert seq == [0, 1, 1, 0] and length == [100, 100]
-    assert packing.pack([30], (50, 100), 0) == ([0], [50])
+    assert packing.pack([30], (50, 100), 0) == ([0], [50]) and packing.pack([]) == ([], [])
+
+
+def cheapest_packing(sizes, lengths, price):
+    """The least cost over all ways to put the pieces together."""
+    best = [math.inf]
+
+    def place(k, bins, spent):
+        if spent >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = spent
+            return
+        for j in range(len(bins) + 1):
+            used = bins[j] + sizes[k] if j < len(bins) else sizes[k]
+            if used <= lengths[-1]:
+                before = price(bins[j]) if j < len(bins) else 0
+                place(k + 1, [*bins[:j], used, *bins[j + 1 :]], spent - before + price(used))
+
+    place(0, [], 0.0)
+    return best[0]
+
+
+def test_packing_against_the_optimum():
+    rng = random.Random(5)
+    lengths, ratios, opened = (64, 128, 256, 512), [], Counter()
+    price = lambda used: packing.cost(next(c for c in lengths if c >= used), 16, 1024)
+    for _ in range(150):
+        sizes = sorted((min(512, int(rng.lognormvariate(4.2, 1.1)) + 1) for _ in range(7)), reverse=True)
+        seq, length = packing.pack(sizes, lengths, 16, 1024)
+        used = [sum(s for s, q in zip(sizes, seq, strict=True) if q == k) for k in range(len(length))]
+        assert all(u <= c for u, c in zip(used, length, strict=True))
+        opened.update(length)
+        ratios.append(sum(packing.cost(c, 16, 1024) for c in length) / cheapest_packing(sizes, lengths, price))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.25 and np.mean(ratios) < 1.03
+    assert len(opened) == 4  # every permitted length is used
+
+
+def test_best_fit_equals_a_naive_search():
+    rng = random.Random(6)
+    for _ in range(50):
+        sizes = sorted((rng.randint(1, 200) for _ in range(40)), reverse=True)
+        rooms, want = [], []
+        for s in sizes:
+            fits = [(r, -k) for k, r in enumerate(rooms) if r >= s]
+            if not fits:
+                rooms.append(200)
+                fits = [(200, 1 - len(rooms))]
+            k = -min(fits)[1]
+            rooms[k] -= s
+            want.append(sorted(rooms))
+        seq, _ = packing._fit(sizes, (100, 200), lambda size, left: 200)
+        assert max(seq) + 1 == len(rooms)
+        used = Counter()
+        for s, q in zip(sizes, seq, strict=True):
+            used[q] += s
+        assert sorted(200 - u for u in used.values()) == sorted(rooms)
+
+
+def test_packed_odd_rows(odd):
+    """Every token of every row once: null, empty and very long texts, null and repeated ids."""
+    words = Counter()
+    for r in odd.select("doc_id", "text").collect():
+        words[r.doc_id] += len((r.text or "").split()) + 1
+    got = Counter()
+    for r in packing.pack_documents(odd).collect():
+        got[r.doc_id] += r.tokens
+    assert got == words
 
 
 def brute_runs(text, words_min, sentences_min):
@@ -366,9 +533,35 @@ def test_repeated_passages_by_brute_force(spark, odd, empty):
     assert clean[0] == texts[0] and clean[3] == texts[3] and clean[2].strip() == "" and shared not in clean[1]
     assert clean[7] == ""
     out = substring_dedup.without_repeats(odd)
+    assert out.columns == [c for c in odd.columns if c != "spans"] + ["spans"] or set(out.columns) == set(odd.columns)
     assert out.count() == odd.count() and substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_one_id_on_two_texts(spark):
+    """Each text is cut at its own offsets; what texts of one id share with each other stays."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n)) + "."
+    shared, own = " ".join(say(15) for _ in range(5)), " ".join(say(15) for _ in range(5))
+    rows = [(1, shared), (5, f"{say(30)} {shared}"), (5, say(400)), (6, own), (6, f"{own} {say(9)}"), (6, own)]
+    out = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = {(r.doc_id, r.text) for r in out}
+    assert len(out) == 6 and (5, rows[2][1]) in left and (1, shared) in left and {r for r in rows[3:]} <= left
+    assert shared not in "".join(t for i, t in left if i == 5)
+
+
+def test_a_text_with_very_many_spans(spark):
+    """Spans are merged and cut in time linear in them."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [" ".join([*(word() for _ in range(14)), "end.", *(word() for _ in range(14)), "end."]) for _ in range(3000)]
+    rows = [(1, " ".join(f"{p} {word()} {word()} apart." for p in passages)), (2, " ".join(f"{p} {word()} {word()} {word()} away." for p in passages))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
+    assert time.time() - began < 60 and out[1].spans is None and len(out[2].spans) == 3000
+    assert len(out[2].text) < 0.5 * len(rows[1][1])
+
+
 def test_recall_of_passages_pasted_in_mid_sentence(spark):
     """51 words from inside a text, pasted inside another sentence: how much of them is found."""
     rng = random.Random(4)
@@ -415,6 +608,38 @@ def test_quality_held_out(spark, sf_dir):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
 
 
+def test_verdicts_by_brute_force(spark, sf_dir):
+    """Every verdict from plain walks down the trees, and the threshold from a plain scan of all cuts."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.judged(docs, labels).collect()
+    usable = [r for r in rows if not r.base_failed]
+    assert len(usable) < quality.SAMPLE
+    vector = lambda r: quality.features({c: np.array([r[c]]) for c in quality.COUNTS})[0]
+    stats = quality.statistics(docs).where("n_words >= 50 AND n_repeat_words * 100 <= n_words * 50")
+    sample = stats.orderBy(F.xxhash64("id"), "id", *quality.COUNTS).collect()
+    forest = quality.Forest(np.array([vector(r) for r in sample]))
+
+    def depth(tree, x):
+        feature, cut, left, right, path = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= cut[at] else right[at]
+        return path[at]
+
+    score = {r.doc_id: 2.0 ** (-np.mean([depth(t, vector(r)) for t in forest.trees]) / quality.average_path(forest.size)) for r in usable}
+    good = {r.doc_id: r.quality > 0 for r in labels.collect() if r.doc_id in score}
+    n_good, n_bad = sum(good.values()), sum(not g for g in good.values())
+    best, cut = -1.0, None
+    for s in sorted({score[i] for i in good}, reverse=True):
+        fp, tp = sum(g and score[i] >= s for i, g in good.items()) / n_good, sum(not g and score[i] >= s for i, g in good.items()) / n_bad
+        if fp <= quality.MOST_GOOD and tp - fp > best + 1e-12:
+            best, cut = tp - fp, s
+    below = max((score[i] for i in good if score[i] < cut), default=cut)
+    for r in rows:
+        assert r.kept == (not r.base_failed and score[r.doc_id] <= (cut + below) / 2)
+        assert r.base_failed or r.anomaly == pytest.approx(score[r.doc_id])
+
+
 def test_forest_finds_the_outlier():
     rows = np.random.default_rng(0).normal(size=(500, 3))
     f = quality.Forest(rows)
@@ -431,6 +656,7 @@ def test_archive_round_trip(spark):
 
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     assert {(r.id, r.payload_digest, r.payload_bytes) for r in rows if r.id} == {(str(i), digest(h), len((h or "").encode())) for i, _, h in pages if i}
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.date) for r in rows)
     kinds = {r.id: (r.record_type, r.refers_to) for r in rows}
     assert kinds["1"] == ("revisit", "2") and kinds["2"] == ("response", None) and kinds["3"] == ("revisit", "4") and kinds["5"] == ("response", None)
     assert spark.read.parquet(a.payloads).count() == 4
@@ -451,3 +677,33 @@ def test_damaged_payload_raises(spark):
     spark.read.parquet(a.payloads).withColumn("payload", F.lit(b"y")).write.parquet(broken.payloads)
     with pytest.raises(PySparkException, match="damaged"):
         warc.read_records(spark, broken).collect()
+
+
+def test_lost_payload_raises(spark):
+    from pyspark.errors import PySparkException
+
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "y"), (3, "u", "y")], "page_id long, url string, html string")
+    for gone, kind in (("x", "response"), ("y", "revisit")):
+        a = warc.write_archive(spark, pages)
+        some = warc.Archive(a.headers, a.payloads + "-some")
+        spark.read.parquet(a.payloads).where(F.col("payload") != F.lit(gone.encode())).write.parquet(some.payloads)
+        with pytest.raises(PySparkException, match="missing payload"):
+            warc.read_records(spark, some).where(F.col("record_type") == kind).collect()
+
+
+def test_changed_header_raises(spark):
+    from pyspark.errors import PySparkException
+
+    a = warc.write_archive(spark, spark.createDataFrame([(1, "u", "xyz")], "page_id long, url string, html string"))
+    other = warc.Archive(a.headers + "-other", a.payloads)
+    changed = F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 3"), F.lit("Content-Length: 4")).cast("binary")
+    spark.read.parquet(a.headers).withColumn("header", changed).write.parquet(other.headers)
+    with pytest.raises(PySparkException, match="differ"):
+        warc.read_records(spark, other).collect()
+
+
+def test_dates_of_capture(spark):
+    pages = spark.sql("SELECT 1L AS page_id, 'u' AS url, 'x' AS html, timestamp'2024-02-03 04:05:06' AS seen UNION ALL SELECT 2L, 'v', 'y', null")
+    a = warc.write_archive(spark, pages, date_col="seen")
+    dates = {r.id: r.date for r in warc.read_records(spark, a).collect()}
+    assert dates["1"] == "2024-02-03T04:05:06Z" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", dates["2"])
