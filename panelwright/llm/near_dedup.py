@@ -271,7 +271,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     main = parts.groupBy("cluster").agg(F.max(F.struct("k", "component", "e")).alias("m"), F.sum("k").alias("n_y"), F.sum("e").alias("e_y"))
     main = main.select("cluster", F.col("m.component").alias("main"), "n_y", "e_y", (F.col("n_y") - F.col("m.k")).alias("n_x"), (F.col("e_y") - F.col("m.e")).alias("e_x")).where("n_x > 0")
     split = lambda n, e: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(e) / BLOCK_ELEMENTS)).cast("int")
-    sided = placed.join(main, "cluster").withColumns({"kx": split("n_x", "e_x"), "ky": split("n_y", "e_y")})
+    sided = join_groups(placed, stored(main, "near-main"), ["cluster"], "n_y").withColumns({"kx": split("n_x", "e_x"), "ky": split("n_y", "e_y")})
     h = F.xxhash64("rep")
     as_y = sided.withColumns({"j": F.pmod(h, F.col("ky")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("kx") - 1)), "is_x": F.lit(False)})
     as_x = sided.where("component <> main").withColumns({"i": F.pmod(h, F.col("kx")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("ky") - 1)), "is_x": F.lit(True)})
