@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, ngram_lm, packing, quality, secret_scan, spelling, substring_dedup, toxicity, warc
+from . import exact_dedup, mixing, near_dedup, ngram_lm, packing, piece_bpe, quality, secret_scan, spelling, substring_dedup, toxicity, warc
 from .common import crc_part
 
 
@@ -78,6 +78,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = piece_bpe.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = piece_bpe.decoded(piece_bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(spelling.word_counts(_table(spark, sf_dir, "documents"))))
 
@@ -114,5 +123,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 're
 FROM b
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_lm": op2_ngram_lm, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op13_spelling": op13_spelling}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_lm": op2_ngram_lm, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op12_piece_bpe": op12_piece_bpe, "op13_spelling": op13_spelling}
 ORACLE_SQL = {"op3_secret_scan": secret_scan.oracle_sql(), "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
