@@ -140,8 +140,8 @@ def without(rows: DataFrame, gone: DataFrame, key: str, match: Callable[[DataFra
 HEAVY = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, prune: bool = True) -> DataFrame:
-    """rows with the columns of their group; rows without a group go, with prune most of them where they are read. groups has
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, prune: bool = True, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group; rows without a group go (with how = left they stay, with nulls), with prune most of them where they are read. groups has
     one row for each key and in size its number of rows; both should be stored. Heavy groups, of which there are at most
     HEAVY, are broadcast, so that no key of theirs fills a task; a group that is joined by shuffle holds at most one in HEAVY
     of the rows."""
@@ -151,5 +151,5 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, pr
     kept = select_maybe(rows, maybe_filter(groups, *keys), *keys) if prune else rows
     # An outer join, as an anti join would be moved before the pruning.
     marked = kept.join(F.broadcast(groups.where(heavy).withColumn("__pw_hot", F.lit(True))), on, "left")
-    rest = marked.where("__pw_hot IS NULL").drop("__pw_hot", *more).join(groups.where(~heavy), on)
+    rest = marked.where("__pw_hot IS NULL").drop("__pw_hot", *more).join(groups.where(~heavy), on, how)
     return marked.where("__pw_hot").drop("__pw_hot").unionByName(rest)

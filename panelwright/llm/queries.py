@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, ngram_lm, packing, piece_bpe, quality, secret_scan, spelling, substring_dedup, toxicity, warc
+from . import conversations, exact_dedup, mixing, near_dedup, ngram_lm, packing, piece_bpe, quality, secret_scan, spelling, substring_dedup, toxicity, warc
 from .common import crc_part
 
 
@@ -78,6 +78,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")), copies_col="copies")
+    return conversations.digested(repaired).withColumnRenamed("digest", "repaired_sha256")
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -123,5 +128,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 're
 FROM b
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_lm": op2_ngram_lm, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op12_piece_bpe": op12_piece_bpe, "op13_spelling": op13_spelling}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_lm": op2_ngram_lm, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op11_conversations": op11_conversations, "op12_piece_bpe": op12_piece_bpe, "op13_spelling": op13_spelling}
 ORACLE_SQL = {"op3_secret_scan": secret_scan.oracle_sql(), "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
