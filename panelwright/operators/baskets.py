@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from panelwright.functions import windows as win
 from panelwright.functions.scalars import clip
 
-from .stats import pair_correlations
-
 
 def basket_mean(returns: DataFrame, least: int = 2) -> DataFrame:
     """Equal-weight mean return of each basket and date (returns: ticker, basket, date, ret)."""
@@ -34,13 +32,6 @@ def leave_one_out(returns: DataFrame) -> DataFrame:
     return returns.withColumn("loo", F.when(n > 0, (F.sum("ret").over(w) - F.coalesce("ret", F.lit(0.0))) / n))
 
 
-def intra_correlation(returns: DataFrame, least: int) -> DataFrame:
-    pairs = pair_correlations(returns, "ticker", "date", "ret", least, "basket")
-    by = F.struct("a", "b")
-    name = lambda c: F.concat_ws("-", c["a"], c["b"])
-    return pairs.groupBy("basket").agg(F.count("*").alias("n_pairs"), F.avg("corr").alias("mean_corr"), F.min("corr").alias("min_corr"), F.max("corr").alias("max_corr"), name(F.min_by(by, "corr")).alias("min_pair"), name(F.max_by(by, "corr")).alias("max_pair"))
-
-
 def home_correlations(returns: DataFrame, least: int) -> DataFrame:
     """Of each name: correlation with its own basket without it and with every other basket; rank 1 is the highest."""
     own = leave_one_out(returns).groupBy("ticker", "basket").agg(F.corr("ret", "loo").alias("corr"), F.count(F.when(F.col("ret").isNotNull() & F.col("loo").isNotNull(), 1)).alias("n")).withColumn("other", F.col("basket"))
@@ -142,12 +133,3 @@ def dispersion(parts: DataFrame) -> DataFrame:
     """abs idio / (abs factor + abs idio)."""
     total = F.abs("factor") + F.abs("idio")
     return parts.withColumn("dispersion", F.when(total > 0, F.abs("idio") / total))
-
-
-def spread_signal(spreads: DataFrame, last: int = 26, recent: int = 13, limit: float = 1.5) -> DataFrame:
-    """z of the cumulated spread over its last weeks, the side to buy (the laggard) and the recent spread return."""
-    back = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("date").desc()))
-    tail = spreads.withColumn("back", back).where(F.col("back") <= last)
-    out = tail.groupBy("a", "b").agg(F.max(F.when(F.col("back") == 1, F.col("cum"))).alias("now"), F.avg("cum").alias("mean"), F.stddev_samp("cum").alias("sd"), F.sum(F.when(F.col("back") <= recent, F.col("spread"))).alias("recent"), F.count("*").alias("n")).where(F.col("n") == last)
-    z = F.when(F.col("sd") > 0, (F.col("now") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    return out.withColumn("z", z).withColumn("buy", F.when(F.col("z") > limit, F.col("b")).when(F.col("z") < -limit, F.col("a")))

@@ -146,12 +146,3 @@ def all_correlations(df: DataFrame, key: str, date: str, value: str, least: int,
     paired = met.select("a", "_t", "x", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"))
     kind = df.schema[key].dataType.simpleString()
     return paired.groupBy("_lo", "_hi").applyInPandas(_block_correlations(least), f"a {kind}, b {kind}, corr double, n long")
-
-
-def pair_correlations(df: DataFrame, key: str, date: str, value: str, least: int, group: str) -> DataFrame:
-    """a < b, corr, n for all pairs of series of a group, which should be small: series meet on their dates; moments are
-    summed before the shuffle by pair. all_correlations() is for pairs of all series."""
-    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), date, F.col(value).alias("x"), group)
-    y = x.select(F.col("a").alias("b"), date, F.col("x").alias("y"), group)
-    out = x.join(y, [date, group]).where("a < b").groupBy("a", "b", group).agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
-    return out.where((F.col("n") >= least) & F.col("corr").isNotNull())

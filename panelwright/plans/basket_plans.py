@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
 from panelwright.functions.scalars import friday, tier
-from panelwright.operators import baskets, stats
+from panelwright.operators import baskets, screen, stats
 from panelwright.sources import panels as src
 from panelwright.sources.panels import with_sql
 from panelwright.sources.scratch import stored
@@ -51,7 +51,8 @@ PAIRS = "pc AS (SELECT a.basket, a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret
 
 @query("agg_corr_intra", with_sql(*PX, more=f"{RB}, {PAIRS}") + "SELECT basket, count(*) AS n_pairs, round(avg(c), 6) AS mean_corr, round(min(c), 6) AS min_corr, round(max(c), 6) AS max_corr, arg_min(a || '-' || b, c) AS min_pair, arg_max(a || '-' || b, c) AS max_pair FROM pc GROUP BY basket")
 def corr_intra(spark, d):  # noqa: ANN001, ANN201
-    return take(baskets.intra_correlation(returns(spark, d), 40), "basket n_pairs min_pair max_pair", "mean_corr min_corr max_corr")
+    series = screen.series_rows(returns(spark, d), "ticker", "date", "ret", "basket")
+    return take(screen.group_summary(series, "basket", 40), "basket n_pairs min_pair max_pair", "mean_corr min_corr max_corr")
 
 
 MEANS = "sm AS (SELECT basket AS g, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL GROUP BY ALL), sc AS (SELECT a.g AS a, b.g AS b, count(*) AS n, corr(a.ret, b.ret) AS corr FROM sm a JOIN sm b ON a.date = b.date AND a.g < b.g GROUP BY ALL)"
@@ -76,11 +77,45 @@ def strongest_partner(spark, d):  # noqa: ANN001, ANN201
     return take(both.groupBy("basket").agg(F.max_by("partner", F.struct(F.round("corr", 9), -F.col("partner"))).alias("partner"), F.max("corr").alias("corr")), "basket partner", "corr")
 
 
-@query("agg_corr_screen", with_sql(*PX, more=f"{RB}, p AS (SELECT a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c, count(*) AS n FROM rb a JOIN rb b ON a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL)") + "SELECT a, b, n, round(c, 6) AS corr FROM p WHERE n >= 30 AND NOT isnan(c) ORDER BY round(abs(c), 9) DESC, a, b LIMIT 500")
+#: Stocks and baskets as series, the pairs that the screen keeps, and their spreads over the last 26 dates of the calendar.
+SCREEN = """
+sr AS (SELECT 'stock' AS kind, ticker AS key, date, ret FROM rb WHERE ret IS NOT NULL
+       UNION ALL SELECT 'basket', basket, date, avg(ret) FROM rb WHERE ret IS NOT NULL GROUP BY ALL),
+pr AS (SELECT a.kind || '-' || b.kind AS kind, a.key AS a, b.key AS b, corr(a.ret, b.ret) AS corr, count(*) AS n
+       FROM sr a JOIN sr b ON a.date = b.date AND (a.kind = b.kind AND a.key < b.key OR a.kind = 'basket' AND b.kind = 'stock') GROUP BY ALL),
+kept AS (SELECT pr.* FROM pr LEFT JOIN bk ON pr.kind = 'basket-stock' AND bk.ticker = pr.b AND bk.basket = pr.a
+         WHERE n >= 30 AND NOT isnan(corr) AND round(abs(corr), 9) >= 0.4 AND bk.ticker IS NULL
+         QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(abs(corr), 9) DESC, a, b) <= 500)
+"""
+SIGNALS = """
+cal AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS back FROM (SELECT DISTINCT date FROM sr)),
+sps AS (SELECT k.kind, k.a, k.b, k.corr, c.back, x.ret - y.ret AS step FROM kept k JOIN cal c ON true
+        LEFT JOIN sr x ON x.kind = split_part(k.kind, '-', 1) AND x.key = k.a AND x.date = c.date
+        LEFT JOIN sr y ON y.kind = split_part(k.kind, '-', 2) AND y.key = k.b AND y.date = c.date),
+lv AS (SELECT kind, a, b, corr, back, coalesce(sum(step) OVER (PARTITION BY kind, a, b ORDER BY back DESC), 0) AS level FROM sps),
+zs AS (SELECT kind, a, b, corr, (max(level) FILTER (back = 1) - avg(level)) / stddev_samp(level) AS z, max(level) FILTER (back = 1) - max(level) FILTER (back = 14) AS recent
+       FROM lv WHERE back <= 26 GROUP BY ALL HAVING stddev_samp(level) > 1e-12),
+sg AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(abs(z), 9) DESC, a, b) AS place FROM zs)
+"""
+
+
+def _series(spark, d):  # noqa: ANN001, ANN202
+    """kind, key, date, ret and home of every stock and basket; stored, as several steps read it."""
+    r = returns(spark, d).where("ret IS NOT NULL")
+    home = F.array("basket")
+    means = r.groupBy(F.lit("basket").alias("kind"), F.col("basket").alias("key"), "date").agg(F.avg("ret").alias("ret"))
+    both = r.select(F.lit("stock").alias("kind"), F.col("ticker").alias("key"), "date", "ret", home.alias("home"))
+    return stored(both.unionByName(means.withColumn("home", F.lit(None).cast("array<bigint>")), allowMissingColumns=True), "screen-series")
+
+
+def _screened(series):  # noqa: ANN001, ANN202
+    return stored(screen.strongest_pairs(screen.series_rows(series, "key", "date", "ret", "kind", "home")), "screen-pairs")
+
+
+@query("agg_corr_screen", with_sql(*PX, more=f"{RB}, {SCREEN}") + sql_take("kept WHERE kind = 'stock-stock'", "a b n", "corr"))
 def corr_screen(spark, d):  # noqa: ANN001, ANN201
-    """The 500 strongest correlations among all names."""
-    pairs = stats.all_correlations(returns(spark, d), "ticker", "date", "ret", 30)
-    return take(pairs.orderBy(F.round(F.abs("corr"), 9).desc(), "a", "b").limit(500), "a b n", "corr")
+    """The strongest correlations among all stocks."""
+    return take(_screened(_series(spark, d)).where("kind = 'stock-stock'"), "a b n", "corr")
 
 
 HOME = f"""{LOO}, own AS (SELECT ticker, basket, basket AS other, corr(ret, loo) AS c, count(*) AS n FROM loo WHERE ret IS NOT NULL AND loo IS NOT NULL GROUP BY ALL), bmn AS (SELECT basket AS other, date, avg(ret) AS mean FROM rb GROUP BY ALL),
@@ -162,13 +197,11 @@ def pair_stats(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.pair_stats(_spreads(spark, d), 12.0), "a b n", "ret_1m ret_3m z_now corr_now corr_min corr_max ann_vol sharpe", 5)
 
 
-@query(
-    "pipe_spread_signal",
-    with_sql(*PX, more=f"{RB}, {BETA}, {SPREAD}, tl AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) AS back FROM sp QUALIFY back <= 26), sg AS (SELECT a, b, max(cum) FILTER (back = 1) AS now, avg(cum) AS mean, stddev_samp(cum) AS sd, sum(spread) FILTER (back <= 13) AS recent FROM tl GROUP BY a, b HAVING count(*) = 26)")
-    + "SELECT a, b, round((now - mean) / sd, 5) AS z, round(recent, 5) AS recent, CASE WHEN (now - mean) / sd > 1.5 THEN b WHEN (now - mean) / sd < -1.5 THEN a END AS buy FROM sg",
-)
+@query("pipe_spread_signal", with_sql(*PX, more=f"{RB}, {SCREEN}, {SIGNALS}") + "SELECT kind, place, a, b, CASE WHEN z > 0 THEN b ELSE a END AS buy, CASE WHEN z > 0 THEN a ELSE b END AS sell, round(abs(z), 5) AS z, round(corr, 5) AS corr, round(recent, 5) AS recent FROM sg WHERE place <= 100")
 def spread_signal(spark, d):  # noqa: ANN001, ANN201
-    return take(baskets.spread_signal(_spreads(spark, d)), "a b buy", "z recent", 5)
+    """The dislocated ones among the pairs that the screen keeps: two stocks, a basket and a stock of another, two baskets."""
+    series = _series(spark, d)
+    return take(screen.spread_signals(_screened(series), series.select("kind", "key", "date", "ret")), "kind place a b buy sell", "z corr recent", 5)
 
 
 GRAPH = "tr AS (SELECT basket, date, avg(r3) AS own FROM (SELECT ticker, date, close / lag(close, 3) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r3 FROM px) JOIN bk USING (ticker) GROUP BY ALL), lk AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), gu AS (SELECT dst AS basket, date, avg(own) AS up FROM tr JOIN lk ON basket = src WHERE own IS NOT NULL GROUP BY ALL), gd AS (SELECT src AS basket, date, avg(own) AS down FROM tr JOIN lk ON basket = dst WHERE own IS NOT NULL GROUP BY ALL)"
