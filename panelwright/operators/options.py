@@ -259,25 +259,56 @@ def sigma_split(legs: DataFrame, sigmas: list[float], multiplier: float = 100.0)
     return out.select("book", "sigma", "move", "pnl", "delta_part", "gamma_part", (F.col("pnl") - F.col("delta_part") - F.col("gamma_part")).alias("rest"))
 
 
-def expiry_curve(legs: DataFrame, low: float, high: float, steps: int, multiplier: float = 100.0) -> DataFrame:
-    """P&L of each book over a grid of spots when its first option expires; later legs are worth their model price then.
-    A row for each point: s, pnl (to a millionth, lest noise crosses zero), and the crossing of zero since the point before."""
-    first = legs.where("type <> 'u'").groupBy("book").agg(F.min("t").alias("_h"), F.avg("vol").alias("_vol"))
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(i.alias("point"), (F.lit(low) + i * (high - low) / steps).alias("factor"))))
-    cells = legs.join(first, "book").withColumn("_g", grid).withColumns({"point": F.col("_g.point"), "_s0": F.col("spot")})
-    moved = _moved(cells, F.col("_h") * 365, F.col("spot") * F.col("_g.factor"), F.lit(0.0))
+def expiry_curve(legs: DataFrame, low: float = 0.02, high: float = 4.0, steps: int = 1199, multiplier: float = 100.0) -> DataFrame:
+    """P&L of each book at the spots that decide its profile when its first option expires: at zero, at every strike that
+    expires then, and far out (the row with far), where delta is the slope of the upper tail. Where a later leg is left, which is
+    worth its model price then, a grid from low to high times spot is added; all other books are straight in between.
+    Columns: book, s, far, straight, pnl (to a millionth, lest noise crosses zero), slope (to a millionth), below: the
+    probability of less than s (lognormal, risk-neutral drift, mean vol of the legs)."""
+    option = F.col("type") != "u"
+    when = legs.groupBy("book").agg(F.min(F.when(option, F.col("t"))).alias("_h"), F.max(F.when(option, F.col("t"))).alias("_l"), F.avg(F.when(option, F.col("vol"))).alias("_v"), F.max("spot").alias("_s0"), F.collect_set(F.when(option, F.struct("t", "strike"))).alias("_k"))
+    when = when.withColumns({"_h": F.coalesce("_h", F.lit(0.0)), "_v": F.coalesce("_v", F.lit(0.3)), "straight": F.coalesce(F.col("_l") <= F.col("_h") + 1e-9, F.lit(True))})
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.col("_s0") * (F.lit(low) + i * (high - low) / steps))
+    kinks = F.transform(F.filter("_k", lambda x: x["t"] <= F.col("_h") + 1e-9), lambda x: x["strike"])
+    points = F.array_distinct(F.concat(F.array(F.lit(1e-6)), kinks, F.when(F.col("straight"), F.array().cast("array<double>")).otherwise(grid)))
+    far = F.array(F.struct((F.col("_s0") * 50).alias("s"), F.lit(True).alias("far")))
+    at = F.explode(F.concat(F.transform(points, lambda x: F.struct(x.alias("s"), F.lit(False).alias("far"))), far))
+    cells = legs.drop("spot").join(when.withColumn("_at", at).drop("_k"), "book")
+    left = F.when(F.col("t") <= F.col("_h") + 1e-9, 0.0).otherwise(F.col("t") - F.col("_h"))
+    cells = cells.withColumns({"t": left, "vol": F.greatest("vol", F.lit(1e-4)), "spot": F.col("_at.s"), "far": F.col("_at.far")}).drop("_at", "_l")
     m = F.col("qty") * multiplier
-    drift = F.ln("_s0") + (F.col("rate") - F.col("div") - F.col("_vol") * F.col("_vol") / 2) * F.col("_h")
-    spread = F.col("_vol") * F.sqrt(F.greatest(F.col("_h"), F.lit(1e-6)))
-    curve = _valued(moved.drop("_g")).withColumn("_z", (F.ln("spot") - drift) / spread).groupBy("book", "point").agg(F.max("spot").alias("s"), F.max("_z").alias("_z"), F.round(F.sum(m * (F.col("price") - F.col("entry"))), 6).alias("pnl"))
-    w = Window.partitionBy("book").orderBy("point")
-    before, s0 = F.lag("pnl").over(w), F.lag("s").over(w)
-    cross = F.when(before == 0, s0).when(before * F.col("pnl") < 0, s0 - before * (F.col("s") - s0) / (F.col("pnl") - before))
-    return curve.withColumns({"breakeven": cross, "_mass": F.when((before + F.col("pnl")) / 2 > 0, norm_cdf(F.col("_z")) - norm_cdf(F.lag("_z").over(w))).otherwise(0.0)}).drop("_z")
+    drift = F.ln("_s0") + (F.col("rate") - F.col("div") - F.col("_v") * F.col("_v") / 2) * F.col("_h")
+    valued = _valued(cells).withColumn("_z", (F.ln("spot") - drift) / (F.col("_v") * F.sqrt(F.greatest(F.col("_h"), F.lit(1e-6)))))
+    sums = valued.groupBy("book", F.col("spot").alias("s"), "far", "straight").agg(F.max("_z").alias("_z"), F.round(F.sum(m * (F.col("price") - F.col("entry"))), 6).alias("pnl"), F.round(F.sum(m * F.col("delta")), 6).alias("slope"), F.max(drift).alias("_m"), F.max(F.col("_v") * F.sqrt(F.greatest(F.col("_h"), F.lit(1e-6)))).alias("_w"))
+    return sums.withColumn("below", norm_cdf(F.col("_z"))).drop("_z")
 
 
 def expiry_profile(curve: DataFrame) -> DataFrame:
-    """Per book: best and worst P&L on the grid, breakevens in order, and the probability of a profit (lognormal,
-    risk-neutral drift, mean vol of the legs)."""
-    crossings = F.array_sort(F.array_compact(F.collect_list("breakeven")))
-    return curve.groupBy("book").agg(F.max("pnl").alias("max_profit"), F.min("pnl").alias("max_loss"), crossings.alias("breakevens"), F.sum("_mass").alias("p_profit"))
+    """Per book: the best and the worst P&L, null where a tail has no bound (unlimited_profit, unlimited_loss), breakevens in
+    order, and the probability of a profit, both tails included. curve: expiry_curve()."""
+    rows = Window.partitionBy("book", "far").orderBy("s")
+    p0, s0, n0 = (F.lag(c).over(rows) for c in ("pnl", "s", "below"))
+    pnl, s, below = F.col("pnl"), F.col("s"), F.col("below")
+    known = curve.withColumns({"_p0": p0, "_s0": s0, "_n0": n0})
+    crossed = F.col("_p0") * pnl < 0
+    cross = F.when(crossed, F.col("_s0") - F.col("_p0") * (s - F.col("_s0")) / F.nullif(pnl - F.col("_p0"), F.lit(0.0)))
+    # Beyond the last point a straight book goes on with the slope of the tail.
+    last = F.max_by(F.struct("pnl", "s", "below", "_m", "_w", "straight"), F.when(~F.col("far"), s))
+    known = known.withColumn("breakeven", F.when(F.col("_p0") == 0, F.col("_s0")).otherwise(cross))
+    at = norm_cdf((F.ln("breakeven") - F.col("_m")) / F.col("_w"))
+    up = F.when(crossed, F.when(pnl > 0, below - at).otherwise(at - F.col("_n0")))
+    mass = F.when(~crossed & (F.greatest("_p0", "pnl") > 0), below - F.col("_n0")).otherwise(up)
+    known = known.withColumn("_mass", F.when(~F.col("far"), mass))
+    ends = known.groupBy("book").agg(
+        F.max(F.when(F.col("far"), F.col("slope"))).alias("_slope"), last.alias("_last"), F.max(F.when(~F.col("far"), pnl)).alias("_max"), F.min(F.when(~F.col("far"), pnl)).alias("_min"),
+        F.array_compact(F.collect_list(F.when(~F.col("far"), F.col("breakeven")))).alias("_crossings"), F.sum("_mass").alias("_sum"),
+    )
+    slope, end = F.col("_slope"), F.col("_last.pnl")
+    beyond = F.when(F.col("_last.straight") & (slope != 0) & (end * slope <= 0), F.col("_last.s") - end / F.nullif(slope, F.lit(0.0)))
+    ends = ends.withColumn("_beyond", beyond)
+    above = F.when(F.col("_beyond").isNull(), F.col("_last.below")).otherwise(norm_cdf((F.ln("_beyond") - F.col("_last._m")) / F.col("_last._w")))
+    tail = F.when(F.col("_beyond").isNull(), F.when(end > 0, 1 - F.col("_last.below")).otherwise(0.0)).otherwise(F.when(slope > 0, 1 - above).otherwise(above - F.col("_last.below")))
+    return ends.select(
+        "book", F.when(slope <= 0, F.col("_max")).alias("max_profit"), F.when(slope >= 0, F.col("_min")).alias("max_loss"), (slope > 0).alias("unlimited_profit"), (slope < 0).alias("unlimited_loss"),
+        F.array_sort(F.array_compact(F.array_append("_crossings", F.col("_beyond")))).alias("breakevens"), (F.coalesce("_sum", F.lit(0.0)) + tail).alias("p_profit"),
+    )

@@ -376,9 +376,9 @@ SPLIT_PLACES = {"move": 4, "pnl": 2, "delta_part": 2, "gamma_part": 2, "rest": 2
 
 @query(
     "opt_sigma_split",
-    f"""WITH {LEGS}, bo AS (SELECT symbol || ':' || template AS book, * FROM lg), sd AS (SELECT book, coalesce(avg(vol) FILTER (type <> 'u'), 0.3) AS sg1 FROM bo GROUP BY book),
-    sc AS (SELECT * REPLACE (spot + move AS spot, greatest(vol, 1e-4) AS vol) FROM (SELECT bo.*, sigma, sigma * spot * sg1 / sqrt(252) AS move FROM bo JOIN sd USING (book), (SELECT unnest([0, -2, -1, 1, 2])::DOUBLE AS sigma))), {valued_sql("sv", "sc")},
-    su AS (SELECT book, sigma, max(move) AS move, sum(qty * 100 * price) AS value, sum(qty * 100 * delta) AS delta, sum(qty * 100 * gamma) AS gamma FROM sv GROUP BY ALL),
+    f"""WITH {LEGS}, bo AS MATERIALIZED (SELECT symbol || ':' || template AS book, * FROM lg), sd AS (SELECT book, coalesce(avg(vol) FILTER (type <> 'u'), 0.3) AS sg1 FROM bo GROUP BY book),
+    sc AS MATERIALIZED (SELECT * REPLACE (spot + move AS spot, greatest(vol, 1e-4) AS vol) FROM (SELECT bo.*, sigma, sigma * spot * sg1 / sqrt(252) AS move FROM bo JOIN sd USING (book), (SELECT unnest([0, -2, -1, 1, 2])::DOUBLE AS sigma))), {valued_sql("sv", "sc")},
+    su AS MATERIALIZED (SELECT book, sigma, max(move) AS move, sum(qty * 100 * price) AS value, sum(qty * 100 * delta) AS delta, sum(qty * 100 * gamma) AS gamma FROM sv GROUP BY ALL),
     sp AS (SELECT s.book, s.sigma, s.move, s.value - z.value AS pnl, z.delta * s.move AS delta_part, z.gamma * s.move * s.move / 2 AS gamma_part FROM su s JOIN su z ON s.book = z.book AND z.sigma = 0 WHERE s.sigma <> 0)
     SELECT book, sigma, {_money_sql(SPLIT_PLACES).replace("round(rest,", "round(pnl - delta_part - gamma_part,")} FROM sp""",
 )
@@ -389,22 +389,38 @@ def sigma_split(spark, d):  # noqa: ANN001, ANN201
 PROFILE_PLACES = {"max_profit": 2, "max_loss": 2, "p_profit": 5, "first_breakeven": 3, "last_breakeven": 3}
 
 
+def cdf_sql(z: str) -> str:
+    return f"CASE WHEN {z} > 0 THEN 1 - ({tail_sql(f'abs({z})')}) ELSE {tail_sql(f'abs({z})')} END"
+
+
+# Points: zero, the strikes that expire first, a grid where a later leg is left, and far out; then between each two points.
+PROFILE = f"""bo AS MATERIALIZED (SELECT symbol || ':' || template AS book, * FROM lg),
+hz AS MATERIALIZED (SELECT book, min(t) FILTER (type <> 'u') AS h, max(t) FILTER (type <> 'u') AS l, avg(vol) FILTER (type <> 'u') AS v, max(spot) AS s0, max(rate - div) AS drift FROM bo GROUP BY book),
+pt AS (SELECT book, 1e-6::DOUBLE AS s, false AS far FROM hz UNION SELECT book, strike, false FROM bo JOIN hz USING (book) WHERE type <> 'u' AND t = h
+    UNION SELECT book, s0 * (0.02::DOUBLE + i * 3.98::DOUBLE / 1199), false FROM hz, (SELECT unnest(range(0, 1200)) AS i) WHERE l > h UNION SELECT book, s0 * 50, true FROM hz),
+ec AS MATERIALIZED (SELECT bo.* REPLACE (pt.s AS spot, greatest(bo.t - h, 0) AS t, greatest(vol, 1e-4) AS vol), far, l <= h AS straight, ln(s0) + (drift - v * v / 2) * h AS mu, v * sqrt(greatest(h, 1e-6)) AS sd FROM bo JOIN hz USING (book) JOIN pt USING (book)),
+{valued_sql("ev", "ec")},
+e1 AS MATERIALIZED (SELECT book, spot AS s, far, straight, mu, sd, round(sum(qty * 100 * (price - entry)), 6) + 0.0 AS pnl, round(sum(qty * 100 * delta), 6) + 0.0 AS slope FROM ev GROUP BY ALL),
+e2 AS MATERIALIZED (SELECT *, (ln(s) - mu) / sd AS z FROM e1), e3 AS MATERIALIZED (SELECT *, {cdf_sql("z")} AS below FROM e2),
+e4 AS MATERIALIZED (SELECT *, lag(pnl) OVER w AS p0, lag(s) OVER w AS x0, lag(below) OVER w AS n0, max(slope) FILTER (far) OVER (PARTITION BY book) AS tail, NOT far AND lead(s) OVER w IS NULL AS ends FROM e3 WINDOW w AS (PARTITION BY book, far ORDER BY s)),
+e5 AS (SELECT book, s, pnl, below, p0, n0, mu, sd, tail, ends, CASE WHEN p0 = 0 THEN x0 WHEN p0 * pnl < 0 THEN x0 - p0 * (s - x0) / (pnl - p0) END AS be, CASE WHEN ends AND straight AND tail <> 0 AND pnl * tail <= 0 THEN s - pnl / tail END AS out FROM e4 WHERE NOT far),
+e6 AS MATERIALIZED (SELECT *, (ln(be) - mu) / sd AS bz, (ln(out) - mu) / sd AS oz FROM e5), e7 AS MATERIALIZED (SELECT *, {cdf_sql("bz")} AS bn, {cdf_sql("oz")} AS o_n FROM e6),
+e8 AS (SELECT *, CASE WHEN p0 * pnl < 0 THEN CASE WHEN pnl > 0 THEN below - bn ELSE bn - n0 END WHEN greatest(p0, pnl) > 0 AND p0 IS NOT NULL THEN below - n0 ELSE 0 END
+    + CASE WHEN NOT ends THEN 0 WHEN out IS NULL THEN CASE WHEN pnl > 0 THEN 1 - below ELSE 0 END WHEN tail > 0 THEN 1 - o_n ELSE o_n - below END AS mass FROM e7)"""
+
+
 @query(
     "opt_expiry_profile",
-    f"""WITH {LEGS}, bo AS (SELECT symbol || ':' || template AS book, * FROM lg), hz AS (SELECT book, min(t) AS h, avg(vol) AS v FROM bo WHERE type <> 'u' GROUP BY book),
-    ec AS (SELECT * REPLACE (spot * (0.5 + point * 1.0 / 40) AS spot, greatest(t - h, 0) AS t, greatest(vol, 1e-4) AS vol) FROM (SELECT bo.*, h, v, spot AS s0, point FROM bo JOIN hz USING (book), (SELECT unnest(range(0, 41)) AS point))), {valued_sql("ev", "ec")},
-    e1 AS (SELECT book, point, max(spot) AS s, max((ln(spot) - ln(s0) - (rate - div - v * v / 2) * h) / (v * sqrt(greatest(h, 1e-6)))) AS z, round(sum(qty * 100 * (price - entry)), 6) + 0.0 AS pnl FROM ev GROUP BY ALL),
-    e2 AS (SELECT *, abs(z) AS az, {tail_sql("abs(z)")} AS u FROM e1), e3 AS (SELECT *, CASE WHEN z > 0 THEN 1 - u ELSE u END AS n FROM e2),
-    e4 AS (SELECT *, lag(pnl) OVER w AS p0, lag(s) OVER w AS x0, lag(n) OVER w AS n0 FROM e3 WINDOW w AS (PARTITION BY book ORDER BY point)),
-    e5 AS (SELECT *, CASE WHEN p0 = 0 THEN x0 WHEN p0 * pnl < 0 THEN x0 - p0 * (s - x0) / (pnl - p0) END AS be FROM e4)
-    SELECT book, count(be) AS n_breakevens, round(max(pnl), 2) + 0.0 AS max_profit, round(min(pnl), 2) + 0.0 AS max_loss, round(sum(CASE WHEN (p0 + pnl) / 2 > 0 THEN n - n0 ELSE 0 END), 5) + 0.0 AS p_profit, round(min(be), 3) + 0.0 AS first_breakeven, round(max(be), 3) + 0.0 AS last_breakeven FROM e5 GROUP BY book""",
+    f"""WITH {LEGS}, {PROFILE}
+    SELECT book, count(be) + count(out) AS n_breakevens, max(tail) > 0 AS unlimited_profit, max(tail) < 0 AS unlimited_loss, CASE WHEN max(tail) <= 0 THEN round(max(pnl), 2) + 0.0 END AS max_profit, CASE WHEN max(tail) >= 0 THEN round(min(pnl), 2) + 0.0 END AS max_loss,
+        round(sum(mass), 5) + 0.0 AS p_profit, round(least(min(be), min(out)), 3) + 0.0 AS first_breakeven, round(greatest(max(be), max(out)), 3) + 0.0 AS last_breakeven FROM e8 GROUP BY book""",
 )
 def expiry_profile(spark, d):  # noqa: ANN001, ANN201
     """Best, worst, breakevens and chance of a profit when the first option of a book expires."""
-    p = options.expiry_profile(options.expiry_curve(books(spark, d), 0.5, 1.5, 40))
+    p = options.expiry_profile(options.expiry_curve(books(spark, d)))
     n = F.size("breakevens")
     ends = {"n_breakevens": n.cast("long"), "first_breakeven": F.get("breakevens", F.lit(0)), "last_breakeven": F.when(n > 0, F.get("breakevens", n - 1))}
-    return _money(p.withColumns(ends), ["book", "n_breakevens"], PROFILE_PLACES)
+    return _money(p.withColumns(ends), ["book", "n_breakevens", "unlimited_profit", "unlimited_loss"], PROFILE_PLACES)
 
 
 RV = (10, 20, 60, 120)

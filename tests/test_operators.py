@@ -2,6 +2,9 @@
 
 import datetime
 import json
+import math
+import random
+import statistics
 
 import numpy as np
 import pytest
@@ -238,12 +241,50 @@ def test_all_templates_and_books(spark, sf_dir):
     assert still == pytest.approx({k: r.pnl for k, r in totals.items()})
     small = options.sigma_split(legs, [0.01]).collect()
     assert all(abs(r.rest) < 1e-3 * max(1.0, abs(r.delta_part)) for r in small)
-    curve = options.expiry_curve(legs, 0.02, 3.0, 400)
-    profile = {r.book: r for r in options.expiry_profile(curve).collect()}
+    profile = {r.book: r for r in options.expiry_profile(options.expiry_curve(legs)).collect()}
     call = next(r for r in rows if r.book == "2:Long call")
-    assert profile["2:Long call"].max_loss == pytest.approx(-100 * call.entry, rel=1e-6)
-    assert profile["2:Long call"].breakevens == pytest.approx([call.strike + call.entry], rel=1e-3)
+    assert profile["2:Long call"].max_loss == pytest.approx(-100 * call.entry, rel=1e-6) and profile["2:Long call"].unlimited_profit
+    assert profile["2:Long call"].breakevens == pytest.approx([call.strike + call.entry], rel=1e-6)
     assert len(profile["2:Long straddle"].breakevens) == 2 and 0 < profile["2:Long straddle"].p_profit < 1
+    assert profile["2:Short straddle"].unlimited_loss and profile["2:Call ratio 1x2"].unlimited_loss and profile["2:Call ratio 1x2"].max_loss is None
+    assert profile["2:Long straddle"].p_profit + profile["2:Short straddle"].p_profit < 1  # both pay the spread
+    assert not profile["2:Iron condor"].unlimited_loss and profile["2:Call calendar"].breakevens
+
+
+def test_expiry_profile_by_loop(spark):
+    """Against a fine grid and its own tails, and by the formula where the payoff is known."""
+    norm = statistics.NormalDist()
+    rng = random.Random(5)
+    books = {"short call": [("c", 100.0, -1, 3.0)], "naked put": [("p", 90.0, -1, 2.0)], "stock": [("u", 0.0, 1, 101.0)], "covered": [("u", 0.0, 1, 100.0), ("c", 110.0, -1, 4.0)]}
+    for i in range(25):
+        books[f"r{i}"] = [(rng.choice("cpu"), float(rng.randrange(70, 130, 5)), rng.choice([-2, -1, 1, 2]), round(rng.uniform(0.5, 12), 2)) for _ in range(rng.randint(1, 4))]
+    t, vol, rate, div, spot = 0.25, 0.3, 0.02, 0.01, 100.0
+    rows = [{"book": b, "leg": n, "type": ty, "strike": k, "t": 0.0 if ty == "u" else t, "qty": q, "vol": 0.0 if ty == "u" else vol, "entry": 98.0 + e if ty == "u" else e, "spot": spot, "rate": rate, "div": div} for b, legs in books.items() for n, (ty, k, q, e) in enumerate(legs)]
+    got = {r.book: r for r in options.expiry_profile(options.expiry_curve(spark.createDataFrame(rows))).collect()}
+    for b, legs in books.items():
+        own = [r for r in rows if r["book"] == b]
+        live = any(ty != "u" for ty, *_ in legs)
+
+        def pnl(s, own=own):
+            return sum(100 * r["qty"] * ({"c": max(s - r["strike"], 0), "p": max(r["strike"] - s, 0), "u": s}[r["type"]] - r["entry"]) for r in own)
+
+        slope = 100 * sum(q for ty, _, q, _ in legs if ty != "p")
+        ks = [0.0] + [k for ty, k, _, _ in legs if ty != "u"]
+        assert got[b].unlimited_profit == (slope > 0) and got[b].unlimited_loss == (slope < 0)
+        if slope <= 0:
+            assert got[b].max_profit == pytest.approx(max(map(pnl, ks)), abs=1e-2)
+        if slope >= 0:
+            assert got[b].max_loss == pytest.approx(min(map(pnl, ks)), abs=1e-2)
+        assert all(abs(pnl(x)) < 1e-2 for x in got[b].breakevens)
+        if live:
+            mu, sd = math.log(spot) + (rate - div - vol * vol / 2) * t, vol * math.sqrt(t)
+            cut = [0.01 * i for i in range(1, 100_000)]
+            changes = sum((pnl(x) > 0) != (pnl(y) > 0) for x, y in zip(cut[::25], cut[25::25]))
+            assert len(got[b].breakevens) >= changes
+            edges = [0.0, *got[b].breakevens, 1e9]
+            below = lambda x: norm.cdf((math.log(x) - mu) / sd) if x > 0 else 0.0
+            want = sum(below(y) - below(x) for x, y in zip(edges, edges[1:]) if pnl((x + min(y, 2 * x + 1000)) / 2) > 0)
+            assert got[b].p_profit == pytest.approx(want, abs=1e-6), b
 
 
 def test_position_fold_by_hand(spark):
