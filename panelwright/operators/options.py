@@ -107,11 +107,9 @@ def quoted(chain: DataFrame) -> DataFrame:
     return implied_vol(chain.withColumn("mid", mid_price()))
 
 
-def surface(chain: DataFrame) -> DataFrame:
-    """Per symbol, dte and t, from a quoted chain: forward, ATM vol at the forward, interpolated between the strikes around
-    it, straddle (call and put mid at the strike nearest the forward) and vols at 90 and 110 % moneyness. A strike's vol is
-    that of the side out of the money, else of the other. Strikes without a two-sided quote count only where fewer than
-    two others have a vol."""
+def strike_vols(chain: DataFrame) -> DataFrame:
+    """A row for each strike of a quoted chain, with the forward, the mids of both sides (cm, pm) and iv: the vol of the side out
+    of the money, else of the other."""
     is_call = F.col("type") == "c"
     pick = lambda x, side: F.max(F.when(is_call if side == "c" else ~is_call, F.col(x)))
     two_sided = (F.col("bid") > 0) & (F.col("ask") >= F.col("bid"))
@@ -120,7 +118,35 @@ def surface(chain: DataFrame) -> DataFrame:
         pick("mid", "c").alias("cm"), pick("mid", "p").alias("pm"), pick("_ok", "c").alias("c_ok"), pick("_ok", "p").alias("p_ok"),
     )
     above = F.col("strike") >= F.col("fwd")
-    strikes = strikes.withColumns({"iv": F.when(above, F.coalesce("civ", "piv")).otherwise(F.coalesce("piv", "civ")), "_ok": F.when(above, F.col("c_ok")).otherwise(F.col("p_ok"))})
+    return strikes.withColumns({"iv": F.when(above, F.coalesce("civ", "piv")).otherwise(F.coalesce("piv", "civ")), "_ok": F.when(above, F.col("c_ok")).otherwise(F.col("p_ok"))})
+
+
+#: Levels of moneyness at which vols are read off, as fractions of spot.
+LEVELS = (0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.2)
+
+
+def moneyness_vols(strikes: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Per symbol and dte the vol at each level of moneyness (m80 for 0.8, ...), interpolated between the last strike at or below
+    it and the first above that have a vol; null outside the listed strikes. strikes: strike_vols(). Levels are rows among the
+    strikes, so that one window in the order of the strikes meets both neighbours of all of them."""
+    names = [f"m{round(m * 100)}" for m in levels]
+    level = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(m).alias("m")) for n, m in zip(names, levels, strict=True))))
+    asked = strikes.groupBy("symbol", "dte").agg(F.max("spot").alias("spot")).select("symbol", "dte", "spot", level.alias("x"))
+    asked = asked.select("symbol", "dte", (F.col("spot") * F.col("x.m")).alias("k"), F.lit(None).cast("double").alias("iv"), F.col("x.name").alias("name"))
+    listed = strikes.where("iv IS NOT NULL").select("symbol", "dte", F.col("strike").alias("k"), "iv", F.lit(None).cast("string").alias("name"))
+    w = Window.partitionBy("symbol", "dte").orderBy("k", F.col("name").asc_nulls_first())
+    point = F.when(F.col("iv").isNotNull(), F.struct("k", "iv"))
+    lo = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first(point, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    met = listed.unionByName(asked).withColumns({"lo": lo, "hi": hi}).where("name IS NOT NULL")
+    vol = F.col("lo.iv") + (F.col("hi.iv") - F.col("lo.iv")) * (F.col("k") - F.col("lo.k")) / (F.col("hi.k") - F.col("lo.k"))
+    return met.withColumn("vol", vol).groupBy("symbol", "dte").pivot("name", names).agg(F.max("vol"))
+
+
+def surface(strikes: DataFrame) -> DataFrame:
+    """Per symbol, dte and t, from strike_vols(): forward, ATM vol at the forward, interpolated between the strikes around
+    it, straddle (call and put mid at the strike nearest the forward) and vols at 90 and 110 % moneyness by the nearest
+    strike. Strikes without a two-sided quote count only where fewer than two others have a vol."""
     has = F.col("iv").isNotNull()
     fresh = F.sum((has & F.col("_ok")).cast("int")).over(Window.partitionBy("symbol", "dte", "t"))
     strikes = strikes.withColumn("_in", has & (F.col("_ok") | (fresh < 2)))

@@ -127,10 +127,30 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
 
 
+def nearest_on_line(df: DataFrame, by: list[str], key: str, value: str, k: int) -> DataFrame:
+    """Of every row the k rows of its group (by) nearest in value, ties by the smaller key: other and place, from 1. In the
+    order of their values the nearest of a row are among the k before, the k after and the first k of its own value, so no pairs
+    are made: the plan is linear in the rows. key is unique in a group; values aren't null."""
+    own = F.struct(F.col(key).alias("other"), F.col(value).alias("_v"))
+    # Either way from a row, equal values come in the order of their keys.
+    up = Window.partitionBy(*by).orderBy(F.col(value).asc(), key)
+    down = Window.partitionBy(*by).orderBy(F.col(value).desc(), key)
+    same = Window.partitionBy(*by, value).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = [F.lead(own, i).over(w) for w in (up, down) for i in range(1, k + 1)] + [F.nth_value(own, i).over(same) for i in range(1, k + 2)]
+    met = df.withColumn("_near", F.array_distinct(F.array_compact(F.array(*near))))
+    gap = lambda x: F.round(F.abs(x["_v"] - F.col(value)), 9)
+    others = F.filter("_near", lambda x: x["other"] != F.col(key))
+    ranked = F.array_sort(F.transform(others, lambda x: F.struct(gap(x).alias("gap"), x["other"].alias("other"))))
+    each = met.select(*df.columns, F.posexplode(F.slice(ranked, 1, k)).alias("_i", "_x"))
+    return each.select(*df.columns, F.col("_x.other").alias("other"), (F.col("_i") + 1).alias("place"))
+
+
 def top_quota(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
-    """The top n split over groups in proportion to their rows, at least one each."""
+    """Where df has more than n rows: n places split over groups in proportion to their rows, at least one each (a half goes to
+    the even number), then the first n by group and order."""
     counts = df.groupBy(by).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_t"))
-    quota = counts.join(F.broadcast(total)).select(by, F.greatest(F.lit(1), F.round(F.col("_c") * n / F.col("_t"))).alias("_q"))  # total: one row
+    share = F.greatest(F.lit(1), F.bround(F.col("_c") * n / F.col("_t")))
+    quota = counts.join(F.broadcast(total)).select(by, F.when(F.col("_t") > n, share).otherwise(F.col("_c")).alias("_q"))  # total: one row
     ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.join(quota, by).where(F.col("place") <= F.col("_q")).drop("_q")
+    return ranked.join(quota, by).where(F.col("place") <= F.col("_q")).drop("_q").orderBy(by, *order).limit(n)

@@ -65,7 +65,7 @@ def top_per_group(spark, d):  # noqa: ANN001, ANN201
     return workbench.top_per_group(src.table(spark, d, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 3).select("s_nationkey", "s_suppkey", "place")
 
 
-@query("top_quota", "WITH q AS (SELECT p_brand, greatest(1, round(count(*) * 100.0 / sum(count(*)) OVER ())) AS q FROM part GROUP BY p_brand) SELECT p_brand, p_partkey FROM part JOIN q USING (p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= max(q) OVER (PARTITION BY p_brand)")
+@query("top_quota", "WITH q AS (SELECT p_brand, greatest(1, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 0)) AS q FROM part GROUP BY p_brand), t AS (SELECT p_brand, p_partkey, p_retailprice FROM part JOIN q USING (p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= max(q) OVER (PARTITION BY p_brand)) SELECT p_brand, p_partkey FROM t ORDER BY p_brand, p_retailprice DESC, p_partkey LIMIT 100")
 def top_quota(spark, d):  # noqa: ANN001, ANN201
     return workbench.top_quota(src.table(spark, d, "part"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 100).select("p_brand", "p_partkey")
 
@@ -81,10 +81,8 @@ PEER = "p3 AS (SELECT ticker, basket, date, close / lag(close, 3) OVER (PARTITIO
 @query("top_peer_nearest", with_sql("px", "bk", more=PEER) + "SELECT a.ticker, a.date, b.ticker AS peer, row_number() OVER (PARTITION BY a.ticker, a.date ORDER BY round(abs(a.r - b.r), 9), b.ticker)::INT AS place FROM pr a JOIN pr b ON a.basket = b.basket AND a.date = b.date AND a.ticker <> b.ticker QUALIFY place <= 3")
 def peers(spark, d):  # noqa: ANN001, ANN201
     """At every date the three names of the basket whose return over three months was nearest."""
-    a = src.monthly_prices(spark, d).withColumn("r", win.simple_return(F.col("close"), win.series("ticker"), 3)).where("r IS NOT NULL").join(src.baskets(spark, d), "ticker").select("ticker", "date", "basket", "r")
-    b = a.select(F.col("ticker").alias("peer"), "date", "basket", F.col("r").alias("other"))
-    both = a.join(b, ["basket", "date"]).where("ticker <> peer")
-    return workbench.top_per_group(both, ["ticker", "date"], [F.round(F.abs(F.col("r") - F.col("other")), 9), F.col("peer")], 3).select("ticker", "date", "peer", "place")
+    r = src.monthly_prices(spark, d).withColumn("r", win.simple_return(F.col("close"), win.series("ticker"), 3)).where("r IS NOT NULL").join(src.baskets(spark, d), "ticker")
+    return workbench.nearest_on_line(r, ["basket", "date"], "ticker", "r", 3).select("ticker", "date", F.col("other").alias("peer"), "place")
 
 
 @query("pick_nearest_target", "SELECT user_id, target, event_id FROM (SELECT user_id, event_id, (DATE '2024-03-01' - ts::DATE) AS days, unnest([10, 30]) AS target FROM events WHERE event_type = 'signup') WHERE abs(days - target) <= greatest(5, target * 0.45) QUALIFY row_number() OVER (PARTITION BY user_id, target ORDER BY abs(days - target), event_id) = 1")
@@ -276,13 +274,26 @@ def iv_chain(spark, d):  # noqa: ANN001, ANN201
 
 
 def surfaces(spark, d):  # noqa: ANN001, ANN201
-    return options.surface(options.quoted(quotes_of(spark, d)))
+    return options.surface(options.strike_vols(options.quoted(quotes_of(spark, d))))
 
 
-@query("opt_surface", f"WITH {SURFACE} SELECT symbol, dte, round(fwd, 4) AS fwd, round(atm, 5) AS atm, round(straddle, 3) AS straddle, round(vol_90, 4) AS vol_90, round(vol_110, 4) AS vol_110, round(vol_90 - vol_110, 4) + 0.0 AS skew FROM sf")
+#: Strikes at or below each level and above it, by comparison with every strike of the chain.
+MONEYNESS = f"""lv AS (SELECT symbol, dte, 'm' || round(m * 100)::INT AS name, max(spot) * m AS k FROM s2, (SELECT unnest({list(options.LEVELS)})::DOUBLE AS m) GROUP BY symbol, dte, m),
+lw AS (SELECT lv.symbol, lv.dte, lv.name, any_value(lv.k) AS k, max(strike) FILTER (strike <= lv.k) AS k0, arg_max(v, strike) FILTER (strike <= lv.k) AS v0, min(strike) FILTER (strike > lv.k) AS k1, arg_min(v, strike) FILTER (strike > lv.k) AS v1
+    FROM lv LEFT JOIN s2 ON s2.symbol = lv.symbol AND s2.dte = lv.dte AND v IS NOT NULL GROUP BY ALL),
+mv AS (SELECT symbol, dte, """ + ", ".join(f"round(max(v0 + (v1 - v0) * (k - k0) / (k1 - k0)) FILTER (name = 'm{round(m * 100)}'), 4) AS m{round(m * 100)}" for m in options.LEVELS) + " FROM lw GROUP BY ALL)"
+
+
+@query(
+    "opt_surface",
+    f"WITH {SURFACE}, {MONEYNESS} SELECT mv.*, round(fwd, 4) AS fwd, round(atm, 5) AS atm, round(straddle, 3) AS straddle, round(vol_90, 4) AS vol_90, round(vol_110, 4) AS vol_110, round(vol_90 - vol_110, 4) + 0.0 AS skew FROM sf JOIN mv USING (symbol, dte)",
+)
 def surface(spark, d):  # noqa: ANN001, ANN201
-    places = {"fwd": 4, "atm": 5, "straddle": 3, "vol_90": 4, "vol_110": 4}
-    return surfaces(spark, d).select("symbol", "dte", *(F.round(c, n).alias(c) for c, n in places.items()), (F.round("skew", 4) + 0.0).alias("skew"))
+    """Forward, vol at the forward and at seven levels of moneyness, straddle and skew."""
+    strikes = stored(options.strike_vols(options.quoted(quotes_of(spark, d))), "strike-vols")
+    places = {"fwd": 4, "atm": 5, "straddle": 3, "vol_90": 4, "vol_110": 4} | {f"m{round(m * 100)}": 4 for m in options.LEVELS}
+    both = options.surface(strikes).join(options.moneyness_vols(strikes), ["symbol", "dte"])
+    return both.select("symbol", "dte", *(F.round(c, n).alias(c) for c, n in places.items()), (F.round("skew", 4) + 0.0).alias("skew"))
 
 
 @query(
