@@ -68,23 +68,49 @@ def flagged_number(text: Column) -> Column:
     return F.struct(value.alias("value"), flag.alias("flag"))
 
 
+#: White space of any script, for Spark's regular expressions.
+BLANKS = r"(?U)\s+"
+
+
 def clean_text(text: Column) -> Column:
-    """Control characters and runs of white space become one space, long dashes a hyphen; trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f]", " "), "[–—]", "-"), r"\s+", " "))
+    """Long dashes become a hyphen, control characters and soft hyphens go, runs of white space become one space; trimmed; null
+    where nothing is left."""
+    dashed = F.regexp_replace(text.cast("string"), r"[\u2013\u2014\u0096\u0097]", "-")
+    bare = F.regexp_replace(dashed, r"[\x00-\x1f\x7f-\u009f\u00ad]", "")
+    return F.nullif(F.trim(F.regexp_replace(bare, BLANKS, " ")), F.lit(""))
+
+
+# Words that stay in capitals.
+KEEP_UPPER = (
+    "USA", "US", "LLC", "LP", "LLP", "INC", "CO", "BP", "PBF", "HF", "CVR", "WRB",
+    "NGL", "LNG", "ONEOK", "DCP", "MPLX", "TC", "EPL", "II", "III", "IV", "SA", "TX",
+    "NV", "ANR", "KO", "WBI", "EQT", "UGI", "DTE", "CNG", "NGPL", "PG&E", "EQM",
+)
 
 
 def smart_title(text: Column) -> Column:
-    """Title case, but words of at most three capitals stay as they are."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(F.regexp_like(w, F.lit("^[A-Z]{2,3}$")), w).otherwise(F.initcap(w))), " ")
+    """Cleaned text; if it is all in capitals, in title case but for the words of KEEP_UPPER and those of at most two characters
+    with an ampersand (stops, commas and brackets around a word don't count)."""
+    clean = clean_text(text)
+
+    def title(w: Column) -> Column:
+        core = F.btrim(w, F.lit(".,()"))
+        stays = core.isin(*KEEP_UPPER) | ((F.char_length(core) <= 2) & core.contains("&"))
+        return F.when(stays, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+
+    return F.when(clean != F.upper(clean), clean).otherwise(F.array_join(F.transform(F.split(clean, " "), title), " "))
 
 
 def unit_norm(capacity: Column, unit: Column) -> Column:
-    """struct(capacity, unit): thousand, million and plain tons become kt/yr or t/yr; volumes and carats are dropped."""
-    u = F.lower(F.coalesce(unit, F.lit("")))
-    other = F.regexp_like(u, F.lit("barrel|cubic|carat"))
-    scale = F.when(other, None).when(u.contains("million") & u.contains("ton"), 1000.0).when(u.contains("thousand") & u.contains("ton"), 1.0).when(u.contains("kilogram"), 0.001).when(u.contains("ton"), 1.0)
-    name = F.when(other, None).when(u.contains("million") & u.contains("ton"), "kt/yr").when(u.contains("thousand") & u.contains("ton"), "kt/yr").when(u.contains("kilogram"), "t/yr").when(u.contains("ton"), "t/yr")
-    return F.struct((capacity * scale).alias("capacity"), name.alias("unit"))
+    """struct(capacity, unit): thousands and metric tons become kt/yr, kilograms t/yr; without a positive capacity, for volumes,
+    carats and anything else both are null."""
+    u = F.lower(F.coalesce(clean_text(unit), F.lit("")))
+    starts = lambda *words: F.regexp_like(u, F.lit("^(" + "|".join(words) + ")"))
+    lost = ~F.coalesce(capacity > 0, F.lit(False)) | F.regexp_like(u, F.lit("barrel|cubic|carat"))
+    thousand = ~lost & starts("thousand")
+    small = ~lost & ~thousand & (starts("t /", "t/yr", "metric tons", "kilograms", "kg"))
+    name = F.when(thousand, "kt/yr").when(small & starts("kilograms", "kg"), "t/yr").when(small, "kt/yr")
+    return F.struct(F.when(thousand, capacity.cast("double")).when(small, capacity / 1000.0).alias("capacity"), name.alias("unit"))
 
 
 def tier(c: Column) -> Column:

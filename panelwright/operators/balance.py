@@ -165,32 +165,3 @@ def country_metric(shares: DataFrame, by: list[str], holder: str = "country", to
     best = shares.groupBy(*by, holder).agg(F.max("share").alias("share"), F.max_by("stage", F.struct("share", "stage")).alias("stage"))
     placed = best.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("share").desc(), holder)))
     return placed.where(F.col("place") <= top)
-
-
-def violations(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
-    """A row for each rule that a row breaks: key, rule. A rule that can't be decided (null) is broken."""
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
-    return df.select(*key, F.explode(broken).alias("rule"))
-
-
-def group_violations(df: DataFrame, by: list[str], share: str, rank: str, part: str, whole: str, tolerance: float = 1e-6) -> DataFrame:
-    """A row for each group and rule that it breaks: shares add up to 1, ranks are 1, 2, ... in descending order of share, parts
-    add up to the whole."""
-    after = F.lag(share).over(Window.partitionBy(*by).orderBy(rank))
-    marked = df.withColumn("_falls", F.coalesce(F.col(share) <= after + tolerance, F.lit(True)))
-    sums = marked.groupBy(*by).agg(
-        F.sum(share).alias("_share"),
-        F.min("_falls").alias("_sorted"),
-        (F.max(rank) == F.count("*")).alias("_dense"),
-        F.count_distinct(rank).alias("_ranks"),
-        F.count("*").alias("_n"),
-        F.sum(part).alias("_parts"),
-        F.max(whole).alias("_whole"),
-    )
-    near = lambda a, b: F.abs(a - b) <= tolerance * F.greatest(F.abs(b), F.lit(1.0))
-    rules = {
-        "share_sum": near(F.col("_share"), F.lit(1.0)),
-        "sorted_ranks": F.col("_sorted") & F.col("_dense") & (F.col("_ranks") == F.col("_n")),
-        "parts_sum": near(F.col("_parts"), F.col("_whole")),
-    }
-    return violations(sums, by, rules)

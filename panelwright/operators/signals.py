@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,27 +46,3 @@ def stack(wide: DataFrame, node: list[str], signals: dict[str, Signal]) -> DataF
         return F.struct(F.lit(kind).alias("type"), firing.alias("firing"), score.alias("score"), F.when(firing, side.cast("int")).otherwise(0).alias("direction"))
 
     return wide.select(*node, F.explode(F.array(*(row(t, s) for t, s in signals.items()))).alias("s")).select(*node, "s.*")
-
-
-def facility_kind(text: Column) -> Column:
-    """mine, smelter or metal_refinery: the first rule that matches."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda words: F.regexp_like(t, F.lit(words))
-    return F.when(has("mine|quarry|pit"), "mine").when(has("smelt|furnace"), "smelter").when(has("refin|anod|cathod"), "metal_refinery")
-
-
-def first_mention(text: Column, names: list[str]) -> Column:
-    """The name that stands first in the text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*(F.when(F.instr(t, n) > 0, F.struct(F.instr(t, n).alias("at"), F.lit(n).alias("name"))) for n in names)))
-    return F.when(F.size(found) > 0, F.array_min(found)["name"])
-
-
-def border_countries(points: Column, boxes: dict[str, tuple[float, float, float, float]]) -> Column:
-    """USA and every country in whose box (west, south, east, north) a point (lon, lat) lies."""
-
-    def within(box: tuple[float, float, float, float]) -> Callable[[Column], Column]:
-        return lambda p: p["lon"].between(box[0], box[2]) & p["lat"].between(box[1], box[3])
-
-    inside = [F.when(F.exists(points, within(box)), F.lit(name)) for name, box in boxes.items()]
-    return F.array_compact(F.array(F.lit("USA"), *inside))

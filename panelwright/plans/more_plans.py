@@ -148,22 +148,6 @@ def row_number(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"))
 
 
-@query("class_facility_kind", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mine' WHEN 1 THEN 'smelter' WHEN 2 THEN 'metal_refinery' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'copper' END AS metal FROM part")
-def kinds(spark, d):  # noqa: ANN001, ANN201
-    k = F.col("p_partkey")
-    text = F.concat(F.when(k % 4 == 0, "Open pit ").when(k % 4 == 1, "Blast furnace ").when(k % 4 == 2, "Cathode plant ").otherwise("Office "), F.when(k % 3 == 0, "Gold and copper").when(k % 3 == 1, "copper, gold").otherwise("sand"))
-    return src.table(spark, d, "part").select("p_partkey", signals.facility_kind(text).alias("kind"), signals.first_mention(text, ["copper", "gold"]).alias("metal"))
-
-
-@query("class_border", "SELECT s_suppkey, 'USA' || CASE WHEN s_suppkey % 7 >= 5 THEN ',CAN' ELSE '' END || CASE WHEN s_suppkey % 5 = 0 THEN ',MEX' ELSE '' END AS countries FROM supplier")
-def border(spark, d):  # noqa: ANN001, ANN201
-    k = F.col("s_suppkey")
-    point = lambda lon, lat: F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
-    line = F.array(point(F.lit(-100), 44 + k % 7), point(F.lit(-100), F.when(k % 5 == 0, 25).otherwise(35)))
-    boxes = {"CAN": (-141.0, 49.0, -52.0, 83.0), "MEX": (-118.0, 14.0, -86.0, 30.0)}
-    return src.table(spark, d, "supplier").select("s_suppkey", F.array_join(signals.border_countries(line, boxes), ",").alias("countries"))
-
-
 @query("agg_family_coverage", with_sql("px", "annual", "bk", more=f"{scores.PRICE}, {scores.VALUE}, {scores.QUALITY}, {scores.COMPOSITE}") + "SELECT as_of, count(*) AS n, count(m) AS momentum, count(v) AS value, count(q) AS quality, count(composite) AS ranked FROM comp GROUP BY as_of")
 def family_coverage(spark, d):  # noqa: ANN001, ANN201
     return scores._scored(spark, d).groupBy("as_of").agg(F.count("*").alias("n"), F.count("score_momentum").alias("momentum"), F.count("score_value").alias("value"), F.count("score_quality").alias("quality"), F.count("composite").alias("ranked"))

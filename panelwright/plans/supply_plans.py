@@ -203,60 +203,3 @@ def flagged(spark, d):  # noqa: ANN001, ANN201
     k = F.col("p_partkey") % 5
     cell = F.when(k == 0, "-").when(k == 1, "W").when(k == 2, F.concat(F.lit(">"), "p_size")).when(k == 3, F.col("p_name")).otherwise(F.concat(F.lit(" "), F.col("p_size"), F.lit(" ")))
     return src.table(spark, d, "part").select("p_partkey", scalars.flagged_number(cell).alias("x")).select("p_partkey", "x.value", "x.flag")
-
-
-@query("proj_unit_norm", "SELECT p_partkey, (CASE p_partkey % 4 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN p_size * 1.0 WHEN 2 THEN p_size * 0.001 END)::DOUBLE AS capacity, CASE p_partkey % 4 WHEN 0 THEN 'kt/yr' WHEN 1 THEN 't/yr' WHEN 2 THEN 't/yr' END AS unit FROM part")
-def unit_norm(spark, d):  # noqa: ANN001, ANN201
-    k = F.col("p_partkey") % 4
-    unit = F.when(k == 0, "Million metric tons").when(k == 1, "metric tons").when(k == 2, "kilograms").otherwise("thousand barrels")
-    return src.table(spark, d, "part").select("p_partkey", scalars.unit_norm(F.col("p_size").cast("double"), unit).alias("x")).select("p_partkey", "x.capacity", "x.unit")
-
-
-@query("proj_text_clean", "SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || chr(9) || ' – ' || p_brand, '[–—]', '-', 'g'), '\\s+', ' ', 'g')) AS name FROM part")
-def text_clean(spark, d):  # noqa: ANN001, ANN201
-    return src.table(spark, d, "part").select("p_partkey", scalars.clean_text(F.concat("p_name", F.lit("\t – "), "p_brand")).alias("name"))
-
-
-SITES = """si AS (SELECT s_suppkey AS id, (s_suppkey * 7 % 400 - 200)::DOUBLE AS lon, (s_suppkey * 13 % 200 - 100)::DOUBLE AS lat, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS capacity, CASE WHEN s_suppkey % 5 > 0 THEN 't/yr' END AS unit FROM supplier),
-hs AS (SELECT commodity, year, country, production, production / sum(production) OVER w * CASE WHEN year = 1997 THEN 1.1 ELSE 1 END AS share, row_number() OVER (PARTITION BY commodity, year ORDER BY CASE WHEN commodity = 'SMALL' THEN 1 ELSE -1 END * production, country) AS rank, sum(production) OVER w + CASE WHEN year = 1999 THEN 1 ELSE 0 END AS whole FROM prod WINDOW w AS (PARTITION BY commodity, year)),
-hg AS (SELECT commodity, year, abs(sum(share) - 1) <= 1e-6 AS share_sum, bool_and(falls) AS sorted_ranks, abs(sum(production) - max(whole)) <= 1e-6 * greatest(abs(max(whole)), 1) AS parts_sum FROM (SELECT *, coalesce(share <= lag(share) OVER (PARTITION BY commodity, year ORDER BY rank) + 1e-6, true) AS falls FROM hs) GROUP BY ALL)"""
-
-
-@query(
-    "validate_rules",
-    with_sql("prod", more=SITES)
-    + """SELECT 'orders without customer' AS rule, count(*) AS n FROM orders ANTI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'lines without order', count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'discount out of range', count(*) FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 0.08
-    UNION ALL SELECT 'order before 1996', count(*) FROM orders WHERE o_orderdate < DATE '1996-01-01' UNION ALL SELECT 'lon', count(*) FROM si WHERE lon NOT BETWEEN -180 AND 180 UNION ALL SELECT 'lat', count(*) FROM si WHERE lat NOT BETWEEN -90 AND 90 UNION ALL SELECT 'capacity_iff_unit', count(*) FROM si WHERE (capacity IS NULL) <> (unit IS NULL)
-    UNION ALL SELECT 'share_sum', count(*) FILTER (NOT share_sum) FROM hg UNION ALL SELECT 'sorted_ranks', count(*) FILTER (NOT sorted_ranks) FROM hg UNION ALL SELECT 'parts_sum', count(*) FILTER (NOT parts_sum) FROM hg""",
-)
-def rules(spark, d):  # noqa: ANN001, ANN201
-    """Each integrity rule and how many rows or groups break it: keys, ranges, coordinates, units, shares, ranks, totals."""
-    o, c, li, s = (src.table(spark, d, t) for t in ("orders", "customer", "lineitem", "supplier"))
-    k = F.col("s_suppkey")
-    sites = s.select(k.alias("id"), (k * 7 % 400 - 200).alias("lon"), (k * 13 % 200 - 100).alias("lat"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("capacity"), F.when(k % 5 > 0, F.lit("t/yr")).alias("unit"))
-    by_site = {"lon": F.col("lon").between(-180, 180), "lat": F.col("lat").between(-90, 90), "capacity_iff_unit": F.col("capacity").isNull() == F.col("unit").isNull()}
-    w = Window.partitionBy("commodity", "year")
-    order = F.when(F.col("commodity") == "SMALL", 1).otherwise(-1) * F.col("production")
-    held = src.production(spark, d).withColumns({
-        "share": F.col("production") / F.sum("production").over(w) * F.when(F.col("year") == 1997, 1.1).otherwise(1.0), "rank": F.row_number().over(w.orderBy(order, "country")),
-        "whole": F.sum("production").over(w) + F.when(F.col("year") == 1999, 1.0).otherwise(0.0),
-    })
-    counted = lambda found, names: found.groupBy("rule").agg(F.count("*").alias("n")).join(spark.createDataFrame([(x,) for x in names], "rule string"), "rule", "right").fillna(0, ["n"])
-    out = counted(balance.violations(sites, ["id"], by_site), by_site).unionByName(counted(balance.group_violations(held, ["commodity", "year"], "share", "rank", "production", "whole"), ("share_sum", "sorted_ranks", "parts_sum")))
-    broken = {
-        "orders without customer": o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti"),
-        "lines without order": li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"),
-        "discount out of range": li.where(~F.col("l_discount").between(0, 0.08)),
-        "order before 1996": o.where("o_orderdate < DATE '1996-01-01'"),
-    }
-    for name, found in broken.items():
-        out = out.unionByName(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n"))
-    return out
-
-
-@query("proj_yoy_bloc", with_sql("drv", more=BLOC) + "SELECT a.bloc, a.month, round(a.value - b.value, 4) + 0.0 AS change, round(a.value / nullif(b.value, 0) - 1, 6) + 0.0 AS yoy FROM bl a JOIN bl b ON a.bloc = b.bloc AND b.month = last_day((date_trunc('month', a.month) - INTERVAL 12 MONTH)::DATE) WHERE a.value IS NOT NULL AND b.value IS NOT NULL")
-def yoy_bloc(spark, d):  # noqa: ANN001, ANN201
-    """Every bloc against the same month a year before."""
-    out = panel.previous_period(_bloc_months(spark, d), ["bloc"], "month", F.last_day(F.add_months("month", -12)), ["value"]).where("value IS NOT NULL AND prev_value IS NOT NULL")
-    made = {"change": F.col("value") - F.col("prev_value"), "yoy": F.col("value") / F.nullif(F.col("prev_value"), F.lit(0.0)) - 1}
-    return out.withColumns(made).select("bloc", "month", (F.round("change", 4) + 0.0).alias("change"), (F.round("yoy", 6) + 0.0).alias("yoy"))

@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
 from panelwright.functions import windows as win
-from panelwright.operators import backtest, balance, baskets, factors, lab, options, panel, pit, signals, stats, workbench
+from panelwright.operators import backtest, balance, baskets, factors, lab, options, panel, pit, rules, signals, stats, workbench
 from panelwright.plans import desk_plans
 from panelwright.sources import readers, sinks
 from panelwright.streaming.append import append_stream
@@ -352,7 +353,93 @@ def test_balance_blocs_and_sites(spark):
 def test_scalar_cells(spark):
     df = spark.createDataFrame([("$1,200.5",), ("--",), ("5 %",), ("bad",), (None,)], "t string")
     assert [r[0] for r in df.select(scalars.clean_number(F.col("t"))).collect()] == [1200.5, None, 5.0, None, None]
-    assert spark.range(1).select(scalars.smart_title(F.lit("USA steel mill"))).first()[0] == "USA Steel Mill"
+    assert spark.range(1).select(scalars.smart_title(F.lit("USA STEEL MILL"))).first()[0] == "USA Steel Mill"
+
+
+def test_text_rules_by_loop(spark):
+    """Cleaning, titles and units against loops over their branches."""
+    rng = random.Random(9)
+    pool = ["ACME", "Oil", "LLC", "\x01", "\t", " ", "  ", "\u00a0", "–", "—", "\x97", "\u00ad", "PG&E", "&B", "(USA),", "É", "mc", "\x7f", "\u2003", "ß", "CO."]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 6))) for _ in range(400)] + [None, "McGraw", "ACME OIL LLC", "a\x01b"]
+
+    def clean(s):
+        if s is None:
+            return None
+        out = []
+        for ch in s:
+            o = ord(ch)
+            if o in (0x2013, 0x2014, 0x96, 0x97):
+                out.append("-")
+            elif not (o < 32 or 127 <= o <= 159 or o == 0xAD):
+                out.append(" " if ch.isspace() else ch)
+        return " ".join("".join(out).split(" ")).strip() and " ".join("".join(out).split()) or None
+
+    def title(s):
+        s = clean(s)
+        if s is None or any(c != u for c, u in zip(s, s.upper())) or len(s) != len(s.upper()):
+            return s
+        words = []
+        for w in s.split(" "):
+            core = w.strip(".,()")
+            words.append(w if core in scalars.KEEP_UPPER or ("&" in core and len(core) < 3) else w[:1].upper() + w[1:].lower())
+        return " ".join(words)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", scalars.clean_text(F.col("t")).alias("a"), scalars.smart_title(F.col("t")).alias("b")).collect()}
+    assert got == {i: (clean(t), title(t)) for i, t in enumerate(texts)}
+    units = [(50.0, "metric tons"), (50.0, "kg"), (-3.0, "thousand tons"), (0.0, "t/yr"), (None, "kg"), (2.0, None), (2.0, "Thousand 42-gallon barrels"), (2.0, "thousand tons"), (2.0, "tons"), (2.0, "t / y"), (2.0, "Million tons"), (7.0, "KILOGRAMS of metal"), (7.0, "thousand carats")]
+    want = [(0.05, "kt/yr"), (0.05, "t/yr"), *[(None, None)] * 5, (2.0, "kt/yr"), (None, None), (0.002, "kt/yr"), (None, None), (0.007, "t/yr"), (None, None)]
+    df = spark.createDataFrame([(i, *u) for i, u in enumerate(units)], "i int, c double, u string")
+    assert [tuple(r.x) for r in df.select("i", scalars.unit_norm(F.col("c"), F.col("u")).alias("x")).orderBy("i").collect()] == want
+
+
+def test_facilities_by_loop(spark):
+    """Every branch of the table, by nested ifs."""
+    types = ["Smelter at mine site", "Mine", "Quarry", "Mill", "Plant", "REFINERY", "", None, "Old mine"]
+    texts = ["copper", "copper ore", "gold", "alumina", "alumina compound", "bauxite", "iron ore", "uranium", "platinum, tin", "tin", "zinc metal", "aluminum", "aluminum mine", "aluminium, gold", "lead, gold", "sand", None, "ferronickel", "steel", "steel, iron ore", "nickel smelter", "refined cobalt", "rare earth oxide", "secondary copper", "plating of zn"]
+
+    def kind(f, com, first):
+        f, com = (f or "").lower(), (com or "").lower()
+        if "smelter" in f + "|" + com:
+            return "smelter"
+        if "refin" in f + "|" + com:
+            return "metal_refinery"
+        if f[:4] in ("mine", "mill") or f[:6] == "quarry":
+            return "mine"
+        if any(x in com for x in ("ore", "concentrate", "mine")) or first in ("bauxite", "iron_ore", "uranium"):
+            return "mine"
+        if first == "alumina" or any(x in com for x in ("metal", "cathode", "electrowinning", "carbonate", "oxide", "compound")):
+            return "metal_refinery"
+        return "metal_refinery" if first in ("gold", "pgm", "cobalt", "lithium", "rare_earths") else "smelter"
+
+    rows = [(i, t, c) for i, (t, c) in enumerate((t, c) for t in types for c in texts)]
+    got = {r.i: r for r in rules.facilities(spark.createDataFrame(rows, "i int, fac_type string, commodity string")).collect()}
+    assert len(got) == len(rows)
+    for i, t, c in rows:
+        places = sorted((m.start(), n) for n, p in rules.COMMODITIES.items() if (m := re.search(p, c or "")))
+        first = places[0][1] if places else None
+        k = kind(t, c, first)
+        assert got[i].kind == k, (t, c)
+        assert got[i].primary == ("bauxite" if first == "aluminum" and k == "mine" else first)
+        bad = any(x in (c or "") for x in ("ferro", "secondary")) or "steel" in (c or "") and "iron ore" not in c
+        assert got[i].wanted == (first not in (None, "lead", "silver") and not bad)
+        assert got[i].also == [n for _, n in places[1:] if n != got[i].primary]
+    line = [(-100.0, 49.05), (-97.4, 25.7)], [(-100.0, 49.06)], [(-80.0, 42.9)], [(-80.0, 43.0)], [(-73.0, 45.06)], [(-97.2, 20.0)], []
+    df = spark.createDataFrame([(i, [{"lon": x, "lat": y} for x, y in pts]) for i, pts in enumerate(line)], "i int, p array<struct<lon:double,lat:double>>")
+    assert [r[0] for r in df.orderBy("i").select(rules.border_countries(F.col("p"), rules.BORDERS)).collect()] == [["USA", "MEX"], ["USA", "CAN"], ["USA"], ["USA", "CAN"], ["USA", "CAN"], ["USA"], ["USA"]]
+
+
+def test_integrity_rules_by_hand(spark):
+    keys = spark.createDataFrame([("A",), ("B",), ("B",)], "code string")
+    rows = [("x", 1, "A", 5.0, 0.5, 10.0, "001"), ("x", 2, "OTH", 5.0, 0.45, 10.0, "01"), ("y", 1, "C", 2.0, 0.5, 7.2, None), ("y", 2, "B", 5.0, 0.6, 7.2, "123"), ("z", 1, "A", None, None, None, "4567")]
+    df = spark.createDataFrame(rows, "g string, rank int, holder string, amount double, share double, whole double, iso string")
+    by = ("g",)
+    checks = {"known": rules.Known("holder", keys, "code", ("OTH",)), "iso": rules.Matches("iso", "[0-9]{3}"), "amount": rules.Within("amount", 0, 4.0), "pair": rules.Together("amount", "iso"), "falls": rules.Falls(by, "rank", "amount"), "sum": rules.AddsUp(by, "amount", "whole"), "share": rules.SumWithin(by, "share")}
+    got = {(r.rule, r.id, None if r.number is None else round(r.number, 6), r.text) for r in rules.violations(df, ["g", "rank"], checks).collect()}
+    assert got == {
+        ("known", "y:1", None, "C"), ("iso", "x:2", None, "01"), ("iso", "y:1", None, None), ("iso", "z:1", None, "4567"), ("amount", "x:1", 5.0, None), ("amount", "x:2", 5.0, None), ("amount", "y:2", 5.0, None), ("amount", "z:1", None, None),
+        ("pair", "y:1", None, "2.0"), ("pair", "z:1", None, "4567"), ("falls", "y", 5.0, None), ("share", "y", 1.1, None),
+    }
 
 
 def test_facts_json_takes_the_first_tag(spark, tmp_path):
