@@ -70,9 +70,11 @@ def event_broadcast(events: DataFrame, calendar: DataFrame, days: int, key: str
     return held.join(numbered, "_i").drop("_i")
 
 
-def every_nth(df: DataFrame, n: int, key: list[str], order: str) -> DataFrame:
+def every_nth(df: DataFrame, n: int | None, key: list[str], order: str, most: int = 150) -> DataFrame:
+    """The first row of each group and every n-th after it; without n, the step is the group's rows // most, at least 1."""
     w = Window.partitionBy(*key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.pmod(F.col("_n") - 1, F.lit(n)) == 0).drop("_n")
+    step = F.lit(n) if n else F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(*key)) / most))
+    return df.withColumns({"_n": F.row_number().over(w), "_step": step}).where(F.pmod(F.col("_n") - 1, F.col("_step")) == 0).drop("_n", "_step")
 
 
 def month_ends(df: DataFrame, start: str) -> DataFrame:

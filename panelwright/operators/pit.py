@@ -33,12 +33,19 @@ def grid(df: DataFrame, key: list[str], dates: DataFrame, ties: list[str], knowl
     return spans.where(F.col("_until").isNull() | (F.col("_until") > F.col(knowledge))).join(dates, (F.col(knowledge) <= F.col("as_of")) & (F.col("_until").isNull() | (F.col("as_of") < F.col("_until")))).drop("_until")
 
 
-def asof_back(targets: DataFrame, prices: DataFrame, key: str, at: str, value: str, max_stale_days: int) -> DataFrame:
-    """For each target the last positive value at or before its date, at most so many days old: value and its date."""
-    left = targets.withColumns({"_kind": F.lit(1), "_v": F.lit(None).cast("struct<d:date,x:double>"), "_id": F.struct(*targets.columns)})
-    right = prices.where(F.col(value) > 0).select(key, at, F.struct(F.col(at).cast("date").alias("d"), F.col(value).cast("double").alias("x")).alias("_v")).withColumn("_kind", F.lit(0))
-    both = left.select(key, at, "_kind", "_v", "_id").unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+def asof_back(targets: DataFrame, prices: DataFrame, key: str, at: str, value: str, max_stale_days: int, bucket_days: int | None = None) -> DataFrame:
+    """For each target the last positive value at or before its date, at most so many days old: value and its date. Rows are
+    dealt by key and bucket of days, so that a long or hot key isn't one task; the last value of each bucket is carried over to
+    the buckets after it that it isn't too old for."""
+    days = bucket_days or max(1, max_stale_days)
+    bucket = F.floor(F.unix_date(F.col(at).cast("date")) / days)
+    left = targets.select(key, at, bucket.alias("_b"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<d:date,x:double>").alias("_v"), F.struct(*targets.columns).alias("_id"))
+    known = prices.where(F.col(value) > 0).select(key, at, bucket.alias("_b"), F.struct(F.col(at).cast("date").alias("d"), F.col(value).cast("double").alias("x")).alias("_v"))
+    last = known.groupBy(key, "_b").agg(F.max_by("_v", at).alias("_v"), F.max(at).alias(at))  # a row for each key and bucket
+    carried = last.select(key, at, F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + -(-max_stale_days // days))).alias("_b"), "_v") if max_stale_days else None
+    seen = known.unionByName(carried) if carried is not None else known
+    both = left.unionByName(seen.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(key, "_b").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
     fresh = F.datediff(F.col(at), F.col("_v.d")) <= max_stale_days
     return held.select("_id.*", F.when(fresh, F.col("_v.x")).alias(value), F.when(fresh, F.col("_v.d")).alias("found_date"))

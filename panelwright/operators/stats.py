@@ -11,13 +11,26 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
 from panelwright.functions.scalars import finite
+from panelwright.sources.scratch import stored
 
+from . import cross_section
 
-def daily_ic(signal: DataFrame, forward: DataFrame, min_names: int = 20, key: str = "ticker", date: str = "date") -> DataFrame:
+
+#: Names on a date beyond which its ranks are numbered over ranges of values, not in one task.
+HUGE_DATE = 1_000_000
+
+
+def daily_ic(signal: DataFrame, forward: DataFrame, min_names: int = 20, key: str = "ticker", date: str = "date", huge: int = HUGE_DATE) -> DataFrame:
     """Spearman correlation of signal (value) and forward return (fwd) on each date and horizon."""
     joined = signal.select(key, date, "value").join(forward.select(key, date, "horizon", "fwd"), [key, date]).where(F.col("value").isNotNull() & F.col("fwd").isNotNull())
-    ranked = joined.select(date, "horizon", win.average_rank(F.col("value"), date, "horizon").alias("a"), win.average_rank(F.col("fwd"), date, "horizon").alias("b"))
-    out = ranked.groupBy(date, "horizon").agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n_names"))
+    by = [date, "horizon"]
+    joined = stored(joined, "daily-ic")
+    if cross_section.largest(joined, by) > huge:
+        ranked = cross_section.average_rank(joined, by, "value", key, "a")
+        ranked = cross_section.average_rank(ranked, by, "fwd", key, "b")
+    else:
+        ranked = joined.select(*by, win.average_rank(F.col("value"), *by).alias("a"), win.average_rank(F.col("fwd"), *by).alias("b"))
+    out = ranked.groupBy(*by).agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n_names"))
     return out.where((F.col("n_names") >= min_names) & F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
@@ -51,6 +64,7 @@ def ols_hac(wide: DataFrame, by: list[str], order: str, y: str, xs: list[str], l
     names = ["const", *xs]
     k = len(names)
     clean = wide.select(*by, order, finite(F.col(y).cast("double")).alias("_y"), *(finite(F.col(x).cast("double")).alias(f"_x{i}") for i, x in enumerate(xs)))
+    clean = stored(clean, "ols-rows")  # it is read for the dense test, the variances, the moments and the scores
     dense = clean.groupBy(*by).agg(*((F.avg(F.col(f"_x{i}").isNotNull().cast("double")) >= 0.5).alias(f"_in{i}") for i in range(k - 1)))
     present = clean.join(dense, by).select(*by, order, "_y", *(F.when(F.col(f"_in{i}"), F.col(f"_x{i}")).otherwise(0.0).alias(f"_x{i}") for i in range(k - 1))).dropna()
     varied = present.groupBy(*by).agg(*((F.stddev_samp(f"_x{i}") > 1e-9).alias(f"_in{i}") for i in range(k - 1)))

@@ -440,9 +440,9 @@ QUOTES = """q0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dat
 
 @query(
     "agg_quotes",
-    "WITH sc AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY ALL), " + QUOTES + " SELECT symbol, max(date) AS date, count(*) AS n, round(max(close) FILTER (back = 1), 4) AS last, "
+    "WITH sc AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY ALL), " + QUOTES + " SELECT symbol, max(date) AS date, count(*) AS n, round(max(close) FILTER (back = 1) + 1e-9, 6) AS last, "
     + ", ".join(f"round(max(close) FILTER (back = 1) / max(close) FILTER (back = {k}) - 1, 6) AS {c}" for c, k in (("chg_1d", 2), ("chg_1m", 22), ("chg_1y", 253)))
-    + ", round(max(close) FILTER (back <= 252), 4) AS hi_52w, round(min(close) FILTER (back <= 252), 4) AS lo_52w, "
+    + ", round(max(close) FILTER (back <= 252) + 1e-9, 6) AS hi_52w, round(min(close) FILTER (back <= 252) + 1e-9, 6) AS lo_52w, "
     + ", ".join(f"round(CASE WHEN count(r) >= {k} THEN stddev_samp(r) FILTER (back <= {k}) * sqrt(252) END, 6) AS rv{k}" for k in RV)
     + " FROM q0 GROUP BY symbol HAVING count(*) >= 30",
 )
@@ -450,7 +450,8 @@ def quotes(spark, d):  # noqa: ANN001, ANN201
     """Last price, changes over a day, a month and a year of rows, range of 252 rows, realised vols."""
     px = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
     q = panel.quotes(px, "symbol", "date", "close", RV)
-    return take(q.withColumns({c: F.round(c, 4) for c in ("last", "hi_52w", "lo_52w")}), "symbol date n last hi_52w lo_52w", "chg_1d chg_1m chg_1y " + " ".join(f"rv{k}" for k in RV))
+    # Cents by whole quantities may lie on a tie of any rounding, on either side of it by the order of sums: lifted off it.
+    return take(q.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("last", "hi_52w", "lo_52w")}), "symbol date n last hi_52w lo_52w", "chg_1d chg_1m chg_1y " + " ".join(f"rv{k}" for k in RV))
 
 
 @query("agg_trailing_dividend_yield", with_sql("daily", "act", more="dv AS (SELECT ticker, max(date) AS last FROM act WHERE kind = 'dividend' GROUP BY ticker), s AS (SELECT a.ticker, sum(value) AS paid FROM act a JOIN dv USING (ticker) WHERE kind = 'dividend' AND date > last - 365 GROUP BY a.ticker), l AS (SELECT ticker, arg_max(close, date) AS spot FROM daily GROUP BY ticker)") + "SELECT ticker, round(paid / nullif(spot, 0), 6) AS dividend_yield FROM s JOIN l USING (ticker)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
 from panelwright.functions.scalars import friday
-from panelwright.operators import panel, stats
+from panelwright.operators import cross_section, panel, stats
 from panelwright.sources import panels as src
 from panelwright.sources.panels import with_sql
 
@@ -159,7 +159,7 @@ def rebase(spark, d):  # noqa: ANN001, ANN201
 
 @query("win_winsor_xs", with_sql("px") + "SELECT ticker, date, round(CASE WHEN count(*) OVER w >= 3 THEN least(greatest(close, quantile_cont(close, 0.01) OVER w), quantile_cont(close, 0.99) OVER w) ELSE close END, 6) AS w FROM px WINDOW w AS (PARTITION BY date)")
 def winsor_xs(spark, d):  # noqa: ANN001, ANN201
-    return take(src.monthly_prices(spark, d).withColumn("w", win.winsorised(F.col("close"), "date")), "ticker date", "w")
+    return take(cross_section.winsorised(src.monthly_prices(spark, d), ["date"], "close", "ticker", "w"), "ticker date", "w")
 
 
 @query("win_zscore_group", with_sql("px", "bk") + "SELECT ticker, date, basket, round(coalesce((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 0), 6) AS z FROM px JOIN bk USING (ticker) WINDOW w AS (PARTITION BY date, basket)")
@@ -170,15 +170,15 @@ def zscore_group(spark, d):  # noqa: ANN001, ANN201
 
 @query("win_quantile_bucket", with_sql("px") + "SELECT ticker, date, least(floor(row_number() OVER (PARTITION BY date ORDER BY close, ticker) * 5 / (count(*) OVER (PARTITION BY date) + 1)), 4)::INT AS q FROM px")
 def quantile_bucket(spark, d):  # noqa: ANN001, ANN201
-    return src.monthly_prices(spark, d).withColumn("q", win.quantile_bucket(F.col("close"), 5, "date")).select("ticker", "date", "q")
+    return cross_section.quantile_bucket(src.monthly_prices(spark, d), ["date"], "close", "ticker", 5, "q").select("ticker", "date", "q")
 
 
 @query("win_rank_ordinal", with_sql("px") + "SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY close DESC, ticker)::INT AS rank, round((rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS pctl FROM px")
 def rank_ordinal(spark, d):  # noqa: ANN001, ANN201
     px = src.monthly_prices(spark, d)
-    order = F.row_number().over(Window.partitionBy("date").orderBy(F.col("close").desc(), "ticker"))
-    pctl = win.average_rank(F.col("close"), "date") / F.count("*").over(Window.partitionBy("date"))
-    return take(px.withColumns({"rank": order, "pctl": pctl}), "ticker date rank", "pctl")
+    both = cross_section.average_rank(cross_section.ordinal_rank(px, ["date"], [F.col("close").desc(), F.col("ticker")], "rank"), ["date"], "close", "ticker", "mean")
+    sizes = px.groupBy("date").agg(F.count("*").alias("n"))  # one row a date
+    return take(both.join(F.broadcast(sizes), "date").withColumns({"rank": F.col("rank").cast("int"), "pctl": F.col("mean") / F.col("n")}), "ticker date rank", "pctl")
 
 
 @query("win_percentile_peers", with_sql("px", more=RET) + "SELECT ticker, date, round((rank() OVER (PARTITION BY date ORDER BY ret) - 1) / count(*) OVER (PARTITION BY date), 6) AS below FROM ret WHERE ret IS NOT NULL")
@@ -260,9 +260,15 @@ def event_broadcast(spark, d):  # noqa: ANN001, ANN201
     return take(panel.event_broadcast(events, calendar, 5), "ticker date from_date", "value")
 
 
-@query("sample_every_n", with_sql("px") + f"SELECT ticker, date FROM px QUALIFY (row_number() {W} - 1) % 5 = 0")
+@query(
+    "sample_every_n",
+    with_sql("px", "drv") + f"SELECT 'step' AS how, symbol, date FROM drv QUALIFY (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1) % greatest(1, count(*) OVER (PARTITION BY symbol) // 150) = 0 UNION ALL SELECT 'fifth', ticker::VARCHAR, date FROM px QUALIFY (row_number() {W} - 1) % 5 = 0",
+)
 def every_n(spark, d):  # noqa: ANN001, ANN201
-    return panel.every_nth(src.monthly_prices(spark, d), 5, ["ticker"], "date").select("ticker", "date")
+    """Drivers thinned to about 150 to 300 rows each, and every fifth month of the prices."""
+    step = panel.every_nth(src.weekly_drivers(spark, d), None, ["symbol"], "date").select(F.lit("step").alias("how"), "symbol", "date")
+    fifth = panel.every_nth(src.monthly_prices(spark, d), 5, ["ticker"], "date")
+    return step.unionByName(fifth.select(F.lit("fifth").alias("how"), F.col("ticker").cast("string").alias("symbol"), "date"))
 
 
 @query("ts_derived_spread", with_sql("drv", more="p AS (PIVOT drv ON symbol IN ('ECONOMY', 'SMALL', 'STANDARD') USING max(value) GROUP BY date)") + "SELECT date, round((2 * ECONOMY + SMALL - 3 * STANDARD) / 3, 6) AS crack FROM p")

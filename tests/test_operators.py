@@ -9,11 +9,12 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
 from panelwright.functions import windows as win
-from panelwright.operators import backtest, balance, baskets, factors, lab, options, panel, pit, rules, signals, stats, workbench
+from panelwright.operators import backtest, balance, baskets, cross_section, factors, lab, options, panel, pit, rules, signals, stats, workbench
 from panelwright.plans import desk_plans
 from panelwright.sources import readers, sinks
 from panelwright.streaming.append import append_stream
@@ -459,6 +460,58 @@ def test_series_lines_raise_on_missing(spark, tmp_path):
         readers.series_lines(spark, str(tmp_path), ["S1", "S2"])
 
 
+def test_ranges_of_a_cross_section(spark):
+    """Ranks, buckets and quantiles without gathering a date: the same as the windows, and dealt out."""
+    rng = random.Random(2)
+    rows = [(f"t{i:04d}", D(2024, 1, 1 + i % 2), 7.0 if i % 3 == 0 else round(rng.gauss(0, 5), 1)) for i in range(3000)] + [("a", D(2024, 2, 1), 1.0), ("b", D(2024, 2, 1), None), ("c", D(2024, 2, 1), 3.0)]
+    df = spark.createDataFrame(rows, "ticker string, date date, x double").repartition(6)
+    order = [F.col("x").desc(), F.col("ticker")]
+    got = cross_section.ordinal_rank(df, ["date"], order, "n")
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("date").orderBy(*order)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.withColumn("n", F.col("n").cast("long")).collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dealt = cross_section.placed(df, ["date"], order).withColumn("p", F.spark_partition_id()).groupBy("date", "p").count().groupBy("date").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(r["count"] > 1 for r in dealt if r.date.month == 1)
+    got = cross_section.quantile_bucket(df, ["date"], "x", "ticker", 5, "q").collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.withColumn("q", win.quantile_bucket(F.col("x"), 5, "date")).collect()))
+    got = {(r.ticker, r.date): r.w for r in cross_section.winsorised(df, ["date"], "x", "ticker", "w", 0.05).collect()}
+    want = {(r.ticker, r.date): r.w for r in df.withColumn("w", win.winsorised(F.col("x"), "date", cut=0.05)).collect()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(want[k]) for k, a in got.items())
+    known = df.where("x IS NOT NULL")
+    got = cross_section.average_rank(known, ["date"], "x", "ticker", "r").collect()
+    assert sorted(map(str, got)) == sorted(map(str, known.withColumn("r", win.average_rank(F.col("x"), "date")).collect()))
+    signal = df.withColumnRenamed("x", "value")
+    ahead = known.select("ticker", "date", F.lit(1).alias("horizon"), (F.col("x") + F.length("ticker") + F.rand(1)).alias("fwd"))
+    one, two = ({(r.date, r.horizon): (round(r.ic, 9), r.n_names) for r in stats.daily_ic(signal, ahead, 20, huge=h).collect()} for h in (0, 10**9))
+    assert one == two and len(one) == 2
+
+
+def test_asof_by_buckets(spark):
+    rng = random.Random(4)
+    prices = [("k" if rng.random() < 0.8 else f"k{rng.randint(0, 3)}", D(2024, 1, 1) + datetime.timedelta(rng.randint(0, 400)), rng.choice([0.0, -1.0, 5.0, 6.5])) for _ in range(600)]
+    prices = list({(k, d): (k, d, v) for k, d, v in prices}.values())
+    targets = [(i, rng.choice(["k", "k1", "k9"]), D(2023, 12, 1) + datetime.timedelta(rng.randint(0, 460))) for i in range(400)]
+    p = spark.createDataFrame(prices, "k string, date date, close double")
+    t = spark.createDataFrame(targets, "id int, k string, date date")
+    for stale, bucket in ((3, None), (10, 4), (30, 7), (0, None)):
+        out = pit.asof_back(t, p, "k", "date", "close", stale, bucket)
+        want = {}
+        for i, k, d in targets:
+            best = max(((pd_, v) for pk, pd_, v in prices if pk == k and v > 0 and 0 <= (d - pd_).days <= stale), default=(None, None))
+            want[i] = (best[1], best[0])
+        assert {r.id: (r.close, r.found_date) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.splitlines() if "Window " in x)
+    assert "_b#" in window.split("windowspecdefinition(")[1]  # dealt by key and bucket
+
+
+def test_steps_from_the_size(spark):
+    df = spark.range(620).select(F.when(F.col("id") < 600, "a").otherwise("b").alias("g"), "id")
+    got = sorted((r.g, r.id) for r in panel.every_nth(df, None, ["g"], "id").collect())
+    assert got == [("a", i) for i in range(0, 600, 4)] + [("b", i) for i in range(600, 620)]
+
+
 def test_append_is_idempotent_and_streams(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     path = str(tmp_path / "t")
