@@ -8,6 +8,7 @@ from panelwright.functions.scalars import clean_number
 from panelwright.sources import panels as src
 from panelwright.sources import readers, sinks
 from panelwright.sources.scratch import scratch_path
+from panelwright.streaming.append import append_stream
 
 from .registry import query, take
 
@@ -78,6 +79,20 @@ def append(spark, d):  # noqa: ANN001, ANN201
     return spark.read.parquet(path)
 
 
+@query("sink_append_stream", "SELECT o_orderkey, year(o_orderdate)::INT AS year, o_custkey FROM orders")
+def append_in_stream(spark, d):  # noqa: ANN001, ANN201
+    """Orders that arrive in four files, a part of them twice; the stream runs, runs again, and is set up once more from the
+    start, which adds nothing."""
+    source, path = scratch_path(spark, "arriving"), scratch_path(spark, "appended")
+    orders = src.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_custkey")
+    orders.union(orders.where("o_custkey % 3 = 0")).repartition(4).write.parquet(source)
+    first, again = scratch_path(spark, "checkpoint"), scratch_path(spark, "checkpoint")
+    for checkpoint in (first, first, again):
+        stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        append_stream(stream, path, ["o_orderkey", "year"], checkpoint, "year").awaitTermination()
+    return sinks.batches(spark, path)
+
+
 @query("sink_vintage", "SELECT p_brand AS period, 'n' AS series, count(*)::DOUBLE AS value FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'size', sum(p_size)::DOUBLE FROM part GROUP BY 1")
 def vintage(spark, d):  # noqa: ANN001, ANN201
     path = scratch_path(spark, "vintage")
@@ -106,7 +121,7 @@ def guard(spark, d):  # noqa: ANN001, ANN201
     wanted = e.select("ticker").distinct().count()
     if not sinks.publish(kept.groupBy("ticker").agg(F.count_distinct("date").alias("k")), path, "ticker", "k", wanted, 0.2):
         raise ValueError("too few symbols to publish")
-    return spark.read.parquet(path)
+    return sinks.published(spark, path)
 
 
 @query("fn_clean_number", "SELECT s_suppkey, s_acctbal AS x FROM supplier")

@@ -513,17 +513,60 @@ def test_steps_from_the_size(spark):
 
 
 def test_append_is_idempotent_and_streams(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
     path = str(tmp_path / "t")
-    assert sinks.append_new(df, path, ["k"]) == 2
-    assert sinks.append_new(df, path, ["k"]) == 0
-    source = str(tmp_path / "in")
-    spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string").write.parquet(source)
-    append_stream(spark.readStream.schema("k int, v string").parquet(source), path, ["k"], str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    assert sinks.append_new(df, path, ["k"]) == 3
+    assert sinks.append_new(df, path, ["k"]) == 0  # a null key is a key
+    assert sinks.append_new(spark.createDataFrame([(2, "x"), (9, "y")], df.schema), path, ["k"]) == 1
+    source, path = str(tmp_path / "in"), str(tmp_path / "s")
+    stream = lambda: spark.readStream.schema("k int, p string, v string").option("maxFilesPerTrigger", 1).parquet(source)
+    for rows in ([(2, "a", "x"), (3, "b", "y")], [(3, "b", "z"), (4, "a", "w"), (3, "a", "other partition")]):
+        spark.createDataFrame(rows, "k int, p string, v string").coalesce(1).write.mode("append").parquet(source)
+    for cp in ("one", "one", "two"):
+        append_stream(stream(), path, ["k", "p"], str(tmp_path / cp), "p").awaitTermination()
+        assert sorted((r.k, r.p) for r in sinks.batches(spark, path).collect()) == [(2, "a"), (3, "a"), (3, "b"), (4, "a")]
+
+
+def test_batches_cut_off_are_written_anew(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    assert sinks.append_batch(make([(1, "a")]), path, ["k"], "s_0") == 1
+    with monkeypatch.context() as m:  # the data are there, the mark isn't
+        m.setattr(sinks, "mark", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            sinks.append_batch(make([(1, "b"), (2, "c")]), path, ["k"], "s_1")
+    assert [r.k for r in sinks.batches(spark, path).collect()] == [1]
+    broken = make([(5, "x"), (6, "y")]).withColumn("v", F.when(F.col("k") == 6, F.raise_error(F.lit("stop"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="stop"):
+        sinks.append_batch(broken, path, ["k"], "s_2")
+    assert [r.k for r in sinks.batches(spark, path).collect()] == [1]
+    assert sinks.append_batch(make([(1, "b"), (2, "c")]), path, ["k"], "s_1") == 1
+    assert sinks.append_batch(make([(1, "b"), (2, "c")]), path, ["k"], "s_1") == 0
+    assert sinks.append_batch(make([(1, "b")]), path, ["k"], "s_3") == 0
+    assert sorted((r.k, r.v) for r in sinks.batches(spark, path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_new_keys_are_pushed_to_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select("id", (F.col("id") % 10).alias("p")).write.partitionBy("p").parquet(path)
+    new = spark.createDataFrame([(503, 3), (2003, 3)], "id long, p int")
+    held = sinks._held(new, spark.read.parquet(path), ["id", "p"], "p")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,503)" in plan and "PartitionFilters: [isnotnull(p" in plan and [tuple(r) for r in held.collect()] == [(503, 3)]
 
 
 def test_publish_guard(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "s string, v double")
-    assert not sinks.publish(df, str(tmp_path / "p"), "s", "v", 2)
-    assert sinks.publish(df, str(tmp_path / "p"), "s", "v", 1)
+    path = str(tmp_path / "p")
+    assert not sinks.publish(df, path, "s", "v", 2)
+    assert sinks.publish(df, path, "s", "v", 1)
+    held = sinks.published(spark, path)
+    broken = df.withColumn("v", F.when(F.col("s") == "b", F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish(broken, path, "s", "v", 1)
+    assert not sinks.publish(df.where("v IS NULL"), path, "s", "v", 1)  # too little
+    assert sinks.published(spark, path).count() == 2
+    for v in (2.0, 3.0):
+        assert sinks.publish(df.withColumn("v", F.lit(v)), path, "s", "v", 1)
+        assert {r.v for r in sinks.published(spark, path).collect()} == {v}
+        assert (held.count() == 2) if v == 2.0 else True  # who still reads the version before can
