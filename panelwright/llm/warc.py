@@ -97,15 +97,38 @@ def _missing(digest: Column) -> Column:
     return F.raise_error(F.concat(F.lit("missing payload "), digest))
 
 
+def _is_revisit() -> Column:
+    return F.decode("header", "UTF-8").contains(f"WARC-Type: revisit{CRLF}")
+
+
+def _with_payloads(heads: DataFrame, held: DataFrame) -> DataFrame:
+    """heads of responses with body and times: equal records are one row with their number, so that only payloads shorter than the
+    archive's least_bytes, which all are responses, can be common to many; of these, the heavy ones are broadcast (at most
+    HEAVY, each shorter than that)."""
+    alike = stored(heads.groupBy("id", "digest", "header").agg(F.count("*").alias("times")), "archive-heads")
+    bodies = held.select("digest", F.col("payload").alias("body"))
+    common = stored(alike.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1"), "archive-common")
+    if common.isEmpty():
+        return alike.join(bodies, "digest", "left")
+    short = stored(common.join(bodies, "digest"), "archive-short")
+    marked = join_groups(alike, short, ["digest"], "k", prune=False, how="left")
+    rest = marked.where("k IS NULL").drop("body").join(bodies, "digest", "left")
+    return marked.where("k IS NOT NULL").drop("k").unionByName(rest.drop("k"))
+
+
+def _record(body: Column) -> Column:
+    return F.concat("header", body, F.lit(f"{CRLF}{CRLF}".encode()))
+
+
 def records(spark: SparkSession, archive: Archive) -> DataFrame:
     """id, digest, record (exact bytes: header block, payload, or nothing for a revisit, and the closing line breaks). A
     record whose payload isn't there raises."""
-    head = spark.read.parquet(archive.headers).withColumn("is_revisit", F.decode("header", "UTF-8").contains(f"WARC-Type: revisit{CRLF}"))
-    held = read_payloads(spark, archive).select("digest", "payload")
-    whole = head.where("NOT is_revisit").join(held, "digest", "left").withColumn("body", F.coalesce("payload", _missing(F.col("digest")).cast("binary")))
-    bare = head.where("is_revisit").withColumn("body", F.lit(b""))
-    both = whole.select("id", "digest", "header", "body").unionByName(bare.select("id", "digest", "header", "body"))
-    return both.select("id", "digest", F.concat("header", "body", F.lit(f"{CRLF}{CRLF}".encode())).alias("record"))
+    head = spark.read.parquet(archive.headers)
+    whole = _with_payloads(head.where(~_is_revisit()), read_payloads(spark, archive))
+    whole = whole.withColumn("body", F.coalesce("body", _missing(F.col("digest")).cast("binary")))
+    whole = whole.select("id", "digest", _record(F.col("body")).alias("record"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_k"))
+    bare = head.where(_is_revisit()).select("id", "digest", _record(F.lit(b"")).alias("record"))
+    return whole.drop("_k").unionByName(bare)
 
 
 def _field(header: Column, pattern: str) -> Column:
@@ -113,16 +136,14 @@ def _field(header: Column, pattern: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """One row per record, parsed from its rebuilt bytes: id, record_type, refers_to, url, date, payload_bytes,
-    payload_digest. Length and digest are those of the record's own payload, for a revisit those of the stored payload that
-    it refers to, and must be what the header states."""
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Rows with record: its fields, and length and digests of its body, from its bytes."""
     # In ISO-8859-1 a character is a byte, so that positions of characters are positions of bytes.
-    split = records(spark, archive).withColumn("_end", F.locate(f"{CRLF}{CRLF}", F.decode("record", "ISO-8859-1")) + 3)
+    split = rows.withColumn("_end", F.locate(f"{CRLF}{CRLF}", F.decode("record", "ISO-8859-1")) + 3)
     text = F.decode(F.substring("record", F.lit(1), F.col("_end")), "UTF-8")
     body = F.substring("record", F.col("_end") + 1, F.octet_length("record") - F.col("_end") - 4)
-    parsed = split.select(
-        "digest",
+    return split.select(
+        "digest", *(["times"] if "times" in rows.columns else []),
         _field(text, "WARC-Record-ID: <urn:page:([^>\r]*)>").alias("id"),
         _field(text, "WARC-Type: ([a-z]+)").alias("record_type"),
         _field(text, "WARC-Refers-To: <urn:page:([^>\r]*)>").alias("refers_to"),
@@ -132,11 +153,28 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
         _field(text, "Content-Length: ([0-9]+)").cast("long").alias("stated_bytes"),
         F.octet_length(body).cast("long").alias("own_bytes"),
         base32(F.sha1(body)).alias("own_digest"),
-    )
-    own = parsed.where("record_type = 'response'").withColumns({"payload_bytes": F.col("own_bytes"), "payload_digest": F.col("own_digest")})
-    facts = read_payloads(spark, archive).select("digest", "payload_bytes", "payload_digest")
-    again = parsed.where("record_type = 'revisit'").join(facts, "digest", "left")
+        F.sha2(body, 256).alias("address"),
+    )
+
+
+def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
+    """One row per record, parsed from its rebuilt bytes: id, record_type, refers_to, url, date, payload_bytes,
+    payload_digest. Length and digest are those of the record's own payload, for a revisit those of the stored payload that
+    it refers to, and must be what the header states. Payloads are read and verified once, by the responses; what revisits need
+    of them is kept from there."""
+    head = spark.read.parquet(archive.headers)
+    whole = _with_payloads(head.where(~_is_revisit()), spark.read.parquet(archive.payloads))
+    lost = F.when(F.col("body").isNull(), _missing(F.col("digest")).cast("binary")).otherwise(F.col("body"))
+    own = _parsed(whole.select("digest", "times", _record(lost).alias("record")))
+    broken = F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("string")
+    own = own.withColumn("payload_digest", F.when(F.col("address") == F.col("digest"), F.col("own_digest")).otherwise(broken)).withColumn("payload_bytes", F.col("own_bytes"))
+    own = stored(own.drop("address"), "archive-responses")
+    facts = own.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    again = stored(_parsed(head.where(_is_revisit()).select("digest", _record(F.lit(b"")).alias("record"))).drop("address"), "archive-revisits")
+    referred = stored(again.groupBy("digest").agg(F.count("*").alias("k")).join(facts, "digest", "left"), "archive-referred")
+    again = join_groups(again, referred, ["digest"], "k", prune=False).drop("k")
     again = again.withColumn("payload_digest", F.coalesce("payload_digest", _missing(F.col("digest")).cast("string")))
     agreed = (F.col("stated") == F.col("payload_digest")) & (F.col("stated_bytes") == F.col("own_bytes"))
     checked = F.when(agreed, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record and header differ: "), F.coalesce("id", F.lit("")))).cast("string"))
-    return own.unionByName(again, allowMissingColumns=True).select("id", "record_type", "refers_to", "url", "date", "payload_bytes", checked.alias("payload_digest"))
+    own = own.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_k", "times")
+    return own.unionByName(again).select("id", "record_type", "refers_to", "url", "date", "payload_bytes", checked.alias("payload_digest"))

@@ -691,6 +691,24 @@ def test_lost_payload_raises(spark):
             warc.read_records(spark, some).where(F.col("record_type") == kind).collect()
 
 
+def test_archive_with_clashing_names_and_short_responses(spark):
+    pages = [(i, f"u{i}", "ab" if i % 3 else "x" * 300_000 + str(i % 2), "d", 1, b"p", "h", 5, "b") for i in range(40)] + [(40, "u", "ab", "d", 1, b"p", "h", 5, "b")] * 3
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string, id int, payload binary, header string, times int, body string")
+    for least in (0, 3, 10**6):
+        a = warc.write_archive(spark, df, least_bytes=least)
+        rows = warc.read_records(spark, a).collect()
+        assert Counter(int(r.id) for r in rows) == Counter(p[0] for p in pages)
+        top = {t: max(p[0] for p in pages if p[2] == t) for t in {p[2] for p in pages}}
+        for r in rows:
+            text = next(p[2] for p in pages if p[0] == int(r.id))
+            again = len(text) >= least and int(r.id) != top[text]
+            assert (r.record_type, r.refers_to) == (("revisit", str(top[text])) if again else ("response", None))
+            assert r.payload_bytes == len(text)
+        assert warc.records(spark, a).count() == len(pages)
+    plan = warc.read_records(spark, a)._jdf.queryExecution().executedPlan().toString()
+    assert "-payloads" not in plan and "archive-payloads" not in plan  # payloads were read and verified once, before
+
+
 def test_changed_header_raises(spark):
     from pyspark.errors import PySparkException
 
