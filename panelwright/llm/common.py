@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +60,14 @@ def crc_part(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers live on, and what they keep adds up with later stages' needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others do without
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
@@ -66,6 +75,8 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+            del batch
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, tokens: the words of the text and one end token."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts = [len((t or "").encode("utf-8", "surrogatepass").split()) + 1 for t in batch.column(1).to_pylist()]
+        counts = [len((t.as_py() or "").encode("utf-8", "surrogatepass").split()) + 1 for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["id", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_part, map_batches
+from .common import crc_part, give_back, map_batches
 
 #: The most labelled rows that fitting may read.
 FIT_ROWS = 20_000
@@ -336,7 +336,13 @@ def score(docs: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str
 
 def keep_clean(docs: DataFrame, model: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    rejected = F.pandas_udf(lambda texts: texts.map(lambda t: model.score(t) >= threshold).astype(bool), "boolean")
+
+    @F.arrow_udf("boolean")
+    def rejected(texts: pa.Array) -> pa.Array:
+        out = pa.array([model.score(t.as_py()) >= threshold for t in texts], pa.bool_())  # one text at a time in memory
+        give_back()
+        return out
+
     return docs.where(~rejected(F.col(text_col)))
 
 
