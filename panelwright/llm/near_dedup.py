@@ -23,16 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, map_batches, maybe_filter, mix64, select_maybe, stored, windows, without, word_hashes
+from .common import HEAVY, give_back, join_groups, map_batches, maybe_filter, mix64, select_maybe, stored, windows, without, word_hashes
 
 BANDS, ROWS = 32, 4
 #: Elements whose permutations are held at a time; members of a small bucket.
-CHUNK, SMALL = 80_000, 16
+CHUNK, SMALL = 40_000, 16
+#: Elements of the sets that a task holds at a time.
+SETS = 500_000
 #: A side of a block of comparisons holds about so many members, and so many elements or one larger set.
 BLOCK, BLOCK_ELEMENTS = 100, 400_000
 
@@ -108,8 +109,16 @@ def described(docs: DataFrame, width: int, bands: int, rows: int, id_col: str =
 
 def _sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [shingle_set(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "elements"])
+        texts, at = batch.column(1), 0
+        while at < len(texts):
+            begin, sets, total = at, [], 0
+            while at < len(texts) and (total < SETS or at == begin):
+                sets.append(shingle_set(texts[at].as_py(), width))
+                total += len(sets[-1])
+                at += 1
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            elements = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at - begin), elements], ["id", "elements"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, F.col(text_col).cast("string")), run, f"id {kind}, elements array<long>")
@@ -138,14 +147,19 @@ class _Roots:
 def _contracted(edges: DataFrame) -> DataFrame:
     """Union-find over the edges of each partition: at most one edge from each node, to its root."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roots = _Roots()
-        for pdf in batches:
-            for a, b in zip(pdf.u, pdf.v, strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, kind = _Roots(), None
+        for batch in batches:
+            kind = batch.schema.field("u").type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 roots.join(a, b)
-        yield pd.DataFrame([(x, r) for x in list(roots.parent) if (r := roots.of(x)) != x], columns=["u", "v"])
+        if kind is not None:
+            joined = [(x, r) for x in list(roots.parent) if (r := roots.of(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in joined], kind) for i in (0, 1)], ["u", "v"])
+        del roots
+        give_back()
 
-    return edges.mapInPandas(run, edges.schema)
+    return edges.mapInArrow(run, edges.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,10 +250,17 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)  # noqa: E731  else the sizes rule a link out
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs a, b. The set of a travels with the pair, that of b doesn't: a should be in few pairs."""
+        """Links among the pairs a, b. The set of a travels with the pair, that of b doesn't: a should be in few pairs. A b that is
+        in many is dealt to several tasks, with its set, so that none holds over one in HEAVY of the pairs."""
+        pairs = stored(pairs.where("a <> b").select("a", "b").distinct(), "near-pairs")
+        total = max(1, pairs.count())
+        parts = F.ceil(F.col("k") * HEAVY / total).cast("int").alias("parts")
+        hubs = F.broadcast(pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") * HEAVY > total).select("b", parts))  # at most HEAVY rows
         left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-        right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-        both = pairs.where("a <> b").select("a", "b").distinct().join(left, "a").join(right, "b")
+        right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")).join(hubs, "b", "left")
+        right = right.select("b", "eb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        dealt = pairs.join(hubs, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+        both = dealt.join(left, "a").join(right, ["b", "part"])
         met = F.size(F.array_intersect("ea", "eb"))
         return both.where(met * 100 >= (F.size("ea") + F.size("eb") - met) * percent).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
