@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_groups, maybe_filter, select_maybe, stored, text_of, without
+from .common import SPACES, flag_maybe, join_groups, maybe_filter, select_maybe, stored, text_of, without
 
 PREFIX_CHARS = 96
 
@@ -48,7 +48,7 @@ def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, bytes and prefix_hash (the keys of the first
-    rounds), full_hash (null where they have already told the text from all others)."""
+    rounds), full_hash (null where they have told the text from all others without it)."""
     keyed = _keyed(docs, id_col, text_col)
     light = stored(keyed.drop("_text"), "exact-keys")
     same_length = stored(light.groupBy("_bytes").count().where("count > 1").select("_bytes"), "exact-lengths")
@@ -58,15 +58,16 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same_prefix = again.groupBy("_bytes", "_prefix").count().where("count > 1").select("_bytes", "_prefix")
     same_prefix = stored(same_prefix, "exact-prefixes")
     key = (F.col("_bytes"), F.col("_prefix"))
-    # The bitmap only spares reads and shuffles; the inner join that follows decides.
-    read = select_maybe(keyed, maybe_filter(same_prefix, *key), *key)
-    read = read.select("_id", "_chars", *key, full_hash(F.col("_text")).alias("_hash"))
-    survivors = stored(read.join(same_prefix, ["_bytes", "_prefix"]), "exact-full")
+    # The bitmap parts the rows: what it knows is hashed in full, and that decides. It spares a join by length and prefix, which
+    # would put a common text, or all empty ones, into one task; rows that it knows by chance are groups of one.
+    surviving = maybe_filter(same_prefix, *key)
+    read = select_maybe(keyed, surviving, *key)
+    survivors = stored(read.select("_id", "_chars", *key, full_hash(F.col("_text")).alias("_hash")), "exact-full")
     groups = survivors.groupBy("_bytes", "_hash").agg(F.count("*").alias("group_size"), F.max(F.struct("_chars", F.bitwise_not("_id").alias("x"), "_id")).alias("_best"))
     groups = stored(groups.select("_bytes", "_hash", "group_size", F.col("_best._id").alias("keep_id")), "exact-groups")
     decided = join_groups(survivors, groups, ["_bytes", "_hash"], "group_size")
     out = ["_id", "_bytes", "_prefix", "keep_id", "group_size", "full_hash"]
-    alone = light.join(same_prefix, ["_bytes", "_prefix"], "left_anti").select("_id", "_bytes", "_prefix", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("full_hash"))
+    alone = flag_maybe(light, surviving, *key).where("NOT __pw_maybe").select("_id", "_bytes", "_prefix", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("full_hash"))
     result = decided.withColumnRenamed("_hash", "full_hash").select(out).unionByName(alone.select(out))
     return result.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_bytes").alias("bytes"), F.col("_prefix").alias("prefix_hash"), "full_hash")
 
