@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flag_maybe, map_batches, maybe_filter, mix64, select_maybe, stored, text_of
+from .common import flag_maybe, join_groups, map_batches, maybe_filter, mix64, stored, text_of
 
 MIN_WORDS, MIN_UNITS = 20, 2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -110,9 +110,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have any."""
     all_runs = stored(_runs(docs, id_col, text_col), "span-runs")
     counted = all_runs.groupBy("run").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    repeated = stored(counted.where("n > 1").select("run", "first"), "span-repeated")
-    some = select_maybe(all_runs, maybe_filter(repeated, F.col("run")), F.col("run"))
-    later = some.join(repeated, "run").where((F.col("id") != F.col("first")) | F.col("again")).select("id", "hash", "start", "end")
+    repeated = stored(counted.where("n > 1").select("run", "first", "n"), "span-repeated")
+    later = join_groups(all_runs, repeated, ["run"], "n").where((F.col("id") != F.col("first")) | F.col("again")).select("id", "hash", "start", "end")
     # Runs of a text that overlap or touch are one span: a new one begins where all before have ended.
     ordered = Window.partitionBy("id", "hash").orderBy("start", "end")
     before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
