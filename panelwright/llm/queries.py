@@ -128,5 +128,73 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 're
 FROM b
 """
 
+#: CRC-32 of bytes (a list of numbers), by a table of 256 entries.
+_CRC = """crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i) AS c FROM (SELECT unnest(range(0, 256)) AS i)))"""
+
+
+def _crc_sql(octets: str) -> str:
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+def _edits_sql() -> str:
+    """What can be done with a row of each symbol in each state: up to two insertions, then an edit. Columns of the rows: state,
+    symbol, reached, cost, letters, inserted lines, and the role that the row is given (null: its own, empty: it goes)."""
+    says, keep = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}, {(0, 0): 1, (0, 1): 2, (1, 1): 2, (2, 2): 3, (3, 1): 2}
+    out = []
+    for state in range(4):
+        at, new = state, []
+        for k in range(3):
+            lines = "[" + ", ".join(f"'{x}'" for x in new) + "]::VARCHAR[]"
+            for symbol in range(9):
+                add = lambda to, cost, letter, role: out.append(f"({state}, {symbol}, {to}, {3 * k + cost}, '{'I' * k + letter}', {lines}, {role})")  # noqa: B023, E731
+                add(at, 4, "D", "''")
+                if symbol < 8:
+                    late = 3 * (symbol // 4)
+                    if (at, symbol % 4) in keep:
+                        add(keep[at, symbol % 4], late, "K", "NULL")
+                    add(says[at][0], 3 + late, "R", f"'{says[at][1]}'")
+            at, role = says[at]
+            new.append(f"{role}:")
+    return ", ".join(out)
+
+
+SQL_OP11 = f"""
+WITH RECURSIVE {_CRC},
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x))")} % 20 AS hit FROM conversations, crc),
+dam AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE hit <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM dam),
+flt AS (SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS kind FROM num),
+sym AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 8 WHEN fault = 'truncated' THEN kind + 4 ELSE kind END AS symbol, (lag(kind) OVER w, kind) NOT IN ((0, 1), (1, 2), (2, 1)) AND lag(kind) OVER w IS NOT NULL AS bad FROM flt WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+edits AS (SELECT * FROM (VALUES {_edits_sql()}) v(state, symbol, reached, cost, letters, inserted, given)),
+dp AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT d.conv_id, d.i + 1, reached, d.cost + e.cost, audit || letters, list_concat(lines, inserted, CASE given WHEN '' THEN []::VARCHAR[] ELSE [coalesce(given, role) || ':' || text] END)
+    FROM dp d JOIN sym s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.i = d.i + 1 JOIN edits e ON e.state = d.state AND e.symbol = s.symbol
+    QUALIFY row_number() OVER (PARTITION BY d.conv_id, reached ORDER BY d.cost + e.cost, audit || letters) = 1),
+done AS (SELECT conv_id, i, cost + CASE state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS cost, audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit, list_concat(lines, CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END) AS lines FROM dp),
+best AS (SELECT d.* FROM done d JOIN (SELECT c.conv_id, count(s.i) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sym s ON s.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY 1) n ON n.conv_id IS NOT DISTINCT FROM d.conv_id AND n.n = d.i
+    QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY cost, audit) = 1),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM sym GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+SQL_OP13 = f"""
+WITH RECURSIVE {_CRC},
+own AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{c0}}-\\x{{ff}}]+')) AS w FROM documents) GROUP BY ALL),
+raw AS (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS h FROM own),
+hit AS (SELECT w, n, {_crc_sql("list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)")} AS h FROM raw, crc),
+cnt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM hit GROUP BY 1),
+voc AS (SELECT word, n FROM cnt WHERE length(word) >= 5 AND n >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM voc)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT DISTINCT c.word, c.n, v.word, v.n FROM cut c JOIN voc v ON v.word = c.rest UNION SELECT DISTINCT v.word, v.n, c.word, c.n FROM cut c JOIN voc v ON v.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+frm AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM voc v LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root FROM frm UNION ALL SELECT w.word, f.form FROM way w JOIN frm f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT frm.word, frm.form, w.root, frm.n, frm.n_near, frm.form_n FROM frm JOIN way w ON w.word = frm.word JOIN frm e ON e.word = w.root AND e.form IS NULL
+"""
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_ngram_lm": op2_ngram_lm, "op3_secret_scan": op3_secret_scan, "op4_mixing": op4_mixing, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op11_conversations": op11_conversations, "op12_piece_bpe": op12_piece_bpe, "op13_spelling": op13_spelling}
-ORACLE_SQL = {"op3_secret_scan": secret_scan.oracle_sql(), "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7}
+ORACLE_SQL = {"op3_secret_scan": secret_scan.oracle_sql(), "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_warc": SQL_OP7, "op11_conversations": SQL_OP11, "op13_spelling": SQL_OP13}
