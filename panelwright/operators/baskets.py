@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import windows as win
-from panelwright.functions.scalars import clip
+from panelwright.functions.scalars import clip, finite
 
 
 def basket_mean(returns: DataFrame, least: int = 2) -> DataFrame:
@@ -66,6 +66,35 @@ def regimes(betas: DataFrame, key: list[str], least: int, limit: float = 2.0) ->
     return known.withColumn("z", z).withColumn("flag", F.abs("z") > limit)
 
 
+def driver_betas(returns: DataFrame, drivers: DataFrame, n: int, more: int = 30) -> DataFrame:
+    """entity, symbol, date, beta: the rolling beta over n common dates of each entity on each driver, for pairs with at least
+    more common dates than that. returns: entity, date, ret; drivers: symbol, date, change."""
+    both = returns.where("ret IS NOT NULL").join(drivers.where("change IS NOT NULL").select("symbol", "date", "change"), "date")
+    pair = Window.partitionBy("entity", "symbol")
+    both = both.withColumn("_n", F.count("*").over(pair)).where(F.col("_n") >= n + more)
+    return both.select("entity", "symbol", "date", win.rolling_beta(F.col("ret"), F.col("change"), pair.orderBy("date"), n).alias("beta"))
+
+
+def regime_alerts(betas: DataFrame, key: str, least: int = 100, limit: float = 2.0) -> DataFrame:
+    """The pairs of key and symbol whose current beta is over so many deviations off its history, with direction, and place: of a
+    key's alerts the strongest is 1."""
+    found = regimes(betas, [key, "symbol"], least, limit).where("flag AND sd > 0").drop("flag")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.abs(F.round("z", 9)).desc(), "symbol"))
+    return found.withColumns({"direction": F.when(F.col("z") > 0, "increased").otherwise("decreased"), "place": place})
+
+
+def diagnostics(constituents: DataFrame, returns: DataFrame, least: int = 100, sigmas: float = 3.0) -> DataFrame:
+    """A row for each basket (constituents: ticker, basket): its names, how many have returns (returns: ticker, date, ret), on how
+    many dates its mean of winsorised returns is known (0 for baskets of under two such names), and what that allows."""
+    clean = returns.select("ticker", "date", finite(F.col("ret")).alias("ret"))
+    priced = constituents.join(returns.select("ticker").distinct().withColumn("_priced", F.lit(1)), "ticker", "left")
+    sizes = priced.groupBy("basket").agg(F.count("*").alias("n_names"), F.count("_priced").alias("n_priced"))
+    dates = winsorised_basket_mean(clean.join(constituents, "ticker"), sigmas, 1).where("ret IS NOT NULL").groupBy("basket").agg(F.count("*").alias("_n"))
+    alone = F.col("n_priced") < 2
+    out = sizes.join(dates, "basket", "left").withColumn("n_obs", F.when(alone, 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long"))
+    return out.drop("_n").withColumn("note", F.when(alone, "singleton or no prices").when(F.col("n_obs") < least, "too few clean obs").otherwise("ok"))
+
+
 def pair_spreads(returns: DataFrame, pairs: DataFrame, n: int, corr_n: int) -> DataFrame:
     """Cumulated return spread of each pair (a, b) on common dates, its rolling z and the rolling correlation."""
     a = returns.select(F.col("ticker").alias("a"), "date", F.col("ret").alias("ra"))

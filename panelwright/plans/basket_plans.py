@@ -329,3 +329,33 @@ def attribution(spark, d):  # noqa: ANN001, ANN201
 
 def dispersed(spark, d):  # noqa: ANN001, ANN201
     return baskets.dispersion(baskets.attribution(*attributed(spark, d)))
+
+
+ALERTS = """rg0 AS (SELECT entity, symbol, date, ret, change, count(*) OVER (PARTITION BY entity, symbol) AS n FROM ow JOIN dr USING (date) WHERE ret IS NOT NULL AND change IS NOT NULL),
+rg1 AS (SELECT entity, symbol, date, CASE WHEN count(*) OVER w = 52 AND var_samp(change) OVER w > 0 THEN covar_samp(ret, change) OVER w / var_samp(change) OVER w END AS beta FROM rg0 WHERE n >= 82 WINDOW w AS (PARTITION BY entity, symbol ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)),
+rg2 AS (SELECT entity, symbol, arg_max(beta, date) AS current, avg(beta) AS mean, stddev_samp(beta) AS sd, count(*) AS n FROM rg1 WHERE beta IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+rg3 AS (SELECT *, (current - mean) / sd AS z FROM rg2 WHERE sd > 0)"""
+
+
+@query("agg_regime_drivers", with_sql("drv", more=f"{WEEKLY}, {ALERTS}") + "SELECT entity, symbol, n, round(current, 5) AS current, round(mean, 5) AS mean, round(z, 5) AS z, CASE WHEN z > 0 THEN 'increased' ELSE 'decreased' END AS direction, row_number() OVER (PARTITION BY entity ORDER BY abs(round(z, 9)) DESC, symbol) AS place FROM rg3 WHERE abs(z) > 2")
+def regime_drivers(spark, d):  # noqa: ANN001, ANN201
+    """Every nation's weekly returns on every driver: the betas over a year that have left their history, strongest first."""
+    betas = baskets.driver_betas(weekly_baskets(spark, d), drivers(spark, d).select("symbol", "date", "change"), 52)
+    return take(baskets.regime_alerts(betas, "entity"), "entity symbol n direction place", "current mean z", 5)
+
+
+@query(
+    "agg_basket_diagnostics",
+    with_sql(*PX, more=RET + """, cn AS (SELECT ticker, basket FROM bk UNION ALL SELECT ticker + 1000000, basket FROM bk WHERE ticker % 4 = 0 UNION ALL SELECT max(ticker), 100 FROM bk UNION ALL SELECT unnest([-1, -2]), 101), pd AS (SELECT DISTINCT ticker, true AS priced FROM ret),
+    sz AS (SELECT basket, count(*) AS n_names, count(priced) AS n_priced FROM cn LEFT JOIN pd USING (ticker) GROUP BY basket),
+    ob AS (SELECT basket, count(DISTINCT date) AS n FROM cn JOIN ret USING (ticker) WHERE ret IS NOT NULL GROUP BY basket)""")
+    + "SELECT basket, n_names, n_priced, CASE WHEN n_priced < 2 THEN 0 ELSE coalesce(n, 0) END AS n_obs, CASE WHEN n_priced < 2 THEN 'singleton or no prices' WHEN coalesce(n, 0) < 80 THEN 'too few clean obs' ELSE 'ok' END AS note FROM sz LEFT JOIN ob USING (basket)",
+)
+def basket_diagnostics(spark, d):  # noqa: ANN001, ANN201
+    """Nations with some names that were never priced, one of a single name and one without any price."""
+    b = src.baskets(spark, d).select("ticker", "basket")
+    odd = b.where("ticker % 4 = 0").select((F.col("ticker") + 1000000).alias("ticker"), "basket")
+    one = b.agg(F.max("ticker").alias("ticker")).withColumn("basket", F.lit(100).cast("bigint"))
+    none = spark.createDataFrame([(-1, 101), (-2, 101)], "ticker bigint, basket bigint")
+    r = src.monthly_prices(spark, d).withColumn("ret", win.simple_return(F.col("close"), win.series("ticker")))
+    return baskets.diagnostics(b.unionByName(odd).unionByName(one).unionByName(none), r, 80)
