@@ -60,6 +60,12 @@ def crc_part(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows on all cores, where the scan has fewer partitions than there are cores; a large input stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def give_back() -> None:
     """Returns what a task has freed to the system: workers live on, and what they keep adds up with later stages' needs."""
     pa.default_memory_pool().release_unused()

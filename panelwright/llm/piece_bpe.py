@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import map_batches, spread, text_of
 
 SPACE = "▁"
 #: What a worker remembers at most: words, and pairs of pieces.
@@ -270,7 +270,7 @@ def encoded(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str
         values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    return _with_column(docs.withColumn(text_col, text_of(F.col(text_col))), ids_col, text_col, "array<int>", encode)
+    return _with_column(spread(docs).withColumn(text_col, text_of(F.col(text_col))), ids_col, text_col, "array<int>", encode)
 
 
 def decoded(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, new_path, stored, text_of
+from .common import map_batches, mix64, new_path, spread, stored, text_of
 
 #: One word in so many of a document, by its hash, loses a letter: the misspellings that the vocabulary shall have.
 DAMAGE = 97
@@ -59,7 +59,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         total.pop("", None)
         yield pa.RecordBatch.from_pydict({"word": list(total), "n": pa.array(total.values(), pa.int64())})
 
-    texts = docs.select(text_of(F.col(id_col)).alias("id"), text_of(F.col(text_col)).alias("text")).where("text <> ''")
+    texts = spread(docs.select(id_col, text_col)).select(text_of(F.col(id_col)).alias("id"), text_of(F.col(text_col)).alias("text")).where("text <> ''")
     return map_batches(texts, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
