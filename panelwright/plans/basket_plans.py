@@ -24,21 +24,31 @@ def returns(spark, d):  # noqa: ANN001, ANN201
     return r.join(src.baskets(spark, d), "ticker").select("ticker", "basket", "super_basket", "date", "ret")
 
 
-@query("agg_basket_ew", with_sql(*PX, more=RB) + "SELECT basket, date, count(ret) AS n, round(avg(ret), 6) AS ret FROM rb WHERE basket IN (SELECT basket FROM rb GROUP BY basket HAVING count(DISTINCT ticker) >= 2) GROUP BY ALL")
+@query("agg_basket_ew", with_sql(*PX, more=RB) +
+    "SELECT basket, date, count(ret) AS n, round(avg(ret), 6) AS ret FROM rb WHERE basket IN (SELECT basket FROM rb GROUP BY basket "
+    "HAVING count(DISTINCT ticker) >= 2) GROUP BY ALL")
 def basket_ew(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.basket_mean(returns(spark, d)), "basket date n", "ret")
 
 
 @query(
     "agg_basket_winsor",
-    with_sql(*PX, more=RB + ", cl AS (SELECT basket, date, CASE WHEN ret IS NOT NULL THEN least(greatest(ret, avg(ret) OVER w - 3 * stddev_samp(ret) OVER w), avg(ret) OVER w + 3 * stddev_samp(ret) OVER w) END AS ret FROM rb WINDOW w AS (PARTITION BY ticker)), bm AS (SELECT basket, date, avg(ret) AS ret FROM cl GROUP BY ALL)")
-    + "SELECT basket, date, round(ret, 6) AS ret, n_obs FROM bm JOIN (SELECT basket, count(ret) AS n_obs FROM bm GROUP BY basket HAVING count(ret) >= 60) USING (basket)",
+    with_sql(*PX, more=RB +
+        ", cl AS (SELECT basket, date, CASE WHEN ret IS NOT NULL THEN least(greatest(ret, avg(ret) OVER w - 3 * stddev_samp(ret) OVER w), "
+        "avg(ret) OVER w + 3 * stddev_samp(ret) OVER w) END AS ret FROM rb WINDOW w AS (PARTITION BY ticker)), bm AS (SELECT basket, "
+        "date, avg(ret) AS ret FROM cl GROUP BY ALL)")
+    +
+        "SELECT basket, date, round(ret, 6) AS ret, n_obs FROM bm JOIN (SELECT basket, count(ret) AS n_obs FROM bm GROUP BY basket "
+        "HAVING count(ret) >= 60) USING (basket)",
 )
 def basket_winsor(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.winsorised_basket_mean(returns(spark, d), least=60), "basket date n_obs", "ret")
 
 
-LOO = "loo AS (SELECT *, (sum(ret) OVER w - coalesce(ret, 0)) / nullif(count(ret) OVER w - (ret IS NOT NULL)::INT, 0) AS loo FROM rb WINDOW w AS (PARTITION BY basket, date))"
+LOO = (
+    "loo AS (SELECT *, (sum(ret) OVER w - coalesce(ret, 0)) / nullif(count(ret) OVER w - (ret IS NOT NULL)::INT, 0) AS loo FROM rb "
+    "WINDOW w AS (PARTITION BY basket, date))"
+)
 
 
 @query("agg_loo_basket", with_sql(*PX, more=f"{RB}, {LOO}") + sql_take("loo", "ticker basket date", "ret loo"))
@@ -46,16 +56,26 @@ def loo(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.leave_one_out(returns(spark, d)), "ticker basket date", "ret loo")
 
 
-PAIRS = "pc AS (SELECT a.basket, a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c, count(*) AS n FROM rb a JOIN rb b ON a.basket = b.basket AND a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL HAVING count(*) >= 40)"
+PAIRS = (
+    "pc AS (SELECT a.basket, a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c, count(*) AS n FROM rb a "
+    "JOIN rb b ON a.basket = b.basket AND a.date = b.date AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL "
+    "GROUP BY ALL HAVING count(*) >= 40)"
+)
 
 
-@query("agg_corr_intra", with_sql(*PX, more=f"{RB}, {PAIRS}") + "SELECT basket, count(*) AS n_pairs, round(avg(c), 6) AS mean_corr, round(min(c), 6) AS min_corr, round(max(c), 6) AS max_corr, arg_min(a || '-' || b, c) AS min_pair, arg_max(a || '-' || b, c) AS max_pair FROM pc GROUP BY basket")
+@query("agg_corr_intra", with_sql(*PX, more=f"{RB}, {PAIRS}") +
+    "SELECT basket, count(*) AS n_pairs, round(avg(c), 6) AS mean_corr, round(min(c), 6) AS min_corr, round(max(c), 6) AS max_corr, "
+    "arg_min(a || '-' || b, c) AS min_pair, arg_max(a || '-' || b, c) AS max_pair FROM pc GROUP BY basket")
 def corr_intra(spark, d):  # noqa: ANN001, ANN201
     series = screen.series_rows(returns(spark, d), "ticker", "date", "ret", "basket")
     return take(screen.group_summary(series, "basket", 40), "basket n_pairs min_pair max_pair", "mean_corr min_corr max_corr")
 
 
-MEANS = "sm AS (SELECT basket AS g, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL GROUP BY ALL), sc AS (SELECT a.g AS a, b.g AS b, count(*) AS n, corr(a.ret, b.ret) AS corr FROM sm a JOIN sm b ON a.date = b.date AND a.g < b.g GROUP BY ALL)"
+MEANS = (
+    "sm AS (SELECT basket AS g, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL "
+    "GROUP BY ALL), sc AS (SELECT a.g AS a, b.g AS b, count(*) AS n, corr(a.ret, b.ret) AS corr FROM sm a "
+    "JOIN sm b ON a.date = b.date AND a.g < b.g GROUP BY ALL)"
+)
 
 
 def basket_correlations(spark, d):  # noqa: ANN001, ANN201
@@ -69,7 +89,9 @@ def corr_cross(spark, d):  # noqa: ANN001, ANN201
     return take(basket_correlations(spark, d), "a b n", "corr")
 
 
-@query("agg_strongest_partner", with_sql(*PX, more=f"{RB}, {MEANS}, bo AS (SELECT a AS basket, b AS partner, corr FROM sc WHERE n >= 2 AND NOT isnan(corr) UNION ALL SELECT b, a, corr FROM sc WHERE n >= 2 AND NOT isnan(corr))") + "SELECT basket, arg_max(partner, (round(corr, 9), -partner)) AS partner, round(max(corr), 6) AS corr FROM bo GROUP BY basket")
+@query("agg_strongest_partner", with_sql(*PX, more=
+    f"{RB}, {MEANS}, bo AS (SELECT a AS basket, b AS partner, corr FROM sc WHERE n >= 2 AND NOT isnan(corr) UNION ALL SELECT b, a, corr "
+    f"FROM sc WHERE n >= 2 AND NOT isnan(corr))") + "SELECT basket, arg_max(partner, (round(corr, 9), -partner)) AS partner, round(max(corr), 6) AS corr FROM bo GROUP BY basket")
 def strongest_partner(spark, d):  # noqa: ANN001, ANN201
     """Of every basket the other that it moves with most."""
     c = stored(basket_correlations(spark, d), "basket-corr")
@@ -124,12 +146,16 @@ hm AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY c DESC, other)
 tp AS (SELECT ticker, basket, max(c) FILTER (other = basket) AS home_corr, max(other) FILTER (place = 1) AS top1_basket, max(c) FILTER (place = 1) AS top1_corr, max(other) FILTER (place = 2) AS top2_basket, max(c) FILTER (place = 2) AS top2_corr FROM hm GROUP BY ALL)"""
 
 
-@query("agg_corr_top", with_sql(*PX, more=f"{RB}, {HOME}") + "SELECT ticker, basket, top1_basket, top2_basket, top1_basket = basket AS is_home_top, round(home_corr, 6) AS home_corr, round(top1_corr, 6) AS top1_corr, round(top2_corr, 6) AS top2_corr FROM tp")
+@query("agg_corr_top", with_sql(*PX, more=f"{RB}, {HOME}") +
+    "SELECT ticker, basket, top1_basket, top2_basket, top1_basket = basket AS is_home_top, round(home_corr, 6) AS home_corr, "
+    "round(top1_corr, 6) AS top1_corr, round(top2_corr, 6) AS top2_corr FROM tp")
 def corr_top(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.top_baskets(baskets.home_correlations(returns(spark, d), 40)), "ticker basket top1_basket top2_basket is_home_top", "home_corr top1_corr top2_corr")
 
 
-@query("pipe_misclass", with_sql(*PX, more=f"{RB}, {HOME}") + "SELECT ticker, basket, top1_basket, round(top1_corr - home_corr, 6) AS delta FROM tp WHERE top1_basket <> basket AND home_corr IS NOT NULL")
+@query("pipe_misclass", with_sql(*PX, more=f"{RB}, {HOME}") +
+    "SELECT ticker, basket, top1_basket, round(top1_corr - home_corr, 6) AS delta FROM tp "
+    "WHERE top1_basket <> basket AND home_corr IS NOT NULL")
 def misclass(spark, d):  # noqa: ANN001, ANN201
     top = baskets.top_baskets(baskets.home_correlations(returns(spark, d), 40))
     return take(top.where("NOT is_home_top AND home_corr IS NOT NULL").orderBy(F.desc("delta")), "ticker basket top1_basket", "delta")
@@ -141,12 +167,17 @@ def representative(spark, d):  # noqa: ANN001, ANN201
     return take(own.groupBy("basket").agg(F.max_by("ticker", F.struct(F.round("corr", 9), -F.col("ticker"))).alias("ticker"), F.max("corr").alias("corr")), "basket ticker", "corr")
 
 
-@query("class_tier", with_sql(*PX, more=f"{RB}, {HOME}") + "SELECT ticker, CASE WHEN home_corr >= 0.55 THEN 'good' WHEN home_corr >= 0.4 THEN 'ok' WHEN home_corr IS NOT NULL THEN 'weak' END AS tier FROM tp")
+@query("class_tier", with_sql(*PX, more=f"{RB}, {HOME}") +
+    "SELECT ticker, CASE WHEN home_corr >= 0.55 THEN 'good' WHEN home_corr >= 0.4 THEN 'ok' WHEN home_corr IS NOT NULL THEN 'weak' END AS "
+    "tier FROM tp")
 def tiers(spark, d):  # noqa: ANN001, ANN201
     return baskets.top_baskets(baskets.home_correlations(returns(spark, d), 40)).select("ticker", tier(F.col("home_corr")).alias("tier"))
 
 
-FIT = "bt AS (SELECT * FROM loo WHERE ret IS NOT NULL AND loo IS NOT NULL), fit AS (SELECT ticker, regr_slope(ret, loo) AS beta, regr_intercept(ret, loo) AS alpha, regr_r2(ret, loo) AS r2, count(*) AS n_obs FROM bt GROUP BY ticker HAVING count(*) >= 40)"
+FIT = (
+    "bt AS (SELECT * FROM loo WHERE ret IS NOT NULL AND loo IS NOT NULL), fit AS (SELECT ticker, regr_slope(ret, loo) AS beta, "
+    "regr_intercept(ret, loo) AS alpha, regr_r2(ret, loo) AS r2, count(*) AS n_obs FROM bt GROUP BY ticker HAVING count(*) >= 40)"
+)
 
 
 @query("agg_ols_single", with_sql(*PX, more=f"{RB}, {LOO}, {FIT}") + sql_take("fit", "ticker n_obs", "alpha beta r2"))
@@ -156,14 +187,23 @@ def ols_single(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "win_residual_z",
-    with_sql(*PX, more=f"{RB}, {LOO}, {FIT}, rs AS (SELECT ticker, ret - alpha - beta * loo AS res, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bt JOIN fit USING (ticker))")
-    + "SELECT ticker, round(sum(res) FILTER (back <= 12) / (stddev_samp(res) * sqrt(12)), 6) AS z_12, round(sum(res) FILTER (back <= 3) / (stddev_samp(res) * sqrt(3)), 6) AS z_3 FROM rs GROUP BY ticker",
+    with_sql(*PX, more=
+        f"{RB}, {LOO}, {FIT}, rs AS (SELECT ticker, ret - alpha - beta * loo AS res, row_number() OVER (PARTITION BY ticker "
+        f"ORDER BY date DESC) AS back FROM bt JOIN fit USING (ticker))")
+    +
+        "SELECT ticker, round(sum(res) FILTER (back <= 12) / (stddev_samp(res) * sqrt(12)), 6) AS z_12, "
+        "round(sum(res) FILTER (back <= 3) / (stddev_samp(res) * sqrt(3)), 6) AS z_3 FROM rs GROUP BY ticker",
 )
 def residual_z(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.single_factor(returns(spark, d), 40, 12, 3)[1], "ticker", "z_12 z_3")
 
 
-BETA = "bm0 AS (SELECT super_basket AS g, date, avg(ret) AS y FROM rb GROUP BY ALL), mk AS (SELECT date, avg(ret) AS x FROM rb GROUP BY ALL), bx AS (SELECT g, date, y, x FROM bm0 JOIN mk USING (date) WHERE y IS NOT NULL AND x IS NOT NULL), rbt AS (SELECT g, date, CASE WHEN count(*) OVER w = 24 THEN covar_samp(y, x) OVER w / var_samp(x) OVER w END AS beta FROM bx WINDOW w AS (PARTITION BY g ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"
+BETA = (
+    "bm0 AS (SELECT super_basket AS g, date, avg(ret) AS y FROM rb GROUP BY ALL), mk AS (SELECT date, avg(ret) AS x FROM rb "
+    "GROUP BY ALL), bx AS (SELECT g, date, y, x FROM bm0 JOIN mk USING (date) WHERE y IS NOT NULL AND x IS NOT NULL), rbt AS (SELECT g, "
+    "date, CASE WHEN count(*) OVER w = 24 THEN covar_samp(y, x) OVER w / var_samp(x) OVER w END AS beta FROM bx "
+    "WINDOW w AS (PARTITION BY g ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"
+)
 
 
 def _betas(spark, d):  # noqa: ANN001, ANN202
@@ -173,12 +213,22 @@ def _betas(spark, d):  # noqa: ANN001, ANN202
     return both.withColumn("beta", win.rolling_beta(F.col("y"), F.col("x"), win.series("g"), 24))
 
 
-@query("agg_regime", with_sql(*PX, more=f"{RB}, {BETA}") + "SELECT g, n, round(cur, 5) AS current, round((cur - mean) / sd, 5) AS z, abs((cur - mean) / sd) > 2 AS flag FROM (SELECT g, arg_max(beta, date) AS cur, avg(beta) AS mean, stddev_samp(beta) AS sd, count(*) AS n FROM rbt WHERE beta IS NOT NULL GROUP BY g HAVING count(*) >= 30)")
+@query("agg_regime", with_sql(*PX, more=f"{RB}, {BETA}") +
+    "SELECT g, n, round(cur, 5) AS current, round((cur - mean) / sd, 5) AS z, abs((cur - mean) / sd) > 2 AS flag "
+    "FROM (SELECT g, arg_max(beta, date) AS cur, avg(beta) AS mean, stddev_samp(beta) AS sd, count(*) AS n FROM rbt "
+    "WHERE beta IS NOT NULL GROUP BY g HAVING count(*) >= 30)")
 def regime(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.regimes(_betas(spark, d), ["g"], 30), "g n flag", "current z", 5)
 
 
-SPREAD = "pl AS (SELECT a.g AS a, b.g AS b, a.date, a.y AS ra, b.y AS rb, a.y - b.y AS spread FROM bx a JOIN bx b ON a.date = b.date AND b.g = a.g + 1), sp AS (SELECT *, sum(spread) OVER w AS cum FROM pl WINDOW w AS (PARTITION BY a, b ORDER BY date)), pz AS (SELECT *, CASE WHEN count(*) OVER w = 12 THEN coalesce((cum - avg(cum) OVER w) / nullif(stddev_samp(cum) OVER w, 0), 0) END AS z, CASE WHEN count(*) OVER v = 24 THEN corr(ra, rb) OVER v END AS corr FROM sp WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), v AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"
+SPREAD = (
+    "pl AS (SELECT a.g AS a, b.g AS b, a.date, a.y AS ra, b.y AS rb, a.y - b.y AS spread FROM bx a "
+    "JOIN bx b ON a.date = b.date AND b.g = a.g + 1), sp AS (SELECT *, sum(spread) OVER w AS cum FROM pl WINDOW w AS (PARTITION BY a, b "
+    "ORDER BY date)), pz AS (SELECT *, CASE WHEN count(*) OVER w = 12 THEN coalesce((cum - avg(cum) OVER w) / nullif(stddev_samp(cum) "
+    "OVER w, 0), 0) END AS z, CASE WHEN count(*) OVER v = 24 THEN corr(ra, rb) OVER v END AS corr FROM sp WINDOW w AS (PARTITION BY a, b "
+    "ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), v AS (PARTITION BY a, b "
+    "ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"
+)
 
 
 def _spreads(spark, d):  # noqa: ANN001, ANN202
@@ -192,22 +242,36 @@ def pair_align(spark, d):  # noqa: ANN001, ANN201
     return take(_spreads(spark, d), "a b date", "spread cum z corr")
 
 
-@query("agg_pair_stats", with_sql(*PX, more=f"{RB}, {BETA}, {SPREAD}") + "SELECT a, b, count(*) AS n, round(arg_max(spread, date), 5) AS ret_1m, round(sum(spread) FILTER (bk3 <= 3), 5) AS ret_3m, round(arg_max(z, date), 5) AS z_now, round(arg_max(corr, date), 5) AS corr_now, round(min(corr), 5) AS corr_min, round(max(corr), 5) AS corr_max, round(stddev_samp(spread) * sqrt(12), 5) AS ann_vol, round(avg(spread) / stddev_samp(spread) * sqrt(12), 5) AS sharpe FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) AS bk3 FROM pz) GROUP BY a, b")
+@query("agg_pair_stats", with_sql(*PX, more=f"{RB}, {BETA}, {SPREAD}") +
+    "SELECT a, b, count(*) AS n, round(arg_max(spread, date), 5) AS ret_1m, round(sum(spread) FILTER (bk3 <= 3), 5) AS ret_3m, "
+    "round(arg_max(z, date), 5) AS z_now, round(arg_max(corr, date), 5) AS corr_now, round(min(corr), 5) AS corr_min, round(max(corr), "
+    "5) AS corr_max, round(stddev_samp(spread) * sqrt(12), 5) AS ann_vol, round(avg(spread) / stddev_samp(spread) * sqrt(12), "
+    "5) AS sharpe FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) AS bk3 FROM pz) GROUP BY a, b")
 def pair_stats(spark, d):  # noqa: ANN001, ANN201
     return take(baskets.pair_stats(_spreads(spark, d), 12.0), "a b n", "ret_1m ret_3m z_now corr_now corr_min corr_max ann_vol sharpe", 5)
 
 
-@query("pipe_spread_signal", with_sql(*PX, more=f"{RB}, {SCREEN}, {SIGNALS}") + "SELECT kind, place, a, b, CASE WHEN z > 0 THEN b ELSE a END AS buy, CASE WHEN z > 0 THEN a ELSE b END AS sell, round(abs(z), 5) AS z, round(corr, 5) AS corr, round(recent, 5) AS recent FROM sg WHERE place <= 100")
+@query("pipe_spread_signal", with_sql(*PX, more=f"{RB}, {SCREEN}, {SIGNALS}") +
+    "SELECT kind, place, a, b, CASE WHEN z > 0 THEN b ELSE a END AS buy, CASE WHEN z > 0 THEN a ELSE b END AS sell, round(abs(z), "
+    "5) AS z, round(corr, 5) AS corr, round(recent, 5) AS recent FROM sg WHERE place <= 100")
 def spread_signal(spark, d):  # noqa: ANN001, ANN201
     """The dislocated ones among the pairs that the screen keeps: two stocks, a basket and a stock of another, two baskets."""
     series = _series(spark, d)
     return take(screen.spread_signals(_screened(series), series.select("kind", "key", "date", "ret")), "kind place a b buy sell", "z corr recent", 5)
 
 
-GRAPH = "tr AS (SELECT basket, date, avg(r3) AS own FROM (SELECT ticker, date, close / lag(close, 3) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r3 FROM px) JOIN bk USING (ticker) GROUP BY ALL), lk AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), gu AS (SELECT dst AS basket, date, avg(own) AS up FROM tr JOIN lk ON basket = src WHERE own IS NOT NULL GROUP BY ALL), gd AS (SELECT src AS basket, date, avg(own) AS down FROM tr JOIN lk ON basket = dst WHERE own IS NOT NULL GROUP BY ALL)"
+GRAPH = (
+    "tr AS (SELECT basket, date, avg(r3) AS own FROM (SELECT ticker, date, close / lag(close, 3) OVER (PARTITION BY ticker "
+    "ORDER BY date) - 1 AS r3 FROM px) JOIN bk USING (ticker) GROUP BY ALL), lk AS (SELECT DISTINCT src, dst FROM edges "
+    "WHERE src <> dst), gu AS (SELECT dst AS basket, date, avg(own) AS up FROM tr JOIN lk ON basket = src WHERE own IS NOT NULL "
+    "GROUP BY ALL), gd AS (SELECT src AS basket, date, avg(own) AS down FROM tr JOIN lk ON basket = dst WHERE own IS NOT NULL "
+    "GROUP BY ALL)"
+)
 
 
-@query("pipe_graph_momentum", with_sql("px", "bk", "edges", more=GRAPH) + "SELECT basket, date, round(own, 6) AS own, round(up, 6) AS up, round(down, 6) AS down FROM tr LEFT JOIN gu USING (basket, date) LEFT JOIN gd USING (basket, date)")
+@query("pipe_graph_momentum", with_sql("px", "bk", "edges", more=GRAPH) +
+    "SELECT basket, date, round(own, 6) AS own, round(up, 6) AS up, round(down, 6) AS down FROM tr LEFT JOIN gu USING (basket, date) LEFT "
+    "JOIN gd USING (basket, date)")
 def graph_momentum(spark, d):  # noqa: ANN001, ANN201
     r3 = src.monthly_prices(spark, d).withColumn("r3", win.simple_return(F.col("close"), win.series("ticker"), 3)).join(src.baskets(spark, d), "ticker")
     trailing = r3.groupBy("basket", "date").agg(F.avg("r3").alias("ret"))
@@ -248,7 +312,9 @@ def ols_sql(source: str, by: str, order: str, y: str, xs: list[str], lags: int,
     """Common table expressions up to ols (by, n_obs, r2 and, for each x, beta_, t_ and vs_): drivers are made orthogonal one
     after the other; coefficients, and the weights that give them, follow backwards."""
     k, over = len(xs), f"OVER (PARTITION BY {by})"
-    parts = [f"o_in AS (SELECT {by}, {order}, {y} AS y, {', '.join(f'{x} AS x{i}' for i, x in enumerate(xs))}, count(*) {over} AS n FROM {source} WHERE {y} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)} QUALIFY n >= {least})"]
+    parts = [
+        f"o_in AS (SELECT {by}, {order}, {y} AS y, {', '.join(f'{x} AS x{i}' for i, x in enumerate(xs))}, count(*) {over} AS n "
+        f"FROM {source} WHERE {y} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)} QUALIFY n >= {least})"]
     parts.append(f"o_m AS (SELECT *, y - avg(y) {over} AS yd, {', '.join(f'x{i} - avg(x{i}) {over} AS d{i}' for i in range(k))} FROM o_in)")
     before = "o_m"
     for j in range(k):
@@ -260,13 +326,17 @@ def ols_sql(source: str, by: str, order: str, y: str, xs: list[str], lags: int,
     before = "o_s"
     for j in reversed(range(k)):
         later = range(j + 1, k)
-        parts.append(f"o_b{j} AS (SELECT *, c{j} / s{j}{''.join(f' - r{i}_{j} * b{i}' for i in later)} AS b{j}, q{j} / s{j}{''.join(f' - r{i}_{j} * a{i}' for i in later)} AS a{j} FROM {before})")
+        parts.append(
+            f"o_b{j} AS (SELECT *, c{j} / s{j}{''.join(f' - r{i}_{j} * b{i}' for i in later)} AS b{j}, "
+            f"q{j} / s{j}{''.join(f' - r{i}_{j} * a{i}' for i in later)} AS a{j} FROM {before})")
         before = f"o_b{j}"
     parts.append(f"o_e AS (SELECT *, yd{''.join(f' - b{j} * d{j}' for j in range(k))} AS e FROM {before})")
     lagged = ", ".join(f"lag(a{j} * e, {m}) OVER (PARTITION BY {by} ORDER BY {order}) AS g{j}_{m}" for j in range(k) for m in range(1, lags + 1))
     parts.append(f"o_l AS (SELECT *, {lagged} FROM o_e)")
     var = lambda j: f"sum(a{j} * e * a{j} * e)" + "".join(f" + 2 * {1 - m / (lags + 1)} * coalesce(sum(a{j} * e * g{j}_{m}), 0)" for m in range(1, lags + 1))
-    cols = ", ".join(f"any_value(b{j}) AS beta_{x}, any_value(b{j}) / sqrt({var(j)}) AS t_{x}, any_value(b{j}) ** 2 * var_samp(x{j}) / var_pop(y) AS vs_{x}" for j, x in enumerate(xs))
+    cols = ", ".join(
+        f"any_value(b{j}) AS beta_{x}, any_value(b{j}) / sqrt({var(j)}) AS t_{x}, "
+        f"any_value(b{j}) ** 2 * var_samp(x{j}) / var_pop(y) AS vs_{x}"for j, x in enumerate(xs))
     parts.append(f"ols AS (SELECT {by}, count(*) AS n_obs, 1 - sum(e * e) / sum(yd * yd) AS r2, {cols} FROM o_l GROUP BY {by})")
     return ", ".join(parts)
 
@@ -278,20 +348,27 @@ BEST = f"list_max([{', '.join(f'(vs_{x}, {len(XS) - i})' for i, x in enumerate(X
 DOMINANT = f"list_extract([{', '.join(repr(x) for x in XS)}], {len(XS) + 1} - {BEST})"
 
 
-@query("agg_ols_multi", with_sql("drv", more=WEEKLY) + f"SELECT entity, n_obs, {len(XS)} AS n_drivers, round(r2, 6) AS r2, round(1 - (1 - r2) * (n_obs - 1) / (n_obs - 1 - {len(XS)}), 6) AS r2_adj, {', '.join(f'round(beta_{x}, 6) AS beta_{x}' for x in XS)} FROM ols")
+@query("agg_ols_multi", with_sql("drv", more=WEEKLY) +
+    f"SELECT entity, n_obs, {len(XS)} AS n_drivers, round(r2, 6) AS r2, round(1 - (1 - r2) * (n_obs - 1) / (n_obs - 1 - {len(XS)}), "
+    f"6) AS r2_adj, {', '.join(f'round(beta_{x}, 6) AS beta_{x}' for x in XS)} FROM ols")
 def ols_multi(spark, d):  # noqa: ANN001, ANN201
     """Every nation on all drivers."""
     return take(_fits(spark, d), "entity n_obs n_drivers", "r2 r2_adj " + " ".join(f"beta_{x}" for x in XS))
 
 
-@query("agg_ols_multi_hac", with_sql("drv", more=WEEKLY) + f"SELECT entity, n_obs, {', '.join(f'round(t_{x}, 5) AS t_{x}, round(vs_{x}, 6) AS varshare_{x}' for x in XS)}, {DOMINANT} AS dominant FROM ols")
+@query("agg_ols_multi_hac", with_sql("drv", more=WEEKLY) +
+    f"SELECT entity, n_obs, {', '.join(f'round(t_{x}, 5) AS t_{x}, round(vs_{x}, 6) AS varshare_{x}' for x in XS)}, {DOMINANT} AS dominant "
+    f"FROM ols")
 def ols_multi_hac(spark, d):  # noqa: ANN001, ANN201
     """HAC t-values and shares of variance; drivers that were left out are 0 and not shown."""
     f = _fits(spark, d)
     return f.select("entity", "n_obs", *(F.round(f"t_{x}", 5).alias(f"t_{x}") for x in XS), *(F.round(f"varshare_{x}", 6).alias(f"varshare_{x}") for x in XS), "dominant")
 
 
-@query("agg_dominant_share", with_sql("drv", more=WEEKLY) + f"SELECT n_regionkey AS region, dominant, n, round(n / sum(n) OVER (PARTITION BY n_regionkey), 6) AS share FROM (SELECT n_regionkey, dominant, count(*) AS n FROM (SELECT entity, {DOMINANT} AS dominant FROM ols) JOIN nation ON entity = n_nationkey GROUP BY ALL)")
+@query("agg_dominant_share", with_sql("drv", more=WEEKLY) +
+    f"SELECT n_regionkey AS region, dominant, n, round(n / sum(n) OVER (PARTITION BY n_regionkey), 6) AS share "
+    f"FROM (SELECT n_regionkey, dominant, count(*) AS n FROM (SELECT entity, {DOMINANT} AS dominant FROM ols) "
+    f"JOIN nation ON entity = n_nationkey GROUP BY ALL)")
 def dominant_share(spark, d):  # noqa: ANN001, ANN201
     """Of each region the share of its baskets that a driver dominates."""
     nations = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("region"))
@@ -320,7 +397,9 @@ def contributions(spark, d):  # noqa: ANN001, ANN201
     return take(attributed(spark, d)[1], "entity window symbol", "contribution", 4).withColumn("contribution", F.col("contribution") + 0.0)
 
 
-@query("agg_attribution", with_sql("drv", more=f"{WEEKLY}, {PARTS}") + 'SELECT entity, span AS "window", n, top_driver, round(actual, 6) + 0.0 AS actual, round(factor, 6) + 0.0 AS factor, round(idio, 6) + 0.0 AS idio, round(CASE WHEN abs(actual) > 1e-6 THEN idio / actual END, 4) + 0.0 AS idio_share FROM att')
+@query("agg_attribution", with_sql("drv", more=f"{WEEKLY}, {PARTS}") +
+    'SELECT entity, span AS "window", n, top_driver, round(actual, 6) + 0.0 AS actual, round(factor, 6) + 0.0 AS factor, round(idio, '
+    '6) + 0.0 AS idio, round(CASE WHEN abs(actual) > 1e-6 THEN idio / actual END, 4) + 0.0 AS idio_share FROM att')
 def attribution(spark, d):  # noqa: ANN001, ANN201
     a = baskets.attribution(*attributed(spark, d)).withColumn("idio_share", F.round("idio_share", 4))
     out = take(a, "entity window n top_driver", "actual factor idio idio_share")
@@ -337,7 +416,10 @@ rg2 AS (SELECT entity, symbol, arg_max(beta, date) AS current, avg(beta) AS mean
 rg3 AS (SELECT *, (current - mean) / sd AS z FROM rg2 WHERE sd > 0)"""
 
 
-@query("agg_regime_drivers", with_sql("drv", more=f"{WEEKLY}, {ALERTS}") + "SELECT entity, symbol, n, round(current, 5) AS current, round(mean, 5) AS mean, round(z, 5) AS z, CASE WHEN z > 0 THEN 'increased' ELSE 'decreased' END AS direction, row_number() OVER (PARTITION BY entity ORDER BY abs(round(z, 9)) DESC, symbol) AS place FROM rg3 WHERE abs(z) > 2")
+@query("agg_regime_drivers", with_sql("drv", more=f"{WEEKLY}, {ALERTS}") +
+    "SELECT entity, symbol, n, round(current, 5) AS current, round(mean, 5) AS mean, round(z, 5) AS z, "
+    "CASE WHEN z > 0 THEN 'increased' ELSE 'decreased' END AS direction, row_number() OVER (PARTITION BY entity "
+    "ORDER BY abs(round(z, 9)) DESC, symbol) AS place FROM rg3 WHERE abs(z) > 2")
 def regime_drivers(spark, d):  # noqa: ANN001, ANN201
     """Every nation's weekly returns on every driver: the betas over a year that have left their history, strongest first."""
     betas = baskets.driver_betas(weekly_baskets(spark, d), drivers(spark, d).select("symbol", "date", "change"), 52)
@@ -349,7 +431,10 @@ def regime_drivers(spark, d):  # noqa: ANN001, ANN201
     with_sql(*PX, more=RET + """, cn AS (SELECT ticker, basket FROM bk UNION ALL SELECT ticker + 1000000, basket FROM bk WHERE ticker % 4 = 0 UNION ALL SELECT max(ticker), 100 FROM bk UNION ALL SELECT unnest([-1, -2]), 101), pd AS (SELECT DISTINCT ticker, true AS priced FROM ret),
     sz AS (SELECT basket, count(*) AS n_names, count(priced) AS n_priced FROM cn LEFT JOIN pd USING (ticker) GROUP BY basket),
     ob AS (SELECT basket, count(DISTINCT date) AS n FROM cn JOIN ret USING (ticker) WHERE ret IS NOT NULL GROUP BY basket)""")
-    + "SELECT basket, n_names, n_priced, CASE WHEN n_priced < 2 THEN 0 ELSE coalesce(n, 0) END AS n_obs, CASE WHEN n_priced < 2 THEN 'singleton or no prices' WHEN coalesce(n, 0) < 80 THEN 'too few clean obs' ELSE 'ok' END AS note FROM sz LEFT JOIN ob USING (basket)",
+    +
+        "SELECT basket, n_names, n_priced, CASE WHEN n_priced < 2 THEN 0 ELSE coalesce(n, 0) END AS n_obs, "
+        "CASE WHEN n_priced < 2 THEN 'singleton or no prices' WHEN coalesce(n, 0) < 80 THEN 'too few clean obs' ELSE 'ok' END AS note "
+        "FROM sz LEFT JOIN ob USING (basket)",
 )
 def basket_diagnostics(spark, d):  # noqa: ANN001, ANN201
     """Nations with some names that were never priced, one of a single name and one without any price."""

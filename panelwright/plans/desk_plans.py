@@ -15,12 +15,16 @@ from panelwright.sources.scratch import scratch_path, stored
 from .registry import query, take
 
 
-@query("flt_find_text", "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(chr(1), p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)), 'brand#1')")
+@query("flt_find_text",
+    "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(chr(1), p_partkey, p_name, p_brand, p_type, p_size, "
+    "p_retailprice)), 'brand#1')")
 def find(spark, d):  # noqa: ANN001, ANN201
     return workbench.find(src.table(spark, d, "part"), "Brand#1").select("p_partkey", "p_name")
 
 
-@query("flt_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND try_cast(substr(o_orderpriority, o_orderkey % 2 + 1, 1) AS INT) <= 2")
+@query("flt_where",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND try_cast(substr(o_orderpriority, o_orderkey % 2 + 1, "
+    "1) AS INT) <= 2")
 def where(spark, d):  # noqa: ANN001, ANN201
     """For odd keys the cell that is cast is no number; such rows are left out."""
     return workbench.where(src.table(spark, d, "orders"), "o_totalprice > 200000 AND CAST(substr(o_orderpriority, o_orderkey % 2 + 1, 1) AS INT) <= 2").select("o_orderkey", "o_totalprice")
@@ -34,7 +38,10 @@ def formula(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "win_workbench",
-    "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS z, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::DOUBLE AS r, round(sum(p_retailprice) OVER (ORDER BY p_partkey), 4) AS cum, round(CASE WHEN count(p_retailprice) OVER w = 3 THEN avg(p_retailprice) OVER w END, 6) AS ma, round(p_retailprice / lag(p_retailprice) OVER (ORDER BY p_partkey) - 1, 6) AS pct, "
+        "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS z, "
+        "row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::DOUBLE AS r, round(sum(p_retailprice) OVER (ORDER BY p_partkey), "
+        "4) AS cum, round(CASE WHEN count(p_retailprice) OVER w = 3 THEN avg(p_retailprice) OVER w END, 6) AS ma, "
+        "round(p_retailprice / lag(p_retailprice) OVER (ORDER BY p_partkey) - 1, 6) AS pct, "
     "round(p_retailprice / sum(p_retailprice) OVER (), 8) AS share FROM part WINDOW w AS (ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
 )
 def functions(spark, d):  # noqa: ANN001, ANN201
@@ -44,12 +51,16 @@ def functions(spark, d):  # noqa: ANN001, ANN201
     return out.select("p_partkey", F.round("z", 6).alias("z"), "r", F.round("cum", 4).alias("cum"), F.round("ma", 6).alias("ma"), F.round("pct", 6).alias("pct"), F.round("share", 8).alias("share"))
 
 
-@query("agg_group_user", "SELECT p_brand, count(*) AS n, sum(p_partkey)::BIGINT AS p_partkey, sum(p_size)::BIGINT AS p_size, round(sum(p_retailprice), 4) AS p_retailprice FROM part GROUP BY p_brand")
+@query("agg_group_user",
+    "SELECT p_brand, count(*) AS n, sum(p_partkey)::BIGINT AS p_partkey, sum(p_size)::BIGINT AS p_size, round(sum(p_retailprice), "
+    "4) AS p_retailprice FROM part GROUP BY p_brand")
 def group_user(spark, d):  # noqa: ANN001, ANN201
     return take(workbench.grouped(src.table(spark, d, "part"), "p_brand", "sum"), "p_brand n p_partkey p_size", "p_retailprice", 4)
 
 
-@query("agg_column_status", 'SELECT round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS avg, min(o_totalprice) AS min, max(o_totalprice) AS max, count(o_totalprice) AS n FROM orders')
+@query("agg_column_status",
+    'SELECT round(sum(o_totalprice), 2) AS sum, round(avg(o_totalprice), 4) AS avg, min(o_totalprice) AS min, max(o_totalprice) AS max, '
+    'count(o_totalprice) AS n FROM orders')
 def column_status(spark, d):  # noqa: ANN001, ANN201
     s = workbench.column_status(src.table(spark, d, "orders"), "o_totalprice")
     return s.select(F.round("sum", 2).alias("sum"), F.round("avg", 4).alias("avg"), "min", "max", "n")
@@ -60,12 +71,18 @@ def top_n(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-@query("top_per_group", "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS place FROM supplier QUALIFY place <= 3")
+@query("top_per_group",
+    "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS place "
+    "FROM supplier QUALIFY place <= 3")
 def top_per_group(spark, d):  # noqa: ANN001, ANN201
     return workbench.top_per_group(src.table(spark, d, "supplier"), ["s_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")], 3).select("s_nationkey", "s_suppkey", "place")
 
 
-@query("top_quota", "WITH q AS (SELECT p_brand, greatest(1, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 0)) AS q FROM part GROUP BY p_brand), t AS (SELECT p_brand, p_partkey, p_retailprice FROM part JOIN q USING (p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= max(q) OVER (PARTITION BY p_brand)) SELECT p_brand, p_partkey FROM t ORDER BY p_brand, p_retailprice DESC, p_partkey LIMIT 100")
+@query("top_quota",
+    "WITH q AS (SELECT p_brand, greatest(1, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 0)) AS q FROM part "
+    "GROUP BY p_brand), t AS (SELECT p_brand, p_partkey, p_retailprice FROM part JOIN q USING (p_brand) "
+    "QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= max(q) OVER (PARTITION BY p_brand)) "
+    "SELECT p_brand, p_partkey FROM t ORDER BY p_brand, p_retailprice DESC, p_partkey LIMIT 100")
 def top_quota(spark, d):  # noqa: ANN001, ANN201
     return workbench.top_quota(src.table(spark, d, "part"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 100).select("p_brand", "p_partkey")
 
@@ -75,17 +92,26 @@ def top_abs(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "customer").orderBy(F.abs(F.col("c_acctbal") - 4500).desc(), "c_custkey").limit(40).select("c_custkey", "c_acctbal")
 
 
-PEER = "p3 AS (SELECT ticker, basket, date, close / lag(close, 3) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM px JOIN bk USING (ticker)), pr AS (SELECT * FROM p3 WHERE r IS NOT NULL)"
+PEER = (
+    "p3 AS (SELECT ticker, basket, date, close / lag(close, 3) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM px "
+    "JOIN bk USING (ticker)), pr AS (SELECT * FROM p3 WHERE r IS NOT NULL)"
+)
 
 
-@query("top_peer_nearest", with_sql("px", "bk", more=PEER) + "SELECT a.ticker, a.date, b.ticker AS peer, row_number() OVER (PARTITION BY a.ticker, a.date ORDER BY round(abs(a.r - b.r), 9), b.ticker)::INT AS place FROM pr a JOIN pr b ON a.basket = b.basket AND a.date = b.date AND a.ticker <> b.ticker QUALIFY place <= 3")
+@query("top_peer_nearest", with_sql("px", "bk", more=PEER) +
+    "SELECT a.ticker, a.date, b.ticker AS peer, row_number() OVER (PARTITION BY a.ticker, a.date "
+    "ORDER BY round(abs(a.r - b.r), 9), b.ticker)::INT AS place FROM pr a JOIN pr b ON a.basket = b.basket AND a.date = b.date AND "
+    "a.ticker <> b.ticker QUALIFY place <= 3")
 def peers(spark, d):  # noqa: ANN001, ANN201
     """At every date the three names of the basket whose return over three months was nearest."""
     r = src.monthly_prices(spark, d).withColumn("r", win.simple_return(F.col("close"), win.series("ticker"), 3)).where("r IS NOT NULL").join(src.baskets(spark, d), "ticker")
     return workbench.nearest_on_line(r, ["basket", "date"], "ticker", "r", 3).select("ticker", "date", F.col("other").alias("peer"), "place")
 
 
-@query("pick_nearest_target", "SELECT user_id, target, event_id FROM (SELECT user_id, event_id, (DATE '2024-03-01' - ts::DATE) AS days, unnest([10, 30]) AS target FROM events WHERE event_type = 'signup') WHERE abs(days - target) <= greatest(5, target * 0.45) QUALIFY row_number() OVER (PARTITION BY user_id, target ORDER BY abs(days - target), event_id) = 1")
+@query("pick_nearest_target",
+    "SELECT user_id, target, event_id FROM (SELECT user_id, event_id, (DATE '2024-03-01' - ts::DATE) AS days, unnest([10, 30]) AS target "
+    "FROM events WHERE event_type = 'signup') WHERE abs(days - target) <= greatest(5, target * 0.45) "
+    "QUALIFY row_number() OVER (PARTITION BY user_id, target ORDER BY abs(days - target), event_id) = 1")
 def nearest_target(spark, d):  # noqa: ANN001, ANN201
     e = src.table(spark, d, "events").where("event_type = 'signup'").withColumn("days", F.datediff(F.lit("2024-03-01").cast("date"), F.to_date("ts")).cast("double") + F.col("event_id") * 1e-9)
     out = options.nearest_target(e, ["user_id"], "days", [10, 30])
@@ -148,7 +174,9 @@ def fold(spark, d):  # noqa: ANN001, ANN201
     return lab.fold(_lab(spark, d), BY, "date").withColumn("pos", F.round("pos", 6) + 0.0)
 
 
-@query("lab_pnl", FOLDED + "SELECT ticker, entry, stop, date, round(abs(pos - before), 6) AS turn, round(pnl, 6) + 0.0 AS pnl, round(equity, 6) + 0.0 AS equity FROM eq")
+@query("lab_pnl", FOLDED +
+    "SELECT ticker, entry, stop, date, round(abs(pos - before), 6) AS turn, round(pnl, 6) + 0.0 AS pnl, round(equity, 6) + 0.0 AS equity "
+    "FROM eq")
 def pnl(spark, d):  # noqa: ANN001, ANN201
     out = take(_folded(spark, d), "ticker entry stop date", "turn pnl equity")
     return out.withColumns({c: F.col(c) + 0.0 for c in ("pnl", "equity")})
@@ -184,13 +212,18 @@ def _boot(spark, d):  # noqa: ANN001, ANN202
     return lab.bootstrap(r, ["ticker"], "date", 1000, 4, "7")
 
 
-@query("lab_bootstrap", with_sql("px", more=BOOT) + "SELECT ticker, round(quantile_cont(total, 0.05), 6) AS p5, round(median(total), 6) AS p50, round(quantile_cont(total, 0.95), 6) AS p95 FROM tot GROUP BY ticker")
+@query("lab_bootstrap", with_sql("px", more=BOOT) +
+    "SELECT ticker, round(quantile_cont(total, 0.05), 6) AS p5, round(median(total), 6) AS p50, round(quantile_cont(total, 0.95), "
+    "6) AS p95 FROM tot GROUP BY ticker")
 def bootstrap(spark, d):  # noqa: ANN001, ANN201
     q = _boot(spark, d).groupBy("ticker").agg(*(F.percentile("total", F.lit(p)).alias(n) for p, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))))
     return take(q, "ticker", "p5 p50 p95")
 
 
-@query("lab_histogram", with_sql("px", more=BOOT) + "SELECT ticker, bin, count(*) AS n FROM (SELECT ticker, least(floor((round(total, 9) - min(round(total, 9)) OVER w) / (max(round(total, 9)) OVER w - min(round(total, 9)) OVER w) * 40), 39)::INT AS bin FROM tot WINDOW w AS (PARTITION BY ticker)) GROUP BY ALL")
+@query("lab_histogram", with_sql("px", more=BOOT) +
+    "SELECT ticker, bin, count(*) AS n FROM (SELECT ticker, least(floor((round(total, 9) - min(round(total, "
+    "9)) OVER w) / (max(round(total, 9)) OVER w - min(round(total, 9)) OVER w) * 40), 39)::INT AS bin FROM tot "
+    "WINDOW w AS (PARTITION BY ticker)) GROUP BY ALL")
 def histogram(spark, d):  # noqa: ANN001, ANN201
     return lab.histogram(_boot(spark, d).withColumn("total", F.round("total", 9)), ["ticker"], "total", 40)
 
@@ -286,7 +319,9 @@ mv AS (SELECT symbol, dte, """ + ", ".join(f"round(max(v0 + (v1 - v0) * (k - k0)
 
 @query(
     "opt_surface",
-    f"WITH {SURFACE}, {MONEYNESS} SELECT mv.*, round(fwd, 4) AS fwd, round(atm, 5) AS atm, round(straddle, 3) AS straddle, round(vol_90, 4) AS vol_90, round(vol_110, 4) AS vol_110, round(vol_90 - vol_110, 4) + 0.0 AS skew FROM sf JOIN mv USING (symbol, dte)",
+        f"WITH {SURFACE}, {MONEYNESS} SELECT mv.*, round(fwd, 4) AS fwd, round(atm, 5) AS atm, round(straddle, 3) AS straddle, "
+        f"round(vol_90, 4) AS vol_90, round(vol_110, 4) AS vol_110, round(vol_90 - vol_110, 4) + 0.0 AS skew FROM sf "
+        f"JOIN mv USING (symbol, dte)",
 )
 def surface(spark, d):  # noqa: ANN001, ANN201
     """Forward, vol at the forward and at seven levels of moneyness, straddle and skew."""
@@ -312,7 +347,11 @@ def vol_monitor(spark, d):  # noqa: ANN001, ANN201
 FAIR = "coalesce(nullif(rv20, 0), 0.3)"
 
 
-@query("opt_chain_edge", f"WITH {QUOTED}, {PART_VOLS}, fv AS (SELECT symbol, spot, strike, dte, t, type, rate, div, mid, {FAIR} AS vol FROM iv LEFT JOIN rv USING (symbol) WHERE abs(strike / spot - 1) <= 0.15), {greeks_sql('fg', 'fv')} SELECT symbol, dte, type, round(strike, 4) AS strike, round(mid, 3) AS mid, round(price, 3) AS fair, round(mid - price, 3) + 0.0 AS edge FROM fg")
+@query("opt_chain_edge",
+    f"WITH {QUOTED}, {PART_VOLS}, fv AS (SELECT symbol, spot, strike, dte, t, type, rate, div, mid, {FAIR} AS vol FROM iv LEFT "
+    f"JOIN rv USING (symbol) WHERE abs(strike / spot - 1) <= 0.15), {greeks_sql('fg', 'fv')} "
+    f"SELECT symbol, dte, type, round(strike, 4) AS strike, round(mid, 3) AS mid, round(price, 3) AS fair, round(mid - price, "
+    f"3) + 0.0 AS edge FROM fg")
 def chain_edge(spark, d):  # noqa: ANN001, ANN201
     """Mid against the price at the vol realised over 20 returns (0.3 where there aren't as many)."""
     q = options.quoted(quotes_of(spark, d)).drop("price").join(part_vols(spark, d), "symbol", "left")
@@ -440,7 +479,9 @@ QUOTES = """q0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dat
 
 @query(
     "agg_quotes",
-    "WITH sc AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem GROUP BY ALL), " + QUOTES + " SELECT symbol, max(date) AS date, count(*) AS n, round(max(close) FILTER (back = 1) + 1e-9, 6) AS last, "
+        "WITH sc AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS date, sum(l_extendedprice) / sum(l_quantity) AS close FROM lineitem "
+        "GROUP BY ALL), "
+        + QUOTES + " SELECT symbol, max(date) AS date, count(*) AS n, round(max(close) FILTER (back = 1) + 1e-9, 6) AS last, "
     + ", ".join(f"round(max(close) FILTER (back = 1) / max(close) FILTER (back = {k}) - 1, 6) AS {c}" for c, k in (("chg_1d", 2), ("chg_1m", 22), ("chg_1y", 253)))
     + ", round(max(close) FILTER (back <= 252) + 1e-9, 6) AS hi_52w, round(min(close) FILTER (back <= 252) + 1e-9, 6) AS lo_52w, "
     + ", ".join(f"round(CASE WHEN count(r) >= {k} THEN stddev_samp(r) FILTER (back <= {k}) * sqrt(252) END, 6) AS rv{k}" for k in RV)
@@ -454,7 +495,10 @@ def quotes(spark, d):  # noqa: ANN001, ANN201
     return take(q.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("last", "hi_52w", "lo_52w")}), "symbol date n last hi_52w lo_52w", "chg_1d chg_1m chg_1y " + " ".join(f"rv{k}" for k in RV))
 
 
-@query("agg_trailing_dividend_yield", with_sql("daily", "act", more="dv AS (SELECT ticker, max(date) AS last FROM act WHERE kind = 'dividend' GROUP BY ticker), s AS (SELECT a.ticker, sum(value) AS paid FROM act a JOIN dv USING (ticker) WHERE kind = 'dividend' AND date > last - 365 GROUP BY a.ticker), l AS (SELECT ticker, arg_max(close, date) AS spot FROM daily GROUP BY ticker)") + "SELECT ticker, round(paid / nullif(spot, 0), 6) AS dividend_yield FROM s JOIN l USING (ticker)")
+@query("agg_trailing_dividend_yield", with_sql("daily", "act", more=
+    "dv AS (SELECT ticker, max(date) AS last FROM act WHERE kind = 'dividend' GROUP BY ticker), s AS (SELECT a.ticker, sum(value) AS paid "
+    "FROM act a JOIN dv USING (ticker) WHERE kind = 'dividend' AND date > last - 365 "
+    "GROUP BY a.ticker), l AS (SELECT ticker, arg_max(close, date) AS spot FROM daily GROUP BY ticker)") + "SELECT ticker, round(paid / nullif(spot, 0), 6) AS dividend_yield FROM s JOIN l USING (ticker)")
 def dividend_yield(spark, d):  # noqa: ANN001, ANN201
     paid = src.actions(spark, d).where("kind = 'dividend'")
     last = paid.groupBy("ticker").agg(F.max("date").alias("last"))
@@ -465,8 +509,16 @@ def dividend_yield(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "agg_returns_summary",
-    with_sql("px", "bk", more="r AS (SELECT ticker, close, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM px), y AS (SELECT ticker, arg_max(close, date) AS close FROM px JOIN (SELECT ticker, year(max(date)) AS last FROM px GROUP BY ticker) USING (ticker) WHERE year(date) < last GROUP BY ticker), s AS (SELECT r.ticker, max(r.close) FILTER (back = 1) AS last, max(r.close) FILTER (back = 1) / max(r.close) FILTER (back = 4) - 1 AS ret_3, max(r.close) FILTER (back = 1) / max(r.close) FILTER (back = 13) - 1 AS ret_12, max(r.close) FILTER (back = 1) / max(y.close) - 1 AS ytd FROM r LEFT JOIN y USING (ticker) GROUP BY r.ticker)")
-    + "SELECT ticker, basket, round(last, 6) AS last, round(ret_3, 6) AS ret_3, round(ret_12, 6) AS ret_12, round(ytd, 6) AS ytd, round(avg(ret_12) OVER (PARTITION BY basket), 6) AS basket_12 FROM s JOIN bk USING (ticker)",
+    with_sql("px", "bk", more=
+        "r AS (SELECT ticker, close, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back "
+        "FROM px), y AS (SELECT ticker, arg_max(close, date) AS close FROM px JOIN (SELECT ticker, year(max(date)) AS last FROM px "
+        "GROUP BY ticker) USING (ticker) WHERE year(date) < last GROUP BY ticker), s AS (SELECT r.ticker, "
+        "max(r.close) FILTER (back = 1) AS last, max(r.close) FILTER (back = 1) / max(r.close) FILTER (back = 4) - 1 AS ret_3, "
+        "max(r.close) FILTER (back = 1) / max(r.close) FILTER (back = 13) - 1 AS ret_12, "
+        "max(r.close) FILTER (back = 1) / max(y.close) - 1 AS ytd FROM r LEFT JOIN y USING (ticker) GROUP BY r.ticker)")
+    +
+        "SELECT ticker, basket, round(last, 6) AS last, round(ret_3, 6) AS ret_3, round(ret_12, 6) AS ret_12, round(ytd, 6) AS ytd, "
+        "round(avg(ret_12) OVER (PARTITION BY basket), 6) AS basket_12 FROM s JOIN bk USING (ticker)",
 )
 def returns_summary(spark, d):  # noqa: ANN001, ANN201
     """Last price, returns over 3 and 12 months and since the year began, and the mean 12-month return of the basket."""

@@ -17,19 +17,26 @@ from . import basket_plans, scores, series
 from .registry import query, take
 
 
-@query("join_inner_equi", "SELECT o_orderkey, c_custkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
+@query("join_inner_equi",
+    "SELECT o_orderkey, c_custkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey "
+    "WHERE o_totalprice > 100000")
 def inner(spark, d):  # noqa: ANN001, ANN201
     o, c = src.table(spark, d, "orders"), src.table(spark, d, "customer")
     return o.where("o_totalprice > 100000").join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_custkey", "o_totalprice", "c_mktsegment")
 
 
-@query("join_left_wide", "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("join_left_wide",
+    "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT "
+    "JOIN region ON n_regionkey = r_regionkey")
 def left_wide(spark, d):  # noqa: ANN001, ANN201
     s, n, r = (src.table(spark, d, t) for t in ("supplier", "nation", "region"))
     return s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("s_suppkey", "n_name", "r_name")
 
 
-@query("join_full", "WITH a AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate < DATE '1998-07-01' GROUP BY ALL), b AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1998-07-01' GROUP BY ALL) SELECT l_suppkey, l_partkey, a.n AS n0, b.n AS n1 FROM a FULL JOIN b USING (l_suppkey, l_partkey)")
+@query("join_full",
+    "WITH a AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate < DATE '1998-07-01' "
+    "GROUP BY ALL), b AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate >= DATE '1998-07-01' GROUP BY ALL) "
+    "SELECT l_suppkey, l_partkey, a.n AS n0, b.n AS n1 FROM a FULL JOIN b USING (l_suppkey, l_partkey)")
 def full(spark, d):  # noqa: ANN001, ANN201
     """What each supplier shipped of each part in the two halves of the time."""
     li, key = src.table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"]
@@ -37,20 +44,27 @@ def full(spark, d):  # noqa: ANN001, ANN201
     return half("l_shipdate < DATE '1998-07-01'", "n0").join(half("l_shipdate >= DATE '1998-07-01'", "n1"), key, "full_outer")
 
 
-@query("join_self_pairs", with_sql("px", "bk", more=basket_plans.RB) + "SELECT a.ticker AS a, b.ticker AS b, a.date, round(a.ret - b.ret, 6) AS gap FROM rb a JOIN rb b ON a.date = b.date AND a.basket = b.basket AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL")
+@query("join_self_pairs", with_sql("px", "bk", more=basket_plans.RB) +
+    "SELECT a.ticker AS a, b.ticker AS b, a.date, round(a.ret - b.ret, 6) AS gap FROM rb a "
+    "JOIN rb b ON a.date = b.date AND a.basket = b.basket AND a.ticker < b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL")
 def self_pairs(spark, d):  # noqa: ANN001, ANN201
     r = basket_plans.returns(spark, d).where("ret IS NOT NULL")
     a, b = r.select(F.col("ticker").alias("a"), "basket", "date", F.col("ret").alias("ra")), r.select(F.col("ticker").alias("b"), "basket", "date", F.col("ret").alias("rb"))
     return take(a.join(b, ["basket", "date"]).where("a < b").withColumn("gap", F.col("ra") - F.col("rb")), "a b date", "gap")
 
 
-@query("join_prior_years", with_sql("px", more="m AS (SELECT ticker, year(date)::INT AS y, month(date)::INT AS m, close FROM px)") + "SELECT a.ticker, a.y AS year, a.m AS month, count(b.close) AS n_years, round(avg(b.close), 6) AS norm FROM m a JOIN m b ON a.ticker = b.ticker AND a.m = b.m AND b.y BETWEEN a.y - 5 AND a.y - 1 GROUP BY ALL HAVING count(*) >= 3")
+@query("join_prior_years", with_sql("px", more="m AS (SELECT ticker, year(date)::INT AS y, month(date)::INT AS m, close FROM px)") +
+    "SELECT a.ticker, a.y AS year, a.m AS month, count(b.close) AS n_years, round(avg(b.close), 6) AS norm FROM m a "
+    "JOIN m b ON a.ticker = b.ticker AND a.m = b.m AND b.y BETWEEN a.y - 5 AND a.y - 1 GROUP BY ALL HAVING count(*) >= 3")
 def prior(spark, d):  # noqa: ANN001, ANN201
     m = src.monthly_prices(spark, d).select("ticker", F.year("date").alias("year"), F.month("date").alias("month"), "close")
     return take(panel.prior_years(m, ["ticker"], "year", "month", "close").where("n_years IS NOT NULL"), "ticker year month n_years", "norm")
 
 
-@query("agg_group_corr", with_sql("px", "bk", more=f"{basket_plans.RB}, bd AS (SELECT basket, super_basket, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL GROUP BY ALL), gp AS (SELECT a.super_basket AS ga, b.super_basket AS gb, a.basket AS a, b.basket AS b, corr(a.ret, b.ret) AS c FROM bd a JOIN bd b ON a.date = b.date AND a.basket < b.basket GROUP BY ALL)") + "SELECT least(ga, gb) AS ga, greatest(ga, gb) AS gb, count(*) AS n, round(avg(c), 6) AS mean_corr FROM gp GROUP BY 1, 2")
+@query("agg_group_corr", with_sql("px", "bk", more=
+    f"{basket_plans.RB}, bd AS (SELECT basket, super_basket, date, avg(ret) AS ret FROM rb WHERE ret IS NOT NULL "
+    f"GROUP BY ALL), gp AS (SELECT a.super_basket AS ga, b.super_basket AS gb, a.basket AS a, b.basket AS b, corr(a.ret, b.ret) AS c "
+    f"FROM bd a JOIN bd b ON a.date = b.date AND a.basket < b.basket GROUP BY ALL)") + "SELECT least(ga, gb) AS ga, greatest(ga, gb) AS gb, count(*) AS n, round(avg(c), 6) AS mean_corr FROM gp GROUP BY 1, 2")
 def group_corr(spark, d):  # noqa: ANN001, ANN201
     pairs = basket_plans.basket_correlations(spark, d)
     g = src.baskets(spark, d).select("basket", "super_basket").distinct()
@@ -58,14 +72,20 @@ def group_corr(spark, d):  # noqa: ANN001, ANN201
     return take(named.groupBy(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb")).agg(F.count("*").alias("n"), F.avg("corr").alias("mean_corr")), "ga gb n", "mean_corr")
 
 
-@query("agg_var_share", with_sql("px", "bk", more=f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}") + "SELECT ticker, round(pow(regr_slope(ret, loo), 2) * var_samp(loo) / var_pop(ret), 6) AS varshare FROM bt GROUP BY ticker HAVING count(*) >= 40")
+@query("agg_var_share", with_sql("px", "bk", more=f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}") +
+    "SELECT ticker, round(pow(regr_slope(ret, loo), 2) * var_samp(loo) / var_pop(ret), 6) AS varshare FROM bt GROUP BY ticker "
+    "HAVING count(*) >= 40")
 def var_share(spark, d):  # noqa: ANN001, ANN201
     both = baskets.leave_one_out(basket_plans.returns(spark, d)).where("ret IS NOT NULL AND loo IS NOT NULL")
     share = F.pow(F.regr_slope("ret", "loo"), 2) * F.var_samp("loo") / F.var_pop("ret")
     return take(both.groupBy("ticker").agg(share.alias("varshare"), F.count("*").alias("n")).where("n >= 40"), "ticker", "varshare")
 
 
-WEEK = "w AS (SELECT symbol, isoyear(date)::INT AS y, least(weekofyear(date), 52)::INT AS wk, max_by(value, date) AS v FROM drv GROUP BY ALL), n AS (SELECT a.symbol, a.y, a.wk, avg(b.v) AS norm, stddev_pop(b.v) AS sd FROM w a JOIN w b ON a.symbol = b.symbol AND a.wk = b.wk AND b.y BETWEEN a.y - 5 AND a.y - 1 GROUP BY ALL HAVING count(*) >= 3)"
+WEEK = (
+    "w AS (SELECT symbol, isoyear(date)::INT AS y, least(weekofyear(date), 52)::INT AS wk, max_by(value, date) AS v FROM drv "
+    "GROUP BY ALL), n AS (SELECT a.symbol, a.y, a.wk, avg(b.v) AS norm, stddev_pop(b.v) AS sd FROM w a "
+    "JOIN w b ON a.symbol = b.symbol AND a.wk = b.wk AND b.y BETWEEN a.y - 5 AND a.y - 1 GROUP BY ALL HAVING count(*) >= 3)"
+)
 
 
 @query("proj_weekly_z", with_sql("drv", more=WEEK) + "SELECT symbol, y AS year, wk AS week, round((v - norm) / nullif(sd, 0), 6) AS z FROM w JOIN n USING (symbol, y, wk)")
@@ -75,7 +95,9 @@ def weekly_z(spark, d):  # noqa: ANN001, ANN201
     return take(out.withColumn("z", scalars.ratio(F.col("value") - F.col("norm"), F.col("norm_sd"))), "symbol year week", "z")
 
 
-@query("agg_tail_stats", with_sql("drv") + "SELECT symbol, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM (SELECT * FROM drv QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 156) GROUP BY symbol")
+@query("agg_tail_stats", with_sql("drv") +
+    "SELECT symbol, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM (SELECT * FROM drv "
+    "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 156) GROUP BY symbol")
 def tail_stats(spark, d):  # noqa: ANN001, ANN201
     tail = workbench.top_per_group(src.weekly_drivers(spark, d), ["symbol"], [F.desc("date")], 156)
     return take(tail.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")), "symbol n", "mean sd")
@@ -118,7 +140,10 @@ def stages(spark, d):  # noqa: ANN001, ANN201
     return balance.world_table(production, refining, reserves, ["commodity", "year"])
 
 
-@query("agg_world_table", with_sql("prod", more=STAGES) + "SELECT commodity, country, year, round(production, 4) AS production, round(refining, 4) AS refining, round(reserves, 4) AS reserves, round(production_share, 8) AS production_share, round(refining_share, 8) AS refining_share, round(reserves_share, 8) AS reserves_share, round(reserves / nullif(production, 0), 4) AS reserve_years FROM ws")
+@query("agg_world_table", with_sql("prod", more=STAGES) +
+    "SELECT commodity, country, year, round(production, 4) AS production, round(refining, 4) AS refining, round(reserves, 4) AS reserves, "
+    "round(production_share, 8) AS production_share, round(refining_share, 8) AS refining_share, round(reserves_share, "
+    "8) AS reserves_share, round(reserves / nullif(production, 0), 4) AS reserve_years FROM ws")
 def world_table(spark, d):  # noqa: ANN001, ANN201
     t = stages(spark, d)
     return t.select("commodity", "country", "year", *(F.round(c, 4).alias(c) for c in ("production", "refining", "reserves", "reserve_years")), *(F.round(f"{c}_share", 8).alias(f"{c}_share") for c in ("production", "refining", "reserves")))
@@ -126,8 +151,13 @@ def world_table(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "agg_country_metric",
-    with_sql("prod", more=STAGES + ", ul AS (SELECT * FROM (UNPIVOT (SELECT commodity, country, year, production_share AS production, refining_share AS refining, reserves_share AS reserves FROM ws) ON production, refining, reserves INTO NAME stage VALUE share)), bs AS (SELECT commodity, year, country, max(share) AS share, arg_max(stage, (share, stage)) AS stage FROM ul GROUP BY ALL)")
-    + "SELECT commodity, year, country, stage, round(share, 6) AS share, row_number() OVER (PARTITION BY commodity, year ORDER BY share DESC, country)::INT AS place FROM bs QUALIFY place <= 10",
+    with_sql("prod", more=STAGES +
+        ", ul AS (SELECT * FROM (UNPIVOT (SELECT commodity, country, year, production_share AS production, refining_share AS refining, "
+        "reserves_share AS reserves FROM ws) ON production, refining, reserves INTO NAME stage VALUE share)), bs AS (SELECT commodity, "
+        "year, country, max(share) AS share, arg_max(stage, (share, stage)) AS stage FROM ul GROUP BY ALL)")
+    +
+        "SELECT commodity, year, country, stage, round(share, 6) AS share, row_number() OVER (PARTITION BY commodity, year "
+        "ORDER BY share DESC, country)::INT AS place FROM bs QUALIFY place <= 10",
 )
 def country_metric(spark, d):  # noqa: ANN001, ANN201
     """The ten countries of each commodity and year by the stage they hold most of."""
@@ -148,7 +178,9 @@ def row_number(spark, d):  # noqa: ANN001, ANN201
     return src.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"))
 
 
-@query("agg_family_coverage", with_sql("px", "annual", "bk", more=f"{scores.PRICE}, {scores.VALUE}, {scores.QUALITY}, {scores.COMPOSITE}") + "SELECT as_of, count(*) AS n, count(m) AS momentum, count(v) AS value, count(q) AS quality, count(composite) AS ranked FROM comp GROUP BY as_of")
+@query("agg_family_coverage", with_sql("px", "annual", "bk", more=f"{scores.PRICE}, {scores.VALUE}, {scores.QUALITY}, {scores.COMPOSITE}") +
+    "SELECT as_of, count(*) AS n, count(m) AS momentum, count(v) AS value, count(q) AS quality, count(composite) AS ranked FROM comp "
+    "GROUP BY as_of")
 def family_coverage(spark, d):  # noqa: ANN001, ANN201
     return scores._scored(spark, d).groupBy("as_of").agg(F.count("*").alias("n"), F.count("score_momentum").alias("momentum"), F.count("score_value").alias("value"), F.count("score_quality").alias("quality"), F.count("composite").alias("ranked"))
 
@@ -158,8 +190,17 @@ def _recent(spark, d):  # noqa: ANN001, ANN202
     return panel.returns_summary(src.monthly_prices(spark, d), "ticker", "date", "close", {"r3": 3}).select("ticker", "r3").join(src.baskets(spark, d), "ticker")
 
 
-R3 = "lp AS (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM px), r3 AS (SELECT ticker, basket, super_basket, max(close) FILTER (back = 1) / max(close) FILTER (back = 4) - 1 AS r3 FROM lp JOIN bk USING (ticker) GROUP BY ALL)"
-RESID = f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}, rs AS (SELECT ticker, ret - alpha - beta * loo AS res, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bt JOIN fit USING (ticker)), rz AS (SELECT ticker, sum(res) FILTER (back <= 12) / (stddev_samp(res) * sqrt(12)) AS z FROM rs GROUP BY ticker)"
+R3 = (
+    "lp AS (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back "
+    "FROM px), r3 AS (SELECT ticker, basket, super_basket, max(close) FILTER (back = 1) / max(close) FILTER (back = 4) - 1 AS r3 FROM lp "
+    "JOIN bk USING (ticker) GROUP BY ALL)"
+)
+RESID = (
+    f"{basket_plans.RB}, {basket_plans.LOO}, {basket_plans.FIT}, rs AS (SELECT ticker, ret - alpha - beta * loo AS res, "
+    f"row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bt "
+    f"JOIN fit USING (ticker)), rz AS (SELECT ticker, sum(res) FILTER (back <= 12) / (stddev_samp(res) * sqrt(12)) AS z FROM rs "
+    f"GROUP BY ticker)"
+)
 
 
 def _signal_sql(kind: str, measure: str, limit: float, scale: str, side: str) -> str:
@@ -254,9 +295,18 @@ def stock_signals(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "join_consolidate",
-    with_sql("px", "bk", "drv", more=f"{RESID}, {basket_plans.WEEKLY}, {basket_plans.PARTS}, lst AS (SELECT ticker, arg_max(close, date) AS last FROM px GROUP BY ticker)")
-    + "SELECT bk.ticker, bk.basket, n_name, fit.n_obs, round(last, 6) AS last, round(fit.beta, 6) AS beta, round(fit.r2, 6) AS r2, round(rz.z, 5) AS residual_z, round(a3.actual, 6) AS basket_actual, round(a3.factor, 6) AS basket_factor, round(a1.idio, 6) AS implied_gap, " + ", ".join(f"round(ols.beta_{x}, 6) AS load_{x}" for x in basket_plans.XS)
-    + " FROM bk LEFT JOIN nation ON n_nationkey = basket LEFT JOIN fit ON bk.ticker = fit.ticker LEFT JOIN rz ON bk.ticker = rz.ticker LEFT JOIN lst ON bk.ticker = lst.ticker LEFT JOIN att a3 ON a3.entity = basket AND a3.span = '3m' LEFT JOIN att a1 ON a1.entity = basket AND a1.span = '1m' LEFT JOIN ols ON ols.entity = basket",
+    with_sql("px", "bk", "drv", more=
+        f"{RESID}, {basket_plans.WEEKLY}, {basket_plans.PARTS}, lst AS (SELECT ticker, arg_max(close, date) AS last FROM px "
+        f"GROUP BY ticker)")
+    +
+        "SELECT bk.ticker, bk.basket, n_name, fit.n_obs, round(last, 6) AS last, round(fit.beta, 6) AS beta, round(fit.r2, 6) AS r2, "
+        "round(rz.z, 5) AS residual_z, round(a3.actual, 6) AS basket_actual, round(a3.factor, 6) AS basket_factor, round(a1.idio, "
+        "6) AS implied_gap, "
+        + ", ".join(f"round(ols.beta_{x}, 6) AS load_{x}" for x in basket_plans.XS)
+    +
+        " FROM bk LEFT JOIN nation ON n_nationkey = basket LEFT JOIN fit ON bk.ticker = fit.ticker LEFT JOIN rz ON bk.ticker = rz.ticker "
+        "LEFT JOIN lst ON bk.ticker = lst.ticker LEFT JOIN att a3 ON a3.entity = basket AND a3.span = '3m' LEFT "
+        "JOIN att a1 ON a1.entity = basket AND a1.span = '1m' LEFT JOIN ols ON ols.entity = basket",
 )
 def consolidate(spark, d):  # noqa: ANN001, ANN201
     """One wide row per name: basket, its own fit and residual, last price, and its basket's attribution over three months, gap
@@ -274,7 +324,9 @@ def consolidate(spark, d):  # noqa: ANN001, ANN201
     return take(wide, "ticker basket n_name n_obs residual_z", "last beta r2 basket_actual basket_factor implied_gap " + " ".join(f"load_{x}" for x in basket_plans.XS))
 
 
-@query("pipe_dispersion", with_sql("drv", more=f"{basket_plans.WEEKLY}, {basket_plans.PARTS}") + 'SELECT entity, span AS "window", round(abs(idio) / nullif(abs(factor) + abs(idio), 0), 6) AS dispersion FROM att ORDER BY dispersion DESC')
+@query("pipe_dispersion", with_sql("drv", more=f"{basket_plans.WEEKLY}, {basket_plans.PARTS}") +
+    'SELECT entity, span AS "window", round(abs(idio) / nullif(abs(factor) + abs(idio), 0), 6) AS dispersion FROM att '
+    'ORDER BY dispersion DESC')
 def dispersion(spark, d):  # noqa: ANN001, ANN201
     return take(basket_plans.dispersed(spark, d), "entity window", "dispersion").orderBy(F.desc("dispersion"))
 
@@ -299,25 +351,36 @@ def json_dir(spark, d):  # noqa: ANN001, ANN201
     return rows.agg(F.count_distinct("x.p_brand").alias("n"), F.sum("x.size").alias("size"))
 
 
-@query("fn_math", "SELECT l_orderkey, l_linenumber, round(ln(l_quantity), 6) AS ln, round(exp(-l_discount), 6) AS exp, round(sqrt(l_quantity), 6) AS sqrt, floor(l_extendedprice)::BIGINT AS floor, round(pow(l_tax, 2), 8) AS pow, least(greatest(l_quantity, 5), 40) AS clip, sign(l_quantity - 25)::DOUBLE AS sign FROM lineitem")
+@query("fn_math",
+    "SELECT l_orderkey, l_linenumber, round(ln(l_quantity), 6) AS ln, round(exp(-l_discount), 6) AS exp, round(sqrt(l_quantity), "
+    "6) AS sqrt, floor(l_extendedprice)::BIGINT AS floor, round(pow(l_tax, 2), 8) AS pow, least(greatest(l_quantity, 5), 40) AS clip, "
+    "sign(l_quantity - 25)::DOUBLE AS sign FROM lineitem")
 def math(spark, d):  # noqa: ANN001, ANN201
     q = F.col("l_quantity")
     return src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.ln(q), 6).alias("ln"), F.round(F.exp(-F.col("l_discount")), 6).alias("exp"), F.round(F.sqrt(q), 6).alias("sqrt"), F.floor("l_extendedprice").alias("floor"), F.round(F.pow("l_tax", F.lit(2)), 8).alias("pow"), scalars.clip(q, 5.0, 40.0).alias("clip"), F.signum(q - 25).alias("sign"))
 
 
-@query("fn_string", "SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS low, c_name LIKE '%1' AS ends, split_part(c_name, '#', 2) AS tail, regexp_replace(c_name, '[0-9]+', 'N') AS masked FROM customer")
+@query("fn_string",
+    "SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS low, c_name LIKE '%1' AS ends, split_part(c_name, '#', 2) AS tail, "
+    "regexp_replace(c_name, '[0-9]+', 'N') AS masked FROM customer")
 def strings(spark, d):  # noqa: ANN001, ANN201
     n = F.col("c_name")
     return src.table(spark, d, "customer").select("c_custkey", F.upper(n).alias("up"), F.lower("c_mktsegment").alias("low"), F.endswith(n, F.lit("1")).alias("ends"), F.split_part(n, F.lit("#"), F.lit(2)).alias("tail"), F.regexp_replace(n, "[0-9]+", "N").alias("masked"))
 
 
-@query("fn_array", "SELECT o_custkey, count(*) AS n, list_sort(list(DISTINCT o_orderpriority))[1] AS first, list_contains(list(o_orderpriority), '1-URGENT') AS urgent, len(list_filter(list(o_totalprice), lambda x: x > 150000)) AS large FROM orders GROUP BY o_custkey")
+@query("fn_array",
+    "SELECT o_custkey, count(*) AS n, list_sort(list(DISTINCT o_orderpriority))[1] AS first, list_contains(list(o_orderpriority), "
+    "'1-URGENT') AS urgent, len(list_filter(list(o_totalprice), lambda x: x > 150000)) AS large FROM orders GROUP BY o_custkey")
 def arrays(spark, d):  # noqa: ANN001, ANN201
     a = src.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.collect_list("o_orderpriority").alias("p"), F.collect_list("o_totalprice").alias("t"))
     return a.select("o_custkey", "n", F.array_min(F.array_distinct("p")).alias("first"), F.array_contains("p", "1-URGENT").alias("urgent"), F.size(F.filter("t", lambda x: x > 150000)).cast("long").alias("large"))
 
 
-@query("fn_horizontal", "SELECT p_partkey, round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 6) AS mean, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS n, round((coalesce(a, 0) * 0.7 + coalesce(b, 0) * 0.3) / nullif((a IS NOT NULL)::INT * 0.7 + (b IS NOT NULL)::INT * 0.3, 0), 6) AS weighted FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS a, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE END AS b FROM part)")
+@query("fn_horizontal",
+    "SELECT p_partkey, round((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 6) AS mean, "
+    "(a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS n, round((coalesce(a, 0) * 0.7 + coalesce(b, "
+    "0) * 0.3) / nullif((a IS NOT NULL)::INT * 0.7 + (b IS NOT NULL)::INT * 0.3, 0), 6) AS weighted FROM (SELECT p_partkey, "
+    "CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS a, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE END AS b FROM part)")
 def horizontal(spark, d):  # noqa: ANN001, ANN201
     k = F.col("p_partkey")
     p = src.table(spark, d, "part").withColumns({"a": F.when(k % 2 == 0, F.col("p_retailprice")), "b": F.when(k % 3 == 0, F.col("p_size").cast("double"))})

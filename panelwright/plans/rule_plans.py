@@ -118,7 +118,7 @@ hg AS (SELECT commodity || ':' || year AS id, sum(share) AS shares, sum(producti
     UNION ALL SELECT 'total', o_orderkey::VARCHAR, o_totalprice, NULL FROM orders WHERE o_totalprice NOT BETWEEN 0 AND 400000
     UNION ALL SELECT 'country', commodity || ':' || year || ':' || holder, NULL, holder FROM hs WHERE holder <> 'OTH' AND holder NOT IN (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey <> 11)
     UNION ALL SELECT 'lon', id::VARCHAR, lon, NULL FROM si WHERE lon NOT BETWEEN -180 AND 180 UNION ALL SELECT 'lat', id::VARCHAR, lat, NULL FROM si WHERE lat NOT BETWEEN -90 AND 90
-    UNION ALL SELECT 'capacity_iff_unit', id::VARCHAR, NULL, CASE WHEN unit IS NULL THEN capacity::VARCHAR ELSE unit END FROM si WHERE (capacity IS NULL) <> (unit IS NULL) UNION ALL SELECT 'iso', id::VARCHAR, NULL, iso FROM si WHERE NOT regexp_full_match(iso, '\d{3}')
+    UNION ALL SELECT 'capacity_iff_unit', id::VARCHAR, NULL, CASE WHEN unit IS NULL THEN capacity::VARCHAR ELSE unit END FROM si WHERE (capacity IS NULL) <> (unit IS NULL) UNION ALL SELECT 'iso', id::VARCHAR, NULL, iso FROM si WHERE NOT regexp_full_match(iso, '[0-9]{3}')
     UNION ALL SELECT 'share_sum', id, round(shares, 6), NULL FROM hg WHERE shares NOT BETWEEN 0.95 AND 1.05 UNION ALL SELECT 'sorted', id, round(up, 6), NULL FROM hg WHERE up IS NOT NULL UNION ALL SELECT 'parts_sum', id, round(off, 6), NULL FROM hg WHERE gap > 0.03""",
 )
 def validate(spark, d):  # noqa: ANN001, ANN201

@@ -11,7 +11,10 @@ from panelwright.sources.panels import with_sql
 
 from .registry import query, sql_take, take
 
-PRICE = "yp AS (SELECT ticker, arg_max(close, date) AS close, year(date)::INT AS fy FROM px GROUP BY ticker, year(date)), av AS (SELECT a.*, close FROM annual a JOIN yp ON cik = ticker AND a.fy = yp.fy)"
+PRICE = (
+    "yp AS (SELECT ticker, arg_max(close, date) AS close, year(date)::INT AS fy FROM px "
+    "GROUP BY ticker, year(date)), av AS (SELECT a.*, close FROM annual a JOIN yp ON cik = ticker AND a.fy = yp.fy)"
+)
 VALUE = """val AS (SELECT cik, fy, CASE WHEN close > 0 AND shares > 0 THEN close * shares END AS mcap, net_income + interest_expense + tax_expense + depreciation AS ebitda, operating_cash_flow - capex AS fcf,
     CASE WHEN close > 0 AND shares > 0 THEN close * shares END + coalesce(long_term_debt, 0) - coalesce(cash, 0) AS ev FROM av)"""
 QUALITY = """qual AS (SELECT cik, fy, revenue, operating_income, CASE WHEN coalesce(stockholders_equity, 0) + coalesce(long_term_debt, 0) > 0 THEN operating_income * (1 - CASE WHEN net_income + tax_expense > 0 THEN least(greatest(tax_expense / (net_income + tax_expense), 0), 0.5) ELSE 0.21 END)
@@ -25,7 +28,9 @@ def _priced(spark, d):  # noqa: ANN001, ANN202
     return a.join(yearly, (a.cik == yearly.ticker) & (a.fy == yearly.fy)).select(a["*"], "close")
 
 
-@query("proj_value", with_sql("px", "annual", more=f"{PRICE}, {VALUE}") + "SELECT cik, fy, round(mcap, 4) AS mcap, round(ev, 4) AS ev, round(fcf / mcap, 6) AS fcf_yield, round(CASE WHEN ebitda > 0 THEN ev / ebitda END, 4) AS ev_ebitda FROM val")
+@query("proj_value", with_sql("px", "annual", more=f"{PRICE}, {VALUE}") +
+    "SELECT cik, fy, round(mcap, 4) AS mcap, round(ev, 4) AS ev, round(fcf / mcap, 6) AS fcf_yield, "
+    "round(CASE WHEN ebitda > 0 THEN ev / ebitda END, 4) AS ev_ebitda FROM val")
 def value(spark, d):  # noqa: ANN001, ANN201
     v = factors.value_factors(_priced(spark, d))
     return v.select("cik", "fy", F.round("mcap", 4).alias("mcap"), F.round("ev", 4).alias("ev"), F.round("fcf_yield", 6).alias("fcf_yield"), F.round("ev_ebitda", 4).alias("ev_ebitda"))
@@ -46,7 +51,12 @@ def accruals(spark, d):  # noqa: ANN001, ANN201
     return take(factors.quality_factors(src.annual_facts(spark, d)), "cik fy", "accruals")
 
 
-MARGIN = "m0 AS (SELECT cik, operating_income / revenue AS m FROM (SELECT * FROM annual WHERE revenue IS NOT NULL AND operating_income IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cik ORDER BY fy DESC) <= 8) WHERE revenue > 0), ms AS (SELECT cik, count(*) AS n_margins, CASE WHEN stddev_pop(m) <= 1e-6 THEN 1e6 ELSE 1 / stddev_pop(m) END AS margin_stability FROM m0 GROUP BY cik HAVING count(*) >= 3)"
+MARGIN = (
+    "m0 AS (SELECT cik, operating_income / revenue AS m FROM (SELECT * FROM annual "
+    "WHERE revenue IS NOT NULL AND operating_income IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cik ORDER BY fy DESC) <= 8) "
+    "WHERE revenue > 0), ms AS (SELECT cik, count(*) AS n_margins, CASE WHEN stddev_pop(m) <= 1e-6 THEN 1e6 ELSE 1 / stddev_pop(m) END AS "
+    "margin_stability FROM m0 GROUP BY cik HAVING count(*) >= 3)"
+)
 
 
 @query("agg_margin_stability", with_sql("annual", more=MARGIN) + sql_take("ms", "cik n_margins", "margin_stability", 4))
@@ -68,7 +78,9 @@ an AS (SELECT cik, as_of, period_end AS e, filed AS f FROM sn WHERE concept = 'r
 
 @query(
     "agg_latest_annual",
-    with_sql("annual", more=BUNDLE) + "SELECT cik, as_of, f AS filed, e AS period_end, " + ", ".join(f"round(max(value) FILTER (concept = '{c}' AND CASE WHEN period_start IS NULL THEN period_end <= e ELSE period_end = e END), 4) AS {c}" for c in ("revenue", "net_income", "cash", "long_term_debt")) + " FROM sn JOIN an USING (cik, as_of) GROUP BY ALL",
+    with_sql("annual", more=BUNDLE) + "SELECT cik, as_of, f AS filed, e AS period_end, " + ", ".join(
+        f"round(max(value) FILTER (concept = '{c}' AND CASE WHEN period_start IS NULL THEN period_end <= e ELSE period_end = e END), "
+        f"4) AS {c}"for c in ("revenue", "net_income", "cash", "long_term_debt")) + " FROM sn JOIN an USING (cik, as_of) GROUP BY ALL",
 )
 def latest_annual(spark, d):  # noqa: ANN001, ANN201
     a = src.annual_facts(spark, d)
@@ -90,8 +102,13 @@ def latest_annual(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "agg_q4_derive",
-    with_sql("eps", more="y AS (SELECT cik, fy, sum(eps) AS eps, max(period_end) AS period_end, max(filed) AS filed FROM eps GROUP BY cik, fy HAVING count(*) = 4), t AS (SELECT cik, fy, sum(eps) AS s FROM eps WHERE fp <> 'Q4' GROUP BY cik, fy HAVING count(DISTINCT fp) = 3)")
-    + "SELECT cik, fy, fp, filed, round(eps, 7) AS eps, false AS derived FROM eps WHERE fp <> 'Q4' UNION ALL SELECT y.cik, y.fy, 'Q4', filed, round(y.eps - s, 7), true FROM y JOIN t ON y.cik = t.cik AND y.fy = t.fy",
+    with_sql("eps", more=
+        "y AS (SELECT cik, fy, sum(eps) AS eps, max(period_end) AS period_end, max(filed) AS filed FROM eps GROUP BY cik, fy "
+        "HAVING count(*) = 4), t AS (SELECT cik, fy, sum(eps) AS s FROM eps WHERE fp <> 'Q4' GROUP BY cik, fy "
+        "HAVING count(DISTINCT fp) = 3)")
+    +
+        "SELECT cik, fy, fp, filed, round(eps, 7) AS eps, false AS derived FROM eps WHERE fp <> 'Q4' UNION ALL "
+        "SELECT y.cik, y.fy, 'Q4', filed, round(y.eps - s, 7), true FROM y JOIN t ON y.cik = t.cik AND y.fy = t.fy",
 )
 def q4(spark, d):  # noqa: ANN001, ANN201
     e = src.quarterly_eps(spark, d)
@@ -108,14 +125,19 @@ def sue(spark, d):  # noqa: ANN001, ANN201
     return take(factors.sue(src.quarterly_eps(spark, d)), "cik fp period_end filed", "yoy sue", 7)
 
 
-@query("flt_recent_window", with_sql("eps", more=SUE) + "SELECT cik, max(filed) AS filed, round(arg_max(sue, filed), 4) AS sue FROM sue WHERE sue IS NOT NULL AND filed > DATE '2001-06-30' - 92 AND filed <= DATE '2001-06-30' GROUP BY cik")
+@query("flt_recent_window", with_sql("eps", more=SUE) +
+    "SELECT cik, max(filed) AS filed, round(arg_max(sue, filed), 4) AS sue FROM sue "
+    "WHERE sue IS NOT NULL AND filed > DATE '2001-06-30' - 92 AND filed <= DATE '2001-06-30' GROUP BY cik")
 def recent(spark, d):  # noqa: ANN001, ANN201
     day = F.lit("2001-06-30").cast("date")
     seen = factors.sue(src.quarterly_eps(spark, d)).where(F.col("sue").isNotNull() & (F.col("filed") > F.date_sub(day, 92)) & (F.col("filed") <= day))
     return take(seen.groupBy("cik").agg(F.max("filed").alias("filed"), F.max_by("sue", "filed").alias("sue")), "cik filed", "sue", 4)
 
 
-@query("flt_period_len", "SELECT l_orderkey, l_linenumber, CASE WHEN n BETWEEN 350 AND 380 THEN 'annual' WHEN n BETWEEN 60 AND 100 THEN 'quarter' END AS kind FROM (SELECT l_orderkey, l_linenumber, abs(l_shipdate::DATE - o_orderdate::DATE) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE n BETWEEN 350 AND 380 OR n BETWEEN 60 AND 100")
+@query("flt_period_len",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN n BETWEEN 350 AND 380 THEN 'annual' WHEN n BETWEEN 60 AND 100 THEN 'quarter' END AS kind "
+    "FROM (SELECT l_orderkey, l_linenumber, abs(l_shipdate::DATE - o_orderdate::DATE) AS n FROM lineitem "
+    "JOIN orders ON l_orderkey = o_orderkey) WHERE n BETWEEN 350 AND 380 OR n BETWEEN 60 AND 100")
 def period_len(spark, d):  # noqa: ANN001, ANN201
     n = F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
     both = src.table(spark, d, "lineitem").join(src.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("n", n)
@@ -148,24 +170,38 @@ fam AS (SELECT ticker, fy, z_mom AS m, z_cheap AS v, (coalesce(z_roic, 0) + coal
 comp AS (SELECT ticker, make_date(fy, 12, 31) AS as_of, m, v, q, (m IS NOT NULL)::INT + (v IS NOT NULL)::INT + (q IS NOT NULL)::INT AS n_families, CASE WHEN (m IS NOT NULL)::INT + (v IS NOT NULL)::INT + (q IS NOT NULL)::INT >= 2 THEN (coalesce(m, 0) * 0.4 + coalesce(v, 0) * 0.3 + coalesce(q, 0) * 0.3) / ((m IS NOT NULL)::INT * 0.4 + (v IS NOT NULL)::INT * 0.3 + (q IS NOT NULL)::INT * 0.3) END AS composite FROM fam)"""
 
 
-@query("pipe_composite", with_sql("px", "annual", "bk", more=f"{PRICE}, {VALUE}, {QUALITY}, {COMPOSITE}") + "SELECT ticker, as_of, n_families, round(composite, 5) AS composite, CASE WHEN composite IS NOT NULL THEN round((rank() OVER (PARTITION BY as_of ORDER BY composite) + (count(*) OVER (PARTITION BY as_of, composite) - 1) / 2) / count(composite) OVER (PARTITION BY as_of), 5) END AS pctl FROM comp")
+@query("pipe_composite", with_sql("px", "annual", "bk", more=f"{PRICE}, {VALUE}, {QUALITY}, {COMPOSITE}") +
+    "SELECT ticker, as_of, n_families, round(composite, 5) AS composite, CASE WHEN composite IS NOT NULL THEN round((rank() OVER "
+    "(PARTITION BY as_of ORDER BY composite) + (count(*) OVER (PARTITION BY as_of, "
+    "composite) - 1) / 2) / count(composite) OVER (PARTITION BY as_of), 5) END AS pctl FROM comp")
 def composite(spark, d):  # noqa: ANN001, ANN201
     return take(_scored(spark, d), "ticker as_of n_families", "composite pctl", 5)
 
 
-@query("win_group_fallback", with_sql("px", "bk") + "SELECT ticker, date, CASE WHEN count(*) OVER (PARTITION BY date, basket) >= 8 THEN 'basket' WHEN count(*) OVER (PARTITION BY date, super_basket) >= 8 THEN 'super' ELSE 'global' END AS level FROM px JOIN bk USING (ticker)")
+@query("win_group_fallback", with_sql("px", "bk") +
+    "SELECT ticker, date, CASE WHEN count(*) OVER (PARTITION BY date, basket) >= 8 THEN 'basket' WHEN count(*) OVER (PARTITION BY date, "
+    "super_basket) >= 8 THEN 'super' ELSE 'global' END AS level FROM px JOIN bk USING (ticker)")
 def fallback(spark, d):  # noqa: ANN001, ANN201
     both = src.monthly_prices(spark, d).join(src.baskets(spark, d), "ticker")
     return both.withColumn("level", factors.neutral_z(both, F.col("close"), "date", "basket", "super_basket")[1]).select("ticker", "date", "level")
 
 
-RANKED = "rkd AS (SELECT ticker, as_of, (rank() OVER (PARTITION BY as_of ORDER BY composite) + (count(*) OVER (PARTITION BY as_of, composite) - 1) / 2) / count(composite) OVER (PARTITION BY as_of) AS pctl FROM comp WHERE composite IS NOT NULL)"
+RANKED = (
+    "rkd AS (SELECT ticker, as_of, (rank() OVER (PARTITION BY as_of ORDER BY composite) + (count(*) OVER (PARTITION BY as_of, "
+    "composite) - 1) / 2) / count(composite) OVER (PARTITION BY as_of) AS pctl FROM comp WHERE composite IS NOT NULL)"
+)
 
 
 @query(
     "pipe_snapshot_diff",
-    with_sql("px", "annual", "bk", more=f"{PRICE}, {VALUE}, {QUALITY}, {COMPOSITE}, {RANKED}, dd AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, a.pctl AS p0, b.pctl AS p1 FROM (SELECT * FROM rkd WHERE as_of = DATE '1996-12-31') a FULL JOIN (SELECT * FROM rkd WHERE as_of = DATE '1997-12-31') b ON a.ticker = b.ticker)")
-    + "SELECT ticker, kind, round((p1 - p0) * 100, 4) AS gain FROM (SELECT *, unnest(list_filter([CASE WHEN coalesce(p1 >= 0.9, false) AND NOT coalesce(p0 >= 0.9, false) THEN 'entrant' END, CASE WHEN coalesce(p0 >= 0.9, false) AND NOT coalesce(p1 >= 0.9, false) THEN 'exit' END, CASE WHEN abs(p1 - p0) * 100 >= 50 THEN 'jump' END], lambda x: x IS NOT NULL)) AS kind FROM dd)",
+    with_sql("px", "annual", "bk", more=
+        f"{PRICE}, {VALUE}, {QUALITY}, {COMPOSITE}, {RANKED}, dd AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, a.pctl AS p0, "
+        f"b.pctl AS p1 FROM (SELECT * FROM rkd WHERE as_of = DATE '1996-12-31') a FULL JOIN (SELECT * FROM rkd "
+        f"WHERE as_of = DATE '1997-12-31') b ON a.ticker = b.ticker)")
+    +
+        "SELECT ticker, kind, round((p1 - p0) * 100, 4) AS gain FROM (SELECT *, unnest(list_filter([CASE WHEN coalesce(p1 >= 0.9, "
+        "false) AND NOT coalesce(p0 >= 0.9, false) THEN 'entrant' END, CASE WHEN coalesce(p0 >= 0.9, false) AND NOT coalesce(p1 >= 0.9, "
+        "false) THEN 'exit' END, CASE WHEN abs(p1 - p0) * 100 >= 50 THEN 'jump' END], lambda x: x IS NOT NULL)) AS kind FROM dd)",
 )
 def snapshot_diff(spark, d):  # noqa: ANN001, ANN201
     scored = _scored(spark, d).where("composite IS NOT NULL").select("ticker", "as_of", "pctl")
@@ -175,7 +211,12 @@ def snapshot_diff(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "agg_family_corr",
-    with_sql("px", "annual", "bk", more=f"{PRICE}, {VALUE}, {QUALITY}, {COMPOSITE}, pr AS (SELECT as_of, 'momentum-value' AS pair, m AS a, v AS b FROM comp UNION ALL SELECT as_of, 'momentum-quality', m, q FROM comp UNION ALL SELECT as_of, 'value-quality', v, q FROM comp), rr AS (SELECT as_of, pair, rank() OVER (PARTITION BY as_of, pair ORDER BY a) + (count(*) OVER (PARTITION BY as_of, pair, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY as_of, pair ORDER BY b) + (count(*) OVER (PARTITION BY as_of, pair, b) - 1) / 2 AS rb FROM pr WHERE a IS NOT NULL AND b IS NOT NULL)")
+    with_sql("px", "annual", "bk", more=
+        f"{PRICE}, {VALUE}, {QUALITY}, {COMPOSITE}, pr AS (SELECT as_of, 'momentum-value' AS pair, m AS a, v AS b FROM comp UNION ALL "
+        f"SELECT as_of, 'momentum-quality', m, q FROM comp UNION ALL SELECT as_of, 'value-quality', v, q "
+        f"FROM comp), rr AS (SELECT as_of, pair, rank() OVER (PARTITION BY as_of, pair "
+        f"ORDER BY a) + (count(*) OVER (PARTITION BY as_of, pair, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY as_of, pair "
+        f"ORDER BY b) + (count(*) OVER (PARTITION BY as_of, pair, b) - 1) / 2 AS rb FROM pr WHERE a IS NOT NULL AND b IS NOT NULL)")
     + "SELECT as_of, pair, count(*) AS n, round(corr(ra, rb), 5) AS corr FROM rr GROUP BY ALL HAVING count(*) >= 10",
 )
 def family_corr(spark, d):  # noqa: ANN001, ANN201
@@ -189,8 +230,11 @@ def family_corr(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "pipe_universe",
-    "WITH dy AS (SELECT l_suppkey AS ticker, l_shipdate::DATE AS date FROM lineitem GROUP BY ALL), gd AS (SELECT unnest([DATE '1997-06-30', DATE '1999-06-30', DATE '2001-06-30']) AS as_of), hs AS (SELECT as_of, ticker, count(*) AS n_days, max(date) AS last_date FROM dy JOIN gd ON date <= as_of GROUP BY ALL) "
-    "SELECT as_of, ticker, s_nationkey AS cik, n_days, last_date FROM hs JOIN supplier ON ticker = s_suppkey WHERE n_days >= 60 AND last_date > as_of - 92 AND s_acctbal > 0",
+        "WITH dy AS (SELECT l_suppkey AS ticker, l_shipdate::DATE AS date FROM lineitem "
+        "GROUP BY ALL), gd AS (SELECT unnest([DATE '1997-06-30', DATE '1999-06-30', DATE '2001-06-30']) AS as_of), hs AS (SELECT as_of, "
+        "ticker, count(*) AS n_days, max(date) AS last_date FROM dy JOIN gd ON date <= as_of GROUP BY ALL) "
+        "SELECT as_of, ticker, s_nationkey AS cik, n_days, last_date FROM hs JOIN supplier ON ticker = s_suppkey "
+        "WHERE n_days >= 60 AND last_date > as_of - 92 AND s_acctbal > 0",
 )
 def universe(spark, d):  # noqa: ANN001, ANN201
     """Suppliers on the list (a positive balance), with a nation to map to and enough recent history, at three dates."""
@@ -234,16 +278,28 @@ def turnover(spark, d):  # noqa: ANN001, ANN201
     return take(_walk(spark, d)[0], "period date", "turnover")
 
 
-@query("agg_quantile_means", with_sql("px", more=FORWARD) + "SELECT (q + 1)::INT AS quantile, count(*) AS n_obs, round(avg(ret), 6) AS mean_period_ret FROM rkd SEMI JOIN trd USING (period) GROUP BY q")
+@query("agg_quantile_means", with_sql("px", more=FORWARD) +
+    "SELECT (q + 1)::INT AS quantile, count(*) AS n_obs, round(avg(ret), 6) AS mean_period_ret FROM rkd SEMI JOIN trd USING (period) "
+    "GROUP BY q")
 def quantiles(spark, d):  # noqa: ANN001, ANN201
     return take(backtest.quantile_means(_walk(spark, d)[1]), "quantile n_obs", "mean_period_ret")
 
 
 @query(
     "agg_backtest_summary",
-    with_sql("px", more=FORWARD + ", lv AS (SELECT k, exp(sum(ln(1 + ls_net)) OVER (ORDER BY k)) AS cum FROM per), dd AS (SELECT min(c) AS max_drawdown FROM (SELECT cum / max(cum) OVER (ORDER BY k) - 1 AS c FROM lv)), x AS (SELECT k, ls_net, ls_net - (SELECT avg(ls_net) FROM per) AS e FROM per), y AS (SELECT e, lag(e) OVER (ORDER BY k) AS e1 FROM x), nw AS (SELECT count(*) AS n, sum(e * e) / count(*) AS g0, sum(e * e1) / count(*) AS g1 FROM y)")
-    + "SELECT count(*) AS n_periods, round(avg(ls_net) * 6, 6) AS ann_ret_net, round(stddev_samp(ls_net) * sqrt(6), 6) AS ann_vol, round(coalesce(avg(ls_net) / nullif(stddev_samp(ls_net), 0) * sqrt(6), 0), 6) AS sharpe_net, round(coalesce(avg(ls_gross) / nullif(stddev_samp(ls_gross), 0) * sqrt(6), 0), 6) AS sharpe_gross, round(avg(turnover), 6) AS avg_turnover, "
-    "round((SELECT max_drawdown FROM dd), 6) AS max_drawdown, round(avg(ls_net) / sqrt((SELECT CASE WHEN g0 + g1 <= 0 THEN g0 ELSE g0 + g1 END / n FROM nw)), 6) AS nw_t_net, median(n_long) AS median_n_long, min(n_short) AS min_n_short FROM per",
+    with_sql("px", more=FORWARD +
+        ", lv AS (SELECT k, exp(sum(ln(1 + ls_net)) OVER (ORDER BY k)) AS cum FROM per), dd AS (SELECT min(c) AS max_drawdown "
+        "FROM (SELECT cum / max(cum) OVER (ORDER BY k) - 1 AS c FROM lv)), x AS (SELECT k, ls_net, ls_net - (SELECT avg(ls_net) "
+        "FROM per) AS e FROM per), y AS (SELECT e, lag(e) OVER (ORDER BY k) AS e1 "
+        "FROM x), nw AS (SELECT count(*) AS n, sum(e * e) / count(*) AS g0, sum(e * e1) / count(*) AS g1 FROM y)")
+    +
+        "SELECT count(*) AS n_periods, round(avg(ls_net) * 6, 6) AS ann_ret_net, round(stddev_samp(ls_net) * sqrt(6), 6) AS ann_vol, "
+        "round(coalesce(avg(ls_net) / nullif(stddev_samp(ls_net), 0) * sqrt(6), 0), 6) AS sharpe_net, "
+        "round(coalesce(avg(ls_gross) / nullif(stddev_samp(ls_gross), 0) * sqrt(6), 0), 6) AS sharpe_gross, round(avg(turnover), "
+        "6) AS avg_turnover, "
+        "round((SELECT max_drawdown FROM dd), 6) AS max_drawdown, round(avg(ls_net) / sqrt((SELECT "
+        "CASE WHEN g0 + g1 <= 0 THEN g0 ELSE g0 + g1 END / n FROM nw)), 6) AS nw_t_net, median(n_long) AS median_n_long, "
+        "min(n_short) AS min_n_short FROM per",
 )
 def summary(spark, d):  # noqa: ANN001, ANN201
     return take(backtest.summary(_walk(spark, d)[0], 6.0), "n_periods median_n_long min_n_short", "ann_ret_net ann_vol sharpe_net sharpe_gross avg_turnover max_drawdown nw_t_net")
@@ -255,7 +311,9 @@ def summary(spark, d):  # noqa: ANN001, ANN201
     ct AS (SELECT w, round_even((p - 1) * total / ps, 0) + CASE WHEN p > 1 THEN 1 ELSE 0 END AS low, round_even(p * total / ps, 0) - CASE WHEN p < ps THEN 1 ELSE 0 END AS high FROM nn, (VALUES ('full', 1, 1), ('third 1/3', 1, 3), ('third 2/3', 2, 3), ('third 3/3', 3, 3), ('half 1/2', 1, 2), ('half 2/2', 2, 2)) v(w, p, ps)),
     ws AS (SELECT w, min(date) AS "start", max(date) AS "end", count(x) AS n, coalesce(avg(x), 0) AS mean, coalesce(avg(x) / nullif(stddev_samp(x), 0) * sqrt(6), 0) AS sharpe, coalesce(avg((x > 0)::INT), 0) AS hit_rate FROM ct LEFT JOIN nb ON i >= low AND i < high GROUP BY w),
     fu AS (SELECT sign(mean) AS s FROM ws WHERE w = 'full'), us AS (SELECT min(sharpe) AS worst, bool_and(sign(mean) = s) AND max(s) <> 0 AS stable FROM ws, fu WHERE w <> 'full' AND n >= 3)""")
-    + 'SELECT w AS "window", "start", "end", n, round(mean, 6) + 0.0 AS mean, round(sharpe, 6) + 0.0 AS sharpe, round(hit_rate, 6) AS hit_rate, round(coalesce(worst, 0), 6) + 0.0 AS worst_sharpe, coalesce(stable, false) AS stable FROM ws, us',
+    +
+        'SELECT w AS "window", "start", "end", n, round(mean, 6) + 0.0 AS mean, round(sharpe, 6) + 0.0 AS sharpe, round(hit_rate, '
+        '6) AS hit_rate, round(coalesce(worst, 0), 6) + 0.0 AS worst_sharpe, coalesce(stable, false) AS stable FROM ws, us',
 )
 def subsample(spark, d):  # noqa: ANN001, ANN201
     out = take(backtest.subsamples(_walk(spark, d)[0], per_year=6.0), "window start end n stable", "mean sharpe hit_rate worst_sharpe")

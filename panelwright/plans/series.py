@@ -21,7 +21,9 @@ def returns(spark, d):  # noqa: ANN001, ANN201
     return src.monthly_prices(spark, d).withColumn("ret", win.simple_return(F.col("close"), win.series("ticker")))
 
 
-@query("win_lag_return", with_sql("px") + f"SELECT ticker, date, round(close / lag(close) {W} - 1, 6) AS ret, round(ln(close / lag(close) {W}), 6) AS log_ret, round(close / lag(close, 3) {W} - 1, 6) AS ret_3 FROM px")
+@query("win_lag_return", with_sql("px") +
+    f"SELECT ticker, date, round(close / lag(close) {W} - 1, 6) AS ret, round(ln(close / lag(close) {W}), 6) AS log_ret, "
+    f"round(close / lag(close, 3) {W} - 1, 6) AS ret_3 FROM px")
 def lag_return(spark, d):  # noqa: ANN001, ANN201
     w, c = win.series("ticker"), F.col("close")
     return take(src.monthly_prices(spark, d).withColumns({"ret": win.simple_return(c, w), "log_ret": win.log_return(c, w), "ret_3": win.simple_return(c, w, 3)}), "ticker date", "ret log_ret ret_3")
@@ -29,8 +31,12 @@ def lag_return(spark, d):  # noqa: ANN001, ANN201
 
 INDEX = with_sql(
     "daily", "act",
-    more=f"paid AS (SELECT ticker, date, sum(value) AS dividend FROM act WHERE kind = 'dividend' GROUP BY ALL), j AS (SELECT ticker, date, close, dividend, lag(close) {W} AS prev FROM daily LEFT JOIN paid USING (ticker, date)), "
-    f"tr AS (SELECT ticker, date, close, exp(sum(CASE WHEN prev > 0 AND close + coalesce(dividend, 0) > 0 THEN ln((close + coalesce(dividend, 0)) / prev) ELSE 0 END) {W}) AS tr_index FROM j)",
+    more=
+        f"paid AS (SELECT ticker, date, sum(value) AS dividend FROM act WHERE kind = 'dividend' "
+        f"GROUP BY ALL), j AS (SELECT ticker, date, close, dividend, lag(close) {W} AS prev FROM daily LEFT "
+        f"JOIN paid USING (ticker, date)), "
+        f"tr AS (SELECT ticker, date, close, exp(sum(CASE WHEN prev > 0 AND close + coalesce(dividend, "
+        f"0) > 0 THEN ln((close + coalesce(dividend, 0)) / prev) ELSE 0 END) {W}) AS tr_index FROM j)",
 )
 
 
@@ -43,7 +49,9 @@ def tr_index(spark, d):  # noqa: ANN001, ANN201
     return take(_index(spark, d).withColumn("log_index", F.log10("tr_index")), "ticker date", "log_index")
 
 
-@query("win_momentum", with_sql("px") + f"SELECT ticker, date, round(momentum, 6) AS momentum FROM (SELECT ticker, date, lag(close, 1) {W} / lag(close, 12) {W} - 1 AS momentum FROM px) WHERE momentum IS NOT NULL")
+@query("win_momentum", with_sql("px") +
+    f"SELECT ticker, date, round(momentum, 6) AS momentum FROM (SELECT ticker, date, lag(close, 1) {W} / lag(close, "
+    f"12) {W} - 1 AS momentum FROM px) WHERE momentum IS NOT NULL")
 def momentum(spark, d):  # noqa: ANN001, ANN201
     return take(panel.momentum(src.monthly_prices(spark, d), 1, 12, "close"), "ticker date", "momentum")
 
@@ -58,7 +66,9 @@ FWD = "fwd AS (" + " UNION ALL ".join(f"SELECT ticker, date, {h} AS horizon, lea
 MOM = f"mom AS (SELECT * FROM (SELECT ticker, date, lag(close, 1) {W} / lag(close, 12) {W} - 1 AS value FROM px) WHERE value IS NOT NULL)"
 IC = (
     "jn AS (SELECT ticker, date, horizon, value, fwd FROM mom JOIN fwd USING (ticker, date) WHERE fwd IS NOT NULL), "
-    "rk AS (SELECT date, horizon, rank() OVER (PARTITION BY date, horizon ORDER BY value) + (count(*) OVER (PARTITION BY date, horizon, value) - 1) / 2 AS a, rank() OVER (PARTITION BY date, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY date, horizon, fwd) - 1) / 2 AS b FROM jn), "
+        "rk AS (SELECT date, horizon, rank() OVER (PARTITION BY date, horizon ORDER BY value) + (count(*) OVER (PARTITION BY date, "
+        "horizon, value) - 1) / 2 AS a, rank() OVER (PARTITION BY date, horizon "
+        "ORDER BY fwd) + (count(*) OVER (PARTITION BY date, horizon, fwd) - 1) / 2 AS b FROM jn), "
     "ic AS (SELECT date, horizon, corr(a, b) AS ic, count(*) AS n_names FROM rk GROUP BY ALL HAVING count(*) >= 20)"
 )
 
@@ -83,8 +93,11 @@ g AS (SELECT horizon, x, lag(x, 1) OVER w AS x1, lag(x, 2) OVER w AS x2, lag(x,
 v AS (SELECT horizon, count(*) AS n, sum(x * x) / count(*) AS g0, coalesce(sum(CASE WHEN horizon >= 1 THEN 2 * (1 - 1 / (horizon + 1)) * x * x1 END), 0) / count(*) + coalesce(sum(CASE WHEN horizon >= 2 THEN 2 * (1 - 2 / (horizon + 1)) * x * x2 END), 0) / count(*) + coalesce(sum(CASE WHEN horizon >= 3 THEN 2 * (1 - 3 / (horizon + 1)) * x * x3 END), 0) / count(*) AS more FROM g GROUP BY horizon)"""
 SUMMARY_SQL = (
     with_sql("px", more=f"{FWD}, {MOM}, {IC}, {NW}")
-    + "SELECT horizon, count(*) AS n_dates, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS sd_ic, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 6) AS t_stat, "
-    "round(avg(ic) / sqrt(max(CASE WHEN g0 + more <= 0 THEN g0 ELSE g0 + more END) / count(*)), 6) AS nw_t, round(avg((ic > 0)::INT), 6) AS hit_rate, round(avg(n_names), 6) AS breadth FROM ic JOIN v USING (horizon) GROUP BY horizon"
+    +
+        "SELECT horizon, count(*) AS n_dates, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS sd_ic, "
+        "round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 6) AS t_stat, "
+        "round(avg(ic) / sqrt(max(CASE WHEN g0 + more <= 0 THEN g0 ELSE g0 + more END) / count(*)), 6) AS nw_t, round(avg((ic > 0)::INT), "
+        "6) AS hit_rate, round(avg(n_names), 6) AS breadth FROM ic JOIN v USING (horizon) GROUP BY horizon"
 )
 
 
@@ -93,7 +106,9 @@ def ic_summary(spark, d):  # noqa: ANN001, ANN201
     return take(stats.ic_summary(_ics(spark, d), 3), "horizon n_dates", "mean_ic sd_ic t_stat nw_t hit_rate breadth")
 
 
-@query("agg_newey_west", with_sql("px", more=f"{FWD}, {MOM}, {IC}, {NW}") + "SELECT horizon, n, round((SELECT avg(ic) FROM ic WHERE ic.horizon = v.horizon), 6) AS mean, round((SELECT avg(ic) FROM ic WHERE ic.horizon = v.horizon) / sqrt(CASE WHEN g0 + more <= 0 THEN g0 ELSE g0 + more END / n), 6) AS nw_t FROM v")
+@query("agg_newey_west", with_sql("px", more=f"{FWD}, {MOM}, {IC}, {NW}") +
+    "SELECT horizon, n, round((SELECT avg(ic) FROM ic WHERE ic.horizon = v.horizon), 6) AS mean, round((SELECT avg(ic) FROM ic "
+    "WHERE ic.horizon = v.horizon) / sqrt(CASE WHEN g0 + more <= 0 THEN g0 ELSE g0 + more END / n), 6) AS nw_t FROM v")
 def nw(spark, d):  # noqa: ANN001, ANN201
     return take(stats.newey_west(_ics(spark, d), ["horizon"], "date", "ic", F.col("horizon"), 3), "horizon n", "mean nw_t")
 
@@ -102,7 +117,9 @@ def _frame(n: int) -> str:
     return f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-@query("win_rolling_z", with_sql("px") + f"SELECT ticker, date, CASE WHEN count(*) {_frame(12)} = 12 THEN round(coalesce((close - avg(close) {_frame(12)}) / nullif(stddev_samp(close) {_frame(12)}, 0), 0), 6) END AS z FROM px")
+@query("win_rolling_z", with_sql("px") +
+    f"SELECT ticker, date, CASE WHEN count(*) {_frame(12)} = 12 THEN round(coalesce((close - avg(close) {_frame(12)}) / "
+    f"nullif(stddev_samp(close) {_frame(12)}, 0), 0), 6) END AS z FROM px")
 def rolling_z(spark, d):  # noqa: ANN001, ANN201
     return take(src.monthly_prices(spark, d).withColumn("z", win.rolling_z(F.col("close"), win.series("ticker"), 12)), "ticker date", "z")
 
@@ -112,7 +129,9 @@ def rolling_sum(spark, d):  # noqa: ANN001, ANN201
     return take(returns(spark, d).withColumn("sum_4", win.rolling_sum(F.col("ret"), win.series("ticker"), 4)), "ticker date", "sum_4")
 
 
-@query("win_rolling_vol", with_sql("px", more=RET) + f"SELECT ticker, date, CASE WHEN count(ret) {_frame(12)} = 12 THEN round(stddev_samp(ret) {_frame(12)} * sqrt(12), 6) END AS vol FROM ret")
+@query("win_rolling_vol", with_sql("px", more=RET) +
+    f"SELECT ticker, date, CASE WHEN count(ret) {_frame(12)} = 12 THEN round(stddev_samp(ret) {_frame(12)} * sqrt(12), 6) END AS vol "
+    f"FROM ret")
 def rolling_vol(spark, d):  # noqa: ANN001, ANN201
     w = win.series("ticker")
     return take(returns(spark, d).withColumn("vol", win.full(F.stddev_samp("ret").over(win.trailing(w, 12)) * 12**0.5, w, 12, F.col("ret"))), "ticker date", "vol")
@@ -131,7 +150,9 @@ def rolling_corr(spark, d):  # noqa: ANN001, ANN201
     return take(_market(spark, d).withColumn("corr", win.rolling_corr(F.col("ret"), F.col("mkt"), win.series("ticker"), 24)), "ticker date", "corr")
 
 
-@query("win_rolling_beta", with_sql("px", more=f"{RET}, {MKT}") + f"SELECT ticker, date, CASE WHEN count(ret) {_frame(24)} = 24 THEN round(covar_samp(ret, mkt) {_frame(24)} / var_samp(mkt) {_frame(24)}, 6) END AS beta FROM rm")
+@query("win_rolling_beta", with_sql("px", more=f"{RET}, {MKT}") +
+    f"SELECT ticker, date, CASE WHEN count(ret) {_frame(24)} = 24 THEN round(covar_samp(ret, "
+    f"mkt) {_frame(24)} / var_samp(mkt) {_frame(24)}, 6) END AS beta FROM rm")
 def rolling_beta(spark, d):  # noqa: ANN001, ANN201
     return take(_market(spark, d).withColumn("beta", win.rolling_beta(F.col("ret"), F.col("mkt"), win.series("ticker"), 24)), "ticker date", "beta")
 
@@ -157,23 +178,32 @@ def rebase(spark, d):  # noqa: ANN001, ANN201
     return take(shown.withColumn("rebased", F.col("close") / F.first("close").over(win.series("ticker")) * 100), "ticker date", "rebased")
 
 
-@query("win_winsor_xs", with_sql("px") + "SELECT ticker, date, round(CASE WHEN count(*) OVER w >= 3 THEN least(greatest(close, quantile_cont(close, 0.01) OVER w), quantile_cont(close, 0.99) OVER w) ELSE close END, 6) AS w FROM px WINDOW w AS (PARTITION BY date)")
+@query("win_winsor_xs", with_sql("px") +
+    "SELECT ticker, date, round(CASE WHEN count(*) OVER w >= 3 THEN least(greatest(close, quantile_cont(close, 0.01) OVER w), "
+    "quantile_cont(close, 0.99) OVER w) ELSE close END, 6) AS w FROM px WINDOW w AS (PARTITION BY date)")
 def winsor_xs(spark, d):  # noqa: ANN001, ANN201
     return take(cross_section.winsorised(src.monthly_prices(spark, d), ["date"], "close", "ticker", "w"), "ticker date", "w")
 
 
-@query("win_zscore_group", with_sql("px", "bk") + "SELECT ticker, date, basket, round(coalesce((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 0), 6) AS z FROM px JOIN bk USING (ticker) WINDOW w AS (PARTITION BY date, basket)")
+@query("win_zscore_group", with_sql("px", "bk") +
+    "SELECT ticker, date, basket, round(coalesce((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 0), 6) AS z FROM px "
+    "JOIN bk USING (ticker) WINDOW w AS (PARTITION BY date, basket)")
 def zscore_group(spark, d):  # noqa: ANN001, ANN201
     both = src.monthly_prices(spark, d).join(src.baskets(spark, d), "ticker")
     return take(both.withColumn("z", win.zscore(F.col("close"), "date", "basket")), "ticker date basket", "z")
 
 
-@query("win_quantile_bucket", with_sql("px") + "SELECT ticker, date, least(floor(row_number() OVER (PARTITION BY date ORDER BY close, ticker) * 5 / (count(*) OVER (PARTITION BY date) + 1)), 4)::INT AS q FROM px")
+@query("win_quantile_bucket", with_sql("px") +
+    "SELECT ticker, date, least(floor(row_number() OVER (PARTITION BY date ORDER BY close, "
+    "ticker) * 5 / (count(*) OVER (PARTITION BY date) + 1)), 4)::INT AS q FROM px")
 def quantile_bucket(spark, d):  # noqa: ANN001, ANN201
     return cross_section.quantile_bucket(src.monthly_prices(spark, d), ["date"], "close", "ticker", 5, "q").select("ticker", "date", "q")
 
 
-@query("win_rank_ordinal", with_sql("px") + "SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY close DESC, ticker)::INT AS rank, round((rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, close) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS pctl FROM px")
+@query("win_rank_ordinal", with_sql("px") +
+    "SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY close DESC, ticker)::INT AS rank, "
+    "round((rank() OVER (PARTITION BY date ORDER BY close) + (count(*) OVER (PARTITION BY date, "
+    "close) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) AS pctl FROM px")
 def rank_ordinal(spark, d):  # noqa: ANN001, ANN201
     px = src.monthly_prices(spark, d)
     both = cross_section.average_rank(cross_section.ordinal_rank(px, ["date"], [F.col("close").desc(), F.col("ticker")], "rank"), ["date"], "close", "ticker", "mean")
@@ -181,7 +211,9 @@ def rank_ordinal(spark, d):  # noqa: ANN001, ANN201
     return take(both.join(F.broadcast(sizes), "date").withColumns({"rank": F.col("rank").cast("int"), "pctl": F.col("mean") / F.col("n")}), "ticker date rank", "pctl")
 
 
-@query("win_percentile_peers", with_sql("px", more=RET) + "SELECT ticker, date, round((rank() OVER (PARTITION BY date ORDER BY ret) - 1) / count(*) OVER (PARTITION BY date), 6) AS below FROM ret WHERE ret IS NOT NULL")
+@query("win_percentile_peers", with_sql("px", more=RET) +
+    "SELECT ticker, date, round((rank() OVER (PARTITION BY date ORDER BY ret) - 1) / count(*) OVER (PARTITION BY date), 6) AS below "
+    "FROM ret WHERE ret IS NOT NULL")
 def percentile_peers(spark, d):  # noqa: ANN001, ANN201
     known = returns(spark, d).where("ret IS NOT NULL")
     return take(known.withColumn("below", (F.rank().over(Window.partitionBy("date").orderBy("ret")) - 1) / F.count("*").over(Window.partitionBy("date"))), "ticker date", "below")
@@ -189,8 +221,13 @@ def percentile_peers(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "win_median_peer",
-    with_sql("px", "bk", more=f"{RET}, l AS (SELECT basket, date, list(ret ORDER BY ret) AS rs FROM ret JOIN bk USING (ticker) WHERE ret IS NOT NULL GROUP BY ALL)")
-    + "SELECT ticker, date, round(ret - rs[CASE WHEN list_position(rs, ret) <= (len(rs) - 1) // 2 + 1 THEN (len(rs) - 1) // 2 + 2 ELSE (len(rs) - 1) // 2 + 1 END], 6) AS gap FROM ret JOIN bk USING (ticker) JOIN l USING (basket, date) WHERE ret IS NOT NULL AND len(rs) >= 4",
+    with_sql("px", "bk", more=
+        f"{RET}, l AS (SELECT basket, date, list(ret ORDER BY ret) AS rs FROM ret JOIN bk USING (ticker) WHERE ret IS NOT NULL "
+        f"GROUP BY ALL)")
+    +
+        "SELECT ticker, date, round(ret - rs[CASE WHEN list_position(rs, ret) <= (len(rs) - 1) // 2 + 1 THEN (len(rs) - 1) // 2 + 2 ELSE "
+        "(len(rs) - 1) // 2 + 1 END], 6) AS gap FROM ret JOIN bk USING (ticker) JOIN l USING (basket, date) "
+        "WHERE ret IS NOT NULL AND len(rs) >= 4",
 )
 def median_peer(spark, d):  # noqa: ANN001, ANN201
     """Own return less the upper median of the other names of the basket (three at least)."""
@@ -203,8 +240,12 @@ def median_peer(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "ts_resample_wfri",
-    "WITH e AS (SELECT user_id AS ticker, (ts::DATE + ((5 - dayofweek(ts) + 7) % 7)::INT)::DATE AS week, max_by(value, (ts, event_id)) AS close FROM events WHERE event_type = 'purchase' GROUP BY ALL), s AS (SELECT ticker, min(week) AS a, max(week) AS b FROM e GROUP BY ticker), "
-    "c AS (SELECT ticker, unnest(generate_series(a, b, INTERVAL 7 DAY))::DATE AS week FROM s) SELECT ticker, week, round(close, 6) AS close, round(ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY week)), 6) AS ret FROM c LEFT JOIN e USING (ticker, week)",
+        "WITH e AS (SELECT user_id AS ticker, (ts::DATE + ((5 - dayofweek(ts) + 7) % 7)::INT)::DATE AS week, max_by(value, (ts, "
+        "event_id)) AS close FROM events WHERE event_type = 'purchase' GROUP BY ALL), s AS (SELECT ticker, min(week) AS a, max(week) AS b "
+        "FROM e GROUP BY ticker), "
+        "c AS (SELECT ticker, unnest(generate_series(a, b, INTERVAL 7 DAY))::DATE AS week FROM s) "
+        "SELECT ticker, week, round(close, 6) AS close, round(ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY week)), 6) AS ret "
+        "FROM c LEFT JOIN e USING (ticker, week)",
 )
 def resample(spark, d):  # noqa: ANN001, ANN201
     e = src.table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"))
@@ -212,7 +253,10 @@ def resample(spark, d):  # noqa: ANN001, ANN201
     return take(out.withColumn("ret", win.log_return(F.col("close"), win.series("ticker", "week"))), "ticker week", "close ret")
 
 
-DRV = "dr AS (SELECT symbol, date, value, CASE WHEN symbol < 'M' THEN ln(value / lag(value) OVER (PARTITION BY symbol ORDER BY date)) ELSE value - lag(value) OVER (PARTITION BY symbol ORDER BY date) END AS change FROM drv)"
+DRV = (
+    "dr AS (SELECT symbol, date, value, CASE WHEN symbol < 'M' THEN ln(value / lag(value) OVER (PARTITION BY symbol "
+    "ORDER BY date)) ELSE value - lag(value) OVER (PARTITION BY symbol ORDER BY date) END AS change FROM drv)"
+)
 
 
 def drivers(spark, d):  # noqa: ANN001, ANN201
@@ -221,18 +265,25 @@ def drivers(spark, d):  # noqa: ANN001, ANN201
     return panel.driver_returns(levels, kinds)
 
 
-@query("ts_driver_returns", with_sql("drv", more=DRV) + "SELECT symbol, date, round(change, 6) AS change, round((change - avg(change) OVER w) / stddev_samp(change) OVER w, 6) AS z FROM dr WINDOW w AS (PARTITION BY symbol)")
+@query("ts_driver_returns", with_sql("drv", more=DRV) +
+    "SELECT symbol, date, round(change, 6) AS change, round((change - avg(change) OVER w) / stddev_samp(change) OVER w, 6) AS z FROM dr "
+    "WINDOW w AS (PARTITION BY symbol)")
 def driver_returns(spark, d):  # noqa: ANN001, ANN201
     return take(drivers(spark, d), "symbol date", "change z")
 
 
-@query("ts_ffill", "WITH e AS (SELECT user_id AS ticker, ts, event_id, CASE WHEN event_type = 'view' THEN value END AS quote FROM events) SELECT event_id, ticker, last_value(quote IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quote FROM e")
+@query("ts_ffill",
+    "WITH e AS (SELECT user_id AS ticker, ts, event_id, CASE WHEN event_type = 'view' THEN value END AS quote FROM events) "
+    "SELECT event_id, ticker, last_value(quote IGNORE NULLS) OVER (PARTITION BY ticker "
+    "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quote FROM e")
 def ffill(spark, d):  # noqa: ANN001, ANN201
     e = src.table(spark, d, "events").select("event_id", F.col("user_id").alias("ticker"), F.struct("ts", "event_id").alias("date"), F.when(F.col("event_type") == "view", F.col("value")).alias("quote"))
     return panel.forward_fill(e, "ticker", "quote").select("event_id", "ticker", "quote")
 
 
-@query("join_prev_period", with_sql("px") + "SELECT a.ticker, a.date, round(a.close - b.close, 6) AS build FROM px a LEFT JOIN px b ON a.ticker = b.ticker AND b.date = last_day((date_trunc('month', a.date) - INTERVAL 1 MONTH)::DATE)")
+@query("join_prev_period", with_sql("px") +
+    "SELECT a.ticker, a.date, round(a.close - b.close, 6) AS build FROM px a LEFT "
+    "JOIN px b ON a.ticker = b.ticker AND b.date = last_day((date_trunc('month', a.date) - INTERVAL 1 MONTH)::DATE)")
 def prev_period(spark, d):  # noqa: ANN001, ANN201
     out = panel.previous_period(src.monthly_prices(spark, d), ["ticker"], "date", F.last_day(F.add_months("date", -1)), ["close"])
     return take(out.withColumn("build", F.col("close") - F.col("prev_close")), "ticker date", "build")
@@ -240,8 +291,13 @@ def prev_period(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "agg_seasonal_norm",
-    with_sql("drv", more="w AS (SELECT symbol, isoyear(date)::INT AS y, least(weekofyear(date), 52)::INT AS wk, max_by(value, date) AS v FROM drv GROUP BY ALL), n AS (SELECT a.symbol, a.y, a.wk, count(*) AS n_years, avg(b.v) AS norm, stddev_pop(b.v) AS norm_sd FROM w a JOIN w b ON a.symbol = b.symbol AND a.wk = b.wk AND b.y BETWEEN a.y - 5 AND a.y - 1 GROUP BY ALL HAVING count(*) >= 3)")
-    + "SELECT symbol, y AS year, wk AS week, n_years, round(v, 6) AS value, round(norm, 6) AS norm, round(norm_sd, 6) AS norm_sd FROM w LEFT JOIN n USING (symbol, y, wk)",
+    with_sql("drv", more=
+        "w AS (SELECT symbol, isoyear(date)::INT AS y, least(weekofyear(date), 52)::INT AS wk, max_by(value, date) AS v FROM drv "
+        "GROUP BY ALL), n AS (SELECT a.symbol, a.y, a.wk, count(*) AS n_years, avg(b.v) AS norm, stddev_pop(b.v) AS norm_sd FROM w a "
+        "JOIN w b ON a.symbol = b.symbol AND a.wk = b.wk AND b.y BETWEEN a.y - 5 AND a.y - 1 GROUP BY ALL HAVING count(*) >= 3)")
+    +
+        "SELECT symbol, y AS year, wk AS week, n_years, round(v, 6) AS value, round(norm, 6) AS norm, round(norm_sd, 6) AS norm_sd FROM w "
+        "LEFT JOIN n USING (symbol, y, wk)",
 )
 def seasonal(spark, d):  # noqa: ANN001, ANN201
     week = F.least(F.weekofyear("date"), F.lit(52))
@@ -251,7 +307,10 @@ def seasonal(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "ts_event_broadcast",
-    with_sql("daily", "act", more="cal AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM daily)), s AS (SELECT ticker, max_by(value, event_id) AS value, i, a.date AS trade_date FROM act a JOIN cal USING (date) WHERE kind = 'split' GROUP BY ticker, i, a.date), h AS (SELECT ticker, unnest(range(i, i + 5)) AS i, value, trade_date FROM s)")
+    with_sql("daily", "act", more=
+        "cal AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date "
+        "FROM daily)), s AS (SELECT ticker, max_by(value, event_id) AS value, i, a.date AS trade_date FROM act a JOIN cal USING (date) "
+        "WHERE kind = 'split' GROUP BY ticker, i, a.date), h AS (SELECT ticker, unnest(range(i, i + 5)) AS i, value, trade_date FROM s)")
     + "SELECT ticker, date, round(max_by(value, trade_date), 6) AS value, max(trade_date) AS from_date FROM h JOIN cal USING (i) GROUP BY ticker, date",
 )
 def event_broadcast(spark, d):  # noqa: ANN001, ANN201
@@ -262,7 +321,10 @@ def event_broadcast(spark, d):  # noqa: ANN001, ANN201
 
 @query(
     "sample_every_n",
-    with_sql("px", "drv") + f"SELECT 'step' AS how, symbol, date FROM drv QUALIFY (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1) % greatest(1, count(*) OVER (PARTITION BY symbol) // 150) = 0 UNION ALL SELECT 'fifth', ticker::VARCHAR, date FROM px QUALIFY (row_number() {W} - 1) % 5 = 0",
+    with_sql("px", "drv") +
+        f"SELECT 'step' AS how, symbol, date FROM drv QUALIFY (row_number() OVER (PARTITION BY symbol "
+        f"ORDER BY date) - 1) % greatest(1, count(*) OVER (PARTITION BY symbol) // 150) = 0 UNION ALL "
+        f"SELECT 'fifth', ticker::VARCHAR, date FROM px QUALIFY (row_number() {W} - 1) % 5 = 0",
 )
 def every_n(spark, d):  # noqa: ANN001, ANN201
     """Drivers thinned to about 150 to 300 rows each, and every fifth month of the prices."""
@@ -292,7 +354,9 @@ def distinct_edges(spark, d):  # noqa: ANN001, ANN201
     return src.edges(spark, d).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-@query("set_union_all", "SELECT l_orderkey AS key, l_extendedprice::DOUBLE AS value FROM lineitem UNION ALL SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT p_partkey, p_size::DOUBLE FROM part")
+@query("set_union_all",
+    "SELECT l_orderkey AS key, l_extendedprice::DOUBLE AS value FROM lineitem UNION ALL SELECT o_orderkey, o_totalprice FROM orders "
+    "UNION ALL SELECT p_partkey, p_size::DOUBLE FROM part")
 def union_all(spark, d):  # noqa: ANN001, ANN201
     a = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("value"))
     b = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
@@ -300,7 +364,9 @@ def union_all(spark, d):  # noqa: ANN001, ANN201
     return a.unionByName(b).unionByName(c)
 
 
-@query("fn_week_end", "SELECT DISTINCT l_shipdate::DATE AS date, (l_shipdate::DATE + ((5 - dayofweek(l_shipdate) + 7) % 7)::INT)::DATE AS friday, day(last_day(l_shipdate::DATE))::INT AS days FROM lineitem")
+@query("fn_week_end",
+    "SELECT DISTINCT l_shipdate::DATE AS date, (l_shipdate::DATE + ((5 - dayofweek(l_shipdate) + 7) % 7)::INT)::DATE AS friday, "
+    "day(last_day(l_shipdate::DATE))::INT AS days FROM lineitem")
 def week_end(spark, d):  # noqa: ANN001, ANN201
     day = F.to_date("l_shipdate")
     return src.table(spark, d, "lineitem").select(day.alias("date"), friday(day).alias("friday"), F.dayofmonth(F.last_day(day)).alias("days")).distinct()

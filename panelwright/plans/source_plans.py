@@ -25,7 +25,10 @@ def csv(spark, d):  # noqa: ANN001, ANN201
     return readers.csv(spark, path, "p_partkey long, p_brand string, p_retailprice double")
 
 
-@query("src_prices_wide", "WITH e AS (SELECT user_id AS ticker, ts::DATE AS date, CASE event_type WHEN 'purchase' THEN 'dividend' WHEN 'signup' THEN 'split' END AS kind, value FROM events) SELECT ticker, date, kind, round(sum(value), 6) AS value FROM e WHERE kind IS NOT NULL GROUP BY ALL HAVING sum(value) <> 0")
+@query("src_prices_wide",
+    "WITH e AS (SELECT user_id AS ticker, ts::DATE AS date, CASE event_type WHEN 'purchase' THEN 'dividend' WHEN 'signup' THEN 'split' "
+    "END AS kind, value FROM events) SELECT ticker, date, kind, round(sum(value), 6) AS value FROM e WHERE kind IS NOT NULL GROUP BY ALL "
+    "HAVING sum(value) <> 0")
 def prices_wide(spark, d):  # noqa: ANN001, ANN201
     e = src.table(spark, d, "events")
     on = lambda kind: F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(0.0))
@@ -40,7 +43,9 @@ def holdings(spark, d):  # noqa: ANN001, ANN201
     return readers.holdings(raw).select("ticker", "market_value")
 
 
-@query("src_series_jsonl", "SELECT p_type AS series_id, strftime(last_day(l_shipdate::DATE), '%Y%m') AS period, round(sum(l_quantity), 4) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query("src_series_jsonl",
+    "SELECT p_type AS series_id, strftime(last_day(l_shipdate::DATE), '%Y%m') AS period, round(sum(l_quantity), 4) AS value FROM lineitem "
+    "JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def series_jsonl(spark, d):  # noqa: ANN001, ANN201
     li, part = src.table(spark, d, "lineitem"), src.table(spark, d, "part").select("p_partkey", "p_type")
     monthly = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("series_id"), F.date_format("l_shipdate", "yyyyMM").alias("period")).agg(F.round(F.sum("l_quantity"), 4).alias("value"))
@@ -49,7 +54,9 @@ def series_jsonl(spark, d):  # noqa: ANN001, ANN201
     return readers.series_lines(spark, path, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
 
 
-@query("src_facts_json", "SELECT l_suppkey AS cik, 'revenue' AS concept, 'Revenues' AS concept_used, l_orderkey || '-' || l_linenumber AS accession, l_shipdate::DATE AS filed, l_returnflag = 'R' AS is_amendment, l_extendedprice AS value FROM lineitem")
+@query("src_facts_json",
+    "SELECT l_suppkey AS cik, 'revenue' AS concept, 'Revenues' AS concept_used, l_orderkey || '-' || l_linenumber AS accession, "
+    "l_shipdate::DATE AS filed, l_returnflag = 'R' AS is_amendment, l_extendedprice AS value FROM lineitem")
 def facts_json(spark, d):  # noqa: ANN001, ANN201
     li = src.table(spark, d, "lineitem")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
@@ -93,7 +100,9 @@ def append_in_stream(spark, d):  # noqa: ANN001, ANN201
     return sinks.batches(spark, path)
 
 
-@query("sink_vintage", "SELECT p_brand AS period, 'n' AS series, count(*)::DOUBLE AS value FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'size', sum(p_size)::DOUBLE FROM part GROUP BY 1")
+@query("sink_vintage",
+    "SELECT p_brand AS period, 'n' AS series, count(*)::DOUBLE AS value FROM part GROUP BY 1 UNION ALL "
+    "SELECT p_brand, 'size', sum(p_size)::DOUBLE FROM part GROUP BY 1")
 def vintage(spark, d):  # noqa: ANN001, ANN201
     path = scratch_path(spark, "vintage")
     wide = src.table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
@@ -112,7 +121,10 @@ def snapshot(spark, d):  # noqa: ANN001, ANN201
     return sinks.latest_prior(spark, path, "1997-06-30").select("o_orderpriority", "n")
 
 
-@query("guard_coverage", "WITH n AS (SELECT count(DISTINCT ts::DATE) AS n, max(ts::DATE) AS last FROM events WHERE event_type = 'view'), k AS (SELECT user_id AS ticker, count(DISTINCT ts::DATE) AS k, max(ts::DATE) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) SELECT ticker, k FROM k, n WHERE k >= n * 0.3 AND seen >= last - 3")
+@query("guard_coverage",
+    "WITH n AS (SELECT count(DISTINCT ts::DATE) AS n, max(ts::DATE) AS last FROM events "
+    "WHERE event_type = 'view'), k AS (SELECT user_id AS ticker, count(DISTINCT ts::DATE) AS k, max(ts::DATE) AS seen FROM events "
+    "WHERE event_type = 'view' GROUP BY 1) SELECT ticker, k FROM k, n WHERE k >= n * 0.3 AND seen >= last - 3")
 def guard(spark, d):  # noqa: ANN001, ANN201
     """Symbols with enough dates and a recent one, published because they cover enough of all."""
     e = src.table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"), "value")
