@@ -292,6 +292,7 @@ def expiry_curve(legs: DataFrame, low: float = 0.02, high: float = 4.0, steps: i
     Columns: book, s, far, straight, pnl (to a millionth, lest noise crosses zero), slope (to a millionth), below: the
     probability of less than s (lognormal, risk-neutral drift, mean vol of the legs)."""
     option = F.col("type") != "u"
+    legs = legs.repartition("book")  # the points of a book are made, summed and ordered where its legs are: only legs move
     when = legs.groupBy("book").agg(F.min(F.when(option, F.col("t"))).alias("_h"), F.max(F.when(option, F.col("t"))).alias("_l"), F.avg(F.when(option, F.col("vol"))).alias("_v"), F.max("spot").alias("_s0"), F.collect_set(F.when(option, F.struct("t", "strike"))).alias("_k"))
     when = when.withColumns({"_h": F.coalesce("_h", F.lit(0.0)), "_v": F.coalesce("_v", F.lit(0.3)), "straight": F.coalesce(F.col("_l") <= F.col("_h") + 1e-9, F.lit(True))})
     grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.col("_s0") * (F.lit(low) + i * (high - low) / steps))
@@ -299,7 +300,7 @@ def expiry_curve(legs: DataFrame, low: float = 0.02, high: float = 4.0, steps: i
     points = F.array_distinct(F.concat(F.array(F.lit(1e-6)), kinks, F.when(F.col("straight"), F.array().cast("array<double>")).otherwise(grid)))
     far = F.array(F.struct((F.col("_s0") * 50).alias("s"), F.lit(True).alias("far")))
     at = F.explode(F.concat(F.transform(points, lambda x: F.struct(x.alias("s"), F.lit(False).alias("far"))), far))
-    cells = legs.drop("spot").join(when.withColumn("_at", at).drop("_k"), "book")
+    cells = legs.drop("spot").join(when.withColumn("_at", at).drop("_k").hint("merge"), "book")
     left = F.when(F.col("t") <= F.col("_h") + 1e-9, 0.0).otherwise(F.col("t") - F.col("_h"))
     cells = cells.withColumns({"t": left, "vol": F.greatest("vol", F.lit(1e-4)), "spot": F.col("_at.s"), "far": F.col("_at.far")}).drop("_at", "_l")
     m = F.col("qty") * multiplier

@@ -447,7 +447,7 @@ def cdf_sql(z: str) -> str:
 PROFILE = f"""bo AS MATERIALIZED (SELECT symbol || ':' || template AS book, * FROM lg),
 hz AS MATERIALIZED (SELECT book, min(t) FILTER (type <> 'u') AS h, max(t) FILTER (type <> 'u') AS l, avg(vol) FILTER (type <> 'u') AS v, max(spot) AS s0, max(rate - div) AS drift FROM bo GROUP BY book),
 pt AS (SELECT book, 1e-6::DOUBLE AS s, false AS far FROM hz UNION SELECT book, strike, false FROM bo JOIN hz USING (book) WHERE type <> 'u' AND t = h
-    UNION SELECT book, s0 * (0.02::DOUBLE + i * 3.98::DOUBLE / 1199), false FROM hz, (SELECT unnest(range(0, 1200)) AS i) WHERE l > h UNION SELECT book, s0 * 50, true FROM hz),
+    UNION SELECT book, s0 * (0.02::DOUBLE + i * 3.98::DOUBLE / 299), false FROM hz, (SELECT unnest(range(0, 300)) AS i) WHERE l > h UNION SELECT book, s0 * 50, true FROM hz),
 ec AS MATERIALIZED (SELECT bo.* REPLACE (pt.s AS spot, greatest(bo.t - h, 0) AS t, greatest(vol, 1e-4) AS vol), far, l <= h AS straight, ln(s0) + (drift - v * v / 2) * h AS mu, v * sqrt(greatest(h, 1e-6)) AS sd FROM bo JOIN hz USING (book) JOIN pt USING (book)),
 {valued_sql("ev", "ec")},
 e1 AS MATERIALIZED (SELECT book, spot AS s, far, straight, mu, sd, round(sum(qty * 100 * (price - entry)), 6) + 0.0 AS pnl, round(sum(qty * 100 * delta), 6) + 0.0 AS slope FROM ev GROUP BY ALL),
@@ -467,7 +467,7 @@ e8 AS (SELECT *, CASE WHEN p0 * pnl < 0 THEN CASE WHEN pnl > 0 THEN below - bn E
 )
 def expiry_profile(spark, d):  # noqa: ANN001, ANN201
     """Best, worst, breakevens and chance of a profit when the first option of a book expires."""
-    p = options.expiry_profile(options.expiry_curve(books(spark, d)))
+    p = options.expiry_profile(options.expiry_curve(books(spark, d), steps=299))
     n = F.size("breakevens")
     ends = {"n_breakevens": n.cast("long"), "first_breakeven": F.get("breakevens", F.lit(0)), "last_breakeven": F.when(n > 0, F.get("breakevens", n - 1))}
     return _money(p.withColumns(ends), ["book", "n_breakevens", "unlimited_profit", "unlimited_loss"], PROFILE_PLACES)
