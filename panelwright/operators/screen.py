@@ -93,23 +93,30 @@ def strongest_pairs(series: DataFrame, least: int = 30, floor: float = 0.4, top:
 def _summary(least: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows, p, q, corr, _ = block_correlations(rows, least)
+        p, q = np.minimum(p, q), np.maximum(p, q)  # the rows are in the order of their keys; those of two blocks may meet the other way round
         names = rows["key"].tolist()
         out = {"group": [key[0]], "n": [len(corr)], "total": [corr.sum()]}
-        for name, at in (("low", corr.argmin()), ("high", corr.argmax())) if len(corr) else ():
-            out |= {f"{name}_corr": [corr[at]], f"{name}_pair": [f"{names[p[at]]}-{names[q[at]]}"]}
-        return pd.DataFrame(out, columns=["group", "n", "total", "low_corr", "low_pair", "high_corr", "high_pair"])
+        for name, sign in (("low", 1), ("high", -1)) if len(corr) else ():
+            near = np.round(corr, 9) * sign
+            tied = np.flatnonzero(near == near.min())
+            at = tied[np.lexsort((q[tied], p[tied]))[0]]
+            out |= {f"{name}_corr": [(corr * sign).min() * sign], f"{name}_pair": [f"{names[p[at]]}-{names[q[at]]}"], f"{name}_a": [names[p[at]]], f"{name}_b": [names[q[at]]]}
+        return pd.DataFrame(out, columns=["group", "n", "total", *(f"{e}_{c}" for e in ("low", "high") for c in ("corr", "pair", "a", "b"))])
 
     return run
 
 
 def group_summary(series: DataFrame, group: str, least: int, block: int | None = None) -> DataFrame:
-    """Over the pairs of series of each group: number, mean, lowest and highest correlation, and whose they are."""
-    kind = series.schema[group].dataType.simpleString()
-    schema = f"group {kind}, n long, total double, low_corr double, low_pair string, high_corr double, high_pair string"
+    """Over the pairs of series of each group: number, mean, lowest and highest correlation, and whose they are (smaller key
+    first). Of correlations that are the same to nine places, the pair with the smallest keys is named."""
+    kind, of = (series.schema[c].dataType.simpleString() for c in (group, "key"))
+    ends = ", ".join(f"{e}_corr double, {e}_pair string, {e}_a {of}, {e}_b {of}" for e in ("low", "high"))
+    schema = f"group {kind}, n long, total double, {ends}"
+    first = lambda e, sign: F.min_by(f"{e}_pair", F.when(F.col(f"{e}_pair").isNotNull(), F.struct(F.round(F.col(f"{e}_corr"), 9) * sign, f"{e}_a", f"{e}_b")))
     found = _dealt(series, group, block or BLOCK).groupBy(group, "_lo", "_hi").applyInPandas(_summary(least), schema)
     return found.groupBy(F.col("group").alias(group)).agg(
         F.sum("n").alias("n_pairs"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean_corr"), F.min("low_corr").alias("min_corr"), F.max("high_corr").alias("max_corr"),
-        F.min_by("low_pair", "low_corr").alias("min_pair"), F.max_by("high_pair", "high_corr").alias("max_pair"),
+        first("low", 1).alias("min_pair"), first("high", -1).alias("max_pair"),
     ).where("n_pairs > 0")
 
 

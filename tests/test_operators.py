@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars
 from panelwright.functions import windows as win
-from panelwright.operators import backtest, balance, baskets, cross_section, factors, lab, options, panel, pit, rules, signals, stats, workbench
+from panelwright.operators import backtest, balance, baskets, cross_section, factors, lab, options, panel, pit, rules, screen, signals, stats, workbench
 from panelwright.plans import desk_plans
 from panelwright.sources import readers, sinks
 from panelwright.streaming.append import append_stream
@@ -200,6 +200,19 @@ def test_weekly_grid_keeps_empty_weeks(spark):
     assert [(r.week, r.close) for r in panel.weekly_last(p, "ticker", "close").orderBy("week").collect()] == [(D(2024, 1, 5), 1.0), (D(2024, 1, 12), None), (D(2024, 1, 19), 2.0)]
 
 
+def test_summary_names_the_smaller_key_first_across_blocks(spark):
+    """In blocks of two series most pairs meet across blocks; of equal correlations the smallest keys count."""
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(4)]
+    rows = [(k, 1, D(2024, 1, 1 + i), base[k % 4][i]) for k in range(1, 13) for i in range(12)]  # three copies of each of four
+    r = spark.createDataFrame(rows, "ticker int, basket int, date date, ret double")
+    got = screen.group_summary(screen.series_rows(r, "ticker", "date", "ret", "basket"), "basket", 5, block=2).first()
+    pairs = {(a, b): round(float(np.corrcoef(base[a % 4], base[b % 4])[0, 1]), 9) for a in range(1, 13) for b in range(a + 1, 13)}
+    low, high = min(pairs, key=lambda p: (pairs[p], p)), min(pairs, key=lambda p: (-pairs[p], p))
+    assert (got.n_pairs, got.min_pair, got.max_pair) == (66, f"{low[0]}-{low[1]}", f"{high[0]}-{high[1]}")
+    assert got.min_corr == pytest.approx(pairs[low]) and got.max_corr == pytest.approx(1.0)
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 1.0, 1.0, 4.0])], "k string, date int, x double")
     w = win.series("k")
