@@ -335,6 +335,13 @@ def test_expiry_profile_by_loop(spark):
             assert got[b].p_profit == pytest.approx(want, abs=1e-6), b
 
 
+def test_books_stay_where_their_symbol_is(spark, sf_dir):
+    """Only parts and quotes move; books are neither stored nor shuffled."""
+    for name in ("opt_leg_match", "opt_leg_greeks", "opt_risk_grid", "opt_sigma_split", "opt_expiry_profile"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 1, name
+
+
 def test_position_fold_by_hand(spark):
     day = [(0, 0.9, 100.0), (1, 0.5, 100.0), (2, None, 90.0), (3, 0.505, 95.0), (4, 0.8, 96.0), (5, 0.8, 79.0), (6, -0.4, 80.0), (7, 0.3, 81.0), (8, 0.3, 82.0), (9, 0.3, 83.0), (10, 0.3, 84.0), (11, 0.0, 84.0)]
     rows = [("a", i, z, p, 0.1, 3) for i, z, p in day]
