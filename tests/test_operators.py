@@ -357,6 +357,21 @@ def test_position_fold_by_hand(spark):
     assert (m.n_trades, m.win_rate, m.avg_hold) == (2, 0.5, 1.5)
 
 
+def test_folds_of_many_series_are_one_stream(spark):
+    """No group of its own for a series, whose state passes over batches and ends with it."""
+    day = [(0, 0.9, 100.0), (1, 0.5, 100.0), (2, None, 90.0), (3, 0.8, 96.0), (4, -0.4, 80.0)]
+    df = spark.createDataFrame([(k, i, z, p, 0.5, 9, i * 0.1) for k in range(50) for i, z, p in day], "k int, i int, target double, price double, stop double, max_hold int, ret double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = lab.fold(df, ["k"], "i", keep=("ret",))
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = sorted(tuple(r) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(0.0, None), (0.5, "entry"), (0.5, None), (0.8, "scale_in"), (-0.4, "flip")]
+    assert got == [(k, i, i * 0.1, *want[i]) for k in range(50) for i in range(5)]
+
+
 def test_bootstrap_totals_have_the_length_of_the_series(spark):
     ones = spark.createDataFrame([("a", i, 1.0) for i in range(10)] + [("b", i, 1.0) for i in range(3)], "k string, i int, pnl double")
     got = {(r.k, r.total) for r in lab.bootstrap(ones, ["k"], "i", 20, 4, "s").collect()}
