@@ -6,15 +6,15 @@ strongest of each task, and summaries add up, that loses nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Series of a side of a block.
-BLOCK = 256
+#: Series of a side of a block; of a screen's, which is worked off in tiles of TILE series a side; pairs held before they are cut.
+BLOCK, WIDE, TILE, HELD = 256, 4096, 512, 100_000
 
 
 def series_rows(df: DataFrame, key: str, date: str, value: str, *keep: str) -> DataFrame:
@@ -56,24 +56,87 @@ def block_correlations(rows: pd.DataFrame, least: int) -> tuple[pd.DataFrame, np
     return rows, i[p], j[q], corr[p, q], n[p, q].astype(np.int64)
 
 
+def _tiles(rows: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places p and q of the series of each tile, and the correlation and number of common dates of each p with each q; nan where
+    there is none, fewer than least, or the pair is in another tile. Series without gaps come first, as their sums need fewer
+    products."""
+    days, xs = (np.concatenate([np.asarray(v) for v in rows[c]]) for c in ("days", "xs"))
+    _, day = np.unique(days, return_inverse=True)
+    at = np.repeat(np.arange(len(rows)), [len(v) for v in rows["days"]])
+    x, has = np.zeros((2, day.max() + 1, len(rows)))
+    x[day, at], has[day, at] = xs, 1.0
+    count = has.sum(0)
+    x -= has * (x.sum(0) / np.maximum(count, 1))
+    whole = count == len(x)
+    square = x * x
+    size = square.sum(0)
+    alone = bool((rows["_lo"] == rows["_hi"]).all())
+    cut = lambda own: [part[k : k + TILE] for part in (np.flatnonzero(own & whole), np.flatnonzero(own & ~whole)) for k in range(0, len(part), TILE)]
+    left, right = (cut((rows["_i"] == rows[c]).to_numpy()) for c in ("_lo", "_hi"))
+    for i, p in enumerate(left):
+        for j, q in enumerate(right):
+            if alone and j < i:
+                continue
+            of = lambda u, v: u[:, p].T @ v[:, q]  # noqa: B023, E731
+            # Over its own dates a series sums to 0: a sum is needed only where the other one has gaps.
+            gaps_p, gaps_q = not whole[p[0]], not whole[q[0]]
+            n = of(has, has) if gaps_p and gaps_q else np.broadcast_to(count[p][:, None] if gaps_p else count[q], (len(p), len(q)))
+            sxy, sxx, syy = of(x, x), size[p][:, None], size[q]
+            sx, sy = of(x, has) if gaps_q else 0.0, of(has, x) if gaps_p else 0.0
+            with np.errstate(all="ignore"):
+                if gaps_q:
+                    sxx = of(square, has) - sx * sx / n
+                if gaps_p:
+                    syy = of(has, square) - sy * sy / n
+                if gaps_p and gaps_q:
+                    sxy -= sx * sy / n
+                corr = sxy / np.sqrt(sxx * syy)
+            corr[~((n >= least) & np.isfinite(corr))] = np.nan
+            if alone and i == j:
+                corr[np.tril_indices(len(p), 0, len(q))] = np.nan
+            yield p, q, corr, n
+
+
 def _strongest(least: int, floor: float, top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, p, q, corr, n = block_correlations(rows, least)
-        some = np.round(np.abs(corr), 9) >= floor
-        p, q, corr, n = p[some], q[some], corr[some], n[some]
-        # A basket stands before a stock; of the same kind, the smaller key stands first.
+        rows = rows.sort_values("key", kind="stable", ignore_index=True)
         basket = rows["kind"].to_numpy() == "basket"
-        swap = np.where(basket[p] == basket[q], p > q, basket[q])
-        p, q = np.where(swap, q, p), np.where(swap, p, q)
-        kind = np.where(basket[q], "basket-basket", np.where(basket[p], "basket-stock", "stock-stock"))
         keys, homes = rows["key"].to_numpy(), rows["home"].tolist()
-        mixed = np.flatnonzero(kind == "basket-stock")
-        own = [x for x in mixed.tolist() if homes[q[x]] is not None and keys[p[x]] in homes[q[x]]]
-        order = np.lexsort((q, p, -np.round(np.abs(corr), 9)))
-        order = order[~np.isin(order, own)]
-        place = pd.Series(kind[order]).groupby(kind[order]).cumcount().to_numpy() if len(order) else order
-        order = order[place < top]
-        return pd.DataFrame({"kind": kind[order], "a": keys[p[order]], "b": keys[q[order]], "corr": corr[order], "n": n[order]})
+
+        def cut(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            """The strongest of each kind, in order."""
+            p, q, corr, n = (np.concatenate(c) for c in zip(*found, strict=True))
+            # A basket stands before a stock; of the same kind, the smaller key stands first.
+            swap = np.where(basket[p] == basket[q], p > q, basket[q])
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            kind = basket[p].astype(int) + basket[q]
+            mixed = np.flatnonzero(kind == 1)
+            own = [x for x in mixed.tolist() if homes[q[x]] is not None and keys[p[x]] in homes[q[x]]]
+            order = np.lexsort((q, p, -np.round(np.abs(corr), 9)))
+            order = order[~np.isin(order, own)]
+            place = pd.Series(kind[order]).groupby(kind[order]).cumcount().to_numpy() if len(order) else order
+            order = order[place < top]
+            return p[order], q[order], corr[order], n[order]
+
+        none = np.zeros(0, np.int64)
+        found, held, bar = [(none, none, np.zeros(0), none)], 0, floor
+        for p, q, corr, n in _tiles(rows, least):
+            size = np.abs(corr)
+            stocks = not (basket[p].any() or basket[q].any())
+            # Under the bar, so many pairs of stocks are stronger already. Rounding is left to the few that come near it.
+            u, v = np.nonzero(size >= (bar if stocks else floor) - 1e-8)
+            some = np.round(size[u, v], 9) >= (bar if stocks else floor)
+            u, v = u[some], v[some]
+            found.append((p[u], q[v], corr[u, v], n[u, v].astype(np.int64)))
+            held += len(u)
+            if held > HELD:
+                found = [cut(found)]
+                held = 0
+                sizes = np.round(np.abs(found[0][2][~(basket[found[0][0]] | basket[found[0][1]])]), 9)
+                bar = sizes[top - 1] if len(sizes) >= top else floor
+        p, q, corr, n = cut(found)
+        kind = np.where(basket[q], "basket-basket", np.where(basket[p], "basket-stock", "stock-stock"))
+        return pd.DataFrame({"kind": kind, "a": keys[p], "b": keys[q], "corr": corr, "n": n})
 
     return run
 
@@ -83,7 +146,7 @@ def strongest_pairs(series: DataFrame, least: int = 30, floor: float = 0.4, top:
     strongest first: stock-stock and basket-basket (a < b), and basket-stock (a the basket), but for a basket's own stocks.
     series: series_rows() with kind (basket or stock) and home, the baskets of a stock."""
     kind = series.schema["key"].dataType.simpleString()
-    dealt = _dealt(series, None, block or BLOCK)
+    dealt = _dealt(series, None, block or max(BLOCK, min(WIDE, -(-series.count() // 8))))
     found = dealt.groupBy("_lo", "_hi").applyInPandas(_strongest(least, floor, top), f"kind string, a {kind}, b {kind}, corr double, n long")
     found = found.repartition("kind", "a")  # the screen runs once: each kind below reads the same exchange
     best = [found.where(F.col("kind") == k).orderBy(F.round(F.abs("corr"), 9).desc(), "a", "b").limit(top) for k in ("stock-stock", "basket-stock", "basket-basket")]

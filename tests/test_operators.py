@@ -9,6 +9,7 @@ import re
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -214,6 +215,29 @@ def test_summary_names_the_smaller_key_first_across_blocks(spark):
     assert got.min_corr == pytest.approx(pairs[low]) and got.max_corr == pytest.approx(1.0)
 
 
+def test_screen_in_tiles_by_loop(spark, monkeypatch):
+    """Series with and without gaps, in tiles of four and cut after few pairs; a series travels once for each wide block."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(23, 40)) + rng.normal(size=40)
+    x[5] = x[4]
+    x[::3, 7] = np.nan
+    x[11, 20:] = np.nan
+    days = [D(2024, 1, 1) + datetime.timedelta(i) for i in range(40)]
+    rows = [("stock", k, days[i], float(x[k, i]), None) for k in range(23) for i in range(40) if not np.isnan(x[k, i])]
+    df = spark.createDataFrame(rows, "kind string, key long, date date, ret double, home array<long>")
+    series = screen.series_rows(df, "key", "date", "ret", "kind", "home")
+    both = {(a, b): ~np.isnan(x[a]) & ~np.isnan(x[b]) for a in range(23) for b in range(a + 1, 23)}
+    corr = {p: float(np.corrcoef(x[p[0]][m], x[p[1]][m])[0, 1]) for p, m in both.items() if m.sum() >= 25}
+    want = sorted(corr, key=lambda p: (-round(abs(corr[p]), 9), p))[:30]
+    monkeypatch.setattr(screen, "TILE", 4)
+    monkeypatch.setattr(screen, "HELD", 40)
+    got = {(r.a, r.b): (r.n, r["corr"]) for r in screen.strongest_pairs(series, least=25, floor=0.0, top=30, block=12).collect()}
+    assert set(got) == set(want) and all(got[p] == (both[p].sum(), pytest.approx(corr[p])) for p in want)
+    parts = pd.concat([series.toPandas().assign(_lo=0, _hi=0, _i=0)])
+    found = screen._strongest(25, 0.0, 30)(parts)
+    assert list(zip(found["a"], found["b"], strict=True)) == want
+
+
 def test_weekly_grid_starts_with_an_unknown_week(spark):
     p = spark.createDataFrame([("a", D(2024, 1, 3), None), ("a", D(2024, 1, 9), 1.0), ("a", D(2024, 1, 10), None)], "ticker string, date date, close double")
     assert [(r.week, r.close) for r in panel.weekly_last(p, "ticker", "close").orderBy("week").collect()] == [(D(2024, 1, 5), None), (D(2024, 1, 12), 1.0)]
