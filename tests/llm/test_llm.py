@@ -600,6 +600,22 @@ def test_quality_counts_by_brute_force(odd, empty):
     assert quality.judged(empty, None).count() == 0
 
 
+def test_quality_threshold_takes_every_row(spark):
+    """Over more labelled rows than were once taken, by a loop; the only bad ones that gain come in the last rows."""
+    rng = np.random.default_rng(4)
+    score, good = np.round(rng.uniform(0.3, 0.6, 30_000), 4), rng.uniform(size=30_000) < 0.99
+    score[29_900:], good[29_900:] = 0.9, False
+    df = spark.createDataFrame(list(zip(score.tolist(), good.astype(int).tolist(), strict=True)), "score double, _good int")
+    best = (-1.0, 0.0)
+    for c in np.unique(score):
+        fp, tp = (score[good] >= c).mean(), (score[~good] >= c).mean()
+        if fp <= quality.MOST_GOOD:
+            best = max(best, (round(tp - fp, 12), c))
+    under = score[score < best[1]].max()
+    assert quality.threshold_of(df) == pytest.approx((best[1] + under) / 2)
+    assert quality.quantile_of(df.select("score"), 0.05) == pytest.approx(float(np.quantile(score, 0.95)))
+
+
 def test_quality_held_out(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
