@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,24 +37,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stored
-from .elias_fano import ABSENT, PAIR, Trie, restored
+from .elias_fano import ABSENT, PAIR, Trie, changes, numbered, restored, sorted_places
 
 BATCH_TOKENS, VOCABULARY_SHARD, NGRAM_SHARD = 2_000_000, 500_000, 1_000_000
 D1, K2, K3 = 0.5, 8.0, 2.0
 COARSE_STEPS = 28
+#: Texts are split into words so many bytes at a time.
+SPLIT_BYTES = 8_000_000
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line break
 BOS = 1
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _zip(a: np.ndarray) -> bytes:
     """Compressed, byte by byte: the high bytes of small numbers cost nothing."""
     planes = np.ascontiguousarray(np.frombuffer(np.ascontiguousarray(a).tobytes(), np.uint8).reshape(-1, a.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return _COMPRESSOR.compress(planes.tobytes())
 
 
 def _unzip(data: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    planes = np.frombuffer(_DECOMPRESSOR.decompress(data), np.uint8).reshape(size, -1)
     return np.frombuffer(np.ascontiguousarray(planes.T).tobytes(), dtype)
 
 
@@ -69,7 +73,9 @@ def _unzip_ids(data: bytes) -> np.ndarray:
 
 def _zip_codes(codes: np.ndarray) -> bytes:
     """Codes as numbers in the table of those that occur."""
-    table, at = np.unique(codes, return_inverse=True)
+    occurs = np.zeros(1 << 16, bool)
+    occurs[codes] = True
+    table, at = np.flatnonzero(occurs), (np.cumsum(occurs) - 1)[codes]
     small = len(table) <= 256
     head = bytes([1 if small else 2]) + len(table).to_bytes(4, "little") + table.astype(np.uint16).tobytes()
     return head + _zip(at.astype(np.uint8 if small else np.uint16))
@@ -88,6 +94,39 @@ def _cut(at: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
         yield int(k), slice(ends[k], ends[k + 1])
 
 
+def _hashed(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, lower-cased, and then the end. A word is hashed once for each slice of texts."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPLIT_BYTES, "right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, stop - at)))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+        distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        filled = np.array([bool(w) for w in words], bool)  # spaces at a text's ends leave empty strings there
+        which, offsets = found.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        for begin, end in zip(offsets[:-1], offsets[1:], strict=True):
+            mine = which[begin:end]
+            mine = mine[filled[mine]]
+            hashes = np.empty(len(mine) + 1, np.uint64)
+            hashes[:-1] = distinct[mine]
+            hashes[-1] = END
+            yield hashes
+        at = stop
+
+
+def _vocabulary(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and the place of each hash among them."""
+    found = pa.array(hashes).dictionary_encode()
+    distinct = found.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[found.indices.to_numpy()]
+
+
 def batches_of(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     """Tokenised batches: batch, ids, sizes, train, tokens (numbers in vocab), vocab (sorted hashes), counts."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -101,7 +140,7 @@ def batches_of(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
             nonlocal held, total, made
             ids, train, hashes = zip(*held, strict=True)
             sizes = np.array([len(h) for h in hashes], np.uint32)
-            vocab, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            vocab, tokens = _vocabulary(np.concatenate(hashes))
             flags = np.array(train, bool)
             counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(vocab)).astype(np.uint32)
             out = {"batch": [(part << 24) + made], "ids": [list(ids)], "sizes": [_zip(sizes)], "train": [_zip(flags.view(np.uint8))], "tokens": [_zip(tokens.astype(np.uint32))], "vocab": [_zip(vocab)], "counts": [_zip(counts)], "n_tokens": [int(sizes.sum())], "n_train": [int(counts.sum())], "n_train_docs": [int(flags.sum())], "n_vocab": [len(vocab)]}
@@ -111,11 +150,7 @@ def batches_of(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
         schema = None
         for rb in rows:
             schema = schema or pa.schema([("batch", pa.int64()), ("ids", pa.list_(rb.schema.field(0).type)), *((c, pa.binary()) for c in ("sizes", "train", "tokens", "vocab", "counts")), *((c, pa.int64()) for c in ("n_tokens", "n_train", "n_train_docs", "n_vocab"))])
-            for ident, text, flag in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2).to_pylist(), strict=True):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                hashes = np.empty(len(words) + 1, np.uint64)
-                hashes[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-                hashes[-1] = END
+            for ident, hashes, flag in zip(rb.column(0).to_pylist(), _hashed(rb.column(1)), rb.column(2).to_pylist(), strict=True):
                 held.append((ident, bool(flag), hashes))
                 total += len(hashes)
                 if total >= BATCH_TOKENS:
@@ -172,7 +207,7 @@ class _Batch:
         self.counts = np.concatenate([np.zeros(1), *(_unzip_ids(b) for _, _, b in said)])  # by local number + 1; 0 is the beginning
 
     def ngrams(self) -> tuple[np.ndarray, ...]:
-        """Local numbers of the distinct v, w, u, their training counts, and where each token's n-gram is."""
+        """Local numbers v, w of the distinct pairs, how many n-grams each has, u of the distinct n-grams, and where each token's n-gram is."""
         w = self.tokens + 1
         first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         v = np.concatenate([[0], w[:-1]])
@@ -180,11 +215,9 @@ class _Batch:
         u = np.concatenate([[0], v[:-1]])
         u[first] = 0
         n = len(self.ids)
-        pair, at2 = np.unique(v * n + w, return_inverse=True)
-        key, at = np.unique(at2 * n + u, return_inverse=True)
-        count = np.bincount(at[np.repeat(self.train, self.sizes)], minlength=len(key))
-        pairs = pair[key // n]
-        return pairs // n, pairs % n, key % n, count, at
+        pair, at2 = numbered(v * n + w, n * n)
+        key, at = numbered(at2 * n + u, len(pair) * n)
+        return pair // n, pair % n, np.bincount(key // n, minlength=len(pair)), key % n, at
 
     def level1(self, n_total: int, n_docs: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """p1 and back1 by local number."""
@@ -194,26 +227,22 @@ class _Batch:
             return np.ones(len(c)), np.ones(len(c))
         return np.where(c > 0, c - D1, D1 * n_words) / n_total, K2 / (c + K2)
 
-    def shards(self, v: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """The shard of each n-gram, and the order by shard and first word in which they are asked for."""
+    def shards(self, v: np.ndarray, w: np.ndarray, lengths: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shard of each pair, the order of pairs by shard and first word in which they are asked for, and that of their n-grams."""
         at = (mix64(mix64(self.ids[v]) + self.ids[w].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        return at, np.argsort(at * (int(self.ids.max()) + 1) + self.ids[v], kind="stable")
+        top = int(self.ids.max()) + 1
+        order = sorted_places(at * top + self.ids[v], shards * top)
+        n = lengths[order]
+        grams = np.repeat((np.cumsum(lengths) - lengths)[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return at, order, grams
 
 
-def _coarse(x: np.ndarray) -> bytes:
+def _coarse(x: np.ndarray) -> np.ndarray:
     """Numbers from 1e-9 to 1 in one byte, to within one part in 24."""
-    return _zip(np.clip(np.rint(-np.log10(x) * COARSE_STEPS), 0, 255).astype(np.uint8))
-
-
-def _from_coarse(data: bytes) -> np.ndarray:
-    return 10.0 ** (-_unzip(data, np.uint8).astype(np.float64) / COARSE_STEPS)
+    return np.clip(np.rint(-np.log10(x) * COARSE_STEPS), 0, 255).astype(np.uint8)
 
 
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before."""
-    out = np.ones(len(columns[0]), bool)
-    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return out
+_FROM_COARSE = 10.0 ** (-np.arange(256) / COARSE_STEPS)
 
 
 def _ask_ngrams(shards: int, n_total: int, n_docs: int, n_words: int):  # noqa: ANN202
@@ -222,42 +251,59 @@ def _ask_ngrams(shards: int, n_total: int, n_docs: int, n_words: int):  # noqa:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = _Batch(left.to_pylist()[0], right)
-        v, w, u, count, _ = batch.ngrams()
-        p1, back1 = batch.level1(n_total, n_docs, n_words)
-        at, order = batch.shards(v, w, shards)
-        v, w, u, count = v[order], w[order], u[order], count[order]
+        v, w, lengths, u, at = batch.ngrams()
+        count = np.bincount(at[np.repeat(batch.train, batch.sizes)], minlength=len(u)).astype(np.uint32)
+        p1, back1 = (_coarse(x) for x in batch.level1(n_total, n_docs, n_words))
+        shard, order, grams = batch.shards(v, w, lengths, shards)
+        shard, v, w, lengths, u, count = shard[order], v[order], w[order], lengths[order], u[grams], count[grams]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
         out = []
-        for k, s in _cut(at[order], shards):
-            firsts, pairs = _changes(v[s]), _changes(v[s], w[s])
-            ids = (_zip_ids(np.diff(batch.ids[v[s]], prepend=0)), *(_zip_ids(batch.ids[x[s]]) for x in (w, u)))
-            out.append((k, batch.row["batch"], *ids, _zip(count[s].astype(np.uint32)), _coarse(back1[v[s][firsts]]), _coarse(p1[w[s][pairs]])))
+        for k, s in _cut(shard, shards):
+            g, n = slice(ends[s.start], ends[s.stop]), lengths[s]
+            firsts, vs = changes(v[s]), np.repeat(batch.ids[v[s]], n)
+            ids = (_zip_ids(np.diff(vs, prepend=0)), _zip_ids(np.repeat(batch.ids[w[s]], n)), _zip_ids(batch.ids[u[g]]))
+            out.append((k, batch.row["batch"], *ids, _zip(count[g]), _zip(back1[v[s][firsts]]), _zip(p1[w[s]])))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "batch", "v", "w", "u", "n", "back1", "p1"])
 
     return run
 
 
+def _distinct(v: np.ndarray, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct n-grams by v, w and u: where each stands first, and the place of each row's n-gram among them."""
+    top = int(max(x.max(initial=0) for x in (v, w, u))) + 1
+    (_, vs), (ws, at_w), (us, at_u) = (numbered(x, top) for x in (v, w, u))
+    pairs, pair = numbered(vs * len(ws) + at_w, (int(vs.max(initial=0)) + 1) * len(ws))
+    found, at = numbered(pair * len(us) + at_u, len(pairs) * len(us))
+    first = np.empty(len(found), np.int64)
+    first[at[::-1]] = np.arange(len(at))[::-1]
+    return first, at
+
+
 def _answer_ngrams(table: pa.Table) -> pa.Table:
+    """Requests of several batches have n-grams in common, which the trie is asked for once."""
     rows = table.to_pylist()
     read = lambda c: [_unzip_ids(r[c]) for r in rows]
-    slices, ws = [np.cumsum(x) for x in read("v")], read("w")
-    back1 = [_from_coarse(r["back1"])[np.cumsum(_changes(v)) - 1] for r, v in zip(rows, slices, strict=True)]
-    p1 = [_from_coarse(r["p1"])[np.cumsum(_changes(v, w)) - 1] for r, v, w in zip(rows, slices, ws, strict=True)]
-    v, w, u = np.concatenate(slices), np.concatenate(ws), np.concatenate(read("u"))
-    count = np.concatenate([_unzip(r["n"], np.uint32) for r in rows]).astype(np.int64)
-    seen = count > 0
-    trie = Trie(v[seen], w[seen], u[seen], count[seen], np.concatenate(p1)[seen], np.concatenate(back1)[seen], K2, K3)
+    slices = [np.cumsum(x) for x in read("v")]
+    ends = np.cumsum([len(s) for s in slices])
+    v, w, u = np.concatenate(slices), np.concatenate(read("w")), np.concatenate(read("u"))
+    new1, new2 = changes(v), changes(v, w)
+    new1[ends[:-1]] = new2[ends[:-1]] = True
+    back1, p1 = (np.concatenate([_unzip(r[c], np.uint8) for r in rows])[np.cumsum(x) - 1] for c, x in (("back1", new1), ("p1", new2)))
+    first, at = _distinct(v, w, u)
+    count = np.bincount(at, weights=np.concatenate([_unzip(r["n"], np.uint32) for r in rows]), minlength=len(first)).astype(np.int64)
+    v, w, u = v[first], w[first], u[first]
+    seen = np.flatnonzero(count)
+    trie = Trie(v[seen], w[seen], u[seen], count[seen], _FROM_COARSE[p1[first[seen]]], _FROM_COARSE[back1[first[seen]]], K2, K3)
     try:
         value, back = trie.codes(v, w, u)
     finally:
         trie.close()
-    ends = np.cumsum([len(s) for s in slices])[:-1]
-    firsts = [_changes(*x) for x in zip(slices, ws, strict=True)]
-    n = len(rows)
+    n, pairs = len(rows), np.flatnonzero(new2)
+    split = lambda x, cuts: pa.array([_zip_codes(y) for y in np.split(x, cuts)], pa.binary())
     return pa.table({
         "batch": table["batch"], "kind": pa.array([1] * n, pa.int32()), "shard": table["shard"],
-        "a": pa.array([_zip_codes(x) for x in np.split(value, ends)], pa.binary()),
-        "b": pa.array([_zip_codes(x[f]) for x, f in zip(np.split(back, ends), firsts, strict=True)], pa.binary()),
+        "a": split(value[at], ends[:-1]), "b": split(back[at[pairs]], np.searchsorted(pairs, ends[:-1])),
         "n_new": pa.array([0] * n, pa.int64()),
     })
 
@@ -265,24 +311,23 @@ def _answer_ngrams(table: pa.Table) -> pa.Table:
 def _score(n_total: int, n_docs: int, n_words: int, shards: int):  # noqa: ANN202
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = _Batch(left.to_pylist()[0], right)
-        v, w, _, _, at = batch.ngrams()
+        v, w, lengths, u, at = batch.ngrams()
         said = sorted((x["shard"], x["a"], x["b"]) for x in right.to_pylist() if x["kind"] == 1)
-        asked, order = batch.shards(v, w, shards)
-        back2, code = np.empty(len(order)), np.empty(len(order), np.uint16)
-        code[order] = np.concatenate([_unzip_codes(a) for _, a, _ in said])
-        pair = np.cumsum(_changes(asked[order], v[order], w[order])) - 1
-        back2[order] = restored(np.concatenate([_unzip_codes(b) for _, _, b in said]), absent=1.0)[pair]
+        _, order, grams = batch.shards(v, w, lengths, shards)
+        back2, code = np.empty(len(v)), np.empty(len(u), np.uint16)
+        code[grams] = np.concatenate([_unzip_codes(a) for _, a, _ in said])
+        back2[order] = restored(np.concatenate([_unzip_codes(b) for _, _, b in said]), absent=1.0)
         p1, back1 = batch.level1(n_total, n_docs, n_words)
-        known = batch.counts[w] > 0
+        known, base = batch.counts > 0, np.log10((batch.counts + 1) / (n_total + n_words + 1))
+        back2, v, w = (np.repeat(x, lengths) for x in (back2, v, w))
         value = np.where(code == ABSENT, p1[w], restored(code)) * np.where(code < PAIR, 1.0, back1[v])
         first = np.concatenate([[0], np.cumsum(batch.sizes)[:-1]]).astype(np.int64)
         context = np.concatenate([[1.0], back2[at][:-1]])
         context[first] = K3 / (n_docs + K3)
-        base = np.log10((batch.counts[w] + 1) / (n_total + n_words + 1))
         sums = lambda x: np.add.reduceat(x, first)
         ids = left["ids"].combine_chunks().flatten()
         n = len(first)
-        return pa.table({"id": ids, "n_tokens": pa.array(batch.sizes), "n_known": pa.array(sums(known[at].astype(np.int64))), "train_tokens": pa.array([n_total] * n, pa.int64()), "base_score": pa.array(sums(base[at])), "score": pa.array(sums(np.log10(context * value[at])))})
+        return pa.table({"id": ids, "n_tokens": pa.array(batch.sizes), "n_known": pa.array(sums(known[batch.tokens + 1].astype(np.int64))), "train_tokens": pa.array([n_total] * n, pa.int64()), "base_score": pa.array(sums(base[batch.tokens + 1])), "score": pa.array(sums(np.log10(context * value[at])))})
 
     return run
 

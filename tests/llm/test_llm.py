@@ -9,7 +9,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelwright.llm import elias_fano, exact_dedup, mixing, near_dedup, ngram_lm, packing, quality, secret_scan, substring_dedup, toxicity, warc
@@ -262,6 +264,58 @@ def test_elias_fano_and_trie():
     assert back == pytest.approx([2 / (c2[x] + 2) if x in c2 else 0 for x in zip(*(a.tolist() for a in q[:2]), strict=True)], rel=2e-3)
 
 
+def test_elias_fano_of_every_width():
+    rng = np.random.default_rng(5)
+    for n, top in ((1, 1), (1, 2**40), (3, 2**55), (700, 600), (700, 2**30), (700, 2**45)):
+        v = np.sort(rng.integers(0, top, n))
+        e = elias_fano.EliasFano(*elias_fano.EliasFano.encoded(v, top))
+        assert (e.at(np.arange(n)) == v).all()
+        x = np.concatenate([v, v + 1, v - 1, [top + 10**6]])
+        at = e.find(x)
+        assert ((at >= 0) == np.isin(x, v)).all() and (at[at >= 0] == np.searchsorted(v, x[at >= 0])).all()
+
+
+def test_numbers_are_the_same_with_and_without_room_for_places():
+    key = np.random.default_rng(6).integers(0, 50, 400)
+    for top in (50, 2**62):
+        found, at = elias_fano.numbered(key, top)
+        assert (found == np.unique(key)).all() and (found[at] == key).all()
+        assert (elias_fano.sorted_places(key, top) == np.argsort(key, kind="stable")).all()
+
+
+def test_words_are_split_as_bytes_are_and_hashed_once(monkeypatch):
+    texts = ["", None, "  Hello wOrld\x0b\x0cfoo ", "a b  c\x1c\x85x \u00c9 \u00e9", "\n\n", " x", "A" * 50 + " "] * 3
+    asked = []
+    hashed = xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ngram_lm.xxhash, "xxh3_64_intdigest", lambda w: asked.append(w) or hashed(w))
+    for slice_bytes in (1, 40, 10**6):
+        monkeypatch.setattr(ngram_lm, "SPLIT_BYTES", slice_bytes)
+        asked.clear()
+        got = [h.tolist() for h in ngram_lm._hashed(pa.array(["y", *texts]).slice(1))]
+        assert got == [[*map(hashed, (t or "").encode().lower().split()), ngram_lm.END] for t in texts]
+    assert len(asked) == len(set(asked))
+
+
+def test_ngrams_of_several_batches_are_looked_up_once(monkeypatch):
+    asked = []
+    codes = elias_fano.Trie.codes
+    monkeypatch.setattr(elias_fano.Trie, "codes", lambda self, v, w, u: asked.append(len(v)) or codes(self, v, w, u))
+    v, w, u = np.array([2, 2, 2, 5]), np.array([7, 7, 9, 7]), np.array([3, 4, 3, 1])
+    ids = {"v": ngram_lm._zip_ids(np.diff(v, prepend=0)), "w": ngram_lm._zip_ids(w), "u": ngram_lm._zip_ids(u)}
+    codes_of = {"back1": ngram_lm._zip(np.array([10, 12], np.uint8)), "p1": ngram_lm._zip(np.array([50, 60, 50], np.uint8))}
+    counts = ([1, 0, 2, 0], [0, 0, 1, 3], [0, 0, 0, 0])
+    rows = [{"shard": 0, "batch": k, **ids, "n": ngram_lm._zip(np.array(c, np.uint32)), **codes_of} for k, c in enumerate(counts)]
+    said = ngram_lm._answer_ngrams(pa.Table.from_pylist(rows)).to_pylist()
+    assert asked == [4]
+    total, c2 = np.sum(counts, axis=0), np.array([1, 1, 3, 3])
+    p1, back1 = 10.0 ** -(np.array([50, 50, 60, 50]) / 28), 10.0 ** -(np.array([10, 10, 10, 12]) / 28)
+    value2 = c2 / ngram_lm.K2 + p1
+    want = np.where(total > 0, total / ngram_lm.K3 + back1 * value2, value2)
+    for row in said:
+        assert elias_fano.restored(ngram_lm._unzip_codes(row["a"])) == pytest.approx(want, rel=2e-3)
+        assert elias_fano.restored(ngram_lm._unzip_codes(row["b"])) == pytest.approx((ngram_lm.K3 / (c2 + ngram_lm.K3))[[0, 2, 3]], rel=2e-3)
+
+
 def test_language_model_by_brute_force(odd, empty, monkeypatch):
     monkeypatch.setattr(ngram_lm, "NGRAM_SHARD", 5000)
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
