@@ -681,3 +681,10 @@ def test_publish_guard(spark, tmp_path):
         assert sinks.publish(df.withColumn("v", F.lit(v)), path, "s", "v", 1)
         assert {r.v for r in sinks.published(spark, path).collect()} == {v}
         assert (held.count() == 2) if v == 2.0 else True  # who still reads the version before can
+
+
+def test_self_pairs_are_made_in_as_many_parts_as_the_session_says(spark, sf_dir):
+    """Small inputs of a quadratic join aren't merged into one task."""
+    pairs = QUERIES["join_self_pairs"](spark, sf_dir.replace("sf0.001", "sf0.01"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.part for r in pairs.select(F.spark_partition_id().alias("part")).distinct().collect()} == set(range(parts))
