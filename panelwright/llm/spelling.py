@@ -10,6 +10,9 @@ Words are counted within a batch of texts before they move, so a word that is ev
 partners share its length but for one, and are bounded by the alphabet; its forms double the count at each step, so chains
 are followed by pointer jumping in a few rounds. What a word's neighbourhood takes in memory is linear in its length.
 
+Joins are merged by hint. Spark sizes a table by its compressed file, and neighbourhoods, of many rows a word, by the file of
+their words; it would broadcast what the driver has no room for.
+
 Defined results: a null or empty text has no words; a null id is spelled as the empty text; rows that repeat an id count
 as often as given; equal counts are decided by code-point order; an empty table has no words; other columns aren't read.
 """
@@ -155,7 +158,7 @@ def near_words(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     coded = stored(_coded(vocab, symbols), "spelling-coded")
     other = coded.withColumnsRenamed({"word": "near", "n": "near_n"})
     near = F.levenshtein("word", "near", 1) == 1
-    met = _neighbours(coded, symbols).alias("a").join(other.alias("b"), (F.col("a.code") == F.col("b.code")) & near)
+    met = _neighbours(coded, symbols).alias("a").hint("merge").join(other.alias("b"), (F.col("a.code") == F.col("b.code")) & near)
     return met.select("word", "n", "near", "near_n")
 
 
@@ -166,12 +169,12 @@ def variants(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     near = near_words(vocab, symbols).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     is_form = -F.col("best.less") >= 2 * F.col("n")
-    found = vocab.join(near, "word", "left").select(
+    found = vocab.hint("merge").join(near, "word", "left").select(
         "word", F.when(is_form, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, -F.col("best.less")).alias("form_n")
     )
     found = stored(found, "spelling-forms")
     roots = _roots(found.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -182,7 +185,7 @@ def _roots(edges: DataFrame) -> DataFrame:
         known = moving
         for part in arrived:
             known = known.unionByName(part)
-        met = moving.alias("a").join(known.alias("b"), F.col("a.root") == F.col("b.word"), "left")
+        met = moving.alias("a").hint("merge").join(known.alias("b"), F.col("a.root") == F.col("b.word"), "left")
         ended = F.col("b.root").isNull() | F.col("b.ended")
         path = new_path(spark, "spelling-roots")
         met.select("a.word", F.coalesce("b.root", "a.root").alias("root"), ended.alias("ended")).write.parquet(path)

@@ -275,6 +275,23 @@ def test_chains_of_forms_lead_to_their_root(spark):
     assert rows["zzzzz"].form is None and rows["zzzzz"].n_near == 1  # as frequent as its only near word
 
 
+def test_spelling_broadcasts_no_join(spark):
+    """Spark sizes neighbourhoods by the file of their words, so it took them for small enough."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        runs = store.executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in map(runs.apply, range(runs.length()))}
+
+    before = plans()
+    vocab = spark.createDataFrame([("a" * 5 + "b" * k, 2 ** (10 - k)) for k in range(8)], "word string, n long")
+    assert spelling.variants(vocab).count() == 8
+    own = [x for k, x in plans().items() if k not in before]
+    assert sum("SortMergeJoin" in x for x in own) >= 3  # near words, steps to the roots, roots
+    assert not any("Broadcast" in x for x in own)
+
+
 def test_neighbourhoods_hold_every_edit():
     rng = random.Random(5)
     letters = "abcdefgh"
