@@ -688,3 +688,31 @@ def test_self_pairs_are_made_in_as_many_parts_as_the_session_says(spark, sf_dir)
     pairs = QUERIES["join_self_pairs"](spark, sf_dir.replace("sf0.001", "sf0.01"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {r.part for r in pairs.select(F.spark_partition_id().alias("part")).distinct().collect()} == set(range(parts))
+
+
+def test_self_pairs_name_their_names_in_runs(spark, tmp_path):
+    """On repeated and unplaced suppliers, null prices, and more names than a tile has, the rows are those of the SQL; what
+    names take in a file is far less than a byte a row."""
+    import duckdb
+
+    from panelwright.plans import ORACLE_SQL
+
+    rng = random.Random(9)
+    names = [*range(400), 5, 70, 70]
+    suppliers = [(k, None if k == 3 else 1 if k == 399 else 0) for k in rng.sample(names, len(names))]
+    days = [D(1995, m, 10) for m in (1, 2, 3)]
+    lines = [(k, None if rng.random() < 0.02 else float(rng.randint(1, 9999)), 1.0, d) for k in range(401) for d in days]
+    for table, rows, columns in (
+        ("supplier", suppliers, "s_suppkey long, s_nationkey int"), ("nation", [(0, 0), (1, 0)], "n_nationkey int, n_regionkey int"),
+        ("lineitem", rng.sample(lines, len(lines)), "l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate date"),
+    ):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    QUERIES["join_self_pairs"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = f"'{tmp_path}/out/*.parquet'"
+    want = duckdb.sql(f"SELECT a, b, date, gap FROM ({ORACLE_SQL['join_self_pairs']}) ORDER BY ALL").fetchall()
+    got = duckdb.sql(f"SELECT a, b, date, gap FROM read_parquet({out}) ORDER BY ALL").fetchall()
+    assert len(want) > 100_000 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6, nan_ok=True)
+    room = duckdb.sql(f"SELECT sum(total_compressed_size) FROM parquet_metadata({out}) WHERE path_in_schema IN ('a', 'b')").fetchall()[0][0]
+    assert room < 0.5 * len(want), room / len(want)
